@@ -1,0 +1,4 @@
+"""Registry of the queries over the given tables and of their SQL."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
