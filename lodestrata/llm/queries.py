@@ -5,11 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import language, secrets, toxicity
+from .common import fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
 
+def _only(k: int):
+    return lambda rank: F.when(rank == k, rank)
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan_secrets(docs, secrets.train_weakly(docs))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    ranks = F.transform("spans", lambda s: s["rank"])
+    counts = [F.size(F.array_compact(F.transform(ranks, _only(k)))).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -19,7 +33,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_near_dedup, op5_exact_dedup)}
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", F.size("offending").alias("n_offending"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs.where(fold("doc_id", 3) != 1)))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
