@@ -76,14 +76,19 @@ def _sparse(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[-1][0] for r in rows], pa.int32()), pa.array(features, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "n", "features"])
 
 
-def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: list[list[list[int]]], size: int, rounds: int = 400, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the sentence model, by Adam on the noisy-or likelihood of the documents."""
+def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: list[list[list[int]]], start: np.ndarray, rounds: int = 400, decay: float = 2e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of the sentence model, by Adam on the noisy-or likelihood of the documents.
+
+    ``start``: the features' log odds, so that every word that only toxic documents have counts, not just those that
+    suffice to explain the sample.
+    """
+    size = len(start)
     owner = np.array([i for i, doc in enumerate(features) for _ in doc], dtype=np.int64)
     lengths = np.array([len(s) for doc in features for s in doc], dtype=np.int64)
     ids = np.array([f for doc in features for s in doc for f in s], dtype=np.int64)
     sentence = np.repeat(np.arange(len(lengths)), lengths)
     empty = total - np.bincount(owner, minlength=len(total))
-    p = np.r_[np.zeros(size), -6.0]
+    p = np.r_[start, -7.0]
     m, v = np.zeros_like(p), np.zeros_like(p)
     share = weight / weight.sum()
     for t in range(1, rounds + 1):
@@ -95,7 +100,7 @@ def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: list
         to_z = slope[owner] * s
         g = np.r_[np.bincount(ids, to_z[sentence], minlength=size) + decay * p[:-1], to_z.sum() + (slope * empty * plain).sum()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        p = p - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         p[-1] = min(p[-1], -3.0)
     return p[:-1], float(p[-1])
 
@@ -119,11 +124,14 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     strength = (rate - base) / F.sqrt(shared * (1 - shared) * (1 / a + 1 / b))
     counted = sample.mapInArrow(_class_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counted.where("clean + toxic >= 4").withColumn("strength", strength).where("strength >= 4").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
+    same = {(r.feature, r.toxic, r.clean) for r in best}
+    best = [r for r in best if not any((f"{r.feature.rstrip('~')[:k]}~", r.toxic, r.clean) in same for k in BEGINNINGS if k < len(r.feature.rstrip("~")))]
     number = {r.feature: i for i, r in enumerate(best)}
+    start = np.array([0.8 * np.log((r.toxic + 0.5) / (a + 1) / ((r.clean + 0.5) / (b + 1))) for r in best])
     found = sorted(sample.mapInArrow(lambda it: _sparse(it, number), "doc_id long, toxic boolean, n int, features array<array<int>>").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))  # max_rows of each class
     toxic = np.array([r.toxic for r in found])
     weight = np.where(toxic, 1 / share[True], 1 / share[False])
-    weights, bias = fit(np.array([r.n for r in found]), toxic, weight, [r.features for r in found], len(number))
+    weights, bias = fit(np.array([r.n for r in found]), toxic, weight, [r.features for r in found], start)
     return {"number": number, "weights": weights, "bias": bias}
 
 
