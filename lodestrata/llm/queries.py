@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, secrets, toxicity
-from .common import fold, table
+from . import fingerprint, language, secrets, toxicity
+from .common import cut, fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 
 
+def _hex(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
 def _only(k: int):
     return lambda rank: F.when(rank == k, rank)
 
@@ -26,7 +30,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +51,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup)}
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = cut(fingerprint.fingerprints_of_edits(table(spark, sf_dir, "documents")), "prints")
+    found = fingerprint.count_within(prints, F.col("doc_id") % 50 == 0)
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "n_within",
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op10_document_fingerprints)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
