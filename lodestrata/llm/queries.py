@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, secrets, toxicity
+from . import fingerprint, language, secrets, suffix_tree, toxicity
 from .common import cut, fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
@@ -28,6 +28,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = suffix_tree.train(docs.where(fold("doc_id", 7) != 2))
+    found = suffix_tree.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
@@ -60,7 +67,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op10_document_fingerprints)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
