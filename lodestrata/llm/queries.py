@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, secrets, suffix_tree, toxicity
+from . import chat, fingerprint, language, pieces, secrets, suffix_tree, toxicity
 from .common import cut, fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
@@ -67,9 +67,39 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op10_document_fingerprints)}
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    told = cut(chat.turns(table(spark, sf_dir, "conversations").select(*more.columns).unionByName(more)), "turns")
+    return chat.read_back(told, cut(chat.prefix_tree(told), "tree"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.decode(pieces.encode(docs))
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting, op9_sentencepiece, op10_document_fingerprints)}
 
 ORACLE_SQL = {
+    "op8_chat_formatting": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        f AS (
+            SELECT *, length('<|turn|>' || regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|text|>'
+                || regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|end|>') AS n
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM f GROUP BY conv_id
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS size,
