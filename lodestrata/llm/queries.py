@@ -46,8 +46,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2))
     found = toxicity.score(docs, model)
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_sentences", F.size("offending").alias("n_offending"))
 

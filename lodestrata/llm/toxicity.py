@@ -105,18 +105,21 @@ def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: list
     return p[:-1], float(p[-1])
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_rows: int = 8000, max_features: int = 3000) -> dict:
-    """The model from labelled documents; rows with a null label are left out, a null text counts as empty.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_rows: int = 6000, max_features: int = 3000) -> dict:
+    """The model from documents and a table of labels by id; null labels are left out, of several labels of an id the
+    highest counts, a null text counts as empty. ``max_rows`` bounds the sample of each class (in expectation).
 
     Features are those whose share differs most between the classes of the sample, each in four documents at least.
     """
-    rows = labelled.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.col(toxic_col) > 0).alias("toxic")).where("toxic is not null")
-    n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    marks = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(toxic_col) > 0).alias("toxic"))
+    n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return {"number": {}, "weights": np.zeros(0), "bias": -20.0 if not n.get(True) else 3.0}
     share = {k: min(1.0, max_rows / x) for k, x in n.items()}
     unit = F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / float(1 << 24)
-    sample = cut(rows.where(unit < F.when(F.col("toxic"), share[True]).otherwise(share[False])), "sample")
+    drawn = marks.where(unit < F.when(F.col("toxic"), share[True]).otherwise(share[False]))  # of bounded size
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sample = cut(rows.join(F.broadcast(drawn), "doc_id"), "sample")
     size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     a, b = max(1, size.get(True, 0)), max(1, size.get(False, 0))
     rate, base = (F.col("toxic") + 0.5) / (a + 1.0), (F.col("clean") + 0.5) / (b + 1.0)
