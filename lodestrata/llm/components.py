@@ -11,7 +11,7 @@ from .common import cut
 def components(links: DataFrame) -> DataFrame:
     """From links (a long, b long) in any direction: (node, component), component being the smallest node reachable.
 
-    Only nodes with a link to another node appear. Each round is a few shuffles of links and is cut on shared storage;
+    Only nodes that reach a smaller one appear. Each round is a few shuffles of links and is cut on shared storage;
     the number of rounds grows with the logarithm of the longest path.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")

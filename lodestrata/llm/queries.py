@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, pieces, secrets, suffix_tree, toxicity
+from . import chat, fingerprint, language, mixing, pieces, secrets, suffix_tree, toxicity
 from .common import cut, fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
@@ -35,6 +35,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.train(docs))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
@@ -80,7 +85,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting, op9_sentencepiece, op10_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_source_mixing, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting, op9_sentencepiece, op10_document_fingerprints)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""

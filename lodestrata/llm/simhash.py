@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -27,13 +28,13 @@ def shingle_hashes(text: str, width: int = 4) -> list[int]:
     return [h(joined[a : b - 1], 42) for a, b in zip(ends, ends[width:])]
 
 
-def majority(hashes: list[list[int]]) -> np.ndarray:
+def majority(hashes: Sequence[Sequence[int] | np.ndarray]) -> np.ndarray:
     """For each list: the 64-bit number whose bits are set in over half the list's hashes; zero for none."""
     out = np.zeros(len(hashes), dtype=np.uint64)
     lengths = np.fromiter(map(len, hashes), np.int64, len(hashes))
     ones = np.zeros((len(hashes), 64), dtype=np.int64)
     owner = np.repeat(np.arange(len(hashes)), lengths)
-    flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(lengths.sum()))
+    flat = np.concatenate([np.asarray(h, dtype=np.uint64) for h in hashes]) if len(hashes) else np.zeros(0, np.uint64)
     for at in range(0, len(flat), CHUNK):
         bits = np.unpackbits(flat[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         own = owner[at : at + CHUNK]
