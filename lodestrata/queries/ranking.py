@@ -11,12 +11,18 @@ from ..operators import fuse, verify, windows
 from .registry import Registry, table
 
 query = Registry()
-RESULT = F.when(F.col("o_orderstatus") == "F", "granted").when(F.col("o_orderstatus") == "O", "denied")
-LEVEL = F.substring("o_orderpriority", 1, 1).cast("int")
 _AUTHORITY = """(CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 800 WHEN '2' THEN 400 ELSE 200 END + CASE WHEN year(o_orderdate) + 12 BETWEEN 2010 AND 2026 THEN least(350, (year(o_orderdate) + 12 - 2010) * 25) ELSE 0 END
     + CASE WHEN o_orderkey % 7 = 0 THEN 300 ELSE 0 END)"""
 
 
+def result():
+    return F.when(F.col("o_orderstatus") == "F", "granted").when(F.col("o_orderstatus") == "O", "denied")
+
+
+def level():
+    return F.substring("o_orderpriority", 1, 1).cast("int")
+
+
 @query("""
     WITH r AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'granted' WHEN 'O' THEN 'denied' END AS result FROM orders),
     n AS (SELECT *, count(result) OVER (PARTITION BY o_custkey) AS n, count(result) OVER (PARTITION BY o_custkey, result) AS same FROM r)
@@ -24,7 +30,7 @@ _AUTHORITY = """(CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 800 WHEN '2
 """)
 def outlier_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that few of their group share."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", RESULT.alias("result"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", result().alias("result"))
     return windows.outliers(o, ["o_custkey"], "result").select("o_orderkey", "result", "n", "same", "outlier")
 
 
@@ -45,7 +51,7 @@ def period_trend_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def authority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authority of a decision and its blend with relevance; as an integer, so that rounding cannot differ."""
     o = table(spark, sf_dir, "orders")
-    rows = o.select("o_orderkey", scores.authority(LEVEL, F.year("o_orderdate") + 12, F.col("o_orderkey") % 7 == 0, 2026).alias("authority"), ((F.col("o_orderkey") * 37 % 1000) / 1000.0).alias("relevance"), (F.col("o_orderkey") % 11 == 0).alias("outlier"))
+    rows = o.select("o_orderkey", scores.authority(level(), F.year("o_orderdate") + 12, F.col("o_orderkey") % 7 == 0, 2026).alias("authority"), ((F.col("o_orderkey") * 37 % 1000) / 1000.0).alias("relevance"), (F.col("o_orderkey") % 11 == 0).alias("outlier"))
     base = 0.6 * F.col("relevance") + 0.4 * F.col("authority") / 1450
     return rows.select("o_orderkey", "authority", F.floor(F.when(F.col("outlier"), base * 0.7).otherwise(base) * 1000000 + 0.5).alias("combined_millionths"))
 
@@ -60,7 +66,7 @@ def authority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def combined_rank_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top decisions of each group with their lead over the next, rank bonus, confidence and role."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", scores.authority(LEVEL, F.year("o_orderdate") + 12, F.col("o_orderkey") % 7 == 0, 2026).alias("authority"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", scores.authority(level(), F.year("o_orderdate") + 12, F.col("o_orderkey") % 7 == 0, 2026).alias("authority"))
     w = Window.partitionBy("o_custkey").orderBy(F.desc("authority"), "o_orderkey")
     top = o.withColumn("rank", F.row_number().over(w)).withColumn("lead", F.col("authority") - F.lead("authority", 1, 0).over(w)).where("rank <= 4")
     score = F.col("authority") / 14.5

@@ -91,7 +91,7 @@ _HITS = " + ".join(f"CASE WHEN contains(lower(left(text, 80)), '{p}') THEN 2 ELS
 @query(f"""
     WITH s AS (SELECT doc_id, source, {_HITS} AS hits, CASE WHEN contains(lower(left(text, 80)), 'copyright') THEN 0.35 WHEN contains(lower(left(text, 80)), 'licens') THEN 1.08 ELSE 1.0 END AS quality FROM documents),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hits * quality DESC, doc_id) AS n FROM s WHERE hits > 0)
-    SELECT source, doc_id, CAST(hits AS INTEGER) AS hits, CAST(quality AS DOUBLE) AS quality, round(least(0.58, 0.30 + 0.06 * hits * quality), 6) AS score FROM r WHERE n = 1
+    SELECT source, doc_id, CAST(hits AS INTEGER) AS hits, CAST(quality AS DOUBLE) AS quality, round(least(0.58, 0.30 + 0.06 * hits * quality), 6)::DOUBLE AS score FROM r WHERE n = 1
 """)
 def keyword_score_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase hits in the head and the text, times the head's quality; the best document of each source."""
