@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching, for a BPE model with byte fallback.
 
-A batch's distinct units (stretches that no piece can cross) are concatenated and indexed by a suffix array. Every
+A batch's distinct units (what lies between two places where no piece holds the two characters that meet) are concatenated and indexed by a suffix array. Every
 piece of the vocabulary is binary-searched for its range of occurrences; the occurrences are edges between text
 positions, sorted by their start. Relaxing them from left to right finds, for each position, the piece that ends the
 encoding of the text so far: an edge holds if its piece and the one before it are what merging their joint text in
@@ -11,7 +11,6 @@ The vocabulary is read on the driver (its size is the model's) and broadcast; ta
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,12 @@ SPACE = "▁"
 #: Stands between units in the index; it must not occur in a piece of two characters or more.
 GAP = "\n"
 #: Units remembered by a task, and characters of new units indexed at once.
-REMEMBERED = 400_000
-INDEXED = 1 << 21
+REMEMBERED = 200_000
+INDEXED = 1 << 19
+#: Texts taken up at once.
+ROWS = 512
+#: Cells of a task's table of piece pairs.
+PAIRS = 1 << 21
 
 
 class Vocabulary:
@@ -40,10 +43,14 @@ class Vocabulary:
         self.score = {p: model.get_score(i) for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
         inner = {c for p in self.id_of if len(p) > 1 for c in p}
-        if GAP in inner or not inner <= self.id_of.keys() or any(SPACE in p.strip(SPACE) or p.endswith(SPACE) and p.strip(SPACE) for p in self.id_of):
-            raise ValueError("this vocabulary's pieces cross white space or lack single characters")
-        own = "".join(re.escape(c) for c in sorted(inner - {SPACE}))
-        self.units = re.compile(f"{SPACE}+[{own}]*|[{own}]+|.", re.DOTALL)
+        if GAP in inner or not inner <= self.id_of.keys():
+            raise ValueError("this vocabulary's pieces hold the gap or lack single characters")
+        self.dense = np.zeros(0x110000, dtype=np.int32)  # number of each character that pieces join to others
+        self.dense[[ord(c) for c in sorted(inner)]] = np.arange(1, len(inner) + 1)
+        self.meet = np.zeros((len(inner) + 1, len(inner) + 1), dtype=bool)  # whether a piece holds the two side by side
+        for p in self.id_of:
+            at = self.dense[[ord(c) for c in p]]
+            self.meet[at[:-1], at[1:]] = True
         self.text_of = {i: b"" for i in ids} | {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.bytes_at.items()}
 
 
@@ -55,56 +62,95 @@ class Encoder:
         self.memory: dict[str, bytes] = {}
         self.names = sorted(v.id_of)
         self.name_ids = [v.id_of[p] for p in self.names]
-        self.agree: dict[int, bool] = {}
         self.name_at = {i: p for p, i in v.id_of.items()}
-        self.lengths = np.array([len(p) for p in self.names])
-        width = v.longest
-        self.table = np.zeros((len(self.names), width), dtype=np.int64)
+        self.traces: dict[int, list[tuple[float, str, str]]] = {}
+        self.lengths = np.array([len(p) for p in self.names], dtype=np.int32)
+        self.size_at = np.ones(max(v.text_of) + 1, dtype=np.int32)
+        for p, i in v.id_of.items():
+            self.size_at[i] = len(p)
+        self.table = np.zeros((len(self.names), v.longest), dtype=np.int32)
         for row, p in enumerate(self.names):
-            self.table[row, : len(p)] = [ord(c) for c in p]
-        self.inside = np.arange(width)[None, :] < self.lengths[:, None]
+            self.table[row, : len(p)] = v.dense[[ord(c) for c in p]]
+        several = (self.table > 0).all(axis=1, where=np.arange(v.longest)[None, :] < self.lengths[:, None])
+        self.rows = np.flatnonzero(several)  # a character that joins no other is a unit of its own
+        self.inside = np.arange(v.longest)[None, :] < self.lengths[:, None]
+        self.pair_key, self.pair_holds = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
 
-    def merged(self, text: str) -> list[str]:
-        """The model's merges on a short text: best score first, leftmost of equals."""
-        score, parts = self.v.score, list(text)
+    def trace(self, piece: int) -> list[tuple[float, str, str]]:
+        """The model's merges on a piece's own text, best score first, leftmost of equals: after each its score, and
+        the first and last part. The list begins with the single characters."""
+        if piece in self.traces:
+            return self.traces[piece]
+        score, parts = self.v.score, list(self.name_at[piece])
+        out = [(0.0, parts[0], parts[-1])]
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
+            found = [(score[parts[i] + parts[i + 1]], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in score]
+            if not found:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            best, i = max(found)
+            parts[-i : -i + 2] = [parts[-i] + parts[-i + 1]]
+            out.append((best, parts[0], parts[-1]))
+        self.traces[piece] = out if len(parts) == 1 else []
+        return self.traces[piece]
 
     def holds(self, before: int, piece: int) -> bool:
-        """Whether ``piece`` can follow ``before`` (-1: begin a unit) in an encoding."""
-        a, b = self.name_at.get(before, ""), self.name_at[piece]
-        return self.merged(a + b) == ([a, b] if a else [b])
+        """Whether ``piece`` can follow ``before`` (-1: begin a unit) in an encoding: merging both side by side, no
+        merge across the border comes first."""
+        b = self.trace(piece)
+        if before < 0 or not b:
+            return bool(b)
+        a, score = self.trace(before), self.v.score
+        i = j = 1
+        while True:
+            own, other = a[i][0] if i < len(a) else None, b[j][0] if j < len(b) else None
+            across = score.get(a[i - 1][2] + b[j - 1][1])
+            if across is not None and (own is None or across > own) and (other is None or across >= other):
+                return False
+            if own is None and other is None:
+                return True
+            if other is None or own is not None and own >= other:
+                i += 1
+            else:
+                j += 1
+
+    def pairs_hold(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``holds`` for many, through the table of pairs met so far."""
+        key = (before.astype(np.int64) + 1) << 20 | piece
+        cell = (key * 0x9E3779B1 >> 7) & (PAIRS - 1)
+        out = self.pair_holds[cell]
+        new = np.flatnonzero(self.pair_key[cell] != key)
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            ok = np.array([self.holds(int(b), int(p)) for b, p in zip(before[new[first]], piece[new[first]], strict=True)])
+            self.pair_key[cell[new[first]]], self.pair_holds[cell[new[first]]] = keys, ok
+            out[new] = ok[back]
+        return out
 
     def suffixes(self, at: np.ndarray) -> np.ndarray:
-        """Starts sorted by the text that follows, as far as the longest piece, by doubling."""
-        rank = np.unique(at, return_inverse=True)[1].astype(np.int64)
-        step = 1
-        while step < self.v.longest:
+        """Starts sorted by the text that follows, as far as the longest piece: by three characters, then doubling."""
+        padded = np.concatenate([at, np.zeros(2, dtype=at.dtype)]).astype(np.int64)
+        rank, step = (padded[:-2] << 40) | (padded[1:-1] << 20) | padded[2:], 3
+        while True:
+            order = np.argsort(rank)
+            ranked = rank[order]
+            rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
+            if step >= self.v.longest:
+                return order
             later = np.zeros_like(rank)
-            later[:-step] = rank[step:] + 1
-            rank = np.unique(rank * (int(rank.max()) + 2) + later, return_inverse=True)[1].astype(np.int64)
-            step *= 2
-        return np.argsort(rank, kind="stable")
+            later[:-step] = rank[step:]
+            rank, step = (rank << 32) | later, 2 * step
 
     def edges(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, row of the piece) of all occurrences of pieces, sorted by start."""
+        """(start, id of the piece) of all occurrences of pieces."""
         order = self.suffixes(at)
         padded = np.concatenate([at, np.zeros(self.v.longest, dtype=at.dtype)])
         spread = np.arange(self.v.longest)[None, :]
 
         def bound(right: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.names), dtype=np.int64), np.full(len(self.names), len(order), dtype=np.int64)
+            low, high = np.zeros(len(self.rows), dtype=np.int64), np.full(len(self.rows), len(order), dtype=np.int64)
             while (open_ := np.flatnonzero(low < high)).size:
-                middle = (low[open_] + high[open_]) // 2
-                differ = np.where(self.inside[open_], padded[order[middle][:, None] + spread] - self.table[open_], 0)
+                middle, rows = (low[open_] + high[open_]) // 2, self.rows[open_]
+                differ = np.where(self.inside[rows], padded[order[middle][:, None] + spread] - self.table[rows], 0)
                 first = differ[np.arange(len(open_)), np.argmax(differ != 0, axis=1)]
                 below = first <= 0 if right else first < 0
                 low[open_[below]] = middle[below] + 1
@@ -113,64 +159,68 @@ class Encoder:
 
         low, high = bound(False), bound(True)
         n = high - low
-        rows = np.repeat(np.arange(len(n)), n)
         start = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-        by = np.argsort(start, kind="stable")
-        return start[by], rows[by]
+        return start.astype(np.int32), np.repeat(np.array(self.name_ids, dtype=np.int32)[self.rows], n)
 
     def learn(self, units: list[str]) -> None:
+        """Encode new units of two characters or more, all of which pieces can join."""
         text = GAP + GAP.join(units) + GAP
-        at = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        start, row = self.edges(at)
-        piece = np.array(self.name_ids)[row]
-        end = start + self.lengths[row]
-        last = [-2] * (len(at) + 1)  # the piece that ends the encoding so far; -1 where a unit begins, -2: not reached
-        place = 1
-        for u in units:
-            last[place] = -1
-            place += len(u) + 1
-        agree, holds = self.agree, self.holds
-        for a, b, p in zip(start.tolist(), end.tolist(), piece.tolist(), strict=True):
-            before = last[a]
-            if before == -2:
-                continue
-            key = before << 20 | p
-            ok = agree.get(key)
-            if ok is None:
-                ok = agree[key] = holds(before, p)
-            if ok and last[b] != -1:
-                last[b] = p
-        size = {i: len(p) for i, p in self.name_at.items()}
-        place = 1
-        for u in units:
-            ids, b = [], place + len(u)
-            while b > place:
-                ids.append(last[b])
-                b -= size[last[b]]
-            self.memory[u] = np.array(ids[::-1], dtype=np.int32).tobytes()
-            place += len(u) + 1
+        at = self.v.dense[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        first = np.cumsum(sizes + 1) - sizes
+        offset = np.arange(len(at)) - np.repeat(np.r_[0, first], np.r_[1, sizes + 1])
+        start, piece = self.edges(at)
+        # relax all units side by side: edges in the order of their start's place in its unit
+        order = np.argsort(offset[start], kind="stable")
+        start, piece = start[order], piece[order]
+        place = offset[start]
+        last = np.full(len(at) + 1, -2, dtype=np.int32)  # the piece that ends the encoding so far; -1 where a unit begins
+        last[first] = -1
+        for a, b in zip(bounds := np.r_[0, np.flatnonzero(np.diff(place)) + 1, len(place)], bounds[1:]):
+            before = last[start[a:b]]
+            ok = np.flatnonzero(self.pairs_hold(before, piece[a:b]))
+            last[start[a:b][ok] + self.size_at[piece[a:b][ok]]] = piece[a:b][ok]
+        # read the encodings off, from the units' ends
+        end, which, found = first + sizes, np.arange(len(units)), []
+        while len(which):
+            p = last[end]
+            found.append((which, p))
+            end = end - self.size_at[p]
+            more = end > first[which]
+            which, end = which[more], end[more]
+        owner, ids = (np.concatenate(x[::-1]) for x in zip(*found, strict=True))
+        flat = ids[np.argsort(owner, kind="stable")].astype(np.int32).tobytes()
+        stops = (4 * np.cumsum(np.bincount(owner, minlength=len(units)))).tolist()
+        self.memory.update(zip(units, (flat[a:b] for a, b in zip([0, *stops], stops)), strict=True))
+
+    def split(self, text: str) -> list[str]:
+        """The units of a text."""
+        if not text:
+            return []
+        text = SPACE + text.replace(" ", SPACE)
+        at = self.v.dense[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        cuts = (np.flatnonzero(~self.v.meet[at[:-1], at[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        if len(self.agree) > 4 * REMEMBERED:
-            self.agree.clear()
-        split = [self.v.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh: dict[str, None] = {}
+        split = [self.split(t) for t in texts]
+        fresh: list[str] = []
         size = 0
-        for units in split:
-            for u in units:
-                if u not in self.memory and u not in fresh:
-                    if u in self.v.id_of or len(u) > 1:
-                        fresh[u] = None
-                        size += len(u) + 1
-                    else:  # a character without a piece
-                        self.memory[u] = np.array([self.v.bytes_at[b] for b in u.encode("utf-8", "surrogatepass")], dtype=np.int32).tobytes()
-            if size >= INDEXED:
-                self.learn(list(fresh))
-                fresh, size = {}, 0
+        for u in set().union(*split) - self.memory.keys() if split else ():
+            if len(u) > 1:
+                fresh.append(u)
+                size += len(u) + 1
+                if size >= INDEXED:
+                    self.learn(fresh)
+                    fresh, size = [], 0
+            elif u in self.v.id_of:
+                self.memory[u] = np.array([self.v.id_of[u]], dtype=np.int32).tobytes()
+            else:  # a character without a piece
+                self.memory[u] = np.array([self.v.bytes_at[b] for b in u.encode("utf-8", "surrogatepass")], dtype=np.int32).tobytes()
         if fresh:
-            self.learn(list(fresh))
+            self.learn(fresh)
         return [np.frombuffer(b"".join(map(self.memory.__getitem__, units)), np.int32) for units in split]
 
 
@@ -180,25 +230,27 @@ def decode_ids(ids: np.ndarray, text_of: dict[int, bytes]) -> str:
     return data.decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", into: str = "ids", decoded_into: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of each whole text in the column ``into``; none for a null or empty text. All
-    columns stay, one named ``into`` is replaced."""
+    columns stay, one named ``into`` is replaced. ``decoded_into`` names a column for the text read back from the ids
+    in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
-    held: dict[int, Encoder] = {}
+    new = [into] + ([decoded_into] if decoded_into else [])
+    rest = [c for c in docs.columns if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held.setdefault(0, None) or Encoder(shared.value)
-        held[0] = encoder
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        encoder = Encoder(shared.value)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             found = encoder.encode([t or "" for t in batch.column(len(rest)).to_pylist()])
-            flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], [*rest, into])
+            made = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))]
+            if decoded_into:
+                made.append(pa.array([decode_ids(f, encoder.v.text_of) for f in found], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], [*rest, *new])
 
-    rest = [c for c in docs.columns if c != into]
     rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias(f"{into}_of"))
-    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField(into, T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(run, schema)
+    kinds = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_into, T.StringType())] if decoded_into else [])
+    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *kinds]))
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -208,7 +260,7 @@ def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", in
     at = rest.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             ids = batch.column(at)
             texts = [decode_ids(np.asarray(ids[i].values) if ids[i].is_valid else np.zeros(0, np.int32), shared.value) for i in range(len(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, into])
