@@ -132,10 +132,10 @@ def mix(docs: DataFrame, model: dict, weights: list[float] | None = None, id_col
 def mixed(docs: DataFrame, model: dict, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as its copies tell, with the same columns.
 
-    A row's copies follow from its own text and the fitted multipliers, so no text is shuffled.
+    The rows are written once with their posteriors, which the fit and the copies then read; no text is shuffled.
     """
-    told = cut(with_posteriors(docs.select(F.col(text_col).alias("text")), model).drop("text"), "posteriors")
-    y = fit_rates(told, len(model["domains"]), weights)[0]
     mark = "_" + "".join(docs.columns) + "_"
-    rows = with_posteriors(docs, model, text_col, mark).withColumn(mark, F.array_repeat(F.lit(0), copies(y, id_col, f"{mark}posterior")))
+    told = cut(with_posteriors(docs, model, text_col, mark), "posteriors")
+    y = fit_rates(told.select(F.col(f"{mark}n_tokens").alias("n_tokens"), F.col(f"{mark}posterior").alias("posterior")), len(model["domains"]), weights)[0]
+    rows = told.withColumn(mark, F.array_repeat(F.lit(0), copies(y, id_col, f"{mark}posterior")))
     return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(mark).alias(f"{mark}copy")).drop(f"{mark}copy")
