@@ -3,7 +3,7 @@
 Two first-order Markov models over the characters of keys and identifiers are trained, one from random strings and one
 from ordinary identifiers; a candidate is reported if the mean log-likelihood ratio of its transitions is high enough.
 Labelled samples: a table of (value, random) rows, or, by weak labels over all of a corpus, the values that the rules
-find against every other identifier character run.
+find against all other characters, but for candidates that no rule found: these are unlabelled and left out.
 
 Spans are code points, the end exclusive, ordered by start, then kind.
 """
@@ -50,6 +50,14 @@ def rule_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(found)
 
 
+def candidates(text: str, found: list[tuple[int, int, int, int]]) -> Iterator[re.Match]:
+    """Runs of 16 identifier characters or more, with a letter and a digit, that touch no rule's span."""
+    for m in CANDIDATE.finditer(text):
+        value = m[0]
+        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and not any(start < m.end() and m.start() < end for start, _, end, _ in found):
+            yield m
+
+
 def _may_match(texts: pa.Array, *more: str) -> np.ndarray:
     """Rows that a rule or one of ``more`` can match; a fast scan that has no false negatives."""
     out = pc.match_substring_regex(texts, "password|passwd|secret|token|api_?key", ignore_case=True)
@@ -67,9 +75,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = texts.slice(at, 1024)
             every = _transitions("\n".join(part.to_pylist()).encode("utf-8", "surrogatepass"))
             random = np.zeros_like(every)
-            for text in part.filter(pa.array(_may_match(part))).to_pylist():
-                for value in {(v, end) for _, _, end, v in rule_spans(text)}:
+            for text in part.filter(pa.array(_may_match(part, NEAR_DIGIT))).to_pylist():
+                found = rule_spans(text)
+                for value in {(v, end) for _, _, end, v in found}:
                     random += _transitions(text[slice(*value)].encode())
+                for m in candidates(text, found):
+                    every -= _transitions(m[0].encode())
             counts[0] += np.maximum(every - random, 0)
             counts[1] += random
     label, pair = np.nonzero(counts)
@@ -88,12 +99,14 @@ def _count_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _ratios(counted: DataFrame) -> np.ndarray:
     """Log ratio of each transition's probability in random strings to that in ordinary ones. Random strings get a
-    prior of equal chances for every symbol, so that alphabets absent from the samples are known too."""
+    prior of equal chances for every symbol, so that alphabets absent from the samples are known too; ordinary ones
+    back off to their symbols' frequencies."""
     counts = np.zeros((2, SIZE * SIZE))
     for row in counted.groupBy("random", "pair").agg(F.sum("n").alias("n")).toLocalIterator():  # 2 * SIZE**2 rows at most
         counts[int(row.random), row.pair] = row.n
     counts = counts.reshape(2, SIZE, SIZE)
-    prior = np.where(np.arange(SIZE) > 0, 1.0, 2.0)
+    every = counts[0].sum(axis=0) + 1
+    prior = np.stack([SIZE * every / every.sum(), np.where(np.arange(SIZE) > 0, 1.0, 2.0)])[:, None, :]
     chance = (counts + prior) / (counts + prior).sum(axis=2, keepdims=True)
     return np.log(chance[1] / chance[0])
 
@@ -118,13 +131,8 @@ def scan_secrets(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", tex
 
     def added(text: str, found: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int, int, float]]:
         ratios = shared.value
-        for m in CANDIDATE.finditer(text):
-            value = m[0]
-            if not any(c.isdigit() for c in value) or value.isdigit() or not any(c.isalpha() for c in value):
-                continue
-            if any(start < m.end() and m.start() < end for start, _, end, _ in found):
-                continue
-            at = NUMBER[np.frombuffer(b" " + value.encode() + b" ", np.uint8)]
+        for m in candidates(text, found):
+            at = NUMBER[np.frombuffer(b" " + m[0].encode() + b" ", np.uint8)]
             if (mean := float(ratios[at[:-1], at[1:]].mean())) >= limit:
                 yield m.start(), 3, m.end(), mean
 
