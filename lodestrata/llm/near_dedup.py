@@ -216,7 +216,7 @@ WORDS = 4
 #: two fingerprints differ in 39 bits of 256 on average, with a spread of 6; unlike texts differ in 128.
 LADDER = (12, 20, 28, 36, 44, 52, 62)
 #: Share of bits that agree at a similarity of 0.8, and the chance of missing such a pair.
-AGREE, MISS = 0.848, 0.01
+AGREE, MISS = 0.848, 0.002
 #: Ids that are broadcast at most; beyond, the join is a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -224,7 +224,7 @@ BROADCAST_IDS = 500_000
 def bands_for(n: int) -> np.ndarray:
     """Bit numbers of each band (a row) for a table of ``n`` fingerprints: long enough that a shard holds few unlike
     texts, as many as are needed to miss a pair at similarity 0.8 with chance ``MISS`` at most."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) - 2, 10, 24))
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) - 4, 8, 24))
     number = int(np.ceil(np.log(MISS) / np.log(1 - AGREE**bits)))
     order = np.random.default_rng(11)
     return np.stack([order.permutation(64 * WORDS)[:bits] for _ in range(number)])
