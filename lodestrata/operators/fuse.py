@@ -46,3 +46,15 @@ def with_advocate(rows: DataFrame, keys: list[str], k: int, outlier: Column, *or
     any_ = F.max(outlier.cast("int")).over(Window.partitionBy(*keys))
     ranked = rows.withColumn("_n", F.row_number().over(own)).withColumn("_a", any_)
     return ranked.where(F.when(outlier, F.col("_n") == 1).otherwise(F.col("_n") <= k - F.col("_a"))).drop("_n", "_a")
+
+
+def cascade(stages: list[DataFrame], keys: list[str], id_col: str, k: int) -> DataFrame:
+    """Up to ``k`` rows per key, filled from the stages in order; a row counts in its first stage only."""
+    both = reduce(DataFrame.unionByName, [df.withColumn("stage", F.lit(i)) for i, df in enumerate(stages)])
+    once = both.groupBy(*keys, id_col).agg(F.min("stage").alias("stage"))
+    return top_per(once, keys, k, F.col("stage"), F.col(id_col))
+
+
+def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
+    """The primary rows, and the fallback's for keys without any."""
+    return primary.unionByName(fallback.join(primary.select(*keys).distinct(), keys, "left_anti").select(*primary.columns))

@@ -1,9 +1,9 @@
 """The queries over the given tables, by name, and the same in SQL."""
 
-from . import evaluation, ingest, relational, ranking, texts, vectors
+from . import evaluation, ingest, ranking, relational, rules, texts, vectors
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _part in (vectors, texts, relational, ranking, evaluation, ingest):
+for _part in (vectors, texts, relational, ranking, rules, evaluation, ingest):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
