@@ -138,7 +138,7 @@ def authority_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') || ',' || (year(o_orderdate) + 3) ELSE '' END AS years, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) ELSE 2026 END AS relevant_year FROM orders
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y') || ',' || (year(o_orderdate) + 3) ELSE '' END AS years, CAST(CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) ELSE 2026 END AS INTEGER) AS relevant_year FROM orders
 """)
 def query_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The years that a text states, and the year that counts: stated, else the date's, else now."""
@@ -178,8 +178,8 @@ def source_status_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT o_orderkey, 'money' AS kind, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS value, 4 AS "offset" FROM orders
-    UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'day' ELSE 'month' END, CAST(o_orderkey % 30 AS DOUBLE), 4 + length(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR)) + 12 FROM orders
+    SELECT o_orderkey, 'money' AS kind, CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS DOUBLE) AS value, CAST(4 AS INTEGER) AS "offset" FROM orders
+    UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'day' ELSE 'month' END, CAST(o_orderkey % 30 AS DOUBLE), CAST(4 + length(CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR)) + 12 AS INTEGER) FROM orders
 """)
 def fact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums and deadlines in the orders' terms, with their places."""
