@@ -25,10 +25,10 @@ SPACE = "▁"
 #: Stands between units in the index; it must not occur in a piece of two characters or more.
 GAP = "\n"
 #: Units remembered by a task, and characters of new units indexed at once.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 INDEXED = 1 << 19
 #: Texts taken up at once.
-ROWS = 512
+ROWS = 1024
 #: Cells of a task's table of piece pairs.
 PAIRS = 1 << 21
 
@@ -237,18 +237,19 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", int
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
     new = [into] + ([decoded_into] if decoded_into else [])
     rest = [c for c in docs.columns if c not in new]
+    at_text = rest.index(text_col) if text_col in rest else len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            found = encoder.encode([t or "" for t in batch.column(len(rest)).to_pylist()])
+            found = encoder.encode([t or "" for t in batch.column(at_text).to_pylist()])
             bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
             made = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))]
             if decoded_into:
                 made.append(pa.array([decode_ids(f, encoder.v.text_of) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], [*rest, *new])
 
-    rows = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias(f"{into}_of"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in (rest if text_col in rest else [*rest, text_col])))
     kinds = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_into, T.StringType())] if decoded_into else [])
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *kinds]))
 
