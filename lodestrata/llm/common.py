@@ -40,3 +40,12 @@ def fold(id_col: str | Column, modulus: int) -> Column:
 
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of keys that are broadcast at most; beyond, the join is a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if their number, which is counted, allows it."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

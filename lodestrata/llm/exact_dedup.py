@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut
+from .common import WHITE, cut, few
 
 #: A filter is made of segments of so many bits; a digest has all its bits in one segment.
 SEGMENT_BITS = 1 << 17
@@ -137,16 +137,19 @@ def _best(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Rows whose digest occurs once never leave their task; only possible repeats are shuffled with their text.
+    What goes is decided on digests alone. Rows whose digest occurs once then never leave their task; possible repeats
+    are matched by digest and id, so that a large group of copies is spread over all tasks.
     """
-    sha, size, row = (f"_{x}_{abs(hash(tuple(docs.columns)))}" for x in ("sha", "size", "row"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select("*", digest(F.col(text_col)).alias(sha), F.length(text).alias(size))
-    digests = cut(rows.select(F.col(sha).alias("text_sha256"), F.col(size).alias("size"), F.col(id_col).alias("doc_id"), F.lit(0).alias("row")), "digests")
+    sha, own, again = (f"_{x}_{'_'.join(docs.columns)}" for x in ("sha", "id", "again"))
+    size = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    ident = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), size.cast("string"))
+    rows = docs.select("*", digest(F.col(text_col)).alias(sha), ident.alias(own))
+    digests = cut(rows.select(F.col(sha).alias("text_sha256"), size.alias("size"), F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("row"), F.col(own).alias("own")), "digests")
     repeated = may_repeat(digests.select("text_sha256"), **filter_options)
-    groups = cut(_best(digests.where(repeated("text_sha256"))).where("group_size > 1").select(F.col("text_sha256").alias(sha), F.col("best.size").alias(f"{size}b"), F.col("best.doc_id").alias(f"{row}id")), "groups")
-    flagged = rows.withColumn(row, repeated(sha))
-    again = flagged.where(row).join(groups, sha, "left")
-    stays = F.col(f"{size}b").isNull() | ((F.col(size) == F.col(f"{size}b")) & F.col(id_col).eqNullSafe(F.col(f"{row}id")))
-    kept = again.where(stays).dropDuplicates([sha])
-    return flagged.where(~F.col(row)).select(*docs.columns).unionByName(kept.select(*docs.columns))
+    seen = cut(digests.where(repeated("text_sha256")), "seen")
+    groups = cut(_best(seen).where("group_size > 1"), "groups")
+    stays = (F.col("size") == F.col("best.size")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
+    drop = cut(seen.join(groups, "text_sha256").where(~stays).select(F.col("text_sha256").alias(sha), F.col("own").alias(own)), "drop")
+    flagged = rows.withColumn(again, repeated(sha))
+    kept = flagged.where(again).join(few(drop), [sha, own], "left_anti").dropDuplicates([sha])
+    return flagged.where(~F.col(again)).select(*docs.columns).unionByName(kept.select(*docs.columns))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -217,8 +217,6 @@ WORDS = 4
 LADDER = (12, 20, 28, 36, 44, 52, 62)
 #: Share of bits that agree at a similarity of 0.8, and the chance of missing such a pair.
 AGREE, MISS = 0.848, 0.002
-#: Ids that are broadcast at most; beyond, the join is a shuffle.
-BROADCAST_IDS = 500_000
 
 
 def bands_for(n: int) -> np.ndarray:
@@ -289,11 +287,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """``ids``, to be broadcast if their number allows it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those that have a similar document of smaller id in their group."""
     groups = similar_groups(docs, id_col, text_col, **options)

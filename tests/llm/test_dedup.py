@@ -68,6 +68,11 @@ def test_exact_keep_one(spark):
     assert kept.columns == docs.columns and kept.count() == exact_dedup(docs).where("kept").count()
 
 
+def test_keep_one_of_an_id_with_two_spellings(spark):
+    docs = spark.createDataFrame([(5, "ab"), (5, "a b"), (6, "a b"), (7, "c")], "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(docs).collect())) == [(5, "a b"), (7, "c")]
+
+
 def test_near_dedup_against_brute_force(spark):
     docs = odd_documents(spark)
     rows = [r for r in docs.collect() if r.doc_id is not None]
