@@ -29,7 +29,7 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, extra: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
     n = queries.count()
     parts = -(-n // BLOCK)
     for k in range(parts):
@@ -37,26 +37,28 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         found = own.collect()  # one block
         if found:
             m = np.array([r.vector for r in found], dtype=np.float64)
-            yield np.array([r.query_id for r in found], dtype=np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            more = {c: np.array([r[c] for r in found]) for c in extra}
+            yield np.array([r.query_id for r in found], dtype=np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), more
 
 
-def _scan(queries: DataFrame, corpus: DataFrame, partial: Callable, schema: str) -> DataFrame:
-    """Apply ``partial(query ids, corpus ids, parents, similarities)`` to every block and batch; it gives columns."""
+def _scan(queries: DataFrame, corpus: DataFrame, partial: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Apply ``partial(query ids, corpus ids, parents, similarities)`` to every block and batch; it gives columns.
+    ``extra`` columns of the queries are handed on as arrays by name."""
     spark = corpus.sparkSession
 
-    def against(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix))
+    def against(ids: np.ndarray, matrix: np.ndarray, more: dict[str, np.ndarray]) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, matrix, more))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, m = shared.value
+            own, m, more = shared.value
             for batch in batches:
                 if batch.num_rows:
-                    cols = partial(own, batch.column(0).to_numpy(), batch.column(1).to_numpy(), m @ _unit(batch.column(2)).T)
+                    cols = partial(own, batch.column(0).to_numpy(), batch.column(1).to_numpy(), m @ _unit(batch.column(2)).T, **more)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
 
         return corpus.select(F.col("vec_id").cast("long"), F.col("parent").cast("long"), "vector").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [against(*b) for b in _blocks(queries)], spark.createDataFrame([], schema))
+    return reduce(DataFrame.unionByName, [against(*b) for b in _blocks(queries, extra)], spark.createDataFrame([], schema))
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float = -1.0) -> DataFrame:
@@ -119,18 +121,13 @@ def rank_of(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFram
     """(query_id, item_id, similarity, rank) of stated pairs (query_id, item_id): how many rows are more similar, plus one."""
     own = pairs.join(queries, "query_id").join(corpus.select(F.col("vec_id").alias("item_id"), F.col("vector").alias("item")), "item_id")
     known = own.select("query_id", "item_id", "vector", cosine("vector", "item").alias("similarity"))
-    limits = {r.query_id: (r.item_id, r.similarity) for r in known.select("query_id", "item_id", "similarity").collect()} if pairs.count() <= BLOCK else None
-    if limits is None:
-        raise ValueError(f"more than {BLOCK} pairs: ask in blocks")
-
-    def partial(own_ids, ids, parents, sims):
-        bar = np.array([limits.get(q, (-1, 2.0))[1] for q in own_ids.tolist()])
-        item = np.array([limits.get(q, (-1, 2.0))[0] for q in own_ids.tolist()])
-        above = ((sims > bar[:, None] + 1e-12) & (ids[None, :] != item[:, None])).sum(axis=1)
-        return {"query_id": own_ids, "above": above.astype(np.int64)}
-
-    counted = _scan(queries.join(pairs.select("query_id"), "query_id", "left_semi"), corpus, partial, "query_id long, above long").groupBy("query_id").agg(F.sum("above").alias("above"))
-    return known.join(counted, "query_id").select("query_id", "item_id", "similarity", (F.col("above") + 1).alias("rank"))
+
+    def partial(own_ids, ids, parents, sims, item_id, similarity):
+        above = ((sims > similarity[:, None] + 1e-12) & (ids[None, :] != item_id[:, None])).sum(axis=1)
+        return {"query_id": own_ids, "item_id": item_id, "above": above.astype(np.int64)}
+
+    counted = _scan(known, corpus, partial, "query_id long, item_id long, above long", ("item_id", "similarity")).groupBy("query_id", "item_id").agg(F.sum("above").alias("above"))
+    return known.join(counted, ["query_id", "item_id"]).select("query_id", "item_id", "similarity", (F.col("above") + 1).alias("rank"))
 
 
 def cosine(a: str, b: str):
