@@ -21,10 +21,15 @@ def budget(rows: DataFrame, keys: list[str], order: list[Column], wanted: Column
 
 
 def share(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Each row's value's share among the key's rows that have one, and their number."""
-    n = F.count(value).over(Window.partitionBy(*keys))
-    own = F.count(value).over(Window.partitionBy(*keys, value))
-    return rows.withColumn("n", n).withColumn("same", own)
+    """``rows`` with n, the key's rows that have a value, and same, those with this row's value.
+
+    Counted before the shuffle and joined back, so that a key of very many rows is no single group.
+    """
+    per = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("same"))
+    whole = per.groupBy(*keys).agg(F.sum("same").alias("n"))
+    zero = F.lit(0).cast("long")
+    joined = rows.join(whole, keys, "left").join(per, [*keys, value], "left")
+    return joined.select(*rows.columns, F.coalesce("n", zero).alias("n"), F.coalesce("same", zero).alias("same"))
 
 
 def outliers(rows: DataFrame, keys: list[str], value: str, least: int = 4, below: float = 0.20) -> DataFrame:
