@@ -66,9 +66,13 @@ def needles(text: Column, pattern: str, most: int = 8) -> Column:
 
 
 def inverted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, id, n): a row per distinct meaningful token of a document; n is their number in it."""
+    """(token, id, n): a row per distinct meaningful token of a document; n is their number in it.
+
+    A document without tokens has one row with a null token, which joins nothing: with a plain explode the optimizer
+    would filter on the list's size and so make every list twice.
+    """
     found = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    return found.select(F.explode("_t").alias("token"), id_col, F.size("_t").alias("n"))
+    return found.select(F.explode_outer("_t").alias("token"), id_col, F.size("_t").alias("n"))
 
 
 def token_overlap(queries: DataFrame, docs: DataFrame, least_share: float = 0.0) -> DataFrame:

@@ -29,7 +29,7 @@ def pasted_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = text.words(F.col("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keyword.token_windows(w)).alias("win")).distinct()
     asked = items.select("item_id", "win", F.array_distinct(F.split("win", " ")).alias("ws")).select("item_id", "win", F.explode("ws").alias("token"), F.size("ws").alias("n"))
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(w)).alias("token"))
+    held = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array_distinct(w)).alias("token"))
     hits = asked.join(held, "token").groupBy("item_id", "win", "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c = n")
     counted = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
     top = fuse.top_per(counted, ["item_id"], 10, F.desc("windows"), F.col("doc_id"))

@@ -78,7 +78,7 @@ _STEM = "CASE " + " ".join(f"WHEN word LIKE '%{s}' AND length(word) >= {len(s) +
 """)
 def word_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems with their counts and shortest form; frequent ones. Counted before the shuffle."""
-    found = table(spark, sf_dir, "documents").select("lang", F.explode(text.words(F.col("text"))).alias("word")).where(F.length("word") >= 4)
+    found = table(spark, sf_dir, "documents").select("lang", F.explode_outer(text.words(F.col("text"))).alias("word")).where(F.length("word") >= 4)
     counted = found.groupBy("word").agg(F.count("*").alias("n"), F.bool_or(F.col("lang") == "en").alias("in_en"), F.bool_or(F.col("lang") != "en").alias("in_other"))
     roots = counted.withColumn("root", text.stem(F.col("word"))).where(F.length("root") >= 3)
     return roots.groupBy("root").agg(F.sum("n").alias("n"), F.min_by("word", F.struct(F.length("word"), "word")).alias("form"), F.bool_or("in_en").alias("in_en"), F.bool_or("in_other").alias("in_other")).where("n >= 20")
