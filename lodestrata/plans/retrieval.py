@@ -41,8 +41,9 @@ def hybrid(queries: DataFrame, docs: DataFrame, plan: RetrievalPlan) -> DataFram
     pairs = keyword.token_overlap(asked, held, plan.least_share)
     by_cover = Window.partitionBy("query_id").orderBy((F.col("shared") / F.col("query_n")).desc(), F.col("doc_n"), "doc_id")
     pool = pairs.withColumn("place", F.row_number().over(by_cover)).where(F.col("place") <= plan.candidates)
-    rows = pool.join(q, "query_id").join(docs.select("doc_id", "text"), "doc_id")
-    d = tokens(F.col("text"))
+    rows = pool.join(q, "query_id").join(docs.select("doc_id", "text"), "doc_id").repartition("query_id", "doc_id")
+    rows = rows.withColumn("doc_tokens", tokens(F.col("text")))  # a column of its own is made once
+    d = F.col("doc_tokens")
     scored = rows.select(
         "query_id", "doc_id", "shared",
         F.round(text_similarity(F.col("query_tokens"), d), 6).alias("similarity"),
