@@ -14,11 +14,12 @@ Groups of copies are one fingerprint from the start, and a shard gives its links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,6 +125,29 @@ class _Links:
             todo += parts
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa.RecordBatch]:
+    """Rows (block, key, ..) arrive sorted by shard; ``solve`` gets columns of whole shards and the shards' bounds."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        if not len(cols[0]):
+            continue
+        starts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
+        if kept and (kept[-1][0][-1], kept[-1][1][-1]) != (cols[0][0], cols[1][0]):
+            starts = np.r_[0, starts]
+        if not len(starts):
+            kept.append(cols)
+            continue
+        whole = [np.concatenate(x) for x in zip(*kept, [c[: starts[-1]] for c in cols], strict=True)]
+        kept = [[c[starts[-1] :] for c in cols]]
+        if len(whole[0]):
+            at = np.flatnonzero((np.diff(whole[0]) != 0) | (np.diff(whole[1]) != 0)) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.r_[0, at, len(whole[0])])], ["a", "b"])
+    if kept:
+        whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.array([0, len(whole[0])]))], ["a", "b"])
+
+
 def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """Rows (block, key, node, words of the fingerprint) arrive sorted by shard. Per shard: pairs (a, b) within the
     last radius that connect it as all such pairs do, closer ones first (by the ladder's radii)."""
@@ -151,25 +175,38 @@ def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...]) ->
         made = np.array(links.made, dtype=np.int64).reshape(-1, 2)
         return node[made[:, 0]], node[made[:, 1]]
 
-    kept: list[list[np.ndarray]] = []
-    for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
-        if not len(cols[0]):
-            continue
-        starts = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-        if kept and (kept[-1][0][-1], kept[-1][1][-1]) != (cols[0][0], cols[1][0]):
-            starts = np.r_[0, starts]
-        if not len(starts):
-            kept.append(cols)
-            continue
-        whole = [np.concatenate(x) for x in zip(*kept, [c[: starts[-1]] for c in cols], strict=True)]
-        kept = [[c[starts[-1] :] for c in cols]]
-        if len(whole[0]):
-            at = np.flatnonzero((np.diff(whole[0]) != 0) | (np.diff(whole[1]) != 0)) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.r_[0, at, len(whole[0])])], ["a", "b"])
-    if kept:
-        whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.array([0, len(whole[0])]))], ["a", "b"])
+    return _by_shard(batches, solve)
+
+
+def _apart(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, key, label, node, words of the fingerprint) arrive sorted by shard and label. Pairs (a, b) of nodes
+    of one shard within the radius whose labels differ: of each node that is not of the shard's largest label the
+    nearest ``most``. If any has more, so does a row (null, null) tell."""
+
+    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        label, node, fp = cols[2], cols[3], np.stack(cols[4:], axis=1).view(np.uint64)
+        made, more = [np.zeros((2, 0), np.int64)], False
+        mixed = np.flatnonzero(label[bounds[:-1]] != label[bounds[1:] - 1])
+        for lo, hi in zip(bounds[mixed].tolist(), bounds[mixed + 1].tolist(), strict=True):
+            _, own, size = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
+            rest = np.flatnonzero(own != size.argmax())
+            step = max(1, COMPARED // (hi - lo))
+            for part in (rest[at : at + step] for at in range(0, len(rest), step)):
+                d = np.bitwise_count(fp[lo + part, None] ^ fp[None, lo:hi]).sum(axis=-1, dtype=np.int64)
+                wanted = (d <= radius) & (own[part, None] != own[None, :])
+                if (wanted.sum(axis=1) > most).any():
+                    more = True
+                    nearest = np.argsort(np.where(wanted, d, d.max() + 1), axis=1, kind="stable")[:, :most]
+                    first = np.zeros_like(wanted)
+                    np.put_along_axis(first, nearest, True, axis=1)
+                    wanted &= first
+                i, j = np.nonzero(wanted)
+                made.append(np.stack([node[lo + part[i]], node[lo + j]]))
+        a, b = np.concatenate(made, axis=1)
+        told = pa.nulls(int(more), pa.int64())
+        return pa.concat_arrays([pa.array(np.maximum(a, b)), told]), pa.concat_arrays([pa.array(np.minimum(a, b)), told])
+
+    return _by_shard(batches, solve)
 
 
 def block_keys(fp: Column, blocks: int, spare: int) -> Column:
@@ -215,6 +252,9 @@ WORDS = 4
 #: Radii, in bits of a long fingerprint, up to which candidates are taken; closer ones first. At a similarity of 0.8
 #: two fingerprints differ in 39 bits of 256 on average, with a spread of 6; unlike texts differ in 128.
 LADDER = (12, 20, 28, 36, 44, 52, 62)
+#: Further candidates that a document gets at first where links failed, times as many in each further round, and pairs
+#: compared at once for them.
+FURTHER, FACTOR, COMPARED = 8, 8, 1 << 17
 #: Share of bits that agree at a similarity of 0.8, and the chance of missing such a pair.
 AGREE, MISS = 0.848, 0.002
 
@@ -246,8 +286,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is the smallest id reachable.
 
     Candidates come from bands of long fingerprints: in each shard of equal bits the vantage-point tree join gives the
-    pairs that connect it, nearest first; each is then checked on the full shingle sets. Rows with a null id are left
-    out. Repeated ids are one document; wordless texts are similar to each other only.
+    pairs that connect it, nearest first; each is then checked on the full shingle sets. Only checked links unite: where
+    some fail, further candidates between the groups that are still apart are checked in rounds, until each pair of a
+    shard within the last radius is in one group or has failed. Rows with a null id are left out. Repeated ids are one
+    document; wordless texts are similar to each other only.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = bands_for(rows.count())
@@ -256,8 +298,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            fp = long_prints([shingle_hashes(t or "", width) for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", *words])
+            hashes = [shingle_hashes(t or "", width) for t in batch.column(1).to_pylist()]
+            fp = long_prints(hashes)
+            digests = [xxhash.xxh3_128_digest(np.unique(np.array(h, dtype=np.uint64)).tobytes()) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", "digest", *words])
 
     def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,12 +311,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(bits[:, of] @ power), *batch.columns], ["block", "key", "node", *words])
 
     kind = ", ".join(f"{w} long" for w in words)
-    prints = cut(rows.mapInArrow(run, f"doc_id long, {kind}"), "long")
-    nodes = cut(prints.groupBy(*words).agg(F.min("doc_id").alias("node")), "nodes").select("node", *words)
-    same = prints.join(nodes, words).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    shards = nodes.mapInArrow(band_keys, f"block int, key long, node long, {kind}").repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    prints = cut(rows.mapInArrow(run, f"doc_id long, digest binary, {kind}"), "long")
+    named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node")), "nodes")
+    same = prints.join(named, ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = named.select("node", *words)
+    banded = nodes.mapInArrow(band_keys, f"block int, key long, node long, {kind}")
+    shards = banded.repartition("block", "key").sortWithinPartitions("block", "key", "node")
     near = shards.mapInArrow(lambda it: _shard_links(it, LADDER), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(near.unionByName(same), "pairs")
+    pairs = cut(near, "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +327,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     held = cut(rows.join(few(ids), "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    links = both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
-    return components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")
+        shared = F.size(F.array_intersect("s", "t"))
+        return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
+
+    good = cut(checked(pairs), "good")
+    links, tried, most = good.unionByName(same), pairs, FURTHER
+    found = components(links)
+    more = good.count() < pairs.count()
+    some = cut(nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi"), "some") if more else nodes  # the others are near to none
+    while more:
+        labelled = some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), *words)
+        keyed = labelled.select("node", *words).mapInArrow(band_keys, f"block int, key long, node long, {kind}").join(labelled.select("node", "label"), "node")
+        shards = keyed.select("block", "key", "label", "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "label", "node")
+        told = cut(shards.mapInArrow(lambda it, most=most: _apart(it, LADDER[-1], most), "a long, b long").distinct(), "told")
+        more = told.where("a is null").count() > 0
+        new = cut(told.where("a is not null").join(tried, ["a", "b"], "left_anti"), "further")
+        good = cut(checked(new), "good")
+        if good.count():
+            links = links.unionByName(good)
+            found = components(links)
+        tried, most = tried.unionByName(new), FACTOR * most
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -115,6 +115,36 @@ def test_similar_groups_find_edited_texts(spark):
     assert near_dedup.keep_one(docs).count() == len(texts) - len(expected)
 
 
+def brute_groups(texts):
+    sets = {k: set(shingle_hashes(t or "", 5)) for k, t in texts.items()}
+    close = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return {k: v for k, v in groups(close, sets).items() if k != v}
+
+
+def test_similar_groups_round_the_threshold(spark):
+    import random
+
+    rng, texts = random.Random(12), {}
+    for k in range(4):
+        w = prose(rng, 300).split()
+        for i in range(40):
+            at = set(rng.sample(range(300), rng.randint(3, 7)))
+            texts[100 * k + i] = " ".join(f"new{i}" if j in at else x for j, x in enumerate(w))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
+
+
+def test_equal_fingerprints_are_linked_to_each_other(spark, monkeypatch):
+    import random
+
+    rng = random.Random(13)
+    texts = {0: prose(rng, 100), 1: prose(rng, 100)}
+    texts |= {2: texts[1] + " more", 3: texts[1] + " again"}
+    monkeypatch.setattr(near_dedup, "long_prints", lambda hashes: np.zeros((len(hashes), near_dedup.WORDS), np.uint64))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == {2: 1, 3: 1} == brute_groups(texts)
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(300).select(((F.col("id") * 7) % 301).alias("a"), (((F.col("id") + 1) * 7) % 301).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}
