@@ -268,13 +268,13 @@ def bands_for(n: int) -> np.ndarray:
     return np.stack([order.permutation(64 * WORDS)[:bits] for _ in range(number)])
 
 
-def long_prints(hashes: list[list[int]]) -> np.ndarray:
-    """SimHash of WORDS times 64 bits for each list of shingle hashes."""
+def long_prints(hashes: list[np.ndarray]) -> np.ndarray:
+    """SimHash of WORDS times 64 bits for each array of distinct shingle hashes."""
     out = np.zeros((len(hashes), WORDS), dtype=np.uint64)
     for w in range(WORDS):
         mixed = []
         for h in hashes:
-            x = np.array(h, dtype=np.uint64) * np.uint64((0x9E3779B97F4A7C15 * (2 * w + 1)) % (1 << 64))
+            x = h * np.uint64((0x9E3779B97F4A7C15 * (2 * w + 1)) % (1 << 64))
             mixed.append(x ^ (x >> np.uint64(29)))
         out[:, w] = majority(mixed)
     return out
@@ -298,9 +298,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            hashes = [shingle_hashes(t or "", width) for t in batch.column(1).to_pylist()]
+            hashes = [np.unique(np.array(shingle_hashes(t or "", width), dtype=np.uint64)) for t in batch.column(1).to_pylist()]
             fp = long_prints(hashes)
-            digests = [xxhash.xxh3_128_digest(np.unique(np.array(h, dtype=np.uint64)).tobytes()) for h in hashes]
+            digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", "digest", *words])
 
     def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,6 +134,17 @@ def test_similar_groups_round_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
 
 
+def test_repeated_lines_do_not_hide_similar_texts(spark):
+    import random
+
+    rng, texts = random.Random(14), {}
+    for k in range(8):
+        body, line = prose(rng, 300), prose(rng, 8) + " "
+        texts |= {3 * k: line * 3 + body, 3 * k + 1: line * 23 + body, 3 * k + 2: line * 40 + body + " end"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == {i: i // 3 * 3 for i in texts if i % 3} == brute_groups(texts)
+
+
 def test_equal_fingerprints_are_linked_to_each_other(spark, monkeypatch):
     import random
 
