@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -245,27 +246,42 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-# Near copies by the similarity of word shingles: longer fingerprints find candidates, an exact check decides.
+# Near copies by the similarity of word shingles: least hashes and longer fingerprints find candidates, an exact check decides.
 
 #: Words of a long fingerprint, each from other hashes.
 WORDS = 4
 #: Radii, in bits of a long fingerprint, up to which candidates are taken; closer ones first. At a similarity of 0.8
-#: two fingerprints differ in 39 bits of 256 on average, with a spread of 6; unlike texts differ in 128.
-LADDER = (12, 20, 28, 36, 44, 52, 62)
+#: two fingerprints differ in 39 bits of 256 on average, with a spread of 6, in sets of four and five shingles in 48
+#: (beyond the last radius with a chance of 0.0001); unlike texts differ in 128.
+LADDER = (12, 20, 28, 36, 44, 52, 62, 72)
 #: Further candidates that a document gets at first where links failed, times as many in each further round, and pairs
 #: compared at once for them.
 FURTHER, FACTOR, COMPARED = 8, 8, 1 << 17
-#: Share of bits that agree at a similarity of 0.8, and the chance of missing such a pair.
-AGREE, MISS = 0.848, 0.002
+#: Least hashes that make the key of a band, and the chance that no band has a pair at the least similarity.
+LEAST_HASHES, MISS = 8, 0.002
+#: Shingles whose hashes are compared at once.
+MINIMA = 512
 
 
-def bands_for(n: int) -> np.ndarray:
-    """Bit numbers of each band (a row) for a table of ``n`` fingerprints: long enough that a shard holds few unlike
-    texts, as many as are needed to miss a pair at similarity 0.8 with chance ``MISS`` at most."""
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1))) - 4, 8, 24))
-    number = int(np.ceil(np.log(MISS) / np.log(1 - AGREE**bits)))
-    order = np.random.default_rng(11)
-    return np.stack([order.permutation(64 * WORDS)[:bits] for _ in range(number)])
+def bands_for(similarity: float) -> np.ndarray:
+    """Odd multipliers of the hashes of each band (a row): as many bands as are needed to miss a pair at ``similarity``
+    with chance ``MISS`` at most. A pair has a band's key in common with chance similarity ** ``LEAST_HASHES``,
+    whatever the number of rows."""
+    number = 1 if similarity >= 1 else ceil(log(MISS) / log(1 - similarity**LEAST_HASHES))
+    return np.random.default_rng(11).integers(0, 1 << 63, (number, LEAST_HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """For each array of distinct shingle hashes the key of each band, made of its least hashes (MinHash)."""
+    flat = chosen.reshape(-1, 1)
+    least = np.full((len(hashes), len(flat)), np.iinfo(np.uint64).max)
+    for own, h in zip(least, hashes, strict=True):
+        for at in range(0, len(h), MINIMA):
+            np.minimum(own, (flat * h[at : at + MINIMA]).min(axis=1), out=own)
+    least = least.reshape(len(hashes), *chosen.shape)
+    least ^= least >> np.uint64(31)
+    key = (least * chosen[::-1]).sum(axis=2, dtype=np.uint64)
+    return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
 def long_prints(hashes: list[np.ndarray]) -> np.ndarray:
@@ -285,15 +301,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     are texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. component_id
     is the smallest id reachable.
 
-    Candidates come from bands of long fingerprints: in each shard of equal bits the vantage-point tree join gives the
-    pairs that connect it, nearest first; each is then checked on the full shingle sets. Only checked links unite: where
+    Candidates come from bands of least shingle hashes: in each shard of equal keys the vantage-point tree join over long
+    fingerprints gives the pairs that connect it, nearest first; each is then checked on the full shingle sets. Only checked links unite: where
     some fail, further candidates between the groups that are still apart are checked in rounds, until each pair of a
     shard within the last radius is in one group or has failed. Rows with a null id are left out. Repeated ids are one
     document; wordless texts are similar to each other only.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = bands_for(rows.count())
-    power = 1 << np.arange(chosen.shape[1], dtype=np.int64)
+    chosen = bands_for(similarity)
     words = [f"f{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,22 +316,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hashes = [np.unique(np.array(shingle_hashes(t or "", width), dtype=np.uint64)) for t in batch.column(1).to_pylist()]
             fp = long_prints(hashes)
             digests = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", "digest", *words])
-
-    def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = np.stack([batch.column(i + 1).to_numpy() for i in range(WORDS)], axis=1)
-            bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
-            for k, of in enumerate(chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(bits[:, of] @ power), *batch.columns], ["block", "key", "node", *words])
+            keys = pa.array(list(band_keys(hashes, chosen)), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), keys, *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", "digest", "keys", *words])
 
     kind = ", ".join(f"{w} long" for w in words)
-    prints = cut(rows.mapInArrow(run, f"doc_id long, digest binary, {kind}"), "long")
-    named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node")), "nodes")
-    same = prints.join(named, ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    nodes = named.select("node", *words)
-    banded = nodes.mapInArrow(band_keys, f"block int, key long, node long, {kind}")
-    shards = banded.repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    prints = cut(rows.mapInArrow(run, f"doc_id long, digest binary, keys array<long>, {kind}"), "long")
+    named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
+    same = prints.select("doc_id", "digest", *words).join(named.select("node", "digest", *words), ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes = named.select("node", "keys", *words)
+    shards = nodes.select(F.posexplode("keys").alias("block", "key"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
     near = shards.mapInArrow(lambda it: _shard_links(it, LADDER), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = cut(near, "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -339,9 +347,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = good.count() < pairs.count()
     some = cut(nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi"), "some") if more else nodes  # the others are near to none
     while more:
-        labelled = some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), *words)
-        keyed = labelled.select("node", *words).mapInArrow(band_keys, f"block int, key long, node long, {kind}").join(labelled.select("node", "label"), "node")
-        shards = keyed.select("block", "key", "label", "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "label", "node")
+        labelled = some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), "keys", *words)
+        shards = labelled.select(F.posexplode("keys").alias("block", "key"), "label", "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "label", "node")
         told = cut(shards.mapInArrow(lambda it, most=most: _apart(it, LADDER[-1], most), "a long, b long").distinct(), "told")
         more = told.where("a is null").count() > 0
         new = cut(told.where("a is not null").join(tried, ["a", "b"], "left_anti"), "further")

@@ -134,6 +134,21 @@ def test_similar_groups_round_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
 
 
+@pytest.mark.parametrize("shared", [4, 80, 400])
+def test_bands_miss_few_pairs_at_the_least_similarity(shared):
+    """Whatever the number of rows: the bands don't depend on it."""
+    rng, n = np.random.default_rng(shared), 4000
+    h = rng.integers(0, 1 << 64, (n, shared + shared // 4), dtype=np.uint64)
+    half = shared // 8
+    a, b = h[:, : shared + half], np.concatenate([h[:, :shared], h[:, shared + half :]], axis=1)
+    chosen = near_dedup.bands_for(0.8)
+    shares = near_dedup.band_keys(list(a), chosen) == near_dedup.band_keys(list(b), chosen)
+    assert abs(shares.mean() - 0.8**8) < 0.01
+    assert (~shares.any(axis=1)).mean() < 0.004
+    far = np.bitwise_count(near_dedup.long_prints(list(a)) ^ near_dedup.long_prints(list(b))).sum(axis=1, dtype=int)
+    assert (far > near_dedup.LADDER[-1]).mean() < 0.001
+
+
 def test_repeated_lines_do_not_hide_similar_texts(spark):
     import random
 
