@@ -1,7 +1,7 @@
 """Soft-membership mixing: document rates under which the expected token totals of domains meet target weights.
 
 A classifier learned from a labelled table gives each document posteriors over the domains; a document of n tokens
-brings n times its posterior to each domain's total. Nonnegative rates, as near to one as the targets allow, are
+brings n times its posterior to each domain's total. Rates of one or more, as near to one as the targets allow, are
 fitted by distributed projected-gradient least squares: one aggregation over the documents a step gives the domains'
 residual, and the next step's rates follow from it. Only numbers per domain reach the driver.
 
@@ -78,12 +78,14 @@ def _adding(weights: Column):
 
 
 def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, steps: int = 50, tolerance: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
-    """Multipliers y such that the rates max(0, 1 + y . posterior) meet the targets; and the targets and totals reached.
-
-    ``weights``: wanted shares of tokens; without them the square roots of the present shares, scaled to one. The
-    total is the least one at which no domain has to shrink. Gradients are summed before they are projected onto
-    nonnegative rates, so a step is one aggregation and keeps nothing per document; it is scaled by the inverse of the
-    domains' Gram matrix (``size`` squared numbers), which bounds the curvature, so the residual never grows.
+    """Multipliers y such that the rates max(1, 1 + y . posterior) meet the targets; and the targets and totals reached.
+
+    ``weights``: wanted shares of tokens; without them the square roots of the present shares, scaled to one. No row
+    may shrink, so the total is not given beforehand: the domain that has most against its share gets no multiplier,
+    and the targets of the others follow from what it reaches. Domains of weight zero get none either. Gradients are
+    summed before they are projected onto rates of one or more, so a step is one aggregation and keeps nothing per
+    document; it is scaled by the inverse of the curvature without projection (from ``size`` squared numbers). The
+    multipliers of the step with the smallest residual are returned.
     """
     p = [F.col("posterior")[i] for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
@@ -97,19 +99,32 @@ def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, st
     share = present / present.sum()
     wanted = np.sqrt(share) if weights is None else np.array(weights, dtype=float)
     wanted = wanted / wanted.sum()
-    target = wanted * present.sum() * max(s / w for s, w in zip(share, wanted, strict=True) if w > 0)
-    inverse, y, reached = np.linalg.pinv(gram), np.zeros(size), present
-    for _ in range(steps):
-        if np.abs(reached - target).max() <= tolerance * target.max():
+    first_full = max((i for i in range(size) if wanted[i] > 0), key=lambda i: share[i] / wanted[i])
+    rest = [i for i in range(size) if wanted[i] > 0 and i != first_full]
+    follow = wanted[rest] / wanted[first_full]
+    inverse = np.linalg.pinv(gram[np.ix_(rest, rest)] - np.outer(follow, gram[first_full, rest]))
+    y, reached, best = np.zeros(size), present, None
+    for step in range(steps + 1):
+        target = wanted * reached[first_full] / wanted[first_full]
+        apart = (reached - target)[rest]
+        worst = np.abs(apart).max(initial=0.0) / target.max()
+        if best is None or worst < best[0]:
+            best = worst, y, target, reached
+        if worst <= tolerance or step == steps:
             break
-        y = y - inverse @ (reached - target)
-        r = F.greatest(F.lit(0.0), sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0)))
+        y = y.copy()
+        y[rest] -= inverse @ apart
+        r = _least_one(p, y.tolist())
         reached = np.array(list(told.agg(*(F.sum(r * F.col("n_tokens") * x) for x in p)).first()))
-    return y.tolist(), target.tolist(), reached.tolist()
+    return best[1].tolist(), best[2].tolist(), best[3].tolist()
+
+
+def _least_one(p: list[Column], y: list[float]) -> Column:
+    return F.greatest(F.lit(1.0), sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0)))
 
 
 def rate(y: list[float], posterior: str = "posterior") -> Column:
-    return F.round(F.greatest(F.lit(0.0), sum((F.col(posterior)[i] * float(v) for i, v in enumerate(y)), F.lit(1.0))), 3)
+    return F.round(_least_one([F.col(posterior)[i] for i in range(len(y))], y), 3)
 
 
 def copies(y: list[float], id_col: str = "doc_id", posterior: str = "posterior") -> Column:

@@ -128,6 +128,22 @@ def test_mixing_meets_targets_and_drops_nothing(spark):
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in out)
 
 
+def test_mixing_keeps_every_row_of_texts_of_unsure_domain(spark):
+    rng = random.Random(10)
+    parts = {"en": "the an er ing re on".split(), "de": "der an er keit re en".split(), "fr": "eau an les que on en".split()}
+    rows = [(i, prose(rng, rng.randint(1, 12), parts[lang]), lang) for i in range(4000) for lang in ["en" if i % 10 < 7 else "de" if i % 10 < 9 else "fr"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    model = mixing.train(docs)
+    for weights in (None, [1, 1, 2]):
+        out = mixing.mix(docs, model, weights).collect()
+        assert min(r.rate for r in out) >= 1 and min(r.copies for r in out) >= 1
+        total = sum(np.array(r.posterior) * r.n_tokens * r.rate for r in out)
+        present = sum(np.array(r.posterior) * r.n_tokens for r in out)
+        wanted = np.sqrt(present) if weights is None else np.array(weights)
+        assert np.allclose(total / total.sum(), wanted / wanted.sum(), atol=0.002)
+        assert {r.doc_id for r in mixing.mixed(docs, model, weights).select("doc_id").distinct().collect()} == set(range(4000))
+
+
 def test_mixing_odd_cases(spark):
     docs = odd_documents(spark)
     assert mixing.mix(docs, mixing.train(docs)).count() == docs.count()
