@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding by suffix-array matching, for a BPE model with byte fallback.
 
-A batch's distinct units (what lies between two places where no piece holds the two characters that meet) are concatenated and indexed by a suffix array. Every
-piece of the vocabulary is binary-searched for its range of occurrences; the occurrences are edges between text
-positions, sorted by their start. Relaxing them from left to right finds, for each position, the piece that ends the
-encoding of the text so far: an edge holds if its piece and the one before it are what merging their joint text in
-the model's order gives. The encoding of a prefix is unique, so one edge at most holds for each end.
+A batch's distinct units (what lies between two places where no piece holds the two characters that meet) are
+concatenated and indexed by a suffix array. Every piece of the vocabulary is binary-searched for its range of
+occurrences; the occurrences are edges between text positions, sorted by their start. Relaxing them from left to right
+finds, for each position, the piece that ends the encoding of the text so far: an edge holds if its piece and the one
+before it are what merging their joint text in the model's order gives. The encoding of a prefix is unique, so one edge
+at most holds for each end.
 
-The vocabulary is read on the driver (its size is the model's) and broadcast; tasks need no file.
+The vocabulary is read on the driver (its size is the model's) and broadcast; tasks need no file. A worker process keeps
+its encoder, with the units and pairs of pieces it has met, for the tasks that follow.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands between units in the index; it must not occur in a piece of two characters or more.
 GAP = "\n"
-#: Units remembered by a task, and characters of new units indexed at once.
+#: Units remembered before those not met again are forgotten, and characters of new units indexed at once.
 REMEMBERED = 300_000
 INDEXED = 1 << 19
 #: Texts taken up at once.
@@ -51,7 +54,9 @@ class Vocabulary:
         for p in self.id_of:
             at = self.dense[[ord(c) for c in p]]
             self.meet[at[:-1], at[1:]] = True
-        self.text_of = {i: b"" for i in ids} | {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.bytes_at.items()}
+        texts = {i: p.replace(SPACE, " ").encode() for p, i in self.id_of.items()} | {i: bytes([b]) for b, i in self.bytes_at.items()}
+        self.text_of = [texts.get(i, b"") for i in ids]
+        self.key = hashlib.sha256(repr((self.text_of, sorted(self.score.items()))).encode()).hexdigest()
 
 
 class Encoder:
@@ -60,12 +65,13 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.names = sorted(v.id_of)
         self.name_ids = [v.id_of[p] for p in self.names]
         self.name_at = {i: p for p, i in v.id_of.items()}
         self.traces: dict[int, list[tuple[float, str, str]]] = {}
         self.lengths = np.array([len(p) for p in self.names], dtype=np.int32)
-        self.size_at = np.ones(max(v.text_of) + 1, dtype=np.int32)
+        self.size_at = np.ones(len(v.text_of), dtype=np.int32)
         for p, i in v.id_of.items():
             self.size_at[i] = len(p)
         self.table = np.zeros((len(self.names), v.longest), dtype=np.int32)
@@ -74,6 +80,10 @@ class Encoder:
         several = (self.table > 0).all(axis=1, where=np.arange(v.longest)[None, :] < self.lengths[:, None])
         self.rows = np.flatnonzero(several)  # a character that joins no other is a unit of its own
         self.inside = np.arange(v.longest)[None, :] < self.lengths[:, None]
+        begins = self.table[self.rows, :3].astype(np.int64)
+        begins = np.pad(begins, ((0, 0), (0, 3 - begins.shape[1])))
+        some = np.where(np.arange(3)[None, :] < self.lengths[self.rows, None], begins, (1 << 20) - 1)
+        self.least_key, self.most_key = (b[:, 0] << 40 | b[:, 1] << 20 | b[:, 2] for b in (begins, some))
         self.pair_key, self.pair_holds = np.full(PAIRS, -1, dtype=np.int64), np.zeros(PAIRS, dtype=bool)
 
     def trace(self, piece: int) -> list[tuple[float, str, str]]:
@@ -126,28 +136,33 @@ class Encoder:
             out[new] = ok[back]
         return out
 
-    def suffixes(self, at: np.ndarray) -> np.ndarray:
-        """Starts sorted by the text that follows, as far as the longest piece: by three characters, then doubling."""
+    def suffixes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts sorted by the text that follows, as far as the longest piece: by three characters, then doubling; and
+        the first three characters of each as one number."""
         padded = np.concatenate([at, np.zeros(2, dtype=at.dtype)]).astype(np.int64)
-        rank, step = (padded[:-2] << 40) | (padded[1:-1] << 20) | padded[2:], 3
+        rank, step, begins = (padded[:-2] << 40) | (padded[1:-1] << 20) | padded[2:], 3, None
         while True:
             order = np.argsort(rank)
             ranked = rank[order]
+            begins = ranked if begins is None else begins
             rank[order] = np.cumsum(np.r_[True, ranked[1:] != ranked[:-1]])
             if step >= self.v.longest:
-                return order
+                return order, begins
             later = np.zeros_like(rank)
             later[:-step] = rank[step:]
             rank, step = (rank << 32) | later, 2 * step
 
     def edges(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, id of the piece) of all occurrences of pieces."""
-        order = self.suffixes(at)
+        order, begins = self.suffixes(at)
         padded = np.concatenate([at, np.zeros(self.v.longest, dtype=at.dtype)])
         spread = np.arange(self.v.longest)[None, :]
+        from_, to = np.searchsorted(begins, self.least_key, "left"), np.searchsorted(begins, self.most_key, "right")
+        long_ = self.lengths[self.rows] > 3
 
         def bound(right: bool) -> np.ndarray:
-            low, high = np.zeros(len(self.rows), dtype=np.int64), np.full(len(self.rows), len(order), dtype=np.int64)
+            """Binary search of the pieces of over three characters among the starts that share their first three."""
+            low, high = np.where(long_ | ~right, from_, to), np.where(long_ | right, to, from_)
             while (open_ := np.flatnonzero(low < high)).size:
                 middle, rows = (low[open_] + high[open_]) // 2, self.rows[open_]
                 differ = np.where(self.inside[rows], padded[order[middle][:, None] + spread] - self.table[rows], 0)
@@ -157,7 +172,7 @@ class Encoder:
                 high[open_[~below]] = middle[~below]
             return low
 
-        low, high = bound(False), bound(True)
+        low, high = bound(np.bool_(False)), bound(np.bool_(True))
         n = high - low
         start = order[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
         return start.astype(np.int32), np.repeat(np.array(self.name_ids, dtype=np.int32)[self.rows], n)
@@ -204,12 +219,14 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memory) > REMEMBERED:
-            self.memory.clear()
+            self.older, self.memory = self.memory, {}
         split = [self.split(t) for t in texts]
         fresh: list[str] = []
         size = 0
         for u in set().union(*split) - self.memory.keys() if split else ():
-            if len(u) > 1:
+            if u in self.older:
+                self.memory[u] = self.older[u]
+            elif len(u) > 1:
                 fresh.append(u)
                 size += len(u) + 1
                 if size >= INDEXED:
@@ -224,7 +241,18 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.memory.__getitem__, units)), np.int32) for units in split]
 
 
-def decode_ids(ids: np.ndarray, text_of: dict[int, bytes]) -> str:
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """This process's encoder for a vocabulary; one is held at a time."""
+    if vocabulary.key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[vocabulary.key] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary.key]
+
+
+def decode_ids(ids: np.ndarray, text_of: list[bytes]) -> str:
     """The text of piece ids; without the space that encoding puts in front."""
     data = b"".join(map(text_of.__getitem__, ids.tolist()))
     return data.decode("utf-8", "replace").removeprefix(" ")
@@ -240,11 +268,10 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", int
     at_text = rest.index(text_col) if text_col in rest else len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             found = encoder.encode([t or "" for t in batch.column(at_text).to_pylist()])
-            bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
-            made = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))]
+            made = [_lists(found)]
             if decoded_into:
                 made.append(pa.array([decode_ids(f, encoder.v.text_of) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], [*rest, *new])
@@ -254,6 +281,32 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", int
     return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *kinds]))
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    bounds = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
+
+
+def encode_checked(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_pieces, ids, decoded_sha256, round_trip) for each row: the whole text's piece ids, the digest of the
+    text decoded from them (UTF-8, lowercase hex), and whether that is the text again, its lower blocks (U+2581, which
+    the model cannot tell from spaces) read as spaces. Decoded texts stay in the task. A null text is empty; rows repeat
+    as in ``docs``; other columns are not read."""
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(shared.value)
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = encoder.encode(texts)
+            decoded = [decode_ids(f, encoder.v.text_of) for f in found]
+            digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
+            same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), _lists(found), pa.array(digests), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
+
+
 def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in the column ``into``; empty for null ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(model_file).text_of)

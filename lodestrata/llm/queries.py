@@ -79,10 +79,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pieces.encode(docs, decoded_into="decoded")
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), pieces.SPACE, " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    return pieces.encode_checked(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_source_mixing, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting, op9_sentencepiece, op10_document_fingerprints)}
