@@ -1,9 +1,10 @@
 """Soft-membership mixing: document rates under which the expected token totals of domains meet target weights.
 
 A classifier learned from a labelled table gives each document posteriors over the domains; a document of n tokens
-brings n times its posterior to each domain's total. Rates of one or more, as near to one as the targets allow, are
-fitted by distributed projected-gradient least squares: one aggregation over the documents a step gives the domains'
-residual, and the next step's rates follow from it. Only numbers per domain reach the driver.
+brings n times its posterior to each domain's total. Rates of ``least`` or more (zero: nonnegative; one: no document
+shrinks), as near to one as the targets allow, are fitted by distributed projected-gradient least squares: one
+aggregation over the documents a step gives the domains' residual, and the next step's rates follow from it. Only
+numbers per domain reach the driver.
 
 All work on documents is DataFrame operations. The classifier is naive Bayes on the presence of words of a bounded
 vocabulary (``per_domain`` labelled rows a domain, taken by a hash of the id; the ``vocabulary`` words in most of
@@ -35,7 +36,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     counts = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # a row for each domain
     domains = sorted(counts)
     if not domains:
-        return {"domains": [], "words": [], "start": [], "weights": {}}
+        return {"domains": [], "rows": [], "words": [], "start": [], "weights": {}}
     share = F.lit(0.0)
     for d, n in counts.items():
         share = F.when(F.col("domain") == d, min(1.0, per_domain / n)).otherwise(share)
@@ -52,7 +53,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     for r in best:
         chance = [(r[d] + 0.5) / (size.get(d, 0) + 1) for d in domains]
         weights[r.word] = [log(c / (1 - c)) for c in chance]
-    return {"domains": domains, "words": [r.word for r in best], "start": start, "weights": weights}
+    return {"domains": domains, "rows": [counts[d] for d in domains], "words": [r.word for r in best], "start": start, "weights": weights}
 
 
 def with_posteriors(docs: DataFrame, model: dict, text_col: str = "text", mark: str = "") -> DataFrame:
@@ -77,75 +78,79 @@ def _adding(weights: Column):
     return lambda total, k: total + F.element_at(weights, k)
 
 
-def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, steps: int = 50, tolerance: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
-    """Multipliers y such that the rates max(1, 1 + y . posterior) meet the targets; and the targets and totals reached.
+def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, least: float = 1.0, steps: int = 50, tolerance: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
+    """Multipliers y such that the rates max(``least``, 1 + y . posterior) meet the targets in the least-squares sense;
+    and the targets and totals reached.
 
-    ``weights``: wanted shares of tokens; without them the square roots of the present shares, scaled to one. No row
-    may shrink, so the total is not given beforehand: the domain that has most against its share gets no multiplier,
-    and the targets of the others follow from what it reaches. Domains of weight zero get none either. Gradients are
-    summed before they are projected onto rates of one or more, so a step is one aggregation and keeps nothing per
-    document; it is scaled by the inverse of the curvature without projection (from ``size`` squared numbers). The
-    multipliers of the step with the smallest residual are returned.
+    ``weights``: wanted shares of tokens; without them the square roots of the present shares, scaled to one.
+    Below a ``least`` of one the targets are these shares of the present total. From one on no row may shrink, so the
+    total is not given beforehand: the domain that has most against its share gets no multiplier, and the targets of
+    the others follow from what it reaches; domains of weight zero get none either.
+
+    Gradients are summed before they are projected onto rates of ``least`` or more, so a step is one aggregation and
+    keeps nothing per document; it is scaled by the inverse of the curvature without projection (from ``size`` squared
+    numbers). Steps end when the residual is small or has not fallen by a hundredth in five; the multipliers of the
+    step with the smallest residual are returned.
     """
     p = [F.col("posterior")[i] for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
     first = told.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(size)), *(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs)).first()
     present = np.array([first[f"t{i}"] for i in range(size)])
-    if not present.sum():
-        return [0.0] * size, [0.0] * size, [0.0] * size
+    wanted = np.sqrt(present) if weights is None else np.array(weights, dtype=float)
+    if not present.sum() or not wanted.sum():
+        return [0.0] * size, present.tolist(), present.tolist()
     gram = np.zeros((size, size))
     for i, j in pairs:
         gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
-    share = present / present.sum()
-    wanted = np.sqrt(share) if weights is None else np.array(weights, dtype=float)
-    wanted = wanted / wanted.sum()
-    first_full = max((i for i in range(size) if wanted[i] > 0), key=lambda i: share[i] / wanted[i])
-    rest = [i for i in range(size) if wanted[i] > 0 and i != first_full]
-    follow = wanted[rest] / wanted[first_full]
-    inverse = np.linalg.pinv(gram[np.ix_(rest, rest)] - np.outer(follow, gram[first_full, rest]))
-    y, reached, best = np.zeros(size), present, None
+    share, wanted = present / present.sum(), wanted / wanted.sum()
+    if least >= 1:
+        full = max((i for i in range(size) if wanted[i] > 0), key=lambda i: share[i] / wanted[i])
+        free = [i for i in range(size) if wanted[i] > 0 and i != full]
+        inverse = np.linalg.pinv(gram[np.ix_(free, free)] - np.outer(wanted[free] / wanted[full], gram[full, free]))
+    else:
+        full, free, inverse = None, list(range(size)), np.linalg.pinv(gram)
+    y, reached, found = np.zeros(size), present, []
     for step in range(steps + 1):
-        target = wanted * reached[first_full] / wanted[first_full]
-        apart = (reached - target)[rest]
-        worst = np.abs(apart).max(initial=0.0) / target.max()
-        if best is None or worst < best[0]:
-            best = worst, y, target, reached
-        if worst <= tolerance or step == steps:
+        target = wanted * (present.sum() if full is None else reached[full] / wanted[full])
+        apart = (reached - target)[free]
+        found.append((float(np.linalg.norm(apart) / target.max()), y, target, reached))
+        if found[-1][0] <= tolerance or step == steps or step >= 5 and found[-1][0] > 0.99 * found[-6][0]:
             break
         y = y.copy()
-        y[rest] -= inverse @ apart
-        r = _least_one(p, y.tolist())
+        y[free] -= inverse @ apart
+        r = _at_least(least, p, y.tolist())
         reached = np.array(list(told.agg(*(F.sum(r * F.col("n_tokens") * x) for x in p)).first()))
-    return best[1].tolist(), best[2].tolist(), best[3].tolist()
+    _, y, target, reached = min(found, key=lambda f: f[0])
+    return y.tolist(), target.tolist(), reached.tolist()
 
 
-def _least_one(p: list[Column], y: list[float]) -> Column:
-    return F.greatest(F.lit(1.0), sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0)))
+def _at_least(least: float, p: list[Column], y: list[float]) -> Column:
+    return F.greatest(F.lit(float(least)), sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0)))
 
 
-def rate(y: list[float], posterior: str = "posterior") -> Column:
-    return F.round(_least_one([F.col(posterior)[i] for i in range(len(y))], y), 3)
+def rate(y: list[float], posterior: str = "posterior", least: float = 1.0) -> Column:
+    return F.round(_at_least(least, [F.col(posterior)[i] for i in range(len(y))], y), 3)
 
 
-def copies(y: list[float], id_col: str = "doc_id", posterior: str = "posterior") -> Column:
+def copies(y: list[float], id_col: str = "doc_id", posterior: str = "posterior", least: float = 1.0) -> Column:
     """The rate's floor or the next number, by a hash of the id, so that the copies' mean is the rate."""
     unit = F.xxhash64(id_col, F.lit("copies")).bitwiseAND(0xFFFFFF) / float(1 << 24)
-    return F.floor(rate(y, posterior) + unit).cast("int")
+    return F.floor(rate(y, posterior, least) + unit).cast("int")
 
 
-def mix(docs: DataFrame, model: dict, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, model: dict, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 1.0) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate, copies) for each row of ``docs``.
 
     ``rate`` is rounded to three places. Without domains all rates are one. Rows repeat as in ``docs``; an empty table
     gives an empty result; other columns are not read.
     """
     told = cut(with_posteriors(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model).drop("text"), "posteriors")
-    y = fit_rates(told, len(model["domains"]), weights)[0]
-    return told.select("*", rate(y).alias("rate"), copies(y).cast("long").alias("copies"))
+    y = fit_rates(told, len(model["domains"]), weights, least)[0]
+    return told.select("*", rate(y, least=least).alias("rate"), copies(y, least=least).cast("long").alias("copies"))
 
 
 def mixed(docs: DataFrame, model: dict, weights: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its copies tell, with the same columns.
+    """The rows of ``docs``, each as often as its copies tell, with the same columns. Rates are one or more, so none goes.
 
     The rows are written once with their posteriors, which the fit and the copies then read; no text is shuffled.
     """
