@@ -6,12 +6,17 @@ look escaped get one more, so reading back is exact. A token is a code point of
 
 A node of the tree is a conversation's first turns up to one turn; its key is a hash chained over those turns. Nodes
 are emitted once, in depth-first order over the whole forest, with the offset of their first token in that stream,
-the position id that token has in its conversations, and the intervals of the stream that it attends to: those of its
-ancestors (merged where they touch) and its own, causally.
+the position id that token has in its conversations (the next tokens have the next ids; ``tokens`` writes them out),
+and the intervals of the stream that it attends to: those of its ancestors (merged where they touch) and its own,
+causally. A conversation is read back from the stream by the intervals of its last node alone.
+
+Nodes that follow each other without branching are a chain. A node's place in the order is the path of the chains on
+its way and its depth, so a long conversation that shares nothing has a path of one chain, not of all its turns: a
+path gets longer only where other conversations branch off.
 
 Everything is sorted and scanned in ranges, so a first turn that very many conversations share is no single group:
-the tree is never held, only the ancestors of the current node. A conversation's own turns are read in order by one
-task, as a stream.
+the tree is never held, only the chains on the way to the current node. A conversation's own turns are read in order
+by one task, as a stream.
 """
 
 from __future__ import annotations
@@ -31,8 +36,10 @@ TURN, TEXT, STOP = "<|turn|>", "<|text|>", "<|end|>"
 CONTROL = re.compile(r"([<\[])(\\*)(\||/?s>|/?INST\])")
 ESCAPED = re.compile(r"([<\[])\\(\\*)(\||/?s>|/?INST\])")
 WRITTEN = re.compile(re.escape(TURN) + "(.*?)" + re.escape(TEXT) + "(.*?)" + re.escape(STOP), re.DOTALL)
-#: Bytes of each turn's hash in the key that sorts the nodes.
+#: Bytes of each chain's hash in the key that sorts the nodes.
 STEP = 8
+#: Code points of the stream that share a key where intervals look up their nodes.
+REACH = 1 << 12
 
 
 def escape(text: str) -> str:
@@ -48,19 +55,19 @@ def write_turn(role: str, text: str) -> str:
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turns arrive sorted by conversation and turn; each gets its node's keys and its place in the conversation."""
-    names = ["conv_id", "place", "node", "path", "written", "position", "loss"]
+    """Turns arrive sorted by conversation and turn; each gets its node's key, the key of the node before it (null for a
+    first turn) and its place in the conversation."""
+    names = ["conv_id", "place", "node", "parent", "written", "position", "loss"]
     conv, started = None, False
-    node, path, place, position = b"", b"", 0, 0
+    node, place, position = None, 0, 0
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for own, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if not started or own != conv:
-                conv, started, node, path, place, position = own, True, b"", b"", 0, 0
+                conv, started, node, place, position = own, True, None, 0, 0
             written = write_turn(role, text)
-            node = hashlib.sha256(node + written.encode("utf-8", "surrogatepass")).digest()[:16]
-            path += node[:STEP]
-            for column, value in zip(out, (own, place, node, path, written, position, role == "assistant"), strict=True):
+            parent, node = node, hashlib.sha256((node or b"") + written.encode("utf-8", "surrogatepass")).digest()[:16]
+            for column, value in zip(out, (own, place, node, parent, written, position, role == "assistant"), strict=True):
                 column.append(value)
             place, position = place + 1, position + len(written)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.bool_())
@@ -68,14 +75,32 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, place, node, path, written, position, loss): each turn written out, with the key of its node.
+    """(conv_id, place, node, parent, written, position, loss): each turn written out, with the keys of its node and of
+    the node before it.
 
     Turns follow each other by ``turn_col`` (null first), those of equal number by role and text; null roles and texts
     are empty; null conversation ids are one conversation. Other columns are not read.
     """
     rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return dealt.mapInArrow(_chain, "conv_id long, place long, node binary, path binary, written string, position long, loss boolean")
+    return dealt.mapInArrow(_chain, "conv_id long, place long, node binary, parent binary, written string, position long, loss boolean")
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns (conv_id, node, head) arrive in order; those that stand for their node get the path of chains up to it."""
+    names = ["node", "path"]
+    conv, started, path = None, False, b""
+    for batch in batches:
+        nodes, paths = [], []
+        for own, node, head, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if not started or own != conv:
+                conv, started, path = own, True, b""
+            if head:
+                path += node[:STEP]
+            if first:
+                nodes.append(node)
+                paths.append(path)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(paths, pa.binary())], names)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,77 +126,103 @@ def _join_touching(spans: Column) -> Column:
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes arrive in depth-first order. Offsets and ancestors are counted from this task's first node; ``before`` is
-    the number of ancestors that stand in earlier tasks. The last row (node null) tells where the task ended."""
-    names = ["node", "part", "start", "size", "before", "ancestors"]
-    part, at, path = TaskContext.get().partitionId(), 0, b""
-    stack: list[tuple[int, int]] = []  # of the nodes on the way to the current one, as far as this task has seen them
-    before = 0
+    """Nodes (node, levels of its path, head of its chain, size) arrive in depth-first order. Offsets and the chains on
+    the way are counted from this task's first node; ``before`` is the number of chains of the way that begin in
+    earlier tasks, the last of which may go on here (``goes_on``). The last row (node null) tells where the task ended."""
+    names = ["node", "part", "start", "size", "before", "goes_on", "ancestors"]
+    part, at, seen = TaskContext.get().partitionId(), 0, False
+    stack: list[tuple[int, int]] = []  # of each chain on the way what this task has seen of it
+    before, goes_on = 0, False
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for node, own, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            depth = len(own) // STEP - 1
-            common = 0
-            while common < depth and own[common * STEP : (common + 1) * STEP] == path[common * STEP : (common + 1) * STEP]:
-                common += 1
-            if not path:
-                before = depth
-            before = min(before, common) if path else before
-            del stack[max(0, common - before) :]
-            for column, value in zip(out, (node, part, at, size, before, [{"start": a, "end": b} for a, b in _merged(stack)]), strict=True):
+        for node, levels, head, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            on_way = levels - head  # chains that stand before this node
+            if not seen:
+                before, goes_on, seen = on_way, not head, True
+            elif on_way < before:
+                before, goes_on, stack = on_way, False, []
+            else:
+                del stack[on_way - before + goes_on :]
+            for column, value in zip(out, (node, part, at, size, before, goes_on, [{"start": a, "end": b} for a, b in _merged(stack)]), strict=True):
                 column.append(value)
-            stack.append((at, at + size))
-            path, at = own, at + size
+            if head or not stack:
+                stack.append((at, at + size))
+            else:
+                stack[-1] = (stack[-1][0], at + size)
+            at += size
         yield _walked(out, names)
-    if path:
-        yield _walked([[None], [part], [at], [0], [before], [[{"start": a, "end": b} for a, b in stack]]], names)
+    if seen:
+        yield _walked([[None], [part], [at], [0], [before], [goes_on], [[{"start": a, "end": b} for a, b in stack]]], names)
 
 
 def _walked(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), SPANS)
+    kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), SPANS)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
 
 def prefix_tree(told: DataFrame) -> DataFrame:
     """From ``turns``: one row per node, (node, depth, conversations, offset, size, position, attends, written, loss).
 
-    ``attends``: the ancestors' intervals of the emitted stream, in order. Sort by ``offset`` for the stream itself.
+    ``attends``: the ancestors' intervals of the emitted stream, in order. ``position``: the id of the node's first
+    token. Sort by ``offset`` for the stream itself.
     """
-    nodes = cut(told.groupBy("node").agg(F.first("path").alias("path"), F.first("written").alias("written"), F.first("position").alias("position"), F.first("loss").alias("loss"), F.count("*").alias("conversations")), "nodes")
-    order = nodes.select("node", "path", F.length("written").cast("long").alias("size"))
-    order = order.repartitionByRange(task_count(told.sparkSession), "path").sortWithinPartitions("path")
-    walked = cut(order.mapInArrow(_walk, "node binary, part int, start long, size long, before int, ancestors array<struct<start:long,end:long>>"), "walked")
+    stands = F.min(F.struct("conv_id", "place"))  # the turn that stands for its node
+    nodes = told.groupBy("node").agg(F.first("parent").alias("parent"), F.first("place").alias("depth"), F.first("written").alias("written"), F.first("position").alias("position"), F.first("loss").alias("loss"), F.count("*").alias("conversations"), stands.alias("stands"))
+    nodes = cut(nodes, "nodes")
+    alone = nodes.where("parent is not null").groupBy(F.col("parent").alias("node_before")).agg(F.count("*").alias("n"), F.first("node").alias("node")).where("n = 1").select("node", F.lit(False).alias("head"))
+    kinds = cut(nodes.join(alone, "node", "left").select("node", F.coalesce("head", F.lit(True)).alias("head"), "stands"), "kinds")
+    rows = told.select("conv_id", "place", "node").join(kinds, "node").select("conv_id", "place", "node", "head", F.struct("conv_id", "place").eqNullSafe(F.col("stands")).alias("first"))
+    paths = rows.repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "node", "head", "first").mapInArrow(_paths, "node binary, path binary")
+    order = nodes.select("node", "depth", F.length("written").cast("long").alias("size")).join(paths, "node").join(kinds.select("node", "head"), "node")
+    order = order.repartitionByRange(task_count(told.sparkSession), "path", "depth").sortWithinPartitions("path", "depth")
+    order = order.select("node", (F.length("path") / STEP).cast("int").alias("levels"), F.col("head").cast("int").alias("head"), "size")
+    walked = cut(order.mapInArrow(_walk, "node binary, part int, start long, size long, before int, goes_on boolean, ancestors array<struct<start:long,end:long>>"), "walked")
     base, open_, starts = 0, [], []
     for end in sorted(walked.where("node is null").collect(), key=lambda r: r.part):  # a row for each task
         starts.append((end.part, base, open_))
-        open_ = open_[: end.before] + [(base + s.start, base + s.end) for s in end.ancestors]
+        own = [(base + s.start, base + s.end) for s in end.ancestors]
+        open_ = open_[: end.before]
+        if end.goes_on and own:
+            open_, own = [*open_[:-1], (open_[-1][0], own[0][1])], own[1:]
+        open_ = open_ + own
         base += end.start
     carried = told.sparkSession.createDataFrame(starts, "part int, base long, open array<struct<start:long,end:long>>")
     moved = F.transform("ancestors", lambda s: F.struct((s["start"] + F.col("base")).alias("start"), (s["end"] + F.col("base")).alias("end")))
     placed = walked.where("node is not null").join(F.broadcast(carried), "part").select("node", (F.col("start") + F.col("base")).alias("offset"), "size", _join_touching(F.concat(F.slice("open", 1, F.col("before")), moved)).alias("attends"))
-    return nodes.join(placed, "node").select("node", (F.length("path") / STEP - 1).cast("int").alias("depth"), "conversations", "offset", "size", "position", "attends", "written", "loss")
+    return nodes.join(placed, "node").select("node", F.col("depth").cast("int").alias("depth"), "conversations", "offset", "size", "position", "attends", "written", "loss")
+
+
+def tokens(tree: DataFrame) -> DataFrame:
+    """(offset, token, position, loss) of every token of the stream: code points with their position ids."""
+    told = tree.select("offset", "position", "loss", F.posexplode(F.split("written", "")).alias("i", "token")).where("token <> ''")
+    return told.select((F.col("offset") + F.col("i")).alias("offset"), "token", (F.col("position") + F.col("i")).alias("position"), "loss")
 
 
 def read_back(told: DataFrame, tree: DataFrame) -> DataFrame:
-    """From the emitted nodes, per conversation: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)."""
+    """From the emitted stream, per conversation: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256,
+    formatted_chars, position_sum).
+
+    Of the conversations only the last node is used; what comes before it is read from the stream by the intervals that
+    the node attends to. ``position_sum`` adds up the position ids of the first token of each turn.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "position_sum"]
         conv, open_ = None, False
-        every, loss, n, m, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        every, loss, n, m, size, positions = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
         done: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
             done.clear()
             return batch
 
         for batch in batches:
-            for own, written in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for own, written, position in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if open_ and own != conv:
-                    done.append((conv, n, every.hexdigest(), m, loss.hexdigest(), size))
-                    every, loss, n, m, size = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+                    done.append((conv, n, every.hexdigest(), m, loss.hexdigest(), size, positions))
+                    every, loss, n, m, size, positions = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
                 conv, open_ = own, True
                 for role, text in WRITTEN.findall(written):
                     role, text = unescape(role), unescape(text)
@@ -180,14 +231,20 @@ def read_back(told: DataFrame, tree: DataFrame) -> DataFrame:
                         loss.update(text.encode("utf-8", "surrogatepass"))
                         m += len(text)
                     n += 1
-                size += len(written)
+                size, positions = size + len(written), positions + position
             if len(done) > 1000:
                 yield out()
         if open_:
-            done.append((conv, n, every.hexdigest(), m, loss.hexdigest(), size))
+            done.append((conv, n, every.hexdigest(), m, loss.hexdigest(), size, positions))
         if done:
             yield out()
 
-    rows = told.select("conv_id", "place", "node").join(tree.select("node", "written"), "node")
-    dealt = rows.select("conv_id", "place", "written").repartition("conv_id").sortWithinPartitions("conv_id", "place").select("conv_id", "written")
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    last = told.groupBy("conv_id").agg(F.max_by("node", "place").alias("node"))
+    own = F.array(F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("size")).alias("end")))
+    spans = last.join(tree.select("node", "offset", "size", "attends"), "node").select("conv_id", F.explode(F.concat("attends", own)).alias("span"))
+    reach = F.explode(F.sequence(F.floor(F.col("span.start") / REACH), F.floor((F.col("span.end") - 1) / REACH)))
+    asked = spans.select("conv_id", "span.start", "span.end", reach.alias("reach"))
+    stream = tree.select(F.floor(F.col("offset") / REACH).alias("reach"), "offset", "written", "position")
+    rows = asked.join(stream, "reach").where("offset >= start and offset < end")
+    dealt = rows.select("conv_id", "offset", "written", "position").repartition("conv_id").sortWithinPartitions("conv_id", "offset").select("conv_id", "written", "position")
+    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, position_sum long")
