@@ -36,8 +36,11 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal shares for all domains but the rarest in the labels, which is mixed out; the total stays as it is."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, mixing.train(docs))
+    model = mixing.train(docs)
+    rarest = min(range(len(model["rows"])), key=lambda i: model["rows"][i], default=None)
+    return mixing.mix(docs, model, [float(i != rarest) for i in range(len(model["rows"]))], least=0.0)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +96,14 @@ ORACLE_SQL = {
         f AS (
             SELECT *, length('<|turn|>' || regexp_replace(role, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|text|>'
                 || regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|end|>') AS n
-            FROM t)
+            FROM t),
+        g AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position FROM f)
         SELECT conv_id, count(*) AS n_turns,
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(n) AS BIGINT) AS formatted_chars
-        FROM f GROUP BY conv_id
+               CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(sum(position) AS BIGINT) AS position_sum
+        FROM g GROUP BY conv_id
     """,
     "op5_exact_dedup": r"""
         WITH t AS (

@@ -29,10 +29,11 @@ def conversations(spark):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string")
 
 
-def test_tree_reads_back_and_attends_to_ancestors(spark):
-    told = chat.turns(conversations(spark)).cache()
+def check_tree(spark, rows):
+    told = chat.turns(rows).cache()
     tree = chat.prefix_tree(told).cache()
     nodes = {bytes(r.node): r for r in tree.collect()}
+    assert len(nodes) == tree.count()
     assert sorted(r.offset for r in nodes.values()) == np.r_[0, np.cumsum([r["size"] for r in sorted(nodes.values(), key=lambda r: r.offset)])[:-1]].tolist()
     by_conv: dict = {}
     for r in sorted(told.collect(), key=lambda r: r.place):
@@ -41,14 +42,46 @@ def test_tree_reads_back_and_attends_to_ancestors(spark):
         spans = []
         for r in own:
             n = nodes[bytes(r.node)]
-            assert [(s.start, s.end) for s in n.attends] == chat._merged(spans) and n.position == sum(b - a for a, b in spans)
+            assert [(s.start, s.end) for s in n.attends] == chat._merged(spans) and n.position == sum(b - a for a, b in spans) and n.depth == r.place
             spans.append((n.offset, n.offset + n["size"]))
     back = {r.conv_id: r for r in chat.read_back(told, tree).collect()}
-    rows = conversations(spark).collect()
+    rows = rows.collect()
     for c in {r.conv_id for r in rows}:
         own = sorted(((-1 if r.turn is None else r.turn, r.role or "", r.text or "") for r in rows if r.conv_id == c))
         assert back[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{t}\n" for _, a, t in own).encode()).hexdigest()
         assert back[c].loss_sha256 == hashlib.sha256("".join(t for _, a, t in own if a == "assistant").encode()).hexdigest() and back[c].n_turns == len(own)
+        sizes = [len(chat.write_turn(a, t)) for _, a, t in own]
+        assert back[c].formatted_chars == sum(sizes) and back[c].position_sum == sum(sum(sizes[:i]) for i in range(len(sizes)))
+    return told, tree
+
+
+def test_tree_reads_back_and_attends_to_ancestors(spark):
+    check_tree(spark, conversations(spark))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_trees_of_long_chains_that_branch_late(spark, seed):
+    rng = random.Random(seed)
+    trunk = [(rng.choice(["user", "assistant"]), prose(rng, rng.randint(1, 40))) for _ in range(60)]
+    rows = []
+    for c in range(40):
+        own = trunk[: rng.choice([0, 5, 30, 60])] + [("user", rng.choice("abc")) for _ in range(rng.randint(1, 6))]
+        rows += [(c, t, role, text) for t, (role, text) in enumerate(own)]
+    told, tree = check_tree(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    tokens = chat.tokens(tree).orderBy("offset").collect()
+    stream = "".join(r.written for r in tree.orderBy("offset").collect())
+    assert "".join(t.token for t in tokens) == stream and [t.offset for t in tokens] == list(range(len(stream)))
+    for r in tree.limit(20).collect():
+        assert [t.position for t in tokens[r.offset : r.offset + r["size"]]] == list(range(r.position, r.position + r["size"]))
+
+
+def test_reading_back_depends_on_the_intervals(spark):
+    told = chat.turns(conversations(spark)).cache()
+    tree = chat.prefix_tree(told).cache()
+    good = {r.conv_id: r.turns_sha256 for r in chat.read_back(told, tree).collect()}
+    worse = chat.read_back(told, tree.withColumn("attends", F.slice("attends", 1, F.greatest(F.size("attends") - 1, F.lit(0))))).collect()
+    several = {r.conv_id for r in told.groupBy("conv_id").count().where("count > 1").collect()}
+    assert all((good[r.conv_id] != r.turns_sha256) == (r.conv_id in several) for r in worse)
 
 
 def test_tree_of_nothing(spark):
