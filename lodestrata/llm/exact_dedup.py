@@ -137,6 +137,7 @@ def _best(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
+    Of rows that repeat an id with texts of the same length and digest, the one whose JSON is smallest stays.
     What goes is decided on digests alone. Rows whose digest occurs once then never leave their task; possible repeats
     are matched by digest and id, so that a large group of copies is spread over all tasks.
     """
@@ -151,5 +152,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     stays = (F.col("size") == F.col("best.size")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
     drop = cut(seen.join(groups, "text_sha256").where(~stays).select(F.col("text_sha256").alias(sha), F.col("own").alias(own)), "drop")
     flagged = rows.withColumn(again, repeated(sha))
-    kept = flagged.where(again).join(few(drop), [sha, own], "left_anti").dropDuplicates([sha])
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    kept = flagged.where(again).join(few(drop), [sha, own], "left_anti").groupBy(sha).agg(F.min_by(whole, F.to_json(whole)).alias(own)).select(f"{own}.*")
     return flagged.where(~F.col(again)).select(*docs.columns).unionByName(kept.select(*docs.columns))
