@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,46 +10,55 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sentence_chunks(text: str, size: int = 1500, overlap: int = 300) -> list[str]:
-    """Chunks of ``size`` characters at most, each ended at the last sentence end in its second half, if there is one;
-    the next chunk begins ``overlap`` characters before that end."""
+#: What trimming takes away.
+BLANK = " \t\n\r\x00\x0b"
+#: Sentence ends in the order in which they are tried. Those with a break are a backslash and an n in the
+#: text, not a line feed, which comes last of all.
+SENTENCE_ENDS = (". ", ".\\n", "! ", "!\\n", "? ", "?\\n")
+
+
+def chunk_end(window: str) -> int:
+    """Where a window of text is cut: behind the last paragraph break in its last 40 per cent, else the last sentence
+    end of the first kind found there, else the last line break; else at its end."""
+    least = int(len(window) * 0.6)
+    for mark in ("\n\n", *SENTENCE_ENDS, "\n"):
+        at = window.rfind(mark)
+        if at >= max(0, least):
+            return at + len(mark)
+    return len(window)
+
+
+def sentence_chunks(text: str, size: int = 1500, overlap: int = 300, least: int = 20) -> list[str]:
+    """Chunks of ``size`` characters at most, cut at sentence ends; the next one begins ``overlap`` characters before
+    the trimmed length of this one, 100 further at least. Those of ``least`` characters or fewer go."""
     out, at = [], 0
     while at < len(text):
-        end = min(at + size, len(text))
-        if end < len(text):
-            stop = max(text.rfind(mark, at + size // 2, end) for mark in (". ", "! ", "? ", ".\n", "!\n", "?\n", "\n\n"))
-            end = stop + 1 if stop > 0 else end
-        if piece := text[at:end].strip():
+        window = text[at : at + size]
+        piece = (window[: chunk_end(window)] if at + size < len(text) else window).strip(BLANK)
+        if len(piece) > least:
             out.append(piece)
-        if end >= len(text):
-            break
-        at = max(end - overlap, at + 1)
+        at += max(100, len(piece) - overlap)
     return out
 
 
-def packed_paragraphs(text: str, size: int = 800, carry: int = 80, separator: str = "\n") -> list[str]:
-    """Paragraphs packed into chunks of about ``size`` characters; each chunk but the first begins with the last
-    ``carry`` characters of the one before."""
+def packed_paragraphs(text: str, size: int = 800, carry: int = 80, whole: int = 100) -> list[str]:
+    """Paragraphs, which blank lines part, packed into chunks of about ``size`` characters; each chunk but the first
+    begins with the last ``carry`` characters of the one before. A text of fewer than ``whole`` characters is one chunk
+    as it is."""
+    if len(text) < whole:
+        return [text]
     out, buffer = [], ""
-    for paragraph in (p.strip() for p in text.split(separator)):
+    for paragraph in (p.strip(BLANK) for p in re.split("\n{2,}", text)):
         if not paragraph:
             continue
-        if buffer and len(buffer) + len(separator) + len(paragraph) > size:
+        if buffer and len(buffer) + len(paragraph) > size:
             out.append(buffer)
-            buffer = buffer[-carry:] + separator + paragraph if carry else paragraph
+            buffer = f"{buffer[-carry:]}\n{paragraph}"
         else:
-            buffer = buffer + separator + paragraph if buffer else paragraph
+            buffer = f"{buffer}\n\n{paragraph}" if buffer else paragraph
     return [*out, buffer] if buffer else out
 
 
-def headed_chunks(header: str, body: str, size: int = 1500, least: int = 20) -> list[str]:
-    """A body cut into pieces that each repeat the header."""
-    limit = max(200, size - len(header) - 1)
-    step = max(100, limit - 200)
-    pieces = [body[a : a + limit].strip() for a in range(0, max(len(body), 1), step)]
-    return [f"{header}\n{p}" for p in pieces if len(p) > least] or ([f"{header}\n{body.strip()}"] if body.strip() else [])
-
-
 def chunk_with(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str, text_col: str) -> DataFrame:
     """(id, chunk_index, content) by a chunker of one text; null texts have no chunks."""
     kind = dict(docs.dtypes)[id_col]

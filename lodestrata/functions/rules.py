@@ -42,11 +42,11 @@ def authority_kind(level: Column, joint: Column, direct: Column) -> Column:
 
 
 def alias_references(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, name, alias): for every name the longest of its aliases that a text holds; the alias table is small."""
+    """(id, name, alias): for every name the longest of its aliases that a text holds."""
     from ..operators.fuse import first_by
-    from ..operators.keyword import contains
+    from ..operators.keyword import terms_in
 
-    hits = texts.select(id_col, text_col).join(F.broadcast(aliases), contains(F.col(text_col), F.col("alias")))
+    hits = terms_in(aliases, texts.select(id_col, text_col), "alias", text_col)
     return first_by(hits.select(id_col, "name", "alias"), [id_col, "name"], F.desc(F.length("alias")), F.col("alias"))
 
 

@@ -102,11 +102,24 @@ def issue_score(any_hits: Column, all_groups: Column, domain: Column, priority:
     return score, F.least(F.lit(100), score + F.least(F.lit(20), F.floor(priority / 10)))
 
 
-def complexity(length: Column, issues: Column, numbers: Column, question_marks: Column) -> tuple[Column, Column]:
-    """(score 0 to 100, path): 40 and signals; up to 30 is the fast path, from 61 the full one."""
-    raw = 40 + F.when(length > 800, 20).when(length < 120, -20).otherwise(0) + F.least(F.lit(20), 5 * issues) + F.when(numbers > 3, 10).otherwise(0) + F.when(question_marks > 1, 5).otherwise(-5)
+def complexity(length: Column, exact_article: Column, exact_number: Column, simple_rule: Column, issues: Column, complex_: Column, domains: Column, norms_and_cases: Column, sources: Column, mode: Column, fact_pattern: Column, questions: Column) -> tuple[Column, Column]:
+    """(score 0 to 100, level): 40 and signals; up to 30 is the fast level, from 61 the full one, between them normal."""
+    raw = (
+        F.lit(40)
+        + F.when(length <= 160, -10).when(length > 500, 25).when(length > 250, 15).otherwise(8)
+        - F.when(exact_article, 18).otherwise(0)
+        - F.when(exact_number, 18).otherwise(0)
+        - F.when(simple_rule, 18).otherwise(0)
+        + F.when((issues >= 3) | complex_, 22).when(issues > 0, 8).otherwise(0)
+        + F.when(domains > 1, 12).otherwise(0)
+        + F.when(norms_and_cases, 8).otherwise(0)
+        + F.when(sources == 1, -8).when(sources > 2, 5).otherwise(0)
+        + F.when(mode == "compare", 15).when(mode.isin("advise", "advocate"), 12).when(mode.isin("find", "explain"), -5).otherwise(0)
+        + F.when(fact_pattern & ~simple_rule, 15).otherwise(0)
+        + F.when(questions > 1, 8).otherwise(0)
+    )
     score = F.greatest(F.lit(0), F.least(F.lit(100), raw))
-    return score, F.when(score <= 30, "fast").when(score >= 61, "full").otherwise("standard")
+    return score, F.when(score <= 30, "fast").when(score >= 61, "full").otherwise("normal")
 
 
 def token_cost(tokens_in: Column, cached: Column, tokens_out: Column, price_in: Column, price_cached: Column, price_out: Column) -> Column:

@@ -22,6 +22,13 @@ def tokens(text: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) ->
     return F.array_distinct(F.filter(words(text), lambda w: (F.length(w) >= least) & ~w.isin(*stop)))
 
 
+def meaningful(text: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Lower-case tokens of a pasted text in order, repeats included: letters, digits and / . - make one; points at its
+    ends go, and so do short ones and stop words."""
+    parts = F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" "))), r"[^\p{L}\p{N}/.\-]+")
+    return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit("."))), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+
+
 def token_prefixes(found: Column, length: int = 7) -> Column:
     return F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, length)))
 
@@ -45,6 +52,36 @@ def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1500,
     return cut.select(id_col, "chunk_index", content.alias("content")).where(F.length("content") >= least)
 
 
+#: What trimming takes away.
+BLANK = " \t\n\r\x00\x0b"
+
+
+def headed_chunks(rows: DataFrame, id_col: str, header: Column, body: Column, size: int = 1500, overlap: int = 200, least: int = 20) -> DataFrame:
+    """(id, chunk_index, content): a body cut into pieces that each repeat the header in a line of its own.
+
+    A header leaves max(200, size - its length - 1) characters for a piece, and pieces begin every max(100, that -
+    overlap). Chunks of ``least`` characters or fewer go, and so do rows without a body.
+    """
+    told = rows.select(id_col, F.btrim(F.coalesce(header, F.lit("")), F.lit(BLANK)).alias("head"), F.btrim(F.coalesce(body, F.lit("")), F.lit(BLANK)).alias("body")).where("body <> ''")
+    limit = F.greatest(F.lit(200), size - F.length("head") - 1)
+    told = told.withColumn("limit", limit).withColumn("step", F.greatest(F.lit(100), F.col("limit") - overlap))
+    cut = told.select(id_col, "head", "body", "limit", F.posexplode(F.sequence(F.lit(0), F.length("body") - 1, F.col("step"))).alias("place", "start"))
+    piece = F.btrim(F.substring(F.col("body"), F.col("start") + 1, F.col("limit")), F.lit(BLANK))
+    whole = F.btrim(F.concat("head", F.lit("\n"), piece), F.lit(BLANK))
+    return cut.select(id_col, F.col("place").alias("chunk_index"), whole.alias("content")).where(F.length("content") > least)
+
+
+def sub_chunks(rows: DataFrame, id_col: str, text_col: str, size: int = 750, overlap: int = 100) -> DataFrame:
+    """(id, part_id, content): texts of up to ``size`` characters as they are; longer ones in overlapping trimmed parts,
+    whose ids are the text's, from the second on with the part's number behind a point."""
+    long_ = F.length(text_col) > size
+    starts = F.when(long_, F.sequence(F.lit(0), F.length(text_col) - 1, F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
+    cut = rows.where(F.col(text_col).isNotNull()).select(id_col, text_col, long_.alias("long"), F.posexplode(starts).alias("place", "start"))
+    name = F.concat(F.col(id_col).cast("string"), F.when(F.col("place") > 0, F.concat(F.lit("."), (F.col("place") + 1).cast("string"))).otherwise(""))
+    piece = F.substring(F.col(text_col), F.col("start") + 1, F.lit(size))
+    return cut.select(id_col, name.alias("part_id"), F.when(F.col("long"), F.btrim(piece, F.lit(BLANK))).otherwise(piece).alias("content"))
+
+
 def normal_number(text: Column) -> Column:
     """Digits without spaces, decimal point for comma, no trailing zeros after it."""
     plain = F.regexp_replace(F.regexp_replace(text, "[   ]", ""), ",", ".")
@@ -83,7 +120,7 @@ def any_date(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda s: s != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t\n\r\f\x0B]+"), lambda s: s != "")
 
 
 def evidence(text: Column, terms: list[str], least: int = 25, most: int = 400, number: int = 5) -> Column:

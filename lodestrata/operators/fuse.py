@@ -58,3 +58,40 @@ def cascade(stages: list[DataFrame], keys: list[str], id_col: str, k: int) -> Da
 def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:
     """The primary rows, and the fallback's for keys without any."""
     return primary.unionByName(fallback.join(primary.select(*keys).distinct(), keys, "left_anti").select(*primary.columns))
+
+
+def pinned(sources: Column, relevance: Column, confidence: Column, score: Column, exact_issue: Column, place: Column) -> tuple[Column, Column]:
+    """(priority, order) of rows that keep their place whatever a reranker says; a null priority: not pinned.
+
+    A number (3), a fingerprint (2), a pasted text of relevance 0.95 or more, an exact issue of a card among the first
+    five places, or high confidence with a score of 50 or more (1 each). Cards go by their place, others come last.
+    """
+    has = lambda name: F.array_contains(sources, name)
+    card = has("case_card_keyword") & F.coalesce(exact_issue, F.lit(False)) & place.between(1, 5)
+    high = F.coalesce(confidence == "high", F.lit(False))
+    pin = has("case_number") | has("fingerprint") | (has("pasted_text") & (relevance >= 0.95)) | card | (high & (score >= 50))
+    priority = F.when(has("case_number"), 3).when(has("fingerprint"), 2).when(has("pasted_text") | card | high, 1).otherwise(0)
+    return F.when(F.coalesce(pin, F.lit(False)), priority), F.when(card, place)
+
+
+def rerank(rows: DataFrame, keys: list[str], k: int, priority: str, pin_order: str, pin_ties: list[Column], place: str, asked: str, outlier: str | None = None) -> DataFrame:
+    """Up to ``k`` rows per key with their ``rank``: pinned rows first, then the others in the order that a reranker
+    gave (``asked``; null for those it left out, which follow), all ties by ``place``, their order before.
+
+    A key of ``k`` rows or fewer keeps its order. With ``outlier``, a boolean column, the last place is the first
+    unpinned outlier's, if pinned rows leave one, and the order asked for counts only if the others do not all fit.
+    """
+    group = Window.partitionBy(*keys)
+    pin, out = F.col(priority).isNotNull(), F.lit(False) if outlier is None else F.coalesce(F.col(outlier), F.lit(False)) & F.col(priority).isNull()
+    told = rows.withColumn("_class", F.when(pin, 0).when(out, 2).otherwise(1))
+    count = lambda c: F.count_if(F.col("_class") == c).over(group)
+    told = told.select("*", F.count("*").over(group).alias("_n"), F.least(count(0), F.lit(k)).alias("_pins"), count(1).alias("_plain"), F.least(count(2), F.lit(1)).alias("_kept"))
+    slots = F.lit(k) - F.col("_pins")
+    kept = F.when(slots > 0, F.col("_kept")).otherwise(0)
+    heard = F.lit(True) if outlier is None else F.col("_plain") > slots - kept
+    order = Window.partitionBy(*keys, "_class").orderBy(F.desc(priority), F.asc_nulls_last(F.when(pin, F.col(pin_order))), *pin_ties, F.asc_nulls_last(F.when(heard & ~pin & ~out, F.col(asked))), place)
+    told = told.withColumn("_i", F.row_number().over(order))
+    first = F.col("_pins")
+    rank = F.when(F.col("_n") <= k, F.row_number().over(group.orderBy(place))).when(F.col("_class") == 0, F.when(F.col("_i") <= k, F.col("_i"))).when(F.col("_class") == 1, F.when(F.col("_i") <= slots - kept, first + F.col("_i")))
+    rank = rank.otherwise(F.when((F.col("_i") == 1) & (kept > 0), first + F.least(F.col("_plain"), slots - kept) + 1))
+    return told.withColumn("rank", rank.cast("int")).where("rank is not null").drop("_class", "_n", "_pins", "_plain", "_kept", "_i")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import meaningful, tokens
 
 
 def contains(text: Column, needle: str | Column) -> Column:
@@ -50,19 +52,25 @@ def all_terms(terms: list[str], *fields: Column) -> Column:
     return out
 
 
-def token_windows(found: Column, size: int = 7, least: int = 5) -> Column:
-    """Runs of ``size`` tokens from the start, from 8 and 18, and from 45 and 70 per cent; distinct, ``least`` tokens long."""
-    n = F.size(found)
-    starts = F.array_distinct(F.array(F.lit(0), F.least(F.lit(8), F.greatest(n - size, F.lit(0))), F.least(F.lit(18), F.greatest(n - size, F.lit(0))), F.floor(n * 0.45).cast("int"), F.floor(n * 0.70).cast("int")))
-    runs = F.transform(starts, lambda s: F.array_join(F.slice(found, s + 1, size), " "))
-    return F.filter(F.array_distinct(runs), lambda r: F.size(F.split(r, " ")) >= least)
+def token_windows(found: Column, size: int = 7, least: int = 5, enough: int = 6) -> Column:
+    """Runs of ``size`` tokens: the first one, from 8 and 18, and from 45 and 70 per cent of the last place that a whole
+    run can begin at, none of them later than that; distinct, ``least`` tokens long. None for fewer than ``enough``."""
+    last = F.greatest(F.size(found) - size, F.lit(0))
+    starts = F.array_distinct(F.array(F.lit(0), F.least(last, F.lit(8)), F.least(last, F.lit(18)), F.floor(last * 0.45).cast("int"), F.floor(last * 0.70).cast("int")))
+    runs = F.filter(F.transform(starts, lambda s: F.slice(found, s + 1, size)), lambda r: F.size(r) >= least)
+    joined = F.array_distinct(F.transform(runs, lambda r: F.array_join(r, " ")))
+    return F.when(F.size(found) >= enough, joined).otherwise(F.array().cast("array<string>"))
 
 
-def needles(text: Column, pattern: str, most: int = 8) -> Column:
-    """Document numbers that match a pattern, then lines of 35 to 170 characters with four meaningful tokens."""
-    numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    lines = F.filter(F.transform(F.split(text, r"\n+"), lambda s: F.btrim(s)), lambda s: F.length(s).between(35, 170) & (F.size(tokens(s)) >= 4))
-    return F.slice(F.array_distinct(F.concat(numbers, lines)), 1, most)
+def needles(text: Column, pattern: str = r"(?:№\s*)?[0-9]{1,4}/[0-9]{4,}(?:[-/][0-9]+)?", most: int = 8) -> Column:
+    """Document numbers that match a pattern, with and without their number sign, then lines of 35 to 170 characters with
+    four meaningful tokens; the first ``most``, each once."""
+    plain = F.btrim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
+    numbers = F.transform(F.regexp_extract_all(plain, F.lit(pattern), F.lit(0)), lambda s: F.btrim(s))
+    numbers = F.flatten(F.transform(numbers, lambda s: F.array(s, F.btrim(F.regexp_replace(s, "^№\\s*", "")))))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\R+"), lambda s: F.btrim(F.regexp_replace(F.replace(s, F.lit("\u00a0"), F.lit(" ")), r"\s+", " ")))
+    lines = F.filter(lines, lambda s: F.length(s).between(35, 170) & (F.size(meaningful(s)) >= 4))
+    return F.array_distinct(F.slice(F.concat(numbers, lines), 1, most))
 
 
 def inverted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -85,6 +93,22 @@ def token_overlap(queries: DataFrame, docs: DataFrame, least_share: float = 0.0)
     return out.where(F.col("shared") >= least_share * F.col("query_n"))
 
 
+#: Entries of a glossary that are broadcast at once.
+ENTRIES = 2000
+
+
+def in_blocks(entries: DataFrame, key: str, size: int = ENTRIES) -> list[DataFrame]:
+    """A stated set of entries in blocks of about ``size``, by a hash of ``key``: each is small enough to broadcast."""
+    parts = max(1, -(-entries.count() // size))
+    return [entries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+
+
+def terms_in(terms: DataFrame, docs: DataFrame, term_col: str, text_col: str) -> DataFrame:
+    """Each text with each term that it contains, case-blind and literally; terms in blocks against all texts."""
+    hit = contains(F.col(text_col), F.col(term_col))
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(part), hit) for part in in_blocks(terms, term_col)])
+
+
 def needed_matches(n: Column) -> Column:
     """Of n query tokens (three or more) so many must match: 70 per cent, three at least."""
     return F.greatest(F.lit(3), F.ceil(0.7 * n).cast("int"))

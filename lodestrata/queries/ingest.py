@@ -71,24 +71,15 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id
 """)
 def events_incremental_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events read as a stream of micro-batches, each merged into the last event of every user; the state is a
-    table in the shared folder, a version for each micro-batch."""
-    from tempfile import mkdtemp
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or mkdtemp(prefix="lodestrata-")) + f"/events-{uuid.uuid4().hex}"
+    """The events read as a stream of micro-batches; each leaves its last event of every user as a table of its own in
+    the shared folder, and the state is the last of these."""
+    base = f"{incremental.shared_folder(spark)}/events-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/events*.parquet")
-    latest: list[str] = []
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("user_id", "ts", "event_id", "event_type")
-        both = new.unionByName(spark.read.parquet(latest[-1])) if latest else new
-        path = f"{base}/state-{epoch}"
-        incremental.latest(both, ["user_id"], "ts", "event_id").write.mode("overwrite").parquet(path)
-        latest.append(path)
-
-    incremental.upsert_stream(stream, merge, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(latest[-1]).select("user_id", "event_id", "event_type")
+    changes = stream.select("user_id", "ts", "event_id", "event_type")
+    merge = incremental.change_log(spark, f"{base}/changes", changes.schema, ["user_id"], "ts", "event_id")
+    incremental.upsert_stream(changes, merge, f"{base}/checkpoint").awaitTermination()
+    return incremental.state(spark, f"{base}/changes", changes.schema, ["user_id"], "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -97,4 +88,16 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return not first.rstrip("/").endswith(path.rsplit("/", 1)[-1])
 
 
+@query("""
+    WITH kept AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0), fresh AS (SELECT o_orderkey AS l_orderkey, CAST(0 AS INTEGER) AS l_linenumber, CAST(-1 AS DOUBLE) AS l_quantity FROM orders WHERE o_orderkey % 10 = 0)
+    SELECT l_orderkey, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS quantity FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity FROM kept UNION ALL SELECT * FROM fresh) GROUP BY l_orderkey
+""")
+def child_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents that came anew bring their children, and their former ones go."""
+    parents = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    children = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"))
+    fresh = parents.select("l_orderkey", F.lit(0).alias("l_linenumber"), F.lit(-1.0).alias("l_quantity"))
+    return sinks.replace_children(children, fresh, parents, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import fuse, verify, windows
+from ..operators import fuse, keyword, verify, windows
+from ..plans.retrieval import RetrievalPlan
 from .registry import Registry, table
+from .texts import tokens_sql
 
 query = Registry()
 _AUTHORITY = """(CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 800 WHEN '2' THEN 400 ELSE 200 END + CASE WHEN year(o_orderdate) + 12 BETWEEN 2010 AND 2026 THEN least(350, (year(o_orderdate) + 12 - 2010) * 25) ELSE 0 END
@@ -158,16 +160,34 @@ def issue_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", score.cast("int").alias("score"), sure.cast("int").alias("confidence"))
 
 
-@query("""
-    WITH s AS (SELECT item_id, 40 + CASE WHEN length(text) > 800 THEN 20 WHEN length(text) < 120 THEN -20 ELSE 0 END + least(20, 5 * (length(text) - length(replace(text, ',', ''))))
-        + CASE WHEN length(regexp_replace(text, '[^0-9]', '', 'g')) > 3 THEN 10 ELSE 0 END + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 5 ELSE -5 END AS raw FROM benchmark)
-    SELECT item_id, CAST(greatest(0, least(100, raw)) AS INTEGER) AS score, CASE WHEN greatest(0, least(100, raw)) <= 30 THEN 'fast' WHEN greatest(0, least(100, raw)) >= 61 THEN 'full' ELSE 'standard' END AS path FROM s
+_SIGNALS = {"secret": ["token", "password"], "legal": ["licens", "copyright"], "contact": ["@"], "common": ["the"]}
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t, coalesce(text, '') AS text, lang, source FROM documents),
+    s AS (SELECT *, length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS len, regexp_matches(t, '(article|art\\.?)[^0-9]{{0,12}}[0-9]{{1,4}}|[0-9]{{1,4}}[^0-9]{{0,12}}(article|art\\.?)') AS article,
+            regexp_matches(text, '[A-Z]{{1,4}}-[0-9]{{1,5}}') AS number, length(text) - length(replace(text, '?', '')) AS marks, length(text) - length(replace(text, chr(10), '')) AS issues,
+            {" + ".join("CASE WHEN " + " OR ".join(f"contains(t, '{w}')" for w in ws) + " THEN 1 ELSE 0 END" for ws in _SIGNALS.values())} AS domains,
+            contains(t, 'the') AND contains(t, 'of') AS both_kinds, contains(t, 'can i') OR contains(t, 'what should') AS pattern,
+            CASE lang WHEN 'en' THEN 'find' WHEN 'de' THEN 'advise' WHEN 'fr' THEN 'compare' ELSE 'other' END AS mode FROM t),
+    r AS (SELECT *, len <= 160 AND both_kinds AS simple FROM s),
+    v AS (SELECT doc_id, greatest(0, least(100, 40 + CASE WHEN len <= 160 THEN -10 WHEN len > 500 THEN 25 WHEN len > 250 THEN 15 ELSE 8 END - CASE WHEN article THEN 18 ELSE 0 END - CASE WHEN number THEN 18 ELSE 0 END - CASE WHEN simple THEN 18 ELSE 0 END
+        + CASE WHEN issues >= 3 THEN 22 WHEN issues > 0 THEN 8 ELSE 0 END + CASE WHEN domains > 1 THEN 12 ELSE 0 END + CASE WHEN both_kinds THEN 8 ELSE 0 END + CASE WHEN domains = 1 THEN -8 WHEN domains > 2 THEN 5 ELSE 0 END
+        + CASE mode WHEN 'compare' THEN 15 WHEN 'advise' THEN 12 WHEN 'find' THEN -5 ELSE 0 END + CASE WHEN pattern AND NOT simple THEN 15 ELSE 0 END + CASE WHEN marks > 1 THEN 8 ELSE 0 END)) AS score FROM r)
+    SELECT doc_id, CAST(score AS INTEGER) AS score, CASE WHEN score <= 30 THEN 'fast' WHEN score >= 61 THEN 'full' ELSE 'normal' END AS level FROM v
 """)
 def complexity_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
+    """How much work a question needs; documents stand for questions, their lines for issues, languages for modes."""
+    t = F.coalesce("text", F.lit(""))
+    low = F.lower(t)
+    length = F.length(F.btrim(t, F.lit(" \t\n\r")))
     count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    score, path = scores.complexity(F.length(t), count(","), F.length(F.regexp_replace(t, "[^0-9]", "")), count("?"))
-    return table(spark, sf_dir, "benchmark").select("item_id", score.cast("int").alias("score"), path.alias("path"))
+    domains = sum((text.holds_any(t, ws).cast("int") for ws in _SIGNALS.values()), F.lit(0))
+    kinds = low.contains("the") & low.contains("of")
+    mode = F.when(F.col("lang") == "en", "find").when(F.col("lang") == "de", "advise").when(F.col("lang") == "fr", "compare").otherwise("other")
+    article = low.rlike(r"(article|art\.?)[^0-9]{0,12}[0-9]{1,4}|[0-9]{1,4}[^0-9]{0,12}(article|art\.?)")
+    score, level_ = scores.complexity(length, article, t.rlike("[A-Z]{1,4}-[0-9]{1,5}"), (length <= 160) & kinds, count("\n"), F.lit(False), domains, kinds, domains, mode, low.contains("can i") | low.contains("what should"), count("?"))
+    return table(spark, sf_dir, "documents").select("doc_id", score.cast("int").alias("score"), level_.alias("level"))
 
 
 @query("""
@@ -181,4 +201,60 @@ def advocate_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.with_advocate(o, ["o_custkey"], 4, F.col("outlier"), F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "outlier")
 
 
+def _rerank_sql(advocate: bool) -> str:
+    tokens = tokens_sql("text")
+    reserve = "CASE WHEN 5 - pins > 0 THEN least(n2, 1) ELSE 0 END" if advocate else "0"
+    return f"""
+    WITH b AS (SELECT item_id, lower(text) AS t, {tokens} AS t_ FROM benchmark), q AS (SELECT item_id, unnest(t_) AS token, len(t_) AS qn FROM b),
+    d AS (SELECT doc_id, unnest({tokens}) AS token FROM documents),
+    p AS (SELECT item_id, doc_id, count(*) AS shared, max(qn) AS qn FROM q JOIN d USING (token) GROUP BY ALL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared * 1.0::DOUBLE / qn DESC, doc_id) AS place FROM p WHERE shared >= 0.3 * qn),
+    c AS (SELECT w.item_id, w.doc_id, place, CAST(shared AS DOUBLE) / qn AS relevance, shared * 100.0::DOUBLE / qn AS score, lower(text) = t AS same, contains(lower(text), t) AS pasted, contains(lower(text), left(t, 40)) AS exact, lang = 'en' AS card,
+                 CASE WHEN quality = 1 THEN row_number() OVER (PARTITION BY w.item_id, quality ORDER BY n_chars DESC, w.doc_id) END AS asked, {"coalesce(toxic = 1, false)" if advocate else "false"} AS outlier
+          FROM w JOIN documents d ON d.doc_id = w.doc_id JOIN b ON b.item_id = w.item_id LEFT JOIN labels l ON l.doc_id = w.doc_id WHERE place <= 30),
+    e AS (SELECT *, card AND exact AND place <= 5 AS by_card, score >= 90 AS high FROM c),
+    f AS (SELECT *, CASE WHEN same OR (pasted AND relevance >= 0.95) OR by_card OR (high AND score >= 50) THEN CASE WHEN same THEN 2 ELSE 1 END END AS priority, CASE WHEN by_card THEN place END AS pin_order FROM e),
+    g AS (SELECT *, CASE WHEN priority IS NOT NULL THEN 0 WHEN outlier THEN 2 ELSE 1 END AS cls FROM f),
+    h AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n, least(5, count(*) FILTER (WHERE cls = 0) OVER (PARTITION BY item_id)) AS pins, count(*) FILTER (WHERE cls = 1) OVER (PARTITION BY item_id) AS n1, count(*) FILTER (WHERE cls = 2) OVER (PARTITION BY item_id) AS n2 FROM g),
+    k AS (SELECT *, {reserve} AS kept FROM h),
+    i AS (SELECT *, row_number() OVER (PARTITION BY item_id, cls ORDER BY priority DESC NULLS LAST, pin_order NULLS LAST, CASE WHEN cls = 0 THEN score END DESC NULLS LAST, CASE WHEN cls = 1 {"AND n1 > 5 - pins - kept" if advocate else ""} THEN asked END NULLS LAST, place) AS j FROM k),
+    r AS (SELECT item_id, doc_id, CASE WHEN n <= 5 THEN row_number() OVER (PARTITION BY item_id ORDER BY place) WHEN cls = 0 THEN CASE WHEN j <= 5 THEN j END WHEN cls = 1 THEN CASE WHEN j <= 5 - pins - kept THEN pins + j END
+                 ELSE CASE WHEN j = 1 AND kept > 0 THEN pins + least(n1, 5 - pins - kept) + 1 END END AS rank, priority FROM i)
+    SELECT item_id, doc_id, CAST(rank AS INTEGER) AS rank, priority IS NOT NULL AS pinned FROM r WHERE rank IS NOT NULL
+    """
+
+
+def _reranked(spark: SparkSession, sf_dir: str, advocate: bool) -> DataFrame:
+    """Benchmark items ask; the plan's pool of documents by shared tokens is reranked. Labels stand for the order that a
+    language model gives (good ones by length) and for minority opinions."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("asked_text"), text.tokens(F.col("text")).alias("t"))
+    asked = items.select(F.col("item_id").alias("query_id"), F.explode("t").alias("token"), F.size("t").alias("n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    pairs = keyword.token_overlap(asked, keyword.inverted(docs, "doc_id", "text"), 0.3)
+    pool = fuse.top_per(pairs, ["query_id"], RetrievalPlan(k=5).pool, (F.col("shared") / F.col("query_n")).desc(), F.col("doc_id")).withColumnRenamed("rank", "place")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    c = pool.withColumnRenamed("query_id", "item_id").join(docs, "doc_id").join(items.drop("t"), "item_id").join(labels, "doc_id", "left")
+    low, relevance, score = F.lower("text"), F.col("shared") / F.col("query_n"), F.col("shared") * 100.0 / F.col("query_n")
+    sources = F.array_compact(F.array(F.when(low == F.col("asked_text"), "fingerprint"), F.when(low.contains(F.col("asked_text")), "pasted_text"), F.when(F.col("lang") == "en", "case_card_keyword")))
+    good = Window.partitionBy("item_id", "quality").orderBy(F.desc("n_chars"), "doc_id")
+    c = c.select("item_id", "doc_id", "place", sources.alias("sources"), relevance.alias("relevance"), score.alias("score"), low.contains(F.left("asked_text", F.lit(40))).alias("exact"), F.when(F.col("quality") == 1, F.row_number().over(good)).alias("asked"), (F.col("toxic") == 1).alias("outlier"))
+    priority, order = fuse.pinned(F.col("sources"), F.col("relevance"), F.when(F.col("score") >= 90, "high"), F.col("score"), F.col("exact"), F.col("place"))
+    c = c.withColumn("priority", priority).withColumn("pin_order", order)
+    ties = [F.desc_nulls_last(F.when(F.col("priority").isNotNull(), F.col("score")))]
+    found = fuse.rerank(c, ["item_id"], 5, "priority", "pin_order", ties, "place", "asked", "outlier" if advocate else None)
+    return found.select("item_id", "doc_id", "rank", F.col("priority").isNotNull().alias("pinned"))
+
+
+@query(_rerank_sql(False))
+def pin_and_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinned rows first, the rest in the order asked for."""
+    return _reranked(spark, sf_dir, False)
+
+
+@query(_rerank_sql(True))
+def pin_and_rerank_advocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``pin_and_rerank``, with the last place for a minority opinion."""
+    return _reranked(spark, sf_dir, True)
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

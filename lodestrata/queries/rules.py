@@ -5,28 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import chunkers, rules, scores, text
+from ..functions import rules, scores, text
 from ..operators import evaluate, fuse, keyword
 from ..sources import readers
 from .registry import Registry, table
-from .texts import tokens_sql, words_sql
+from .texts import BLANK, meaningful_sql, tokens_sql, windows_sql
 
 query = Registry()
 
 
 @query(f"""
-    WITH t AS (SELECT item_id, {words_sql("text")} AS w FROM benchmark),
-    k AS (SELECT item_id, w, unnest(list_distinct([0, least(8, greatest(len(w) - 7, 0)), least(18, greatest(len(w) - 7, 0)), CAST(floor(len(w) * 0.45) AS INTEGER), CAST(floor(len(w) * 0.70) AS INTEGER)])) AS s FROM t),
+    WITH t AS (SELECT item_id, {meaningful_sql("text")} AS w FROM benchmark),
+    k AS (SELECT item_id, w, unnest({windows_sql()}) AS s FROM t WHERE len(w) >= 6),
     win AS (SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 7], ' ') AS win, list_distinct(w[s + 1 : s + 7]) AS ws FROM k WHERE len(w[s + 1 : s + 7]) >= 5),
     q AS (SELECT item_id, win, unnest(ws) AS token, len(ws) AS n FROM win),
-    d AS (SELECT doc_id, unnest(list_distinct({words_sql("text")})) AS token FROM documents),
+    d AS (SELECT doc_id, unnest(list_distinct({meaningful_sql("text")})) AS token FROM documents),
     hit AS (SELECT item_id, win, doc_id FROM q JOIN d USING (token) GROUP BY item_id, win, doc_id HAVING count(*) = max(n)),
     r AS (SELECT item_id, doc_id, count(*) AS windows, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS k FROM hit GROUP BY item_id, doc_id)
     SELECT item_id, doc_id, windows, round(least(1.0::DOUBLE, 0.58::DOUBLE + ln(1 + windows) / 2.5::DOUBLE), 6) AS similarity FROM r WHERE k <= 10
 """)
 def pasted_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all words of a pasted text's windows. The score is ours: the number of such windows."""
-    w = text.words(F.col("text"))
+    """Documents that hold all tokens of a pasted text's windows. The score is ours: the number of such windows."""
+    w = text.meaningful(F.col("text"))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keyword.token_windows(w)).alias("win")).distinct()
     asked = items.select("item_id", "win", F.array_distinct(F.split("win", " ")).alias("ws")).select("item_id", "win", F.explode("ws").alias("token"), F.size("ws").alias("n"))
     held = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array_distinct(w)).alias("token"))
@@ -188,15 +188,19 @@ def fact_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.extract_facts(table(spark, sf_dir, "orders").select("o_orderkey", terms.alias("terms")), "o_orderkey", "terms")
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT doc_id, strpos(text, chr(10)) AS cut, text FROM documents),
+    h AS (SELECT doc_id, trim(CASE WHEN cut > 0 THEN left(text, cut - 1) ELSE '' END, {BLANK}) AS head, trim(CASE WHEN cut > 0 THEN substring(text, cut + 1) ELSE coalesce(text, '') END, {BLANK}) AS body FROM p),
+    l AS (SELECT *, greatest(200, 1500 - length(head) - 1) AS lim FROM h WHERE body <> ''),
+    s AS (SELECT *, unnest(range(0, length(body), greatest(100, lim - 200))) AS start FROM l),
+    c AS (SELECT doc_id, start // greatest(100, lim - 200) AS chunk_index, trim(head || chr(10) || trim(substring(body, start + 1, lim), {BLANK}), {BLANK}) AS content FROM s)
+    SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM c WHERE length(content) > 20
+""")
 def headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that repeat their header: the text's first line."""
-
-    def cut(t: str) -> list[str]:
-        head, _, body = t.partition("\n")
-        return chunkers.headed_chunks(head[:100], body)
-
-    return chunkers.chunk_with(table(spark, sf_dir, "documents"), cut, "doc_id", "text").select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    """Chunks that repeat their header: the text's first line, if there are more."""
+    t, cut = F.col("text"), F.locate("\n", "text")
+    found = text.headed_chunks(table(spark, sf_dir, "documents"), "doc_id", F.when(cut > 0, F.substring(t, F.lit(1), cut - 1)), F.when(cut > 0, F.substring(t, cut + 1, F.length(t))).otherwise(t))
+    return found.select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
 @query("""

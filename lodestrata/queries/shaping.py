@@ -164,7 +164,7 @@ def contradiction_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def glossary_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of a small glossary that occur, by their canonical form."""
     g = spark.createDataFrame([("license", "licence", 3), ("license", "licensed", 2), ("token", "key", 1)], "canonical string, synonym string, n int")
-    hits = table(spark, sf_dir, "documents").join(F.broadcast(g), keyword.contains(F.col("text"), F.col("synonym")))
+    hits = keyword.terms_in(g, table(spark, sf_dir, "documents").select("doc_id", "text"), "synonym", "text")
     return hits.groupBy("canonical").agg(F.max("n").alias("count"), F.countDistinct("doc_id").alias("n_docs"))
 
 

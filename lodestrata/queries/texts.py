@@ -19,6 +19,19 @@ def words_sql(column: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
+def meaningful_sql(column: str) -> str:
+    parts = f"regexp_split_to_array(lower(replace(coalesce({column}, ''), chr(160), ' ')), '[^\\p{{L}}\\p{{N}}/.\\-]+')"
+    return f"list_filter(list_transform({parts}, lambda w: trim(w, '.')), lambda w: length(w) >= 4 AND w NOT IN ({STOP}))"
+
+
+def windows_sql(tokens: str = "w") -> str:
+    last = f"greatest(len({tokens}) - 7, 0)"
+    return f"list_distinct([0, least(8, {last}), least(18, {last}), CAST(floor({last} * 0.45) AS INTEGER), CAST(floor({last} * 0.70) AS INTEGER)])"
+
+
+BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
+
+
 def tokens_sql(column: str) -> str:
     return f"list_distinct(list_filter({words_sql(column)}, lambda w: length(w) >= 4 AND w NOT IN ({STOP})))"
 
@@ -56,15 +69,50 @@ def doc_chunk_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(counts, "doc_id").select("doc_id", "n_chunks", F.md5("content").alias("content_md5"))
 
 
-@query()
+def _end_sql() -> str:
+    """Where a window of 1500 characters is cut, counted from its end: sentence ends in order, in its last 600 only."""
+    marks = ["chr(10) || chr(10)", *("'" + m[::-1] + "'" for m in chunkers.SENTENCE_ENDS), "chr(10)"]
+    sizes = [2, *map(len, chunkers.SENTENCE_ENDS), 1]
+    return "CASE " + " ".join(f"WHEN strpos(reverse(w), {m}) BETWEEN 1 AND {601 - n} THEN 1501 - strpos(reverse(w), {m})" for m, n in zip(marks, sizes, strict=True)) + " ELSE 1500 END"
+
+
+@query(f"""
+    WITH RECURSIVE r AS (
+        SELECT doc_id, text, 0 AS pos, CAST(NULL AS VARCHAR) AS piece, CAST(-1 AS INTEGER) AS came_from FROM documents WHERE length(text) > 0
+        UNION ALL
+        SELECT doc_id, text, CAST(pos + greatest(100, length(p) - 300) AS INTEGER), p, CAST(pos AS INTEGER)
+        FROM (SELECT *, trim(CASE WHEN pos + 1500 < length(text) THEN left(w, {_end_sql()}) ELSE w END, {BLANK}) AS p FROM (SELECT *, substring(text, pos + 1, 1500) AS w FROM r WHERE pos < length(text))))
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY came_from) - 1 AS INTEGER) AS chunk_index, CAST(length(piece) AS INTEGER) AS n_chars, md5(piece) AS content_md5 FROM r WHERE length(piece) > 20
+""")
 def doc_chunks_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each chunk's end depends on the one before, so SQL has no like."""
+    """Each chunk's end depends on the one before; the SQL steps through a text by recursion."""
     return chunkers.chunk_with(table(spark, sf_dir, "documents"), chunkers.sentence_chunks, "doc_id", "text").select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE t AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS text FROM documents),
+    p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\n{{2,}}'), lambda x: trim(x, {BLANK})), lambda x: x <> '') AS ps FROM t WHERE length(text) >= 100),
+    r AS (
+        SELECT doc_id, ps, 0 AS i, CAST('' AS VARCHAR) AS buffer, CAST(NULL AS VARCHAR) AS done FROM p
+        UNION ALL
+        SELECT doc_id, ps, i + 1, CASE WHEN buffer = '' THEN ps[i + 1] WHEN length(buffer) + length(ps[i + 1]) > 800 THEN right(buffer, 80) || chr(10) || ps[i + 1] ELSE buffer || chr(10) || chr(10) || ps[i + 1] END,
+               CASE WHEN buffer <> '' AND length(buffer) + length(ps[i + 1]) > 800 THEN buffer END
+        FROM r WHERE i < len(ps)),
+    c AS (SELECT doc_id, i, done AS content FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, buffer FROM r WHERE i = len(ps) AND buffer <> '' UNION ALL SELECT doc_id, 0, coalesce(text, '') FROM t WHERE coalesce(length(text), 0) < 100)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM c
+""")
 def doc_chunks_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunkers.chunk_with(table(spark, sf_dir, "documents"), chunkers.packed_paragraphs, "doc_id", "text").select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+    """The texts have no blank lines; each sentence stands for a paragraph."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n\n")))
+    return chunkers.chunk_with(docs, chunkers.packed_paragraphs, "doc_id", "text").select("doc_id", "chunk_index", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 750 THEN range(0, length(text), 650) ELSE [0] END) AS start FROM documents WHERE text IS NOT NULL)
+    SELECT CAST(doc_id AS VARCHAR) || CASE WHEN start > 0 THEN '.' || (start // 650 + 1) ELSE '' END AS part_id, md5(CASE WHEN length(text) > 750 THEN trim(substring(text, start + 1, 750), {BLANK}) ELSE text END) AS content_md5 FROM c
+""")
+def doc_sub_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.sub_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").select("part_id", F.md5("content").alias("content_md5"))
 
 
 _STEM = "CASE " + " ".join(f"WHEN word LIKE '%{s}' AND length(word) >= {len(s) + 3} THEN left(word, length(word) - {len(s)})" for s in text.SUFFIXES) + " ELSE word END"
@@ -124,16 +172,30 @@ def multi_term_and(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH t AS (SELECT item_id, {words_sql("text")} AS w FROM benchmark),
-    k AS (SELECT item_id, w, unnest(list_distinct([0, least(8, greatest(len(w) - 7, 0)), least(18, greatest(len(w) - 7, 0)), CAST(floor(len(w) * 0.45) AS INTEGER), CAST(floor(len(w) * 0.70) AS INTEGER)])) AS s FROM t)
+    WITH t AS (SELECT item_id, {meaningful_sql("text")} AS w FROM benchmark),
+    k AS (SELECT item_id, w, unnest({windows_sql()}) AS s FROM t WHERE len(w) >= 6)
     SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 7], ' ') AS win FROM k WHERE len(w[s + 1 : s + 7]) >= 5
 """)
 def pasted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of seven words at fixed places of a pasted text."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", text.words(F.col("text")).alias("w"))
+    """Runs of seven meaningful tokens at fixed places of a pasted text."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.meaningful(F.col("text")).alias("w"))
     return items.select("item_id", F.explode(keyword.token_windows(F.col("w"))).alias("win")).distinct()
 
 
+@query(rf"""
+    WITH n AS (SELECT doc_id, text, trim(regexp_replace(replace(text, chr(160), ' '), '[ \t\n\r\f]+', ' ', 'g'), ' ') AS plain FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, regexp_extract_all(plain, '(?:№ *)?[0-9]{{1,4}}/[0-9]{{4,}}(?:[-/][0-9]+)?') AS nums,
+                 list_filter(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda s: trim(regexp_replace(replace(s, chr(160), ' '), '[ \t\f]+', ' ', 'g'), ' ')), lambda s: length(s) BETWEEN 35 AND 170) AS lines FROM n),
+    g AS (SELECT doc_id, list_concat(flatten(list_transform(nums, lambda s: [s, trim(regexp_replace(s, '^№ *', ''), ' ')])), list_filter(lines, lambda s: len({meaningful_sql("s").replace("lambda w", "lambda v").replace("(w", "(v").replace("w NOT", "v NOT")}) >= 4))[1:8] AS l FROM f),
+    o AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM g)
+    SELECT doc_id, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, '|')) AS needles_md5 FROM o
+""")
+def pasted_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document numbers and characteristic lines of a text, to look it up by."""
+    found = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", keyword.needles(F.col("text")).alias("l"))
+    return found.select("doc_id", F.size("l").alias("n"), F.md5(F.array_join("l", "|")).alias("needles_md5"))
+
+
 @query(f"""
     WITH b AS (SELECT item_id, {tokens_sql("text")} AS t FROM benchmark),
     q AS (SELECT item_id, unnest(t) AS token, len(t) AS query_n FROM b),
@@ -174,14 +236,14 @@ def heading_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH g AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS term FROM part)
-    SELECT term, count(*) AS n_docs, min(item_id) AS first_item FROM g JOIN benchmark ON contains(lower(text), substring(term, 1, 2)) GROUP BY term
+    WITH g AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{5,} [a-z]+')) AS term FROM benchmark)
+    SELECT term, count(*) AS n_docs, min(doc_id) AS first_doc FROM g JOIN documents ON contains(lower(text), term) WHERE term <> '' GROUP BY term
 """)
 def theta_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A glossary of few terms against texts, by containment."""
-    terms = table(spark, sf_dir, "part").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("term")).distinct()
-    items = table(spark, sf_dir, "benchmark")
-    return terms.join(items, keyword.contains(F.col("text"), F.substring("term", 1, 2))).groupBy("term").agg(F.count("*").alias("n_docs"), F.min("item_id").alias("first_item"))
+    """A glossary of whole terms against texts, by containment."""
+    terms = table(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "[A-Za-z]{5,} [a-z]+", 0)).alias("term")).where("term <> ''").distinct()
+    found = keyword.terms_in(terms, table(spark, sf_dir, "documents").select("doc_id", "text"), "term", "text")
+    return found.groupBy("term").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""
@@ -265,9 +327,13 @@ def embedding_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_for_embedding(F.col("text"))).alias("clean_md5"), F.md5(text.head_and_tail(F.col("text"))).alias("excerpt_md5"))
 
 
-@query()
+@query(r"""
+    WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f\x0B]+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) BETWEEN 25 AND 400) AS s FROM documents),
+    t AS (SELECT doc_id, flatten(list_transform(['the', 'und', 'que'], lambda k: list_filter(s, lambda x: contains(lower(x), k)))) AS l FROM s),
+    o AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:5] AS l FROM t)
+    SELECT doc_id, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, '|')) AS evidence_md5 FROM o
+""")
 def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence ends need a look behind, which the comparison's regular expressions lack."""
     found = text.evidence(F.col("text"), ["the", "und", "que"])
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n"), F.md5(F.array_join(found, "|")).alias("evidence_md5"))
 

@@ -17,18 +17,29 @@ def replace_children(children: DataFrame, fresh: DataFrame, parents: DataFrame,
     return children.join(parents.select(key).distinct(), key, "left_anti").unionByName(fresh)
 
 
-def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The target and those incoming rows whose key it lacks."""
-    return target.unionByName(incoming.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*target.columns))
+def one_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first row of each key by ``order``, then by the rows' JSON, so that which one stays is defined; null keys are
+    a key. Rows are compared before the shuffle, so a key that very many rows have is no group in one task."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    place = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.to_json(whole).alias("j"))
+    return rows.groupBy(*keys).agg(F.min_by(whole, place).alias("_row")).select("_row.*")
 
 
-def upsert(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """The incoming rows, and the target's others."""
-    return target.join(incoming.select(*keys), keys, "left_anti").select(*target.columns).unionByName(incoming.select(*target.columns))
+def insert_ignore(target: DataFrame, incoming: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The target and, of those incoming rows whose key it lacks, the first of each key (see ``one_per_key``)."""
+    return target.unionByName(one_per_key(incoming.select(*target.columns), keys, *order).join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def update_columns(target: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The target with ``columns`` taken from ``values`` where it has the key; other rows keep theirs."""
+def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """The first incoming row of each key (see ``one_per_key``), and the target's others."""
+    new = one_per_key(incoming.select(*target.columns), keys, *order)
+    return target.join(new.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new)
+
+
+def update_columns(target: DataFrame, values: DataFrame, key: str, columns: list[str], *order: Column) -> DataFrame:
+    """The target with ``columns`` taken from the first row of ``values`` of its key (see ``one_per_key``); rows without
+    one keep theirs. No row is added or lost."""
+    values = one_per_key(values.select(key, *columns), [key], *order)
     new = values.select(key, F.lit(True).alias("_has"), *(F.col(c).alias(f"_new_{c}") for c in columns))
     joined = target.join(new, key, "left")
     return joined.select(*(F.when(F.col("_has"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns))

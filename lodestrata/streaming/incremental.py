@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.fuse import first_by
+from pyspark.sql.types import StructType
 
 
 def landing(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
@@ -25,8 +26,38 @@ def windowed_counts(stream: DataFrame, time_col: str, key: str, value: str, size
 
 
 def latest(batch: DataFrame, keys: list[str], time_col: str, tie: str) -> DataFrame:
-    """The last row of each key in a batch."""
-    return first_by(batch, keys, F.desc(time_col), F.desc(tie))
+    """The last row of each key; rows are compared before the shuffle."""
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(time_col, tie)).alias("_row")).select("_row.*")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, read from the session; only a local session without one gets a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or tempfile.mkdtemp(prefix="lodestrata-")
+
+
+def change_log(spark: SparkSession, path: str, schema: StructType, keys: list[str], time_col: str, tie: str) -> Callable[[DataFrame, int], None]:
+    """A merge for ``upsert_stream``: a micro-batch leaves its last row of each key under its own number, so a repeated
+    epoch writes the same again and a restart needs nothing from the driver. No batch rewrites what others left. The
+    log begins with a batch of no rows, so that it can be read before any comes."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/epoch=-1")
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        latest(batch, keys, time_col, tie).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return merge
+
+
+def state(spark: SparkSession, path: str, schema: StructType, keys: list[str], time_col: str, tie: str) -> DataFrame:
+    """What a change log comes to: the last row of each key over all batches; none if no batch came."""
+    return latest(spark.read.schema(schema).parquet(path).select(*schema.names), keys, time_col, tie)
+
+
+def compact(spark: SparkSession, path: str, into: str, schema: StructType, keys: list[str], time_col: str, tie: str) -> None:
+    """Write a log's state as one batch of a new log, when there are many."""
+    state(spark, path, schema, keys, time_col, tie).write.parquet(f"{into}/epoch=0")
 
 
 def upsert_stream(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
