@@ -27,12 +27,15 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def group_chunks(chunks: DataFrame, parent: str, score: str, order: str, text: str, pieces: int = 3, most: int = 1500) -> DataFrame:
-    """Per parent: max and mean score, number of chunks, and its best chunks' text joined and cut."""
-    w = Window.partitionBy(parent).orderBy(F.desc(score), order)
-    top = chunks.withColumn("_n", F.row_number().over(w))
-    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= pieces, F.struct("_n", text)))), lambda s: s[text]), "\n")
-    return top.groupBy(parent).agg(F.max(score).alias("most"), F.avg(score).alias("mean"), F.count("*").alias("n"), F.substring(texts, 1, most).alias("excerpt"))
+def group_chunks(chunks: DataFrame, parent: str | list[str], score: str, order: str, text: str, pieces: int = 3, most: int = 1500, most_of: str | None = None) -> DataFrame:
+    """Per parent: max and mean score, number of chunks, and its best chunks' text joined and cut; with ``most_of`` also
+    the highest value of that column (``also``)."""
+    keys = [parent] if isinstance(parent, str) else parent
+    top = top_per(chunks.select(*keys, score, order, text), keys, pieces, F.desc(score), F.col(order))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", text))), lambda s: s[text]), "\n")
+    excerpts = top.groupBy(*keys).agg(F.substring(texts, 1, most).alias("excerpt"))
+    also = [F.max(most_of).alias("also")] if most_of else []
+    return chunks.groupBy(*keys).agg(F.max(score).alias("most"), F.avg(score).alias("mean"), F.count("*").alias("n"), *also).join(excerpts, keys)
 
 
 def top_per(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:

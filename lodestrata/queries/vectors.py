@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import parent_score
-from ..operators import fuse, vector
+from ..operators import fuse, keyword, vector
 from .registry import Registry, table
 
 query = Registry()
@@ -121,4 +121,90 @@ def knn_fingerprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vector.knn(*both(spark, sf_dir), k=6, least=0.30)).where("vec_id <> query_id").select("query_id", "vec_id", "similarity")
 
 
+_QUERIES = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = vector.of_dimension(table(spark, sf_dir, "embeddings"), "embedding", DIMENSION).select("vec_id", "label", F.col("embedding").alias("vector"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector"), e
+
+
+@query(f"""
+    WITH {_QUERIES},
+    c AS (SELECT vec_id, o_orderkey, o_orderdate, o_orderstatus, embedding::DOUBLE[] AS v FROM embeddings JOIN orders ON o_orderkey = vec_id WHERE year(o_orderdate) BETWEEN 1995 AND 1997 AND o_orderstatus = 'F'),
+    s AS (SELECT query_id, c.*, list_cosine_similarity(e, v) AS sim FROM q, c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS n FROM s WHERE sim >= 0.15)
+    SELECT query_id, vec_id, strftime(o_orderdate, '%Y-%m-%d') AS dated, round(sim, 6) AS similarity, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 20
+""")
+def knn_filtered_by_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows among those whose parent has a year and a type: joined and filtered before the search."""
+    asked, e = _asked(spark, sf_dir)
+    parents = table(spark, sf_dir, "orders").where(F.year("o_orderdate").between(1995, 1997) & (F.col("o_orderstatus") == "F")).select(F.col("o_orderkey").alias("vec_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dated"))
+    fitting = e.join(parents, "vec_id")
+    found = vector.knn(asked, fitting.select("vec_id", F.col("vec_id").alias("parent"), "vector"), 20, least=0.15)
+    return rounded(found.join(parents, "vec_id")).select("query_id", "vec_id", "dated", "similarity", "rank")
+
+
+@query(f"""
+    WITH {_QUERIES},
+    f AS (SELECT l_orderkey, arg_min(l_returnflag, (l_linenumber, l_partkey)) AS mode FROM lineitem GROUP BY l_orderkey),
+    s AS (SELECT query_id, vec_id, o_orderpriority, mode, list_cosine_similarity(e, embedding::DOUBLE[]) AS sim FROM q, embeddings JOIN orders ON o_orderkey = vec_id LEFT JOIN f ON l_orderkey = vec_id WHERE embedding IS NOT NULL AND o_orderstatus = 'O'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS n FROM s WHERE sim >= 0.10)
+    SELECT query_id, vec_id, o_orderpriority, mode, round(sim, 6) AS similarity FROM r WHERE n <= 10
+""")
+def knn_with_first_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest parents of a type, each with its first child."""
+    asked, e = _asked(spark, sf_dir)
+    parents = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("vec_id"), "o_orderpriority")
+    found = vector.knn(asked, e.where("vector is not null").join(parents, "vec_id").select("vec_id", F.col("vec_id").alias("parent"), "vector"), 10, least=0.10)
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("vec_id")).agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey")).alias("mode"))
+    return rounded(found.join(parents, "vec_id").join(first, "vec_id", "left")).select("query_id", "vec_id", "o_orderpriority", "mode", "similarity")
+
+
+_RANKED = f"""
+    {_QUERIES},
+    c AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, coalesce(p_size, 5) AS level, CASE WHEN contains(lower(coalesce(p_name, '')), 'red') THEN 0.35 WHEN contains(lower(coalesce(p_name, '')), 'ring') THEN 1.08 ELSE 1.0 END::DOUBLE AS quality
+          FROM embeddings LEFT JOIN part ON p_partkey = vec_id WHERE embedding IS NOT NULL AND (p_size IS NULL OR p_size <= 45) AND (p_retailprice IS NULL OR p_retailprice >= 905) AND (p_brand IS NULL OR p_brand NOT LIKE 'Brand#5%')),
+    s AS (SELECT query_id, c.*, list_cosine_similarity(e, v) AS sim FROM q, c WHERE vec_id <> query_id),
+    t AS (SELECT *, sim * quality AS ranking, max(sim) OVER (PARTITION BY query_id) AS top FROM s),
+    u AS (SELECT *, CASE WHEN top >= 0.40 THEN 0.40 WHEN top >= 0.32 THEN 0.32 WHEN top >= 0.25 THEN 0.25 END AS step FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ranking DESC, vec_id) AS n FROM u WHERE sim >= step)
+"""
+
+
+def _ladder_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, vec_id, label, level, similarity, ranking): the first step of the ladder with rows that are valid and
+    of the wanted domain, by similarity times the title's quality, 40 of a query. Rows without a parent stay. As quality
+    has three values, the best 40 of each value hold the best 40 of all."""
+    asked, e = _asked(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("vec_id"), "p_name", "p_size", "p_retailprice", "p_brand")
+    valid = (F.col("p_size").isNull() | (F.col("p_size") <= 45)) & (F.col("p_retailprice").isNull() | (F.col("p_retailprice") >= 905)) & (F.col("p_brand").isNull() | ~F.col("p_brand").startswith("Brand#5"))
+    quality = keyword.title_quality(F.coalesce("p_name", F.lit("")), "ring", "red")
+    rows = e.where("vector is not null").join(p, "vec_id", "left").where(valid).select("vec_id", "label", "vector", F.coalesce("p_size", F.lit(5)).alias("level"), quality.alias("quality"))
+    near = vector.knn_by_parent(asked, rows.select("vec_id", (F.col("quality") * 100).cast("long").alias("parent"), "vector"), 41).where("vec_id <> query_id").drop("rank")
+    fitting = vector.ladder(near, STEPS).join(rows.drop("vector"), "vec_id").withColumn("ranking", F.col("similarity") * F.col("quality"))
+    return fuse.top_per(fitting, ["query_id"], 40, F.desc("ranking"), F.col("vec_id"))
+
+
+@query(f"WITH {_RANKED} SELECT query_id, vec_id, level, round(sim, 6) AS similarity, round(ranking, 6) AS ranking FROM r WHERE n <= 40")
+def knn_ladder_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ladder_ranked(spark, sf_dir).select("query_id", "vec_id", "level", F.round("similarity", 6).alias("similarity"), F.round("ranking", 6).alias("ranking"))
+
+
+@query(f"""
+    WITH {_RANKED},
+    d AS (SELECT query_id, label, sim, ranking, vec_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY query_id, label ORDER BY ranking DESC, vec_id) AS k FROM r LEFT JOIN documents ON doc_id = vec_id WHERE n <= 40),
+    g AS (SELECT query_id, label, max(sim) AS most, max(ranking) AS best, count(*) AS n, substring(string_agg(text, chr(10) ORDER BY k) FILTER (WHERE k <= 3), 1, 1500) AS excerpt FROM d GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, label) AS k FROM g)
+    SELECT query_id, label, round(most, 6) AS most, round(best, 6) AS best, n, md5(excerpt) AS excerpt_md5 FROM o WHERE k <= 3
+""")
+def knn_grouped_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranked chunks by parent: best similarity and rank score, and the first three chunks' text."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    rows = _ladder_ranked(spark, sf_dir).join(texts, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    grouped = fuse.group_chunks(rows, ["query_id", "label"], "ranking", "vec_id", "text", most_of="similarity")
+    top = fuse.top_per(grouped, ["query_id"], 3, F.desc("most"), F.col("label"))
+    return top.select("query_id", "label", F.round("also", 6).alias("most"), F.round("most", 6).alias("best"), "n", F.md5("excerpt").alias("excerpt_md5"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
