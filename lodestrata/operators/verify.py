@@ -43,3 +43,16 @@ def threshold_holds(value: Column, operator: Column, threshold: Column) -> Colum
         .when(operator == ">=", value >= threshold)
         .when(operator.isin("=", "=="), value == threshold)
     )
+
+
+def phrase_flags(texts: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str, str, int, str]]) -> DataFrame:
+    """(id, flag, severity) of each rule (flag, severity, anchor, phrase, within, excuse) that a text breaks: the phrase
+    stands within so many characters behind the anchor, or before it, and the excuse nowhere in the text. Anchor, phrase
+    and excuse are patterns; an empty excuse excuses nothing."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    flags = []
+    for flag, severity, anchor, phrase, within, excuse in rules:
+        near = low.rlike(f"(?s)(?:{anchor}).{{0,{within}}}(?:{phrase})|(?:{phrase}).{{0,{within}}}(?:{anchor})")
+        hit = near & ~low.rlike(excuse) if excuse else near
+        flags.append(F.when(hit, F.struct(F.lit(flag).alias("flag"), F.lit(severity).alias("severity"))))
+    return texts.select(id_col, F.explode(F.array_compact(F.array(*flags))).alias("f")).select(id_col, "f.flag", "f.severity")
