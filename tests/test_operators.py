@@ -68,11 +68,75 @@ def test_keyword_needles_are_literal(spark):
 
 
 def test_merges(spark):
-    target = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    incoming = spark.createDataFrame([(2, "x"), (3, "c"), (3, "c")], "k int, v string")
-    assert sorted(map(tuple, sinks.insert_ignore(target, incoming, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "c")]
-    assert sorted(map(tuple, sinks.upsert(target, incoming.distinct(), ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "c")]
-    assert sorted(map(tuple, sinks.update_columns(target, incoming.distinct(), "k", ["v"]).collect())) == [(1, "a"), (2, "x")]
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    incoming = spark.createDataFrame([(2, "x"), (3, "c"), (3, "d"), (2, "y")], "k int, v string")
+    kept = lambda df: sorted(map(str, map(tuple, df.collect())))
+    rows = lambda *r: sorted(map(str, r))
+    assert kept(sinks.insert_ignore(target, incoming, ["k"])) == rows((1, "a"), (2, "b"), (3, "c"), (None, "n"))
+    assert kept(sinks.upsert(target, incoming, ["k"])) == rows((1, "a"), (2, "x"), (3, "c"), (None, "n"))
+    assert kept(sinks.upsert(target, incoming, ["k"], -F.ascii("v"))) == rows((1, "a"), (2, "y"), (3, "d"), (None, "n"))
+    assert kept(sinks.update_columns(target, incoming, "k", ["v"])) == rows((1, "a"), (2, "x"), (None, "n"))
+    assert kept(sinks.replace_children(incoming, target, target.where("k = 2"), "k")) == rows((1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "n"))
+
+
+def test_request_lines_and_jdbc(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, v string")
+    sinks.request_lines(rows, str(tmp_path / "lines"), "id", "v")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "lines")).collect()) == ['{"id":1,"v":"a"}', '{"id":2}']
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(50).select(F.col("id").cast("int").alias("ID"), F.lit("x").alias("V")).write.jdbc(url, "T", properties={"driver": driver})
+    found = readers.jdbc(spark, url, "T", "ID", 0, 50, 4, driver=driver)
+    assert found.rdd.getNumPartitions() == 4 and sorted(r.ID for r in found.collect()) == list(range(50))
+
+
+def plain_rerank(rows, k, advocate):
+    """Rows (id, priority, pin order, score, asked, outlier) in their order."""
+    if len(rows) <= k:
+        return [r[0] for r in rows]
+    inf = float("inf")
+    pins = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], inf if r[2] is None else r[2], -r[3]))
+    if len(pins) >= k:
+        return [r[0] for r in pins[:k]]
+    rest, slots = [r for r in rows if r[1] is None], k - len(pins)
+    heard = lambda rs: sorted(rs, key=lambda r: inf if r[4] is None else r[4])
+    if not advocate:
+        return [r[0] for r in pins + heard(rest)[:slots]]
+    out, plain = [r for r in rest if r[5]], [r for r in rest if not r[5]]
+    free = slots - min(1, len(out))
+    return [r[0] for r in pins + (plain if len(plain) <= free else heard(plain)[:free]) + out[:1]]
+
+
+def test_rerank_against_a_plain_version(spark):
+    import random
+
+    rng = random.Random(3)
+    cases = {}
+    for q in range(120):
+        n = rng.randint(1, 12)
+        asked = rng.sample(range(n), n)
+        cases[q] = [(100 * q + i, rng.choice([None, None, None, 1, 2, 3]), rng.choice([None, i]), rng.randint(0, 5), asked[i] if rng.random() < 0.6 else None, rng.random() < 0.2) for i in range(n)]
+    df = spark.createDataFrame([(q, i, *r) for q, rows in cases.items() for i, r in enumerate(rows)], "q int, place int, id int, p int, o int, s int, asked int, out boolean")
+    for advocate in (False, True):
+        found = {}
+        ties = [F.desc_nulls_last(F.when(F.col("p").isNotNull(), F.col("s")))]
+        for r in fuse.rerank(df, ["q"], 5, "p", "o", ties, "place", "asked", "out" if advocate else None).orderBy("q", "rank").collect():
+            found.setdefault(r.q, []).append((r["rank"], r.id))
+        for q, rows in cases.items():
+            expected = plain_rerank(rows, 5, advocate)
+            assert [i for _, i in found[q]] == expected and [k for k, _ in found[q]] == list(range(1, len(expected) + 1)), rows
+
+
+def test_pins(spark):
+    rows = [(["case_number"], 0.1, None, 0, False, 9), (["pasted_text"], 0.94, None, 0, False, 1), (["pasted_text"], 0.95, None, 0, False, 1), (["case_card_keyword"], 0.1, None, 0, True, 5), (["case_card_keyword"], 0.1, None, 0, True, 6), ([], 0.1, "high", 50, False, 2), ([], 0.9, "high", 49, False, 2), (["fingerprint"], None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "s array<string>, r double, c string, n int, e boolean, p int")
+    priority, order = fuse.pinned(*(F.col(c) for c in "srcnep"))
+    assert [tuple(r) for r in df.select(priority, order).collect()] == [(3, None), (None, None), (1, None), (1, 5), (None, None), (1, None), (None, None), (2, None)]
+
+
+def test_group_chunks(spark):
+    rows = spark.createDataFrame([(1, i, 0.1 * i, f"t{i}") for i in range(6)] + [(2, 9, 0.5, "only")], "p int, i int, s double, t string")
+    found = {r.p: r for r in fuse.group_chunks(rows, "p", "s", "i", "t").collect()}
+    assert (found[1].most, found[1].n, found[1].excerpt, found[2].excerpt) == (0.5, 6, "t5\nt4\nt3", "only")
 
 
 def test_readers(spark, tmp_path):

@@ -29,12 +29,16 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
 
 def test_upserts_keep_the_last_row_of_each_key(spark, tmp_path):
     land(spark, tmp_path, [(1, 0, 5, 7, 1.0), (2, 0, 50, 8, 2.0)], [(3, 1, 5, 7, 4.0), (4, 1, 5, 7, 5.0)])
-    state: list[str] = []
-
-    def merge(batch, epoch):
-        both = batch.unionByName(spark.read.parquet(state[-1])) if state else batch
-        incremental.latest(both, ["user_id"], "ts", "event_id").write.mode("overwrite").parquet(f"{tmp_path}/state-{epoch}")
-        state.append(f"{tmp_path}/state-{epoch}")
-
-    incremental.upsert_stream(incremental.landing(spark, f"{tmp_path}/in", SCHEMA, files=1), merge, f"{tmp_path}/checkpoint").awaitTermination()
-    assert len(state) == 2 and sorted((r.user_id, r.event_id) for r in spark.read.parquet(state[-1]).collect()) == [(7, 4), (8, 2)]
+    stream = incremental.landing(spark, f"{tmp_path}/in", SCHEMA, files=1)
+    log = (f"{tmp_path}/log", stream.schema, ["user_id"], "ts", "event_id")
+    assert incremental.change_log(spark, *log) and incremental.state(spark, *log).count() == 0
+    merge = incremental.change_log(spark, *log)
+    incremental.upsert_stream(stream, merge, f"{tmp_path}/checkpoint").awaitTermination()
+    now = lambda *at: sorted((r.user_id, r.event_id) for r in incremental.state(spark, *at).collect())
+    assert now(*log) == [(7, 4), (8, 2)]
+    merge(spark.read.parquet(f"{tmp_path}/in").where("event_id = 1"), 0)  # an epoch that comes again
+    land(spark, tmp_path, [(5, 2, 0, 8, 1.0)])  # and a restart with a new driver's merge
+    incremental.upsert_stream(incremental.landing(spark, f"{tmp_path}/in", SCHEMA, files=1), incremental.change_log(spark, *log), f"{tmp_path}/checkpoint").awaitTermination()
+    assert now(*log) == [(7, 4), (8, 5)]
+    incremental.compact(spark, log[0], f"{tmp_path}/new", *log[1:])
+    assert now(f"{tmp_path}/new", *log[1:]) == [(7, 4), (8, 5)]
