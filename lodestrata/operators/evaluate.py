@@ -24,11 +24,11 @@ def scenario_passes(all_matched: Column, forbidden_hits: Column) -> Column:
     return all_matched & (forbidden_hits == 0)
 
 
-def compare_runs(a: DataFrame, b: DataFrame, metrics: list[str]) -> DataFrame:
-    """Differences of two one-row metric tables, in percentage points."""
-    left = a.select(*(F.col(m).alias(f"a_{m}") for m in metrics))
-    right = b.select(*(F.col(m).alias(f"b_{m}") for m in metrics))
-    return left.join(right, F.lit(True)).select(*(F.round(100 * (F.col(f"b_{m}") - F.col(f"a_{m}")), 2).alias(f"{m}_change") for m in metrics))
+def compare_runs(runs: DataFrame, which: Column, metrics: dict[str, Column]) -> DataFrame:
+    """Differences of two runs' mean metrics, in percentage points: of the rows for which ``which`` is true against the
+    others. One pass over all rows; no join."""
+    of = lambda m, side: F.avg(F.when(which if side else ~which, m))
+    return runs.agg(*(F.round(100 * (of(m, True) - of(m, False)), 2).alias(f"{name}_change") for name, m in metrics.items()))
 
 
 def stratified(rows: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import meaningful, tokens
+from ..functions.text import meaningful, tokens, words
 
 
 def contains(text: Column, needle: str | Column) -> Column:
@@ -109,6 +109,26 @@ def terms_in(terms: DataFrame, docs: DataFrame, term_col: str, text_col: str) ->
     return reduce(DataFrame.unionByName, [docs.join(F.broadcast(part), hit) for part in in_blocks(terms, term_col)])
 
 
+def small(rows: DataFrame, most: int = 100 * ENTRIES) -> DataFrame:
+    """``rows``, to be broadcast if their number, which is counted, allows it."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def passages_in(passages: DataFrame, docs: DataFrame, passage_col: str, text_col: str) -> DataFrame:
+    """Each text with each passage that it holds, word for word and case for case.
+
+    A passage's words but the first and the last stand whole in a text that holds it: passages are joined to texts by
+    the longest of these, and then compared. Passages of two words or fewer are compared with all texts, in blocks.
+    """
+    found = words(F.col(passage_col))
+    inner = F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0)))
+    keyed = passages.where(F.col(passage_col) != "").withColumn("_word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    holds = F.contains(F.col(text_col), F.col(passage_col))
+    by_word = docs.select("*", F.explode(F.array_distinct(words(F.col(text_col)))).alias("_word")).join(small(keyed.where("_word is not null")), "_word").where(holds).drop("_word")
+    short = keyed.where("_word is null").drop("_word")
+    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(part), holds) for part in in_blocks(short, passage_col)], by_word)
+
+
 def needed_matches(n: Column) -> Column:
     """Of n query tokens (three or more) so many must match: 70 per cent, three at least."""
     return F.greatest(F.lit(3), F.ceil(0.7 * n).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluate
+from ..operators import evaluate, keyword
 from ..plans.retrieval import RetrievalPlan, hybrid
 from .registry import Registry, table
 from .texts import STOP, tokens_sql, words_sql
@@ -44,9 +44,9 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item_id, count(doc_id) AS n_documents, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id
 """)
 def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold an item word for word; the items are few and are joined by containment."""
+    """The documents that hold an item word for word."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    found = table(spark, sf_dir, "documents").join(b, F.col("text").contains(F.col("item"))).groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
+    found = keyword.passages_in(b, table(spark, sf_dir, "documents").select("doc_id", "text"), "item", "text").groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc"))
     return b.join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
 
 

@@ -32,15 +32,14 @@ def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH wanted AS (SELECT * FROM part WHERE p_type IN ('no such type'))
-    SELECT p_partkey, p_type FROM part WHERE p_type IN ('no such type') OR NOT EXISTS (SELECT 1 FROM wanted)
+    WITH h AS (SELECT p_partkey, p_brand, lower(trim(p_type)) IN ('eco', 'economy brass', 'promo tin') OR p_size >= 48 AS hit FROM part)
+    SELECT p_partkey, p_brand FROM (SELECT *, bool_or(coalesce(hit, false)) OVER (PARTITION BY p_brand) AS any_hit FROM h) WHERE coalesce(hit, false) OR NOT any_hit
 """)
 def domain_filter_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A filter that is lifted if nothing passes it."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    hit = F.col("p_type").isin("no such type")
-    any_ = p.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("any"))
-    return p.join(F.broadcast(any_), hit | ~F.col("any")).drop("any")
+    """For each brand a filter by domain, which is lifted where nothing passes it."""
+    p = table(spark, sf_dir, "part")
+    hit = F.coalesce(F.lower(F.btrim("p_type")).isin("eco", "economy brass", "promo tin") | (F.col("p_size") >= 48), F.lit(False))
+    return fuse.with_fallback(p.where(hit).select("p_partkey", "p_brand"), p.select("p_partkey", "p_brand"), ["p_brand"])
 
 
 @query("""

@@ -208,9 +208,8 @@ def headed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT round(100 * (b.good - a.good), 2) AS good_change, round(100 * (b.clean - a.clean), 2) AS clean_change FROM a, b
 """)
 def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = [F.avg((F.col("quality") == 1).cast("int")).alias("good"), F.avg((F.col("toxic") == 0).cast("int")).alias("clean")]
-    lab = table(spark, sf_dir, "labels")
-    return evaluate.compare_runs(lab.where("doc_id % 2 = 0").agg(*rates), lab.where("doc_id % 2 = 1").agg(*rates), ["good", "clean"])
+    metrics = {"good": (F.col("quality") == 1).cast("int"), "clean": (F.col("toxic") == 0).cast("int")}
+    return evaluate.compare_runs(table(spark, sf_dir, "labels"), F.col("doc_id") % 2 == 1, metrics)
 
 
 @query("""
