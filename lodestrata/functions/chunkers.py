@@ -59,6 +59,19 @@ def packed_paragraphs(text: str, size: int = 800, carry: int = 80, whole: int =
     return [*out, buffer] if buffer else out
 
 
+def buffered_paragraphs(text: str, size: int = 2000, least: int = 20, rest: int = 50) -> list[str]:
+    """Lines of ``least`` characters or more, joined by blanks until there are ``size`` characters; what is left at the
+    end counts from ``rest`` characters on."""
+    out, buffer = [], ""
+    for line in (" ".join(x.split()) for x in text.split("\n")):
+        if len(line) >= least:
+            buffer += " " + line
+            if len(buffer) >= size:
+                out.append(buffer.strip())
+                buffer = ""
+    return [*out, buffer.strip()] if len(buffer.strip()) > rest else out
+
+
 def chunk_with(docs: DataFrame, chunker: Callable[[str], list[str]], id_col: str, text_col: str) -> DataFrame:
     """(id, chunk_index, content) by a chunker of one text; null texts have no chunks."""
     kind = dict(docs.dtypes)[id_col]

@@ -80,3 +80,49 @@ def extract_facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32())], [id_col, "kind", "value", "offset"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, kind string, value double, offset int")
+
+
+def tagged(text: Column, tags: list[tuple[str, list[str]]], every: tuple[str, ...] = ()) -> Column:
+    """The tags of which a needle occurs (of those in ``every``: all needles), in order."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def holds(name: str, needles: list[str]) -> Column:
+        out = F.lit(name in every)
+        for n in needles:
+            out = out & low.contains(n) if name in every else out | low.contains(n)
+        return out
+
+    return F.array_compact(F.array(*(F.when(holds(n, ws), F.lit(n)) for n, ws in tags)))
+
+
+NUMBER = re.compile(r"(?<![^\W_])((?:\d{1,3}(?:[\s\u00a0]\d{3})+|\d+)(?:[.,]\d+)?)(?![^\W_])")
+
+
+def claims(text: str, currency: tuple[str, ...], context: tuple[str, ...], kinds: list[tuple[str, tuple[str, ...]]], default: str) -> list[tuple[str, int, int]]:
+    """(kind, value, offset) of sums: whole numbers above zero with a currency within 70 characters behind their start
+    and a word of ``context`` within 180 before or 140 behind it. The kind is that whose keyword stands nearest before,
+    within 220 characters, the first of equals; ``default`` if none does."""
+    out, low = [], text.lower()
+    for m in NUMBER.finditer(low):
+        at = m.start(1)
+        value = int(float(re.sub(r"[\s\u00a0]", "", m[1]).replace(",", ".")))
+        if value <= 0 or not any(c in low[at : at + 70] for c in currency) or not any(c in low[max(0, at - 180) : at + 140] for c in context):
+            continue
+        before = low[max(0, at - 220) : at]
+        near = [(max(before.rfind(w) for w in words), -i, kind) for i, (kind, words) in enumerate(kinds)]
+        best = max(near, default=(-1, 0, default))
+        out.append((best[2] if best[0] >= 0 else default, value, at))
+    return out
+
+
+def extract_claims(docs: DataFrame, id_col: str, text_col: str, **rules) -> DataFrame:
+    """(id, kind, value, offset) of every claim in every text (see ``claims``)."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *c) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in claims(t or "", **rules)]
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int32())], [id_col, "kind", "value", "offset"])
+
+    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, kind string, value long, offset int")

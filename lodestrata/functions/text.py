@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: A small neutral list; corpora bring their own.
 STOP_WORDS = ("that", "with", "this", "from", "were", "which", "dans", "pour", "avec", "para", "nicht", "eine", "einer", "sich", "queda", "como")
+#: Common entities; the ampersand last, so that none is decoded twice.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Tried in this order; what is left must have three characters or more.
 SUFFIXES = ("ation", "ement", "ungen", "mente", "ing", "ung", "ion", "ed", "en", "er", "es", "s")
 
@@ -92,11 +94,32 @@ def html_text(html: Column) -> Column:
     """Text of a page: scripts, styles and comments go, block tags become spaces, common entities are decoded."""
     out = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.btrim(F.regexp_replace(out, r"[ \t\n\r\f\x0B ]+", " "))
 
 
+#: Fixed value: letters whose words come apart into single letters.
+SPACED = "[\u10d0-\u10ff]"
+
+
+def rich_text(html: Column, plain: Column | None = None, letter: str = SPACED) -> Column:
+    """Text of a page with its line structure; ``plain`` instead if the page has no text.
+
+    Raised numbers become ^N, block tags line breaks, entities characters; words of ``letter`` that are set in single
+    letters, three or more, are joined; control characters go, blanks and more than two line breaks are reduced.
+    """
+    out = F.regexp_replace(html, r"(?i)<sup[^>]*>([0-9]+)</sup>", r"^$1")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?i)</?(p|div|br|li|tr|h[1-6])[^>]*>", "\n"), r"<[^>]*>", "")
+    for entity, char in ENTITIES:
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    if plain is not None:
+        out = F.when(F.btrim(F.regexp_replace(html, r"<[^>]*>", ""), F.lit(BLANK)) != "", out).otherwise(F.coalesce(plain, F.lit("")))
+    out = F.regexp_replace(out, f"(?<={letter} {letter}) (?={letter})|(?<={letter}) (?={letter} {letter})", "")
+    out = F.regexp_replace(out, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return F.btrim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"), F.lit(BLANK))
+
+
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
@@ -119,6 +142,20 @@ def any_date(text: Column) -> Column:
     return F.coalesce(F.try_to_date(padded, "yyyy-MM-dd"), F.try_to_date(text, "dd/MM/yyyy"))
 
 
+def last_date(text: Column) -> Column:
+    """The last DD/MM/YYYY in a text as YYYY-MM-DD."""
+    dates = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"), F.lit(0))
+    parts = F.split(F.try_element_at(dates, F.lit(-1)), "/")
+    return F.when(F.size(dates) > 0, F.concat_ws("-", F.get(parts, 2), F.lpad(F.get(parts, 1), 2, "0"), F.lpad(F.get(parts, 0), 2, "0")))
+
+
+def numbered_parts(docs: DataFrame, id_col: str, text_col: str, size: int = 2000, least: int = 30) -> DataFrame:
+    """(id, part, content): trimmed pieces of ``size`` characters of ``least`` characters or more, numbered from one
+    without gaps."""
+    found = fixed_chunks(docs, id_col, text_col, size, 0, least)
+    return found.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("chunk_index")).alias("part"), "content")
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])[ \t\n\r\f\x0B]+"), lambda s: s != "")
 

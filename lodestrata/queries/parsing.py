@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing
+from ..functions import chunkers, parsing, rules, text
 from ..operators import verify
 from .registry import Registry, table
 
@@ -112,8 +112,8 @@ def context_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     mode = F.when(F.col("lang") == "en", "explain").when(F.col("lang") == "de", "summarize").when(F.col("lang") == "fr", "compare").otherwise("find")
     excerpt = F.when(F.col("quality") == 1, F.left(F.coalesce("text", F.lit("")), F.lit(900)))
-    text, name = parsing.context_text(excerpt, F.col("text"), F.when(F.col("toxic") == 1, "supporting"), mode, 1 + F.col("n_chars") % 6)
-    return d.select("doc_id", name.alias("strategy"), text.alias("t")).select("doc_id", "strategy", F.length("t").alias("n_chars"), F.md5("t").alias("context_md5"))
+    context, name = parsing.context_text(excerpt, F.col("text"), F.when(F.col("toxic") == 1, "supporting"), mode, 1 + F.col("n_chars") % 6)
+    return d.select("doc_id", name.alias("strategy"), context.alias("t")).select("doc_id", "strategy", F.length("t").alias("n_chars"), F.md5("t").alias("context_md5"))
 
 
 TEMPLATES = {"large": "Case:\nThe issue is: {query}{category}\n\nTask:\n1. Name the issue.\n2. Find sources.\n", "full": "Whole case:\n{query}{category}\n\nMore facts:\nLetters were sent.\n"}
@@ -192,4 +192,74 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("conv_id").agg(F.count_if(F.col("role") != "user").alias("n_answers"), n.alias("n_sources")).where("n_sources > 0")
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(13) || chr(0) || chr(11)"
+
+
+@query(rf"""
+    WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?i)<sup[^>]*>([0-9]+)</sup>', '^\1', 'g'), '(?i)</?(p|div|br|li|tr|h[1-6])[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM a),
+    c AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[ 	]+', ' ', 'g'), '
+{{3,}}', chr(10) || chr(10), 'g'), {_BLANK}) AS t FROM b)
+    SELECT page_id, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5 FROM c
+""")
+def page_rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as text with their lines. (No page has words in single letters, which SQL could not join.)"""
+    found = table(spark, sf_dir, "pages").select("page_id", text.rich_text(F.col("html")).alias("t"))
+    return found.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, 'placed, ' || strftime(o_orderdate, '%d/%m/%Y') || ', no. ' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ', changed 1/2/' || (year(o_orderdate) + 1) ELSE '' END AS t, o_orderdate FROM orders)
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN (year(o_orderdate) + 1) || '-02-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS dated FROM o
+""")
+def last_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last date that a note names."""
+    changed = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(", changed 1/2/"), (F.year("o_orderdate") + 1).cast("string"))).otherwise("")
+    note = F.concat(F.lit("placed, "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(", no. "), F.col("o_custkey").cast("string"), changed)
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.last_date(note).alias("dated"))
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, unnest(range(0, length(text), 2000)) AS start, text FROM documents), t AS (SELECT doc_id, start, trim(substring(text, start + 1, 2000), ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS content FROM c)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) AS INTEGER) AS part, md5(content) AS content_md5 FROM t WHERE length(content) >= 30
+""")
+def doc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces without overlap, numbered without gaps."""
+    return text.numbered_parts(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "part", F.md5("content").alias("content_md5"))
+
+
+@query(r"""
+    WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B]+', ' ', 'g'), ' ')), lambda x: length(x) >= 20) AS ls FROM documents),
+    r AS (
+        SELECT doc_id, ls, 0 AS i, CAST('' AS VARCHAR) AS buffer, CAST(NULL AS VARCHAR) AS done FROM p
+        UNION ALL
+        SELECT doc_id, ls, i + 1, CASE WHEN length(buffer) + 1 + length(ls[i + 1]) >= 2000 THEN '' ELSE buffer || ' ' || ls[i + 1] END, CASE WHEN length(buffer) + 1 + length(ls[i + 1]) >= 2000 THEN trim(buffer || ' ' || ls[i + 1], ' ') END FROM r WHERE i < len(ls)),
+    c AS (SELECT doc_id, i, done AS content FROM r WHERE done IS NOT NULL UNION ALL SELECT doc_id, i + 1, trim(buffer, ' ') FROM r WHERE i = len(ls) AND length(trim(buffer, ' ')) > 50)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, md5(content) AS content_md5 FROM c
+""")
+def doc_buffered_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs gathered to some 2000 characters; each sentence stands for a paragraph."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\n")))
+    return chunkers.chunk_with(docs, chunkers.buffered_paragraphs, "doc_id", "text").select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
+
+
+TAGS = [("annul", ["license", "copyright"]), ("damages", ["token", "password"]), ("order", ["the", "und", "que"]), ("stay", ["@"])]
+
+
+@query(f"""
+    WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+    SELECT doc_id, array_to_string(list_filter([{", ".join(f"CASE WHEN {(' AND ' if k == 'order' else ' OR ').join(chr(99) + f'ontains(t, {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{k}' END" for k, ws in TAGS)}], lambda x: x IS NOT NULL), ',') AS tags FROM t
+""")
+def outcome_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the outcomes and stages that a text speaks of; one needs all its needles."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(rules.tagged(F.col("text"), TAGS, ("order",)), ",").alias("tags"))
+
+
+@query()
+def attributed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in texts with the nearest keyword before them; tested against a plain version."""
+    kinds = [("counter", ("und", "token", "onthe")), ("main", ("de", "the", "password"))]
+    return rules.extract_claims(table(spark, sf_dir, "documents"), "doc_id", "text", currency=("a", "e"), context=("the", "de", "que"), kinds=kinds, default="claim")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

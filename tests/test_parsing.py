@@ -1,8 +1,9 @@
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
-from lodestrata.functions import parsing
+from lodestrata.functions import chunkers, parsing, rules, text
 from lodestrata.operators import verify
 
 
@@ -38,8 +39,8 @@ def test_issues_and_focus(spark):
 
 def test_context_by_role_mode_and_number(spark):
     def told(excerpt, full, role=None, mode="explain", total=1):
-        text, name = parsing.context_text(F.lit(excerpt).cast("string"), F.lit(full).cast("string"), F.lit(role).cast("string"), F.lit(mode), F.lit(total))
-        r = spark.range(1).select(text, name).first()
+        told_text, name = parsing.context_text(F.lit(excerpt).cast("string"), F.lit(full).cast("string"), F.lit(role).cast("string"), F.lit(mode), F.lit(total))
+        r = spark.range(1).select(told_text, name).first()
         return len(r[0]), r[1]
 
     e, f = "e" * 3000, "f" * 9000
@@ -63,3 +64,24 @@ def test_reviews_labels_and_due_dates(spark):
 def test_phrase_flags(spark):
     texts = spark.createDataFrame([(1, "We always win, says nobody"), (2, "always, but this is far from the word " + "x" * 50 + " win"), (3, "always win, we guess"), (4, None)], "id int, t string")
     assert [tuple(r) for r in verify.phrase_flags(texts, "id", "t", [("sure", "high", "always", "win", 10, "guess")]).collect()] == [(1, "sure", "high")]
+
+
+def test_rich_text_dates_and_parts(spark):
+    html = "<div>1. The x<sup>2</sup>&nbsp;law<br/>\u10d2 \u10d0 \u10dc is</div><p>a  b c</p><p></p><p></p>\x01end"
+    assert value(spark, text.rich_text(F.col("t")), html) == "1. The x^2 law\n\u10d2\u10d0\u10dc is\n\na b c\n\nend"
+    assert value(spark, text.rich_text(F.lit("<p> </p>"), F.col("t")), "plain") == "plain"
+    fragments = re.compile("(?:[\u10d0-\u10ff] ){2,}[\u10d0-\u10ff]")
+    for t in ("\u10d0 \u10d1", "\u10d0 \u10d1 \u10d2 x \u10d3", "\u10d0\u10d1 \u10d2 \u10d3\u10d4 \u10d5", "\u10d0  \u10d1 \u10d2", "\u10d0 \u10d1 \u10d2 \u10d3 \u10d4\u10d5 \u10d6 \u10d7"):
+        assert value(spark, text.rich_text(F.col("t")), t) == re.sub(" +", " ", fragments.sub(lambda m: m[0].replace(" ", ""), t))
+    assert [value(spark, text.last_date(F.col("t")), t) for t in ("a 21/11/1997, b 1/2/2003.", "none", None)] == ["2003-02-01", None, None]
+    df = spark.createDataFrame([(1, "x" * 40 + " " * 40 + "y" * 50)], "id int, t string")
+    assert [(r.part, r.content) for r in text.numbered_parts(df, "id", "t", 40, 30).orderBy("part").collect()] == [(1, "x" * 40), (2, "y" * 40)]
+    assert chunkers.buffered_paragraphs("a" * 19 + "\n" + "b" * 30 + "\n" + "c  c" * 10, 60) == ["b" * 30 + " " + "c c" * 10] and chunkers.buffered_paragraphs("b" * 50) == [] and chunkers.buffered_paragraphs("b" * 51) == ["b" * 51]
+
+
+def test_tags_and_claims(spark):
+    assert value(spark, rules.tagged(F.col("t"), [("a", ["x", "y"]), ("b", ["x", "z"])], ("b",)), "X only") == ["a"] and value(spark, rules.tagged(F.col("t"), [("a", ["x"])]), None) == []
+    told = {"currency": ("gel",), "context": ("claim",), "kinds": [("counter", ("counter",)), ("main", ("main",))], "default": "claim"}
+    t = "The main claim is 1 500 GEL, the counter claim 200.75 gel; 300 apples; 0 gel" + " " * 300 + "of 40 gel here"
+    assert rules.claims(t, **told) == [("main", 1500, 18), ("counter", 200, 47), ("counter", 300, 59)]  # the currency behind 0 counts for 300 too
+    assert rules.claims("claim of 70 gel", **told) == [("claim", 70, 9)] and rules.claims("70 gel", **told) == [] == rules.claims("", **told)
