@@ -80,6 +80,65 @@ def test_suffix_tree_sums_to_one_and_predicts(spark):
     assert per_symbol < -suffix_tree.score(held, model | {"tree": short}).agg(F.sum("score")).first()[0] / symbols - 0.2
 
 
+def plain_tree(texts, rare, divergence=1.0):
+    """The suffix tree by dictionaries: (k, context) -> (total, {symbol: n})."""
+    counts = {}
+    for t in texts:
+        data = suffix_tree.END * suffix_tree.DEPTH + t + suffix_tree.END
+        for i in range(suffix_tree.DEPTH, len(data)):
+            for k in range(suffix_tree.DEPTH + 1):
+                counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    least = max(4.0, rare * sum(counts[b""].values()) ** 0.5)
+    kept = {c: (sum(n.values()), {x: m for x, m in n.items() if 4 * m >= least}) for c, n in counts.items() if sum(n.values()) >= least}
+    nodes = {b""}
+    for c, (total, n) in kept.items():
+        shared = {x: m for x, m in n.items() if c and x in kept[c[1:]][1]}
+        gain = sum(2 * m * math.log(m / total / (kept[c[1:]][1][x] / kept[c[1:]][0])) for x, m in shared.items())
+        if shared and gain >= divergence * (len(shared) + 6 * math.sqrt(len(shared))):
+            nodes |= {c[i:] for i in range(len(c))}
+    return {c: kept[c] for c in nodes if kept[c][1]}
+
+
+def plain_chance(tree, context, symbol):
+    p = 1 / 256
+    for k in range(suffix_tree.DEPTH + 1):
+        own = context[len(context) - k :]
+        if own not in tree:
+            break
+        total, n = tree[own]
+        p = (1 - sum(max(m - suffix_tree.DISCOUNT, 0) / total for m in n.values())) * p + max(n.get(symbol, 0) - suffix_tree.DISCOUNT, 0) / total
+    return p
+
+
+def test_suffix_tree_score_matches_brute_force(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join(prose(rng, rng.randint(0, 60)).split())) for i in range(120)] + [(500, None), (501, " A  b\n"), (502, "é日本 the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = suffix_tree.train(docs.where("doc_id < 100"), rare=0.05)
+    tree = plain_tree([b" ".join(suffix_tree.words_of(t)) for i, t in rows if i < 100], 0.05)
+    assert len(tree) == sum(len(level[0]) for level in model["tree"]["levels"]) > 50
+    found = {r.doc_id: r.score for r in suffix_tree.score(docs, model).collect()}
+    for i, t in rows:
+        data = suffix_tree.END * suffix_tree.DEPTH + b" ".join(suffix_tree.words_of(t)) + suffix_tree.END
+        expected = sum(math.log10(plain_chance(tree, data[j - suffix_tree.DEPTH : j], data[j])) for j in range(suffix_tree.DEPTH, len(data)))
+        assert math.isclose(found[i], expected, rel_tol=1e-9)
+
+
+def test_remembered_chances_are_the_trees(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 80)) for i in range(60)], "doc_id long, text string")
+    tree = suffix_tree.train(docs)["tree"]
+    code = suffix_tree.grams([prose(random.Random(i), 50).encode() for i in range(100, 140)])[0]
+    for cells in (4, 22):
+        suffix_tree.CELLS, before = cells, suffix_tree.CELLS
+        chances = suffix_tree.Remembered(tree)
+        for _ in range(3):
+            own = rng.choice(code, 2000)
+            distinct, back = np.unique(own, return_inverse=True)
+            assert np.array_equal(chances(own), suffix_tree.log_chances(distinct, tree)[back])
+        suffix_tree.CELLS = before
+
+
 def test_suffix_tree_base_matches_brute_force(spark):
     docs = odd_documents(spark)
     rows = docs.collect()
