@@ -4,9 +4,13 @@ Sharding. Around any vantage point the distances of 64-bit fingerprints of unlik
 4, as wide as the search radius itself: a tree whose first split is over all bits would send nearly every
 fingerprint to both sides. The space is therefore first partitioned by Hamming distance zero on blocks of bits: with
 more blocks than differing bits at least one block (``spare`` + 1 of them) agrees, so the shards of equal blocks hold
-every pair. Within a shard a vantage-point tree splits at the median distance to a vantage point; the triangle bound
-keeps apart what the split shows to be too far, and the strips on both sides of its boundary query each other, so no
-pair is lost. What lies within the radius of a vantage point is linked to it without looking at pairs, which keeps
+every pair. A shard with more rows than a task should hold is split on Spark into rings of distance from a vantage
+point; a ring also gets, as visitors, the rows of the next one, so that no pair across their boundary is lost.
+
+Within a shard a vantage-point tree splits at the median distance to a vantage point; the triangle bound keeps apart
+what the split shows to be too far, and the strips on both sides of its boundary query each other, so no pair is lost.
+A shard of a leaf's size has one vantage point, and pairs are compared only if their distances to it differ by the
+radius at most. What lies within the radius of a vantage point is linked to it without looking at pairs, which keeps
 groups of thousands of near copies linear.
 
 Groups of copies are one fingerprint from the start, and a shard gives its links as stars, never as all pairs.
@@ -21,19 +25,19 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, few
 from .components import components
 from .simhash import majority, shingle_hashes
 
-#: Below so many fingerprints a node of a tree compares all of them.
+#: A node of a tree with so many fingerprints at most is a leaf.
 LEAF = 64
-#: Shards of so many fingerprints at most are compared pair by pair, all of a batch at once.
-PAIRED = 128
-#: Fingerprints that a shard is meant to hold at most.
-SHARD = 4096
+#: Fingerprints that a shard is meant to hold on average, and those from which a shard is split into rings.
+SHARD, CROWDED = 4096, 1 << 17
+#: Times that crowded shards are split; a ball of a few bits' radius holds few distinct fingerprints, so more are of no use.
+SPLITS = 6
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -149,63 +153,61 @@ def _by_shard(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.array([0, len(whole[0])]))], ["a", "b"])
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...], hubs: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows (block, key, node, words of the fingerprint) arrive sorted by shard. Per shard: pairs (a, b) within the
-    last radius that connect it as all such pairs do, closer ones first (by the ladder's radii)."""
+    last radius that connect it as all such pairs do, closer ones first (by the ladder's radii). With ``hubs`` also,
+    for a shard beyond a leaf's size, each node with the one in the middle, as an original is of its edited copies."""
 
     def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         node, fp = cols[2], np.stack(cols[3:], axis=1).view(np.uint64)
-        size = np.diff(bounds)
-        links, left, found = _Links(fp), np.repeat(size, size), []
-        small = np.flatnonzero((left > 1) & (left <= PAIRED))
-        end = np.repeat(bounds[1:], size)
-        for shift in range(1, PAIRED):
-            small = small[small + shift < end[small]]
-            if not len(small):
+        size, radius = np.diff(bounds), ladder[-1]
+        links, found = _Links(fp), []
+        leaf = np.repeat((size > 1) & (size <= LEAF), size)
+        rows, shard = np.flatnonzero(leaf), np.repeat(np.arange(len(size)), size)[leaf]
+        from_vantage = links.far(rows, bounds[shard])
+        order = np.lexsort((from_vantage, shard))
+        rows, shard, from_vantage = rows[order], shard[order], from_vantage[order]
+        at = np.arange(len(rows))
+        for shift in range(1, LEAF):
+            at = at[at + shift < len(rows)]
+            at = at[(shard[at + shift] == shard[at]) & (from_vantage[at + shift] - from_vantage[at] <= radius)]  # the triangle bound; later rows are farther
+            if not len(at):
                 break
-            d = links.far(small, small + shift)
-            near = d <= ladder[-1]
-            found.append((small[near], small[near] + shift, d[near]))
+            d = links.far(rows[at], rows[at + shift])
+            near = d <= radius
+            found.append((rows[at[near]], rows[at[near] + shift], d[near]))
         if found:
             i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.argsort(d, kind="stable")
             links.unite(i[order], j[order])
-        for k in np.flatnonzero(size > PAIRED):
+        for k in np.flatnonzero(size > LEAF):
+            own = np.arange(bounds[k], bounds[k + 1])
             for links.radius in ladder:
-                links.within(np.arange(bounds[k], bounds[k + 1]))
+                links.within(own)
+            if hubs:
+                middle = np.packbits(np.unpackbits(fp[own].view(np.uint8), axis=1).mean(axis=0) > 0.5).view(np.uint64)
+                hub = own[np.bitwise_count(fp[own] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
+                near = own[(links.far(own, hub) <= radius) & (own != hub)]
+                links.made += zip(near.tolist(), [int(hub)] * len(near), strict=True)
         made = np.array(links.made, dtype=np.int64).reshape(-1, 2)
         return node[made[:, 0]], node[made[:, 1]]
 
     return _by_shard(batches, solve)
 
 
-def _apart(batches: Iterator[pa.RecordBatch], radius: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, key, label, node, words of the fingerprint) arrive sorted by shard and label. Pairs (a, b) of nodes
-    of one shard within the radius whose labels differ: of each node that is not of the shard's largest label the
-    nearest ``most``. If any has more, so does a row (null, null) tell."""
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, key, label, node) arrive sorted by shard and label. For shards with several labels: each node, and
+    1 if it is not of the label that most of the shard's nodes have, else 0."""
 
-    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        label, node, fp = cols[2], cols[3], np.stack(cols[4:], axis=1).view(np.uint64)
-        made, more = [np.zeros((2, 0), np.int64)], False
+    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        label, node = cols[2], cols[3]
+        made = [np.zeros((2, 0), np.int64)]
         mixed = np.flatnonzero(label[bounds[:-1]] != label[bounds[1:] - 1])
         for lo, hi in zip(bounds[mixed].tolist(), bounds[mixed + 1].tolist(), strict=True):
             _, own, size = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
-            rest = np.flatnonzero(own != size.argmax())
-            step = max(1, COMPARED // (hi - lo))
-            for part in (rest[at : at + step] for at in range(0, len(rest), step)):
-                d = np.bitwise_count(fp[lo + part, None] ^ fp[None, lo:hi]).sum(axis=-1, dtype=np.int64)
-                wanted = (d <= radius) & (own[part, None] != own[None, :])
-                if (wanted.sum(axis=1) > most).any():
-                    more = True
-                    nearest = np.argsort(np.where(wanted, d, d.max() + 1), axis=1, kind="stable")[:, :most]
-                    first = np.zeros_like(wanted)
-                    np.put_along_axis(first, nearest, True, axis=1)
-                    wanted &= first
-                i, j = np.nonzero(wanted)
-                made.append(np.stack([node[lo + part[i]], node[lo + j]]))
+            made.append(np.stack([node[lo:hi], (own != size.argmax()).astype(np.int64)]))
         a, b = np.concatenate(made, axis=1)
-        told = pa.nulls(int(more), pa.int64())
-        return pa.concat_arrays([pa.array(np.maximum(a, b)), told]), pa.concat_arrays([pa.array(np.minimum(a, b)), told])
+        return a, b
 
     return _by_shard(batches, solve)
 
@@ -220,15 +222,50 @@ def block_keys(fp: Column, blocks: int, spare: int) -> Column:
     return F.array(*made)
 
 
-def near_links(nodes: DataFrame, radius: int = 4) -> DataFrame:
-    """From distinct fingerprints (fp, node): links (a, b) of nodes, enough to connect all within the radius."""
-    n = nodes.count()
+def blocks_for(n: int, radius: int) -> tuple[int, int]:
+    """(blocks, spare) for ``n`` distinct fingerprints: as many more blocks than differing bits as keep shards of unlike
+    fingerprints at ``SHARD`` rows or so."""
     spare = 0
     while spare < 3 and n >> (64 * (spare + 1) // (radius + 1 + spare)) > SHARD:
         spare += 1
-    keyed = nodes.select("fp", "node", F.explode(block_keys(F.col("fp"), radius + 1 + spare, spare)).alias("at")).select("at.block", "at.key", "node", "fp")
-    shards = keyed.repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    return shards.mapInArrow(lambda it: _shard_links(it, (radius,)), "a long, b long")
+    return radius + 1 + spare, spare
+
+
+def rings(shards: DataFrame, radius: int, crowded: int = CROWDED, splits: int = SPLITS) -> tuple[DataFrame, list[DataFrame]]:
+    """(shards, links): crowded shards of rows (block, key, node, fp) split by distance from a vantage point.
+
+    A ring holds the rows at ``radius`` + 1 successive distances and, as visitors, those of the next ring. Rows within
+    the radius of a vantage point are linked to it by ``links``. Rings that are still crowded are split again; each
+    split draws its vantage points anew. Rings whose keys are equal by chance are one shard, which costs but loses
+    nothing.
+    """
+    links: list[DataFrame] = []
+    for split in range(splits):
+        sizes = shards.groupBy("block", "key").agg(F.count("*").alias("n"), F.min_by(F.struct("node", "fp"), F.xxhash64("node", F.lit(split))).alias("vantage")).where(F.col("n") > crowded)
+        hot = cut(sizes, "hot")
+        if not hot.head(1):
+            break
+        hot = few(hot)
+        rest = shards.join(hot.select("block", "key"), ["block", "key"], "left_anti")
+        far = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage.fp")))
+        told = cut(shards.join(hot, ["block", "key"]).withColumn("far", far), "told")
+        links.append(told.where((F.col("far") <= radius) & (F.col("node") != F.col("vantage.node"))).select(F.col("node").alias("a"), F.col("vantage.node").alias("b")))
+        ring = F.floor(F.col("far") / (radius + 1)).cast("int")
+        homes = F.array_compact(F.array(ring, F.when(ring > 0, ring - 1)))
+        parts = told.select("block", "key", "node", "fp", "vantage", F.explode(homes).alias("ring")).select("block", F.xxhash64("key", "vantage.node", "ring", F.lit(split)).alias("key"), "node", "fp")
+        shards = cut(rest.select("block", "key", "node", "fp").unionByName(parts), "rings")
+    return shards, links
+
+
+def near_links(nodes: DataFrame, radius: int = 4, crowded: int = CROWDED) -> DataFrame:
+    """From distinct fingerprints (fp, node): links (a, b) of nodes, enough to connect all within the radius."""
+    keyed = nodes.select("fp", "node", F.explode(block_keys(F.col("fp"), *blocks_for(nodes.count(), radius))).alias("at")).select("at.block", "at.key", "node", "fp")
+    split, links = rings(keyed, radius, crowded)
+    shards = split.repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    out = shards.mapInArrow(lambda it: _shard_links(it, (radius,)), "a long, b long")
+    for more in links:
+        out = out.unionByName(more)
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -254,9 +291,8 @@ WORDS = 4
 #: two fingerprints differ in 39 bits of 256 on average, with a spread of 6, in sets of four and five shingles in 48
 #: (beyond the last radius with a chance of 0.0001); unlike texts differ in 128.
 LADDER = (12, 20, 28, 36, 44, 52, 62, 72)
-#: Further candidates that a document gets at first where links failed, times as many in each further round, and pairs
-#: compared at once for them.
-FURTHER, FACTOR, COMPARED = 8, 8, 1 << 17
+#: Set sizes whose ratio is below this are looked up together where links failed.
+STEP = 1.05
 #: Least hashes that make the key of a band, and the chance that no band has a pair at the least similarity.
 LEAST_HASHES, MISS = 8, 0.002
 #: Shingles whose hashes are compared at once.
@@ -296,16 +332,50 @@ def long_prints(hashes: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def rare_shingle_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """From (node, label, rest, shingles): pairs (a, b), a > b, of nodes of different labels, one of them with ``rest``
+    1 at least, that hold all pairs whose sets have the similarity.
+
+    Shingles are ordered by the number of members that have them. If two sets are similar, so much of both must stand
+    behind their first common shingle, itself included, as they must share; that leaves few shingles of each to join by,
+    the rarest. A member whose rarest shingles are its own is joined with none, however many it shares with all.
+    """
+    members = cut(members.where(F.size("shingles") > 0).withColumn("n", F.size("shingles")), "members")
+    single = members.select("node", "label", "rest", "n", F.explode("shingles").alias("token"))
+
+    def shared(n: Column, m: Column) -> Column:
+        return F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+    def class_of(n: Column) -> Column:
+        return F.floor(F.log(n) / log(STEP)).cast("int")
+
+    n, m, at = F.col("n"), F.col("m"), F.col("at")
+    fewest = F.ceil(similarity * n - 1e-9)
+    often = single.groupBy("token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("node").orderBy("often", "token")
+    ranked = single.join(often, "token").withColumn("at", F.row_number().over(order) - 1)
+    first = cut(ranked.where(at <= n - fewest).drop("often"), "first")
+    held = first.select(F.col("node").alias("y"), F.col("label").alias("y_label"), n.alias("m"), class_of(n).alias("class"), at.alias("y_at"), "token")
+    reach = n - shared(n, F.greatest(F.floor(F.pow(F.lit(STEP), F.col("class"))), fewest))
+    rest = first.where("rest = 1").withColumn("class", F.explode(F.sequence(class_of(fewest), class_of(F.floor(n / similarity + 1e-9)))))
+    asked = rest.where(at <= reach).select(F.col("node").alias("x"), F.col("label").alias("x_label"), "n", "class", at.alias("x_at"), "token")
+    fits = (F.col("x_label") != F.col("y_label")) & (m >= similarity * n - 1e-9) & (n >= similarity * m - 1e-9) & (F.least(n - F.col("x_at"), m - F.col("y_at")) >= shared(n, m))
+    found = asked.join(held, ["token", "class"]).where(fits)
+    return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that are linked, directly or over others, to one of smaller id: linked
     are texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. component_id
     is the smallest id reachable.
 
-    Candidates come from bands of least shingle hashes: in each shard of equal keys the vantage-point tree join over long
-    fingerprints gives the pairs that connect it, nearest first; each is then checked on the full shingle sets. Only checked links unite: where
-    some fail, further candidates between the groups that are still apart are checked in rounds, until each pair of a
-    shard within the last radius is in one group or has failed. Rows with a null id are left out. Repeated ids are one
-    document; wordless texts are similar to each other only.
+    Candidates come from bands of least shingle hashes: in each shard of equal keys the vantage-point tree join over
+    long fingerprints gives the pairs that connect it, nearest first; each is then checked on the full shingle sets, and
+    only checked links unite. Where a shard is not one group after that, those of its documents that are not of its
+    largest group are looked up among the shards' documents by their rarest shingles (``rare_shingle_pairs``), which
+    misses no pair of the similarity. Rows with a null id are left out, and so are ids that rows of different shingles
+    share, as an id could not tell which of them is meant; rows that share an id and its shingles are one document.
+    Wordless texts are similar to each other only.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chosen = bands_for(similarity)
@@ -321,11 +391,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = ", ".join(f"{w} long" for w in words)
     prints = cut(rows.mapInArrow(run, f"doc_id long, digest binary, keys array<long>, {kind}"), "long")
+    unclear = cut(prints.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("unclear")).where("unclear").select("doc_id"), "unclear")
+    if unclear.head(1):
+        prints = prints.join(few(unclear), "doc_id", "left_anti")
     named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
     same = prints.select("doc_id", "digest", *words).join(named.select("node", "digest", *words), ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = named.select("node", "keys", *words)
     shards = nodes.select(F.posexplode("keys").alias("block", "key"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    near = shards.mapInArrow(lambda it: _shard_links(it, LADDER), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = shards.mapInArrow(lambda it: _shard_links(it, LADDER, hubs=True), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = cut(near, "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
@@ -342,26 +415,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("a", "b")
 
     good = cut(checked(pairs), "good")
-    links, tried, most = good.unionByName(same), pairs, FURTHER
+    links = good.unionByName(same)
     found = components(links)
-    more = good.count() < pairs.count()
-    some = cut(nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi"), "some") if more else nodes  # the others are near to none
-    while more:
-        labelled = some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), "keys", *words)
-        shards = labelled.select(F.posexplode("keys").alias("block", "key"), "label", "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "label", "node")
-        told = cut(shards.mapInArrow(lambda it, most=most: _apart(it, LADDER[-1], most), "a long, b long").distinct(), "told")
-        more = told.where("a is null").count() > 0
-        new = cut(told.where("a is not null").join(tried, ["a", "b"], "left_anti"), "further")
-        good = cut(checked(new), "good")
-        if good.count():
-            links = links.unionByName(good)
-            found = components(links)
-        tried, most = tried.unionByName(new), FACTOR * most
+    if good.count() < pairs.count():
+        some = nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi").select("node", "keys")  # the others are near to none
+        labelled = cut(some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), "keys"), "labelled")
+        shards = labelled.select(F.posexplode("keys").alias("block", "key"), "label", "node").repartition("block", "key").sortWithinPartitions("block", "key", "label")
+        mixed = cut(shards.mapInArrow(_mixed, "a long, b long").groupBy(F.col("a").alias("node")).agg(F.max("b").alias("rest")), "mixed")
+        members = mixed.join(labelled.select("node", "label"), "node").join(held.select(F.col("doc_id").alias("node"), "shingles"), "node")
+        further = cut(rare_shingle_pairs(members, similarity).join(pairs, ["a", "b"], "left_anti"), "further")
+        more = cut(checked(further), "more")
+        if more.head(1):
+            found = components(links.unionByName(more))
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those that have a similar document of smaller id in their group."""
+    """The rows of ``docs`` without those that have a similar document of smaller id in their group. Rows that
+    ``similar_groups`` leaves out stay; the columns, whatever their names, are those of ``docs``."""
     groups = similar_groups(docs, id_col, text_col, **options)
-    drop = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_drop_id")), "drop")
-    return docs.join(few(drop), F.col(id_col).cast("long") == F.col("_drop_id"), "left_anti")
+    gone = f"_gone_{'_'.join(docs.columns)}"
+    drop = cut(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(gone)), "drop")
+    return docs.join(few(drop), F.col(f"`{id_col}`").cast("long") == F.col(f"`{gone}`"), "left_anti")

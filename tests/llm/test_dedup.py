@@ -71,6 +71,8 @@ def test_exact_keep_one(spark):
 def test_keep_one_of_an_id_with_two_spellings(spark):
     docs = spark.createDataFrame([(5, "ab"), (5, "a b"), (6, "a b"), (7, "c")], "doc_id long, text string")
     assert sorted(map(tuple, keep_one(docs).collect())) == [(5, "a b"), (7, "c")]
+    docs = spark.createDataFrame([(5, "a b", 3), (5, "ab ", 2), (5, "a b", 1)], "doc_id long, text string, sha int")
+    assert [tuple(r) for r in keep_one(docs).collect()] == [(5, "a b", 1)]
 
 
 def test_near_dedup_against_brute_force(spark):
@@ -96,6 +98,18 @@ def test_tree_links_chains_and_dense_groups(n):
     assert len(links.made) == len(fp) - len(set(expected.values()))
 
 
+@pytest.mark.parametrize("crowded", [20, 200, 1 << 17])
+def test_near_links_in_rings_and_trees(spark, crowded):
+    """Shards of any size, split into rings or not, give the links of all pairs."""
+    rng = np.random.default_rng(5)
+    centre = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    fp = np.unique([c ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False))) for c in np.repeat(centre, 500)] + list(rng.integers(0, 1 << 63, 500, dtype=np.uint64)))
+    nodes = spark.createDataFrame([(int(x), i) for i, x in enumerate(fp.view(np.int64).tolist())], "fp long, node long")
+    close = [(i, int(j)) for i in range(len(fp)) for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 4) if i < j]
+    expected = {k: v for k, v in groups(close, range(len(fp))).items() if k != v}
+    assert {r.node: r.component for r in components(near_dedup.near_links(nodes, 4, crowded)).collect()} == expected
+
+
 def test_similar_groups_find_edited_texts(spark):
     import random
 
@@ -160,6 +174,50 @@ def test_repeated_lines_do_not_hide_similar_texts(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == {i: i // 3 * 3 for i in texts if i % 3} == brute_groups(texts)
 
 
+@pytest.mark.parametrize("copies", [30, 150])
+def test_large_groups_round_the_threshold(spark, copies):
+    """Copies of an original with few to many edits, more than a leaf holds, with and without the original."""
+    import random
+
+    rng, texts = random.Random(copies), {}
+    for k in range(3):
+        w = prose(rng, 150).split()
+        texts |= {1000 * k + 999: " ".join(w)} if k else {}
+        for i in range(copies):
+            at = set(rng.sample(range(150), rng.randint(1, 9)))
+            texts[1000 * k + i] = " ".join(f"new{i}w{j}" if j in at else x for j, x in enumerate(w))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
+
+
+def test_rare_shingle_pairs_miss_none(spark):
+    rng = np.random.default_rng(2)
+    sets = {}
+    for k in range(6):
+        base = rng.integers(0, 1 << 40, 60)
+        for i in range(12):
+            keep = base[rng.random(60) > rng.choice([0.0, 0.05, 0.1, 0.2])]
+            sets[100 * k + i] = set(keep.tolist()) | set(rng.integers(0, 1 << 40, rng.integers(0, 12)).tolist())
+    sets[900], sets[901] = {1, 2, 3, 4}, {1, 2, 3, 4, 5}
+    sets[902], sets[903] = set(), {1}
+    rest = {n: int(n % 3 > 0) for n in sets}
+    members = spark.createDataFrame([(n, n, rest[n], sorted(s)) for n, s in sets.items()], "node long, label long, rest long, shingles array<long>")
+    found = {(r.a, r.b) for r in near_dedup.rare_shingle_pairs(members, 0.8).collect()}
+    close = {(a, b) for a in sets for b in sets if a > b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and rest[a] + rest[b]}
+    assert close <= found and len(found) < 3 * len(close)
+
+
+def test_keep_one_with_clashing_names_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    w = [f"w{x}" for x in rng.integers(0, 1000, 80)]
+    text, other = " ".join(w), " ".join(reversed(w))
+    rows = [(1, text, 0), (2, text + " more", 0), (3, other, 1), (3, text + " end", 1), (4, other + " end", 2), (5, None, 3), (5, None, 3), (None, text, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _drop_id int")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("1", text), ("3", other), ("3", text + " end"), ("4", other + " end"), ("5", ""), ("5", ""), ("None", text)])
+
+
 def test_equal_fingerprints_are_linked_to_each_other(spark, monkeypatch):
     import random
 
