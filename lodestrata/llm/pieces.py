@@ -8,13 +8,14 @@ before it are what merging their joint text in the model's order gives. The enco
 at most holds for each end.
 
 The vocabulary is read on the driver (its size is the model's) and broadcast; tasks need no file. A worker process keeps
-its encoder, with the units and pairs of pieces it has met, for the tasks that follow.
+its encoder, with the pairs of pieces and some of the units it has met, for the tasks that follow.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ SPACE = "▁"
 #: Stands between units in the index; it must not occur in a piece of two characters or more.
 GAP = "\n"
 #: Units remembered before those not met again are forgotten, and characters of new units indexed at once.
-REMEMBERED = 300_000
-INDEXED = 1 << 19
+REMEMBERED = 100_000
+INDEXED = 1 << 18
+#: Units that an encoder keeps between tasks.
+KEPT = 50_000
 #: Texts taken up at once.
-ROWS = 1024
+ROWS = 512
 #: Cells of a task's table of piece pairs.
 PAIRS = 1 << 21
 
@@ -241,6 +244,12 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.memory.__getitem__, units)), np.int32) for units in split]
 
 
+    def rest(self) -> None:
+        """Forget all units but some of those that were met again."""
+        again = self.memory.keys() & self.older.keys() if self.older else self.memory.keys()
+        self.memory, self.older = {}, {u: self.memory[u] for u in islice(again, KEPT)}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -275,6 +284,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", int
             if decoded_into:
                 made.append(pa.array([decode_ids(f, encoder.v.text_of) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *made], [*rest, *new])
+        encoder.rest()
 
     rows = docs.select(*(F.col(f"`{c}`") for c in (rest if text_col in rest else [*rest, text_col])))
     kinds = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_into, T.StringType())] if decoded_into else [])
@@ -302,6 +312,7 @@ def encode_checked(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_
             digests = [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]
             same = [d == t.replace(SPACE, " ") for d, t in zip(decoded, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), _lists(found), pa.array(digests), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+        encoder.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
