@@ -5,16 +5,16 @@ empty. Pass one streams over the digests and fills a Bloom filter whose cells co
 knows every digest that can occur twice. Pass two tests each row: rows that occur once for certain pass straight
 through, only the possibly repeated ones are shuffled and compared by their full SHA-256.
 
-The filter's size follows the number of rows up to ``max_filter_bytes`` (a fixed bound, so it may be broadcast).
-Beyond that bound more unique rows are shuffled for nothing; the result is exact at every size.
+The filter is a table of segments. A digest has all its bits in one segment, so pass two is a join with the segments,
+which are broadcast once an executor, and a look at the bits. The filter's size follows the number of rows up to
+``max_filter_bytes``. Beyond that bound more unique rows are shuffled for nothing; the result is exact at every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,32 +30,20 @@ def digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, ""), 256)
 
 
-def _places(digests: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segment and bit numbers (one column per probe) of 32-byte digests, given as rows of four unsigned words."""
-    segment = (digests[:, 0] % np.uint64(segments)).astype(np.int64)
-    steps = np.arange(PROBES, dtype=np.uint64)
-    bits = (digests[:, 1][:, None] + steps * (digests[:, 2][:, None] | np.uint64(1))) % np.uint64(SEGMENT_BITS)
-    return segment, bits.astype(np.int64)
-
-
-def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex("".join(column.to_pylist())), dtype="<u8").reshape(-1, 4)
-
-
-def _fill(batches: Iterator[pa.RecordBatch], segments: int) -> Iterator[pa.RecordBatch]:
-    """For each segment that this task touches: the bits set once at least, and those set twice at least."""
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (segment, bits). For each segment that this task touches: the bits set once at least, and those set twice at
+    least."""
     seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys, times = np.unique(_words(batch.column(0)).view("V32").ravel(), return_counts=True)
-        segment, bits = _places(keys.view("<u8").reshape(-1, 4), segments)
-        order = np.argsort(segment, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1):
+        places = np.column_stack([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, PROBES)])
+        keys, times = np.unique(places, axis=0, return_counts=True)  # sorted by segment
+        for rows in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys[:, 0])) + 1):
             once, twice = (np.zeros(SEGMENT_BITS, dtype=bool) for _ in range(2))
-            once[bits[rows]] = True
-            twice[bits[rows[times[rows] > 1]]] = True
-            _merge(seen, int(segment[rows[0]]), np.packbits(once), np.packbits(twice))
+            once[keys[rows, 1:]] = True
+            twice[keys[rows[times[rows] > 1], 1:]] = True
+            _merge(seen, int(keys[rows[0], 0]), np.packbits(once, bitorder="little"), np.packbits(twice, bitorder="little"))
     for k, (once, twice) in seen.items():
         yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
@@ -81,31 +69,37 @@ def _join_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _twice(seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"segment": pa.array(list(seen), pa.int32()), "twice": [b.tobytes() for _, b in seen.values()]})
+    return pa.RecordBatch.from_pydict({"segment": pa.array(list(seen), pa.int32()), "twice": pa.array([b.view(np.int64) for _, b in seen.values()], pa.list_(pa.int64()))})
 
 
-def may_repeat(digests: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 1 << 25):
-    """From one column of hex digests: a column function that is true for each digest that occurs twice or more
-    (and for few others). Pass one of the method."""
-    spark = digests.sparkSession
+def may_repeat(digests: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 1 << 28) -> Callable[[DataFrame, str, str], DataFrame]:
+    """From one column of digests: a function (rows, digest column, new column) that adds to rows whether their digest
+    occurs twice or more (true for few others too). Pass one of the method."""
     n = digests.count()
     segments = max(1, min(max_filter_bytes * 8, n * bits_per_row) // SEGMENT_BITS)
     tasks = max(8, n // 2_000_000)
-    filled = digests.coalesce(tasks).mapInArrow(lambda it: _fill(it, segments), "segment int, once binary, twice binary")
-    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_join_filters, "segment int, twice binary")
-    bits = np.zeros((segments, SEGMENT_BITS // 8), dtype=np.uint8)
-    for row in merged.toLocalIterator():  # max_filter_bytes at most
-        bits[row.segment] = np.frombuffer(bytes(row.twice), np.uint8)
-    shared = spark.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def repeated(column: pd.Series) -> pd.Series:
-        if not len(column):
-            return pd.Series([], dtype=bool)
-        segment, at = _places(np.frombuffer(bytes.fromhex("".join(column)), dtype="<u8").reshape(-1, 4), segments)
-        return pd.Series(((shared.value[segment[:, None], at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
+    def places(digest: Column) -> tuple[Column, Column]:
+        bits = F.array(*(F.pmod(F.xxhash64(digest, F.lit(i + 1)), F.lit(SEGMENT_BITS)).cast("int") for i in range(PROBES)))
+        return F.pmod(F.xxhash64(digest, F.lit(0)), F.lit(segments)).cast("int"), bits
+
+    segment, bits = places(F.col(digests.columns[0]))
+    filled = digests.select(segment.alias("segment"), bits.alias("bits")).coalesce(tasks).mapInArrow(_fill, "segment int, once binary, twice binary")
+    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_join_filters, "segment int, twice array<long>")
+    held = cut(merged, "filter")
+
+    def mark(rows: DataFrame, digest: str, into: str) -> DataFrame:
+        segment, bits = places(F.col(digest))
+        own, twice = f"{into}_segment", f"{into}_twice"
+        shared = F.broadcast(held.select(F.col("segment").alias(own), F.col("twice").alias(twice)))
+        joined = rows.join(shared, segment == F.col(own), "left")
+        found = F.lit(True)
+        for i in range(PROBES):
+            at = F.get(bits, i)
+            found = found & (F.getbit(F.get(F.col(twice), F.floor(at / 64).cast("int")), at % 64) == 1)
+        return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(found, F.lit(False)).alias(into))
 
-    return repeated
+    return mark
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **filter_options) -> DataFrame:
@@ -117,8 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("size"), digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")), "digests")
-    repeated = may_repeat(rows.select("text_sha256"), **filter_options)
-    flagged = cut(rows.withColumn("again", repeated("text_sha256")), "flagged")
+    mark = may_repeat(rows.select("text_sha256"), **filter_options)
+    flagged = cut(mark(rows, "text_sha256", "again"), "flagged")
     alone, again = flagged.where(~F.col("again")), flagged.where("again")
     groups = cut(_best(again).where("group_size > 1"), "groups")
     joined = again.join(groups, "text_sha256", "left").select(
@@ -146,12 +140,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     ident = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), size.cast("string"))
     rows = docs.select("*", digest(F.col(text_col)).alias(sha), ident.alias(own))
     digests = cut(rows.select(F.col(sha).alias("text_sha256"), size.alias("size"), F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("row"), F.col(own).alias("own")), "digests")
-    repeated = may_repeat(digests.select("text_sha256"), **filter_options)
-    seen = cut(digests.where(repeated("text_sha256")), "seen")
+    mark = may_repeat(digests.select("text_sha256"), **filter_options)
+    seen = cut(mark(digests, "text_sha256", "again").where("again").drop("again"), "seen")
     groups = cut(_best(seen).where("group_size > 1"), "groups")
     stays = (F.col("size") == F.col("best.size")) & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))
     drop = cut(seen.join(groups, "text_sha256").where(~stays).select(F.col("text_sha256").alias(sha), F.col("own").alias(own)), "drop")
-    flagged = rows.withColumn(again, repeated(sha))
+    flagged = mark(rows, sha, again)
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     kept = flagged.where(again).join(few(drop), [sha, own], "left_anti").groupBy(sha).agg(F.min_by(whole, F.to_json(whole)).alias(own)).select(f"{own}.*")
     return flagged.where(~F.col(again)).select(*docs.columns).unionByName(kept.select(*docs.columns))

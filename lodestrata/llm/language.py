@@ -11,9 +11,8 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -75,10 +74,24 @@ def _models(langs: list[str]) -> list[tuple[str, str, str]]:
     return found + [(f"pair:{a}:{b}", a, b) for a, b in combinations(sorted(langs), 2) if family(a) == family(b)]
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable")
-    x = np.vstack([features(list(pdf["text"].iloc[i : i + 256])) for i in range(0, len(pdf), 256)])
-    return pd.DataFrame({"model": [pdf["model"].iloc[0]], "weights": [fit_svm(x, pdf["positive"].to_numpy()).tobytes()]})
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (model, positive, text) arrive sorted by model; a model's rows are a bounded sample."""
+    name, texts, positive = None, [], []
+
+    def fitted() -> pa.RecordBatch:
+        x = np.vstack([features(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+        return pa.RecordBatch.from_pydict({"model": [name], "weights": [fit_svm(x, np.array(positive)).tobytes()]})
+
+    for batch in batches:
+        for model, side, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if model != name and texts:
+                yield fitted()
+                texts, positive = [], []
+            name = model
+            texts.append(text)
+            positive.append(side)
+    if texts:
+        yield fitted()
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500) -> dict:
@@ -98,7 +111,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = rows.where((F.xxhash64("doc_id").bitwiseAND(0xFFFFFF) / float(1 << 24)) < share)
     sides = [(name, lang, family(lang) == a if name.startswith("family:") else lang == a) for name, a, b in wanted for lang in langs if name.startswith("family:") or lang in (a, b)]
     of = labelled.sparkSession.createDataFrame(sides, "model string, lang string, positive boolean")
-    fitted = cut(sample, "sample").join(F.broadcast(of), "lang").groupBy("model").applyInPandas(_fit, "model string, weights binary")
+    dealt = cut(sample, "sample").join(F.broadcast(of), "lang").repartition("model").sortWithinPartitions("model", "doc_id", "text")
+    fitted = dealt.select("model", "positive", "text").mapInArrow(_fit, "model string, weights binary")
     return {"langs": langs, "weights": {r.model: np.frombuffer(bytes(r.weights), np.float32) for r in fitted.collect()}}  # a row for each model
 
 
@@ -157,16 +171,13 @@ def _predictor(docs: DataFrame, model: dict):
     return lambda texts: predict_batch(texts, shared.value)
 
 
-def accepted(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.0) -> Column:
-    """A condition on rows of ``docs``: the text's language can be told, with a score of ``least`` or more."""
-    run = _predictor(docs, model)
+def accepted(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose text's language can be told, with a score of ``least`` or more; all their columns."""
+    run, at = _predictor(docs, model), docs.columns.index(text_col)
 
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        out: list[bool] = []
-        for at in range(0, len(texts), 128):
-            lang, score = run(list(texts.iloc[at : at + 128]))
-            out += [v != UNDETERMINED and s >= least for v, s in zip(lang, score, strict=True)]
-        return pd.Series(out, dtype=bool)
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
+            lang, score = run(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([v != UNDETERMINED and s >= least for v, s in zip(lang, score, strict=True)]))
 
-    return keep(F.col(text_col))
+    return docs.mapInArrow(keep, docs.schema)
