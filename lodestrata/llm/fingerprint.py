@@ -1,8 +1,8 @@
 """Document fingerprints: SimHash of weighted terms, and exact search within a Hamming radius by block tables.
 
 Terms are pairs of neighbouring words (a lone word is a term too); each votes on all 64 bits with the weight
-1 + ln(times it occurs). For the search the fingerprint's bits are cut into radius + 1 blocks and one table per block,
-keyed by the block's bits, holds all fingerprints: two within the radius agree in one block at least.
+1 + ln(times it occurs). For the search the fingerprint's bits are cut into more blocks than the radius has bits, and
+one table for each choice of as many blocks as must agree, keyed by their bits, holds all fingerprints.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, task_count
-from .near_dedup import block_keys
+from .near_dedup import block_keys, blocks_for
 from .simhash import shingle_hashes
 
 LEAST = -(1 << 63)
@@ -135,9 +135,13 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
-    """From distinct fingerprints (fp) and (fp, more columns): all pairs (query_fp, fp, distance) within the radius."""
-    asked = queries.select(F.col("fp").alias("query_fp"), F.explode(block_keys(F.col("fp"), radius + 1, 0)).alias("at"))
-    held = prints.select("fp", F.explode(block_keys(F.col("fp"), radius + 1, 0)).alias("at"))
+    """From distinct fingerprints (fp) and (fp, more columns): all pairs (query_fp, fp, distance) within the radius.
+
+    The more fingerprints, the more blocks and bits of a key (``blocks_for``), so that a key's unlike fingerprints do not
+    grow with them; a key that very many like ones share is split by the join."""
+    blocks = blocks_for(prints.count(), radius)
+    asked = queries.select(F.col("fp").alias("query_fp"), F.explode(block_keys(F.col("fp"), *blocks)).alias("at"))
+    held = prints.select("fp", F.explode(block_keys(F.col("fp"), *blocks)).alias("at"))
     found = asked.join(held, "at").select("query_fp", "fp", F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp"))).alias("distance"))
     return found.where(F.col("distance") <= radius).distinct()
 
