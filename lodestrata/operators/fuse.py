@@ -44,11 +44,13 @@ def top_per(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFra
 
 
 def with_advocate(rows: DataFrame, keys: list[str], k: int, outlier: Column, *order: Column) -> DataFrame:
-    """Top k per key; if there is an outlier among the rows, the best one takes the last place."""
-    own = Window.partitionBy(*keys, outlier.alias("_o")).orderBy(*order)
-    any_ = F.max(outlier.cast("int")).over(Window.partitionBy(*keys))
-    ranked = rows.withColumn("_n", F.row_number().over(own)).withColumn("_a", any_)
-    return ranked.where(F.when(outlier, F.col("_n") == 1).otherwise(F.col("_n") <= k - F.col("_a"))).drop("_n", "_a")
+    """Top k per key; if there is an outlier among the rows, the best one takes the last place. Only the first rows of
+    each key are moved."""
+    marked = rows.withColumn("_o", F.coalesce(outlier, F.lit(False)))
+    best = top_per(marked.where("_o"), keys, 1, *order).drop("rank", "_o")
+    has = best.select(*keys).withColumn("_has", F.lit(1))
+    others = top_per(marked.where("not _o"), keys, k, *order).join(has, keys, "left")
+    return others.where(F.col("rank") <= k - F.coalesce("_has", F.lit(0))).select(*rows.columns).unionByName(best.select(*rows.columns))
 
 
 def cascade(stages: list[DataFrame], keys: list[str], id_col: str, k: int) -> DataFrame:

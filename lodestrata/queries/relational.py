@@ -215,7 +215,7 @@ def top_per_group_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def version_is_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest version of each key, by date, then id."""
-    return windows.current_version(table(spark, sf_dir, "orders"), "o_custkey", F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_custkey", "o_orderkey", "is_current")
+    return windows.current_version(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "is_current")
 
 
 @query("""
