@@ -76,16 +76,14 @@ def _sparse(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[-1][0] for r in rows], pa.int32()), pa.array(features, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "n", "features"])
 
 
-def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, features: list[list[list[int]]], start: np.ndarray, rounds: int = 400, decay: float = 2e-6) -> tuple[np.ndarray, float]:
+def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, owner: np.ndarray, lengths: np.ndarray, ids: np.ndarray, start: np.ndarray, rounds: int = 400, decay: float = 2e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence model, by Adam on the noisy-or likelihood of the documents.
 
-    ``start``: the features' log odds, so that every word that only toxic documents have counts, not just those that
+    ``total``: each document's sentences; ``owner`` and ``lengths``: the document and the number of features of each
+    sentence that has any; ``ids``: these features, one sentence after the other. ``start``: the features' log odds, so that every word that only toxic documents have counts, not just those that
     suffice to explain the sample.
     """
     size = len(start)
-    owner = np.array([i for i, doc in enumerate(features) for _ in doc], dtype=np.int64)
-    lengths = np.array([len(s) for doc in features for s in doc], dtype=np.int64)
-    ids = np.array([f for doc in features for s in doc for f in s], dtype=np.int64)
     sentence = np.repeat(np.arange(len(lengths)), lengths)
     empty = total - np.bincount(owner, minlength=len(total))
     p = np.r_[start, -7.0]
@@ -131,10 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     best = [r for r in best if not any((f"{r.feature.rstrip('~')[:k]}~", r.toxic, r.clean) in same for k in BEGINNINGS if k < len(r.feature.rstrip("~")))]
     number = {r.feature: i for i, r in enumerate(best)}
     start = np.array([0.8 * np.log((r.toxic + 0.5) / (a + 1) / ((r.clean + 0.5) / (b + 1))) for r in best])
-    found = sorted(sample.mapInArrow(lambda it: _sparse(it, number), "doc_id long, toxic boolean, n int, features array<array<int>>").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))  # max_rows of each class
-    toxic = np.array([r.toxic for r in found])
+    found = sample.mapInArrow(lambda it: _sparse(it, number), "doc_id long, toxic boolean, n int, features array<array<int>>").toArrow().sort_by("doc_id").combine_chunks()  # max_rows of each class
+    toxic, total = (found.column(c).to_numpy(zero_copy_only=False) for c in ("toxic", "n"))
+    features = found.column("features").combine_chunks()
+    sentence = features.flatten()
+    owner, lengths = np.repeat(np.arange(len(features)), features.value_lengths().to_numpy()), sentence.value_lengths().to_numpy()
     weight = np.where(toxic, 1 / share[True], 1 / share[False])
-    weights, bias = fit(np.array([r.n for r in found]), toxic, weight, [r.features for r in found], start)
+    weights, bias = fit(total, toxic, weight, owner, lengths, sentence.flatten().to_numpy().astype(np.int64), start)
     return {"number": number, "weights": weights, "bias": bias}
 
 
