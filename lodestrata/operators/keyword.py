@@ -73,24 +73,42 @@ def needles(text: Column, pattern: str = r"(?:№\s*)?[0-9]{1,4}/[0-9]{4,}(?:[-/
     return F.array_distinct(F.slice(F.concat(numbers, lines), 1, most))
 
 
-def inverted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(token, id, n): a row per distinct meaningful token of a document; n is their number in it.
-
-    A document without tokens has one row with a null token, which joins nothing: with a plain explode the optimizer
-    would filter on the list's size and so make every list twice.
-    """
-    found = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    return found.select(F.explode_outer("_t").alias("token"), id_col, F.size("_t").alias("n"))
+#: Texts, in expectation, from which the frequency of query tokens is taken, and queries that are broadcast at once.
+SAMPLED, ASKED = 1000, 20_000
 
 
-def token_overlap(queries: DataFrame, docs: DataFrame, least_share: float = 0.0) -> DataFrame:
-    """(query_id, doc_id, shared, query_n, doc_n) of pairs that share a token, joined over an inverted index.
+def token_overlap(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, least_share: float) -> DataFrame:
+    """(query_id, id, shared, query_n, doc_n) of pairs in which the text has ``least_share`` of the query's tokens or more.
 
-    ``queries``: (token, query_id, n), ``docs``: (token, doc_id, n). Pairs below ``least_share`` of the query's tokens go.
+    ``queries``: (query_id, tokens), the tokens distinct; a stated set, in blocks against all texts. A text that has the
+    needed share has at least one of any so many tokens as may not all be missed; so texts are looked at only where they
+    have one of the query's rarest tokens, and a frequent token makes no pairs. A text's tokens are made once, compared
+    in the task, and only pairs of the share are shuffled. Frequency is taken from a sample of the texts; it decides how
+    many pairs are looked at, not which are found. Below a share of a half most tokens would have to be looked up so,
+    and it is cheaper to count the shared tokens of all pairs that have any, summed in tasks before the shuffle. Ids are
+    unique.
     """
-    pairs = queries.withColumnRenamed("n", "query_n").join(docs.withColumnRenamed("n", "doc_n"), "token")
-    out = pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("doc_n").alias("doc_n"))
-    return out.where(F.col("shared") >= least_share * F.col("query_n"))
+    held = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
+    # outer, or the optimizer would filter on the list's size and so make every list twice
+    found = held.select(id_col, "_t", F.explode_outer("_t").alias("token"))
+    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLED))) == 0).select(F.explode_outer(tokens(F.col(text_col))).alias("token"))
+
+    def of_block(told: DataFrame) -> DataFrame:
+        told = told.select("query_id", "tokens", F.size("tokens").alias("query_n")).where("query_n > 0")
+        asked = told.select("query_id", "query_n", F.explode("tokens").alias("token"))
+        if least_share < 0.5:
+            pairs = found.select(id_col, F.size("_t").alias("doc_n"), "token").join(F.broadcast(asked), "token")
+            counted = pairs.groupBy("query_id", id_col).agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("doc_n").alias("doc_n"))
+            return counted.where(F.col("shared") >= least_share * F.col("query_n"))
+        often = drawn.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
+        order = Window.partitionBy("query_id").orderBy(F.coalesce("often", F.lit(0)), "token")
+        rarest = asked.join(often, "token", "left").withColumn("_k", F.row_number().over(order))
+        rarest = rarest.where(F.col("_k") <= F.col("query_n") - F.ceil(least_share * F.col("query_n") - 1e-9) + 1).select("query_id", "token").join(told, "query_id")
+        pairs = found.join(F.broadcast(rarest), "token")
+        counted = pairs.select("query_id", id_col, F.size(F.array_intersect("tokens", "_t")).cast("long").alias("shared"), "query_n", F.size("_t").alias("doc_n"))
+        return counted.where((F.col("shared") >= least_share * F.col("query_n")) & (F.col("shared") > 0)).distinct()
+
+    return reduce(DataFrame.unionByName, [of_block(part) for part in in_blocks(queries, "query_id", ASKED)])
 
 
 #: Entries of a glossary that are broadcast at once.
@@ -105,8 +123,9 @@ def in_blocks(entries: DataFrame, key: str, size: int = ENTRIES) -> list[DataFra
 
 def terms_in(terms: DataFrame, docs: DataFrame, term_col: str, text_col: str) -> DataFrame:
     """Each text with each term that it contains, case-blind and literally; terms in blocks against all texts."""
-    hit = contains(F.col(text_col), F.col(term_col))
-    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(part), hit) for part in in_blocks(terms, term_col)])
+    low = docs.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))  # made once, not for each term
+    hit = F.contains(F.col("_low"), F.lower(F.col(term_col)))
+    return reduce(DataFrame.unionByName, [low.join(F.broadcast(part), hit).drop("_low") for part in in_blocks(terms, term_col)])
 
 
 def small(rows: DataFrame, most: int = 100 * ENTRIES) -> DataFrame:

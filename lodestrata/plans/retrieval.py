@@ -36,9 +36,7 @@ def hybrid(queries: DataFrame, docs: DataFrame, plan: RetrievalPlan) -> DataFram
     query counts as a direct match.
     """
     q = queries.select("query_id", F.col("text").alias("query_text"), tokens(F.col("text")).alias("query_tokens"))
-    asked = q.select(F.explode("query_tokens").alias("token"), "query_id", F.size("query_tokens").alias("n"))
-    held = keyword.inverted(docs, "doc_id", "text")
-    pairs = keyword.token_overlap(asked, held, plan.least_share)
+    pairs = keyword.token_overlap(q.select("query_id", F.col("query_tokens").alias("tokens")), docs, "doc_id", "text", plan.least_share)
     by_cover = Window.partitionBy("query_id").orderBy((F.col("shared") / F.col("query_n")).desc(), F.col("doc_n"), "doc_id")
     pool = pairs.withColumn("place", F.row_number().over(by_cover)).where(F.col("place") <= plan.candidates)
     rows = pool.join(q, "query_id").join(docs.select("doc_id", "text"), "doc_id").repartition("query_id", "doc_id")

@@ -228,9 +228,8 @@ def _reranked(spark: SparkSession, sf_dir: str, advocate: bool) -> DataFrame:
     """Benchmark items ask; the plan's pool of documents by shared tokens is reranked. Labels stand for the order that a
     language model gives (good ones by length) and for minority opinions."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("asked_text"), text.tokens(F.col("text")).alias("t"))
-    asked = items.select(F.col("item_id").alias("query_id"), F.explode("t").alias("token"), F.size("t").alias("n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    pairs = keyword.token_overlap(asked, keyword.inverted(docs, "doc_id", "text"), 0.3)
+    pairs = keyword.token_overlap(items.select(F.col("item_id").alias("query_id"), F.col("t").alias("tokens")), docs, "doc_id", "text", 0.3)
     pool = fuse.top_per(pairs, ["query_id"], RetrievalPlan(k=5).pool, (F.col("shared") / F.col("query_n")).desc(), F.col("doc_id")).withColumnRenamed("rank", "place")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     c = pool.withColumnRenamed("query_id", "item_id").join(docs, "doc_id").join(items.drop("t"), "item_id").join(labels, "doc_id", "left")
