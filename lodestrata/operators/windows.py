@@ -44,9 +44,9 @@ def trend(rows: DataFrame, key: str, late: Column, hit: Column, least: int = 2,
     return agg.withColumn("shifted", (F.col("n_early") >= least) & (F.col("n_late") >= least) & moved)
 
 
-def current_version(rows: DataFrame, key: str, *latest: str) -> DataFrame:
-    """``rows`` with is_current: true for the row of its key with the highest values of ``latest``, the last of which
-    tells rows apart. Compared before the shuffle and joined back, so that a key of very many rows is no single group."""
+def current_version(rows: DataFrame, key: str, *latest: str | Column) -> DataFrame:
+    """``rows`` with is_current: true for the row of its key with the highest values of ``latest``, nulls lowest, which
+    must tell rows apart. Compared before the shuffle and joined back, so that a key of very many rows is no single group."""
     top = rows.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(*latest)).alias("_top"))
     joined = rows.join(top, F.col(key).eqNullSafe(F.col("_key")))
     return joined.withColumn("is_current", F.struct(*latest).eqNullSafe(F.col("_top"))).drop("_key", "_top")

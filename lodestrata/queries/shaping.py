@@ -94,7 +94,7 @@ def canonical_status_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active is exactly the winner of each name."""
     from ..operators.windows import current_version
 
-    ranked = current_version(table(spark, sf_dir, "part"), "p_name", (F.col("p_size") > 25).desc(), F.desc("p_partkey"), F.desc_nulls_last("p_retailprice"))
+    ranked = current_version(table(spark, sf_dir, "part"), "p_name", F.col("p_size") > 25, F.col("p_partkey"), F.col("p_retailprice"))
     return ranked.select("p_partkey", "p_name", F.col("is_current").alias("is_active"))
 
 
