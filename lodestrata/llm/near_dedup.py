@@ -131,7 +131,8 @@ class _Links:
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (block, key, ..) arrive sorted by shard; ``solve`` gets columns of whole shards and the shards' bounds."""
+    """Rows (block, key, ..) arrive sorted by shard; ``solve`` gets columns of whole shards and the shards' bounds, and
+    gives the columns (a, b, of)."""
     kept: list[list[np.ndarray]] = []
     for batch in batches:
         cols = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
@@ -147,19 +148,21 @@ def _by_shard(batches: Iterator[pa.RecordBatch], solve: Callable) -> Iterator[pa
         kept = [[c[starts[-1] :] for c in cols]]
         if len(whole[0]):
             at = np.flatnonzero((np.diff(whole[0]) != 0) | (np.diff(whole[1]) != 0)) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.r_[0, at, len(whole[0])])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.r_[0, at, len(whole[0])])], ["a", "b", "of"])
     if kept:
         whole = [np.concatenate(x) for x in zip(*kept, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.array([0, len(whole[0])]))], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(whole, np.array([0, len(whole[0])]))], ["a", "b", "of"])
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...], hubs: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows (block, key, node, words of the fingerprint) arrive sorted by shard. Per shard: pairs (a, b) within the
+    """Rows (block, key, of, node, words of the fingerprint) arrive sorted by shard. Per shard: pairs (a, b) within the
     last radius that connect it as all such pairs do, closer ones first (by the ladder's radii). With ``hubs`` also,
-    for a shard beyond a leaf's size, each node with the one in the middle, as an original is of its edited copies."""
+    for a shard beyond a leaf's size, each node with the one in the middle, as an original is of its edited copies; if
+    the shard is a part of a crowded one (``of`` is not zero), the middle node tells itself as (a, a, of)."""
 
-    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        node, fp = cols[2], np.stack(cols[3:], axis=1).view(np.uint64)
+    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of, node, fp = cols[2], cols[3], np.stack(cols[4:], axis=1).view(np.uint64)
+        middles: list[int] = []
         size, radius = np.diff(bounds), ladder[-1]
         links, found = _Links(fp), []
         leaf = np.repeat((size > 1) & (size <= LEAF), size)
@@ -189,25 +192,10 @@ def _shard_links(batches: Iterator[pa.RecordBatch], ladder: tuple[int, ...], hub
                 hub = own[np.bitwise_count(fp[own] ^ middle).sum(axis=1, dtype=np.int64).argmin()]
                 near = own[(links.far(own, hub) <= radius) & (own != hub)]
                 links.made += zip(near.tolist(), [int(hub)] * len(near), strict=True)
+                middles += [int(hub)] if of[hub] else []
         made = np.array(links.made, dtype=np.int64).reshape(-1, 2)
-        return node[made[:, 0]], node[made[:, 1]]
-
-    return _by_shard(batches, solve)
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, key, label, node) arrive sorted by shard and label. For shards with several labels: each node, and
-    1 if it is not of the label that most of the shard's nodes have, else 0."""
-
-    def solve(cols: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        label, node = cols[2], cols[3]
-        made = [np.zeros((2, 0), np.int64)]
-        mixed = np.flatnonzero(label[bounds[:-1]] != label[bounds[1:] - 1])
-        for lo, hi in zip(bounds[mixed].tolist(), bounds[mixed + 1].tolist(), strict=True):
-            _, own, size = np.unique(label[lo:hi], return_inverse=True, return_counts=True)
-            made.append(np.stack([node[lo:hi], (own != size.argmax()).astype(np.int64)]))
-        a, b = np.concatenate(made, axis=1)
-        return a, b
+        told = np.array(middles, dtype=np.int64)
+        return np.r_[node[made[:, 0]], node[told]], np.r_[node[made[:, 1]], node[told]], np.r_[np.zeros(len(made), np.int64), of[told]]
 
     return _by_shard(batches, solve)
 
@@ -261,8 +249,8 @@ def near_links(nodes: DataFrame, radius: int = 4, crowded: int = CROWDED) -> Dat
     """From distinct fingerprints (fp, node): links (a, b) of nodes, enough to connect all within the radius."""
     keyed = nodes.select("fp", "node", F.explode(block_keys(F.col("fp"), *blocks_for(nodes.count(), radius))).alias("at")).select("at.block", "at.key", "node", "fp")
     split, links = rings(keyed, radius, crowded)
-    shards = split.repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    out = shards.mapInArrow(lambda it: _shard_links(it, (radius,)), "a long, b long")
+    shards = split.select("block", "key", F.lit(0).cast("long").alias("of"), "node", "fp").repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    out = shards.mapInArrow(lambda it: _shard_links(it, (radius,)), "a long, b long, of long").select("a", "b")
     for more in links:
         out = out.unionByName(more)
     return out
@@ -291,6 +279,8 @@ WORDS = 4
 #: two fingerprints differ in 39 bits of 256 on average, with a spread of 6, in sets of four and five shingles in 48
 #: (beyond the last radius with a chance of 0.0001); unlike texts differ in 128.
 LADDER = (12, 20, 28, 36, 44, 52, 62, 72)
+#: Of so many nodes one is looked at to find crowded bands.
+LOOKED_AT = 64
 #: Set sizes whose ratio is below this are looked up together where links failed.
 STEP = 1.05
 #: Least hashes that make the key of a band, and the chance that no band has a pair at the least similarity.
@@ -364,6 +354,44 @@ def rare_shingle_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
+def _bands(nodes: DataFrame, *more: str) -> DataFrame:
+    return nodes.select(F.posexplode("keys").alias("block", "key"), "node", *more)
+
+
+def _band_pairs(nodes: DataFrame, words: list[str], crowded: int = CROWDED) -> DataFrame:
+    """(a, b): pairs of nodes that connect the shards of bands, see ``_shard_links``.
+
+    A shard of more than ``crowded`` nodes or so, as far as one node in ``LOOKED_AT`` tells, is dealt over parts by a
+    hash; the parts' middle nodes are paired with one of them. What that leaves apart is found with the rest.
+    """
+    drawn = _bands(nodes.where(F.pmod(F.xxhash64("node"), F.lit(LOOKED_AT)) == 0)).groupBy("block", "key").agg(F.count("*").alias("n"))
+    hot = cut(drawn.where(F.col("n") * LOOKED_AT > crowded).select("block", "key", F.ceil(F.col("n") * LOOKED_AT / crowded).alias("parts")), "crowded")
+    rows, any_hot = _bands(nodes, *words), bool(hot.head(1))
+    if any_hot:
+        rows = rows.join(few(hot), ["block", "key"], "left")
+        part = F.pmod(F.xxhash64("node", F.lit("part")), F.col("parts"))
+        rows = rows.withColumn("of", F.when(F.col("parts").isNull(), 0).otherwise(F.xxhash64("block", "key"))).withColumn("key", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part)))
+    else:
+        rows = rows.withColumn("of", F.lit(0))
+    shards = rows.select("block", "key", F.col("of").cast("long").alias("of"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
+    told = shards.mapInArrow(lambda it: _shard_links(it, LADDER, hubs=True), "a long, b long, of long")
+    if not any_hot:
+        return told.select("a", "b")
+    told = cut(told, "told")
+    middles = told.where("of <> 0").select("of", "a")
+    centre = middles.groupBy("of").agg(F.min("a").alias("b"))
+    return told.where("of = 0").select("a", "b").unionByName(middles.join(centre, "of").where("a <> b").select("a", "b"))
+
+
+def _apart(labelled: DataFrame) -> DataFrame:
+    """(node, rest) of the nodes of shards with several labels: whether a node is, in one of them, not of the label that
+    most have there. Labels are counted before the shuffle, so a crowded shard is no single group."""
+    rows = _bands(labelled, "label")
+    counts = rows.groupBy("block", "key", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("block", "key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("most")).where("labels > 1")
+    return rows.join(most, ["block", "key"]).groupBy("node").agg(F.max((F.col("label") != F.col("most")).cast("int")).alias("rest"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that are linked, directly or over others, to one of smaller id: linked
     are texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. component_id
@@ -397,9 +425,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
     same = prints.select("doc_id", "digest", *words).join(named.select("node", "digest", *words), ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = named.select("node", "keys", *words)
-    shards = nodes.select(F.posexplode("keys").alias("block", "key"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    near = shards.mapInArrow(lambda it: _shard_links(it, LADDER, hubs=True), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = cut(near, "pairs")
+    near = _band_pairs(nodes, words)
+    pairs = cut(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,8 +447,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if good.count() < pairs.count():
         some = nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi").select("node", "keys")  # the others are near to none
         labelled = cut(some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), "keys"), "labelled")
-        shards = labelled.select(F.posexplode("keys").alias("block", "key"), "label", "node").repartition("block", "key").sortWithinPartitions("block", "key", "label")
-        mixed = cut(shards.mapInArrow(_mixed, "a long, b long").groupBy(F.col("a").alias("node")).agg(F.max("b").alias("rest")), "mixed")
+        mixed = cut(_apart(labelled), "mixed")
         members = mixed.join(labelled.select("node", "label"), "node").join(held.select(F.col("doc_id").alias("node"), "shingles"), "node")
         further = cut(rare_shingle_pairs(members, similarity).join(pairs, ["a", "b"], "left_anti"), "further")
         more = cut(checked(further), "more")

@@ -190,6 +190,32 @@ def test_large_groups_round_the_threshold(spark, copies):
     assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
 
 
+def test_crowded_bands_are_dealt_over_parts(spark, monkeypatch):
+    import random
+
+    rng, texts = random.Random(21), {}
+    for k in range(2):
+        w = prose(rng, 150).split()
+        texts |= {1000 * k + 999: " ".join(w)} if k else {}
+        for i in range(800 if k else 100):
+            at = set(rng.sample(range(150), rng.randint(1, 4)))
+            texts[1000 * k + i] = " ".join(f"new{i}w{j}" if j in at else x for j, x in enumerate(w))
+    monkeypatch.setattr(near_dedup, "LOOKED_AT", 2)
+    monkeypatch.setattr(near_dedup._band_pairs, "__defaults__", (200,))
+    own, told = near_dedup.cut, []
+
+    def watched(df, name="part"):
+        out = own(df, name)
+        told.extend([out] if name == "told" else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "cut", watched)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
+    middles = told[0].where("of <> 0")
+    assert middles.groupBy("of").count().where("count > 1").count() > 1
+
+
 def test_rare_shingle_pairs_miss_none(spark):
     rng = np.random.default_rng(2)
     sets = {}
