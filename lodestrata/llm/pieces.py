@@ -267,17 +267,17 @@ def decode_ids(ids: np.ndarray, text_of: list[bytes]) -> str:
     return data.decode("utf-8", "replace").removeprefix(" ")
 
 
-def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", into: str = "ids", decoded_into: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", into: str = "ids", decoded_into: str | None = None, kept: bool = True) -> DataFrame:
     """``docs`` with the piece ids of each whole text in the column ``into``; none for a null or empty text. All
     columns stay, one named ``into`` is replaced. ``decoded_into`` names a column for the text read back from the ids
-    in the same pass."""
+    in the same pass. ``kept``: whether workers keep their encoder between tasks, which is faster and takes memory."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
     new = [into] + ([decoded_into] if decoded_into else [])
     rest = [c for c in docs.columns if c not in new]
     at_text = rest.index(text_col) if text_col in rest else len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
+        encoder = encoder_of(shared.value) if kept else Encoder(shared.value)
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             found = encoder.encode([t or "" for t in batch.column(at_text).to_pylist()])
             made = [_lists(found)]
