@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, language, mixing, pieces, secrets, suffix_tree, toxicity
+from . import chat, fingerprint, language, mixing, pieces, resampling, secrets, substrings, suffix_tree, toxicity, whitening
 from .common import cut, fold, table
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
@@ -85,7 +85,26 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_checked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_lm_scoring, op3_source_mixing, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting, op9_sentencepiece, op10_document_fingerprints)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_secret_scan, op2_lm_scoring, op3_source_mixing, op6_toxicity, op7_language_id, op4_simhash_near_dedup, op5_exact_dedup, op8_chat_formatting,
+        op9_sentencepiece, op10_document_fingerprints, op11_embedding_whitening, op12_importance_resampling, op13_substring_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
