@@ -24,11 +24,15 @@ def tokens(text: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) ->
     return F.array_distinct(F.filter(words(text), lambda w: (F.length(w) >= least) & ~w.isin(*stop)))
 
 
-def meaningful(text: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) -> Column:
-    """Lower-case tokens of a pasted text in order, repeats included: letters, digits and / . - make one; points at its
-    ends go, and so do short ones and stop words."""
+def runs(text: Column) -> Column:
+    """Lower-case tokens of a text in order, repeats included: letters, digits and / . - make one; points at its ends go."""
     parts = F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" "))), r"[^\p{L}\p{N}/.\-]+")
-    return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit("."))), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    return F.filter(F.transform(parts, lambda w: F.btrim(w, F.lit("."))), lambda w: w != "")
+
+
+def meaningful(text: Column, least: int = 4, stop: tuple[str, ...] = STOP_WORDS) -> Column:
+    """Those of a text's ``runs`` that are neither short nor stop words."""
+    return F.filter(runs(text), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
 
 
 def token_prefixes(found: Column, length: int = 7) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def priority_union(stages: list[tuple[str, DataFrame]], key: str, always: tuple[str, ...] = ()) -> DataFrame:
     """Stages in order of priority: a key's rows come from its first stage only; those of ``always`` are kept beside."""
@@ -53,11 +56,28 @@ def with_advocate(rows: DataFrame, keys: list[str], k: int, outlier: Column, *or
     return others.where(F.col("rank") <= k - F.coalesce("_has", F.lit(0))).select(*rows.columns).unionByName(best.select(*rows.columns))
 
 
-def cascade(stages: list[DataFrame], keys: list[str], id_col: str, k: int) -> DataFrame:
-    """Up to ``k`` rows per key, filled from the stages in order; a row counts in its first stage only."""
-    both = reduce(DataFrame.unionByName, [df.withColumn("stage", F.lit(i)) for i, df in enumerate(stages)])
-    once = both.groupBy(*keys, id_col).agg(F.min("stage").alias("stage"))
-    return top_per(once, keys, k, F.col("stage"), F.col(id_col))
+def cascade(open_keys: DataFrame, stages: list[Callable[[DataFrame], DataFrame]], keys: list[str], id_col: str, k: int) -> DataFrame:
+    """(keys, id, stage, rank): up to ``k`` rows per key, filled from the stages in order, within a stage by id; a row
+    counts in its first stage only.
+
+    Stages run one after the other. Each is a function of the keys that still lack rows and gives (keys, id) for them,
+    so what it reads can be kept to those keys; a stage runs only if a key is left. Results of stages are tables on the
+    shared folder; keys that are null get nothing.
+    """
+    found: DataFrame | None = None
+    open_ = cut(open_keys.select(*keys).dropna().distinct().withColumn("lacks", F.lit(k)), "open")
+    for i, stage in enumerate(stages):
+        if not open_.head(1):
+            break
+        fresh = stage(open_.select(*keys)).select(*keys, id_col).distinct()
+        if found is not None:
+            fresh = fresh.join(found, [*keys, id_col], "left_anti")
+        fresh = top_per(fresh.join(open_, keys), keys, k, F.col(id_col)).where("rank <= lacks")
+        fresh = cut(fresh.select(*keys, id_col, F.lit(i).alias("stage"), (F.lit(k) - F.col("lacks") + F.col("rank")).cast("int").alias("rank")), "stage")
+        found = fresh if found is None else found.unionByName(fresh)
+        now = found.groupBy(*keys).agg(F.count("*").alias("has"))
+        open_ = cut(open_.join(now, keys, "left").select(*keys, (F.lit(k) - F.coalesce("has", F.lit(0))).cast("int").alias("lacks")).where("lacks > 0"), "open")
+    return open_keys.select(*keys, F.lit(None).cast("long").alias(id_col), F.lit(0).alias("stage"), F.lit(0).alias("rank")).where("false") if found is None else found
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from math import ceil
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import meaningful, tokens, words
+from ..functions.text import meaningful, runs, tokens, words
+from ..storage import over_blocks
 
 
 def contains(text: Column, needle: str | Column) -> Column:
@@ -108,27 +114,49 @@ def token_overlap(queries: DataFrame, docs: DataFrame, id_col: str, text_col: st
         counted = pairs.select("query_id", id_col, F.size(F.array_intersect("tokens", "_t")).cast("long").alias("shared"), "query_n", F.size("_t").alias("doc_n"))
         return counted.where((F.col("shared") >= least_share * F.col("query_n")) & (F.col("shared") > 0)).distinct()
 
-    return reduce(DataFrame.unionByName, [of_block(part) for part in in_blocks(queries, "query_id", ASKED)])
+    return over_blocks(queries, "query_id", ASKED, of_block)
+
+
+#: Entries of a stated set that are broadcast at once.
+ENTRIES = 20_000
 
 
-#: Entries of a glossary that are broadcast at once.
-ENTRIES = 2000
+def _held(spark: SparkSession, terms: list[str]):
+    """A function of a text column: the array of those ``terms`` that a text contains, in one walk over the text."""
+    shared = spark.sparkContext.broadcast(terms)
 
+    @F.arrow_udf("array<string>")
+    def held(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton = ahocorasick.Automaton()
+        for t in shared.value:
+            if t:
+                automaton.add_word(t, t)
+        everywhere = [""] if "" in shared.value else []
+        automaton.make_automaton()
+        walk = automaton.iter if len(automaton) else lambda text: ()
+        for batch in texts:
+            yield pa.array([everywhere + sorted({t for _, t in walk(text)}) for text in batch.to_pylist()], pa.list_(pa.string()))
 
-def in_blocks(entries: DataFrame, key: str, size: int = ENTRIES) -> list[DataFrame]:
-    """A stated set of entries in blocks of about ``size``, by a hash of ``key``: each is small enough to broadcast."""
-    parts = max(1, -(-entries.count() // size))
-    return [entries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
+    return held
 
 
 def terms_in(terms: DataFrame, docs: DataFrame, term_col: str, text_col: str) -> DataFrame:
-    """Each text with each term that it contains, case-blind and literally; terms in blocks against all texts."""
-    low = docs.withColumn("_low", F.lower(F.coalesce(F.col(text_col), F.lit(""))))  # made once, not for each term
-    hit = F.contains(F.col("_low"), F.lower(F.col(term_col)))
-    return reduce(DataFrame.unionByName, [low.join(F.broadcast(part), hit).drop("_low") for part in in_blocks(terms, term_col)])
+    """Each text with each term that it contains, case-blind and literally. Null texts are empty, null terms in none.
+
+    Terms are a stated set, in blocks; an automaton over a block's terms finds them all in one walk over a text, so the
+    work does not grow with texts times terms.
+    """
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+
+    def of_block(block: DataFrame) -> DataFrame:
+        own = block.withColumn("_term", F.lower(term_col)).where("_term is not null")
+        found = [r[0] for r in own.select("_term").distinct().collect()]  # one block
+        return docs.withColumn("_term", F.explode(_held(docs.sparkSession, found)(low))).join(F.broadcast(own), "_term").drop("_term")
 
+    return over_blocks(terms, term_col, ENTRIES, of_block)
 
-def small(rows: DataFrame, most: int = 100 * ENTRIES) -> DataFrame:
+
+def small(rows: DataFrame, most: int = 10 * ENTRIES) -> DataFrame:
     """``rows``, to be broadcast if their number, which is counted, allows it."""
     return F.broadcast(rows) if rows.count() <= most else rows
 
@@ -137,7 +165,7 @@ def passages_in(passages: DataFrame, docs: DataFrame, passage_col: str, text_col
     """Each text with each passage that it holds, word for word and case for case.
 
     A passage's words but the first and the last stand whole in a text that holds it: passages are joined to texts by
-    the longest of these, and then compared. Passages of two words or fewer are compared with all texts, in blocks.
+    the longest of these, and then compared. Passages of two words or fewer are found by an automaton over them, in blocks.
     """
     found = words(F.col(passage_col))
     inner = F.slice(found, 2, F.greatest(F.size(found) - 2, F.lit(0)))
@@ -145,7 +173,54 @@ def passages_in(passages: DataFrame, docs: DataFrame, passage_col: str, text_col
     holds = F.contains(F.col(text_col), F.col(passage_col))
     by_word = docs.select("*", F.explode(F.array_distinct(words(F.col(text_col)))).alias("_word")).join(small(keyed.where("_word is not null")), "_word").where(holds).drop("_word")
     short = keyed.where("_word is null").drop("_word")
-    return reduce(DataFrame.unionByName, [docs.join(F.broadcast(part), holds) for part in in_blocks(short, passage_col)], by_word)
+
+    def of_block(block: DataFrame) -> DataFrame:
+        found = [r[0] for r in block.select(passage_col).distinct().collect()]  # one block
+        return docs.withColumn(passage_col, F.explode(_held(docs.sparkSession, found)(F.coalesce(text_col, F.lit(""))))).join(F.broadcast(block), passage_col)
+
+    return by_word.unionByName(over_blocks(short, passage_col, ENTRIES, of_block).select(*by_word.columns))
+
+
+def card_search(queries: DataFrame, cards: DataFrame, id_col: str, text_col: str, k: int = 30, most: int = 10) -> DataFrame:
+    """(query_id, id, hits, query_n, score, rank): the ``k`` cards that contain most of a query's first ``most`` tokens,
+    case-blind and also inside words; ``needed_matches`` of them at least. More hits first, then the greater id.
+
+    ``queries``: (query_id, tokens) in text order, distinct, a stated set, in blocks; those of fewer than three tokens
+    ask for nothing. A task walks over a text once for all tokens of a block and counts them by query, so only pairs
+    with enough hits leave it.
+    """
+    asked = queries.where(F.size("tokens") >= 3).select("query_id", F.slice("tokens", 1, most).alias("tokens"))
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+
+    def of_block(block: DataFrame) -> DataFrame:
+        rows = [(r["query_id"], r["tokens"]) for r in block.collect()]  # one block
+        by_token: dict[str, list[int]] = {}
+        for i, (_, tokens_) in enumerate(rows):
+            for t in tokens_:
+                by_token.setdefault(t, []).append(i)
+        needs = [(q, len(t), max(3, ceil(0.7 * len(t) - 1e-9))) for q, t in rows]
+        shared = cards.sparkSession.sparkContext.broadcast((by_token, needs))
+
+        @F.arrow_udf("array<struct<query_id: long, hits: int, query_n: int>>")
+        def counted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            by_token, needs = shared.value
+            automaton = ahocorasick.Automaton()
+            for t in by_token:
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            kind = pa.list_(pa.struct([("query_id", pa.int64()), ("hits", pa.int32()), ("query_n", pa.int32())]))
+            for batch in texts:
+                out = []
+                for text in batch.to_pylist():
+                    hits: Counter = Counter(i for t in {t for _, t in automaton.iter(text)} for i in by_token[t]) if by_token else Counter()
+                    out.append([{"query_id": needs[i][0], "hits": n, "query_n": needs[i][1]} for i, n in hits.items() if n >= needs[i][2]])
+                yield pa.array(out, kind)
+
+        return cards.select(id_col, F.explode(counted(low)).alias("c")).select("c.query_id", id_col, "c.hits", "c.query_n")
+
+    w = Window.partitionBy("query_id").orderBy((F.col("hits") / F.col("query_n")).desc(), F.desc(id_col))
+    top = over_blocks(asked, "query_id", ENTRIES, of_block).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.withColumn("score", card_rank(F.col("hits"), F.col("query_n")))
 
 
 def needed_matches(n: Column) -> Column:
@@ -159,3 +234,77 @@ def card_rank(hits: Column, n: Column) -> Column:
 
 def pasted_rank(rank: Column) -> Column:
     return F.least(F.lit(1.0), 0.58 + F.log(1 + rank) / 2.5)
+
+
+#: What a cover of no other words counts, and what a needle counts.
+COVER, NEEDLE = 0.1, 4.0
+
+
+def cover_density(found: list[str], terms: frozenset[str]) -> float:
+    """The sum over a text's minimal intervals that hold all ``terms``, of 0.1 by one more than the interval's other
+    words. ``found``: the text's tokens in order; 0 for a text that lacks a term."""
+    total, hits, last, begun = 0.0, [], {}, -1
+    for i, w in enumerate(found):
+        if w in terms:
+            hits.append(i)
+            last[w] = i
+            if len(last) == len(terms) and (a := min(last.values())) != begun:
+                begun = a
+                total += COVER / (1 + i - a + 1 - (len(hits) - bisect_left(hits, a)))
+    return total
+
+
+def windows_in(windows: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """``texts`` with ``win`` and ``density``: each window (win: its tokens, joined by a space) all of whose tokens a text
+    has, with its cover density there.
+
+    Windows are a stated set, in blocks. A window is looked for in texts that have its rarest token, in tasks that hold
+    the block; how often tokens occur is counted over all texts.
+    """
+    told = texts.withColumn("_runs", runs(F.col(text_col)))
+
+    def of_block(block: DataFrame) -> DataFrame:
+        asked = block.select("win", F.array_distinct(F.split("win", " ")).alias("terms"))
+        single = asked.select(F.explode("terms").alias("token")).distinct()
+        often = told.select(F.explode(F.array_distinct("_runs")).alias("token")).join(F.broadcast(single), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
+        counts = {r["token"]: r["often"] for r in often.collect()}  # the block's tokens
+        keyed: dict[str, list[tuple[str, frozenset[str]]]] = {}
+        for r in asked.collect():  # one block
+            if all(t in counts for t in r["terms"]):
+                keyed.setdefault(min(r["terms"], key=lambda t: (counts[t], t)), []).append((r["win"], frozenset(r["terms"])))
+        shared = texts.sparkSession.sparkContext.broadcast(keyed)
+
+        @F.arrow_udf("array<struct<win: string, density: double>>")
+        def held(tokens_: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            by_token = shared.value
+            kind = pa.list_(pa.struct([("win", pa.string()), ("density", pa.float64())]))
+            for batch in tokens_:
+                rows = []
+                for found in batch.to_pylist():
+                    own = set(found)
+                    fitting = [x for t in by_token.keys() & own for x in by_token[t] if x[1] <= own]
+                    rows.append([{"win": w, "density": cover_density(found, terms)} for w, terms in fitting])
+                yield pa.array(rows, kind)
+
+        return told.select("*", F.inline(held("_runs"))).drop("_runs")
+
+    return over_blocks(windows.select("win").distinct(), "win", ENTRIES, of_block)
+
+
+def pasted_search(pasted: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """(item_id, parent, chunk_index, text_rank, similarity, rank): the ``k`` parents that most look like the source of a
+    pasted text, by their best chunk.
+
+    ``pasted``: (item_id, text); ``chunks``: (parent, chunk_index, content). A chunk's rank is the sum of the cover
+    densities of the text's windows (see ``token_windows``) that it holds all tokens of, and 4 for each of its needles
+    (see ``needles``) that it contains. Of chunks of equal rank the first counts, of parents the one of smallest id.
+    """
+    windows = pasted.select("item_id", F.explode(token_windows(meaningful(F.col("text")))).alias("win")).distinct()
+    wanted = pasted.select("item_id", F.explode(needles(F.col("text"))).alias("needle")).distinct()
+    dense = windows_in(windows, chunks, "content").join(small(windows), "win").select("item_id", "parent", "chunk_index", F.col("density").alias("value"))
+    literal = terms_in(wanted, chunks, "needle", "content").select("item_id", "parent", "chunk_index", F.lit(NEEDLE).alias("value"))
+    ranked = dense.unionByName(literal).groupBy("item_id", "parent", "chunk_index").agg(F.round(F.sum("value"), 9).alias("text_rank"))
+    best = ranked.groupBy("item_id", "parent").agg(F.min_by("chunk_index", F.struct(-F.col("text_rank"), "chunk_index")).alias("chunk_index"), F.max("text_rank").alias("text_rank"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("text_rank"), "parent")
+    top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("item_id", "parent", "chunk_index", "text_rank", pasted_rank(F.col("text_rank")).alias("similarity"), "rank")

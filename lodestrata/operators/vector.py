@@ -1,19 +1,22 @@
 """Vector search: cosine similarity of a stated query set against a whole corpus, in blocks of queries.
 
 A block is a bounded matrix that is broadcast; each task multiplies it with its Arrow batches and keeps only partial
-results (best k per query, or sums per query and parent), so nothing of the size of queries x corpus is made.
+results (best k per query, or sums per query and parent), so nothing of the size of queries x corpus is made. Of many
+blocks each one's result is written before the next is taken. ``operators/cells.py`` has the index that spares most of
+the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import over_blocks
+
 #: Queries in a block.
 BLOCK = 4096
 
@@ -29,36 +32,26 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _blocks(queries: DataFrame, extra: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    n = queries.count()
-    parts = -(-n // BLOCK)
-    for k in range(parts):
-        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k)
-        found = own.collect()  # one block
-        if found:
-            m = np.array([r.vector for r in found], dtype=np.float64)
-            more = {c: np.array([r[c] for r in found]) for c in extra}
-            yield np.array([r.query_id for r in found], dtype=np.int64), m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), more
-
-
 def _scan(queries: DataFrame, corpus: DataFrame, partial: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``partial(query ids, corpus ids, parents, similarities)`` to every block and batch; it gives columns.
     ``extra`` columns of the queries are handed on as arrays by name."""
-    spark = corpus.sparkSession
 
-    def against(ids: np.ndarray, matrix: np.ndarray, more: dict[str, np.ndarray]) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix, more))
+    def against(block: DataFrame) -> DataFrame:
+        found = block.toArrow()  # one block
+        m = _unit(found.column("vector").combine_chunks())
+        ids, more = found.column("query_id").to_numpy(), {c: found.column(c).to_numpy() for c in extra}
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, m, more))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, m, more = shared.value
             for batch in batches:
-                if batch.num_rows:
+                if batch.num_rows and len(own):
                     cols = partial(own, batch.column(0).to_numpy(), batch.column(1).to_numpy(), m @ _unit(batch.column(2)).T, **more)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
 
         return corpus.select(F.col("vec_id").cast("long"), F.col("parent").cast("long"), "vector").mapInArrow(run, schema)
 
-    return reduce(DataFrame.unionByName, [against(*b) for b in _blocks(queries, extra)], spark.createDataFrame([], schema))
+    return over_blocks(queries, "query_id", BLOCK, against)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float = -1.0) -> DataFrame:

@@ -9,31 +9,48 @@ from ..functions import rules, scores, text
 from ..operators import evaluate, fuse, keyword
 from ..sources import readers
 from .registry import Registry, table
-from .texts import BLANK, meaningful_sql, tokens_sql, windows_sql
+from .texts import BLANK, WHITE, meaningful_sql, runs_sql, tokens_sql, windows_sql
 
 query = Registry()
 
 
-@query(f"""
-    WITH t AS (SELECT item_id, {meaningful_sql("text")} AS w FROM benchmark),
+_RUNS = runs_sql("content")
+_LINE = meaningful_sql("s").replace("lambda w", "lambda v").replace("(w", "(v").replace("w NOT", "v NOT")
+
+
+@query(rf"""
+    WITH c AS (SELECT doc_id AS parent, CAST(k AS INTEGER) AS chunk_index, trim(substring(text, start + 1, 1500), {WHITE}) AS content
+               FROM (SELECT doc_id, text, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS start FROM (SELECT doc_id, text, range(0, length(text), 1300) AS s FROM documents))),
+    ch AS (SELECT *, {_RUNS} AS toks FROM c WHERE length(content) >= 1),
+    pasted AS (SELECT item_id, text || chr(10) || array_to_string(regexp_split_to_array(text, '[.]'), chr(10)) AS text FROM benchmark),
+    t AS (SELECT item_id, {meaningful_sql("text")} AS w FROM pasted),
     k AS (SELECT item_id, w, unnest({windows_sql()}) AS s FROM t WHERE len(w) >= 6),
-    win AS (SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 7], ' ') AS win, list_distinct(w[s + 1 : s + 7]) AS ws FROM k WHERE len(w[s + 1 : s + 7]) >= 5),
-    q AS (SELECT item_id, win, unnest(ws) AS token, len(ws) AS n FROM win),
-    d AS (SELECT doc_id, unnest(list_distinct({meaningful_sql("text")})) AS token FROM documents),
-    hit AS (SELECT item_id, win, doc_id FROM q JOIN d USING (token) GROUP BY item_id, win, doc_id HAVING count(*) = max(n)),
-    r AS (SELECT item_id, doc_id, count(*) AS windows, row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) AS k FROM hit GROUP BY item_id, doc_id)
-    SELECT item_id, doc_id, windows, round(least(1.0::DOUBLE, 0.58::DOUBLE + ln(1 + windows) / 2.5::DOUBLE), 6) AS similarity FROM r WHERE k <= 10
+    win AS (SELECT DISTINCT item_id, array_to_string(w[s + 1 : s + 7], ' ') AS win, list_distinct(w[s + 1 : s + 7]) AS terms FROM k WHERE len(w[s + 1 : s + 7]) >= 5),
+    occ AS (SELECT parent, chunk_index, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM ch),
+    asked AS (SELECT DISTINCT win, unnest(terms) AS w, len(terms) AS n FROM win),
+    hit AS (SELECT win, parent, chunk_index, i, w, n FROM asked JOIN occ USING (w)),
+    held AS (SELECT win, parent, chunk_index FROM hit GROUP BY ALL HAVING count(DISTINCT w) = max(n)),
+    own AS (SELECT hit.* FROM hit JOIN held USING (win, parent, chunk_index)),
+    span AS (SELECT e.win, e.parent, e.chunk_index, e.i AS b, o.w, max(o.i) AS last, max(e.n) AS n FROM own e JOIN own o ON o.win = e.win AND o.parent = e.parent AND o.chunk_index = e.chunk_index AND o.i <= e.i GROUP BY ALL),
+    cover AS (SELECT win, parent, chunk_index, a, min(b) AS b FROM (SELECT win, parent, chunk_index, b, min(last) AS a FROM span GROUP BY ALL HAVING count(*) = max(n)) GROUP BY ALL),
+    dense AS (SELECT win, parent, chunk_index, sum(0.1::DOUBLE / (1 + b - a + 1 - m)) AS density FROM (SELECT c.win, c.parent, c.chunk_index, a, b, count(*) AS m FROM cover c JOIN own o ON o.win = c.win AND o.parent = c.parent AND o.chunk_index = c.chunk_index AND o.i BETWEEN a AND b GROUP BY ALL) GROUP BY ALL),
+    n0 AS (SELECT item_id, text, trim(regexp_replace(replace(text, chr(160), ' '), '[ \t\n\r\f]+', ' ', 'g'), ' ') AS plain FROM pasted),
+    n1 AS (SELECT item_id, regexp_extract_all(plain, '(?:№ *)?[0-9]{{1,4}}/[0-9]{{4,}}(?:[-/][0-9]+)?') AS nums,
+                  list_filter(list_transform(regexp_split_to_array(text, '[\r\n]+'), lambda s: trim(regexp_replace(replace(s, chr(160), ' '), '[ \t\f]+', ' ', 'g'), ' ')), lambda s: length(s) BETWEEN 35 AND 170) AS lines FROM n0),
+    needle AS (SELECT DISTINCT item_id, unnest(list_concat(flatten(list_transform(nums, lambda s: [s, trim(regexp_replace(s, '^№ *', ''), ' ')])), list_filter(lines, lambda s: len({_LINE}) >= 4))[1:8]) AS needle FROM n1),
+    parts AS (SELECT item_id, parent, chunk_index, density AS value FROM dense JOIN win USING (win) UNION ALL SELECT item_id, parent, chunk_index, 4.0::DOUBLE FROM needle JOIN ch ON contains(lower(content), lower(needle))),
+    r AS (SELECT item_id, parent, chunk_index, round(sum(value), 9) AS text_rank FROM parts GROUP BY ALL),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, parent ORDER BY text_rank DESC, chunk_index) AS k FROM r) WHERE k = 1),
+    top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY text_rank DESC, parent) AS rank FROM best)
+    SELECT item_id, parent AS doc_id, chunk_index, round(text_rank, 6) AS text_rank, round(least(1.0::DOUBLE, 0.58::DOUBLE + ln(1 + text_rank) / 2.5::DOUBLE), 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM top WHERE top.rank <= 10
 """)
 def pasted_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold all tokens of a pasted text's windows. The score is ours: the number of such windows."""
-    w = text.meaningful(F.col("text"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(keyword.token_windows(w)).alias("win")).distinct()
-    asked = items.select("item_id", "win", F.array_distinct(F.split("win", " ")).alias("ws")).select("item_id", "win", F.explode("ws").alias("token"), F.size("ws").alias("n"))
-    held = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.array_distinct(w)).alias("token"))
-    hits = asked.join(held, "token").groupBy("item_id", "win", "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where("c = n")
-    counted = hits.groupBy("item_id", "doc_id").agg(F.count("*").alias("windows"))
-    top = fuse.top_per(counted, ["item_id"], 10, F.desc("windows"), F.col("doc_id"))
-    return top.select("item_id", "doc_id", "windows", F.round(keyword.pasted_rank(F.col("windows")), 6).alias("similarity"))
+    """The documents that an item was pasted from: by cover density of its windows and by its needles, over chunks. The
+    pasted text is the item and, in lines of their own, its sentences."""
+    chunks = text.fixed_chunks(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "parent")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit("\n"), F.array_join(F.split("text", "[.]"), "\n")).alias("text"))
+    found = keyword.pasted_search(items, chunks)
+    return found.select("item_id", F.col("parent").alias("doc_id"), "chunk_index", F.round("text_rank", 6).alias("text_rank"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("""
@@ -52,11 +69,12 @@ def keyword_by_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, doc_id, CAST(stage AS INTEGER) AS stage, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 3
 """)
 def cascade_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact finds first, then looser ones, until three are found."""
+    """Exact finds first, then looser ones for those sources only that have fewer than three yet."""
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", "n_chars")
-    exact = d.join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    stages = [exact, d.where(F.col("text").contains("token")), d.where("n_chars > 500")]
-    return fuse.cascade([s.select("source", "doc_id") for s in stages], ["source"], "doc_id", 3).select("source", "doc_id", "stage", "rank")
+    poor = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    rules = [lambda rows: rows.join(poor, "doc_id", "left_semi"), lambda rows: rows.where(F.col("text").contains("token")), lambda rows: rows.where("n_chars > 500")]
+    stages = [lambda open_, rule=rule: rule(d.join(keyword.small(open_), "source", "left_semi")).select("source", "doc_id") for rule in rules]
+    return fuse.cascade(d.select("source").where("source is not null").distinct(), stages, ["source"], "doc_id", 3).select("source", "doc_id", "stage", "rank")
 
 
 @query("""

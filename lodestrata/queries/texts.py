@@ -19,9 +19,13 @@ def words_sql(column: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(coalesce({column}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 
-def meaningful_sql(column: str) -> str:
+def runs_sql(column: str, which: str = "w <> ''") -> str:
     parts = f"regexp_split_to_array(lower(replace(coalesce({column}, ''), chr(160), ' ')), '[^\\p{{L}}\\p{{N}}/.\\-]+')"
-    return f"list_filter(list_transform({parts}, lambda w: trim(w, '.')), lambda w: length(w) >= 4 AND w NOT IN ({STOP}))"
+    return f"list_filter(list_transform({parts}, lambda w: trim(w, '.')), lambda w: {which})"
+
+
+def meaningful_sql(column: str) -> str:
+    return runs_sql(column, f"length(w) >= 4 AND w NOT IN ({STOP})")
 
 
 def windows_sql(tokens: str = "w") -> str:
@@ -210,21 +214,19 @@ def token_coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH b AS (SELECT item_id, {tokens_sql("text")} AS t FROM benchmark),
-    q AS (SELECT item_id, unnest(list_slice(list_sort(t), 1, 10)) AS token, least(10, len(t)) AS n FROM b WHERE len(t) >= 3),
-    d AS (SELECT doc_id, unnest({tokens_sql("text")}) AS token FROM documents),
-    p AS (SELECT item_id, doc_id, count(*) AS hits, max(n) AS n FROM q JOIN d USING (token) GROUP BY ALL),
+    WITH w AS (SELECT item_id, list_filter({words_sql("text")}, lambda w: length(w) >= 4 AND w NOT IN ({STOP})) AS w FROM benchmark),
+    b AS (SELECT item_id, list_filter(w, lambda x, i: list_position(w, x) = i)[1:10] AS t FROM w),
+    q AS (SELECT item_id, unnest(t) AS token, len(t) AS n FROM b WHERE len(t) >= 3),
+    d AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT item_id, doc_id, count(*) AS hits, max(n) AS n FROM q JOIN d ON contains(low, token) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, doc_id DESC) AS k FROM p WHERE hits >= greatest(3, ceil(0.7 * n)))
-    SELECT item_id, doc_id, hits, round(least(0.99, 0.68 + 0.31 * hits / n), 6) AS score FROM r WHERE k <= 30
+    SELECT item_id, doc_id, CAST(hits AS INTEGER) AS hits, round(least(0.99, 0.68 + 0.31 * hits / n), 6) AS score FROM r WHERE k <= 30
 """)
 def card_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to ten tokens of a query, 70 per cent of which must occur."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.array_sort(text.tokens(F.col("text"))).alias("t")).where(F.size("t") >= 3)
-    asked = q.select(F.col("item_id").alias("query_id"), F.slice("t", 1, 10).alias("tokens"))
-    pairs = keyword.token_overlap(asked, table(spark, sf_dir, "documents"), "doc_id", "text", 0.7)
-    good = pairs.where(F.col("shared") >= keyword.needed_matches(F.col("query_n")))
-    top = fuse.top_per(good, ["query_id"], 30, F.desc("shared"), F.desc("doc_id"))
-    return top.select(F.col("query_id").alias("item_id"), "doc_id", F.col("shared").alias("hits"), F.round(keyword.card_rank(F.col("shared"), F.col("query_n")), 6).alias("score"))
+    """The first ten tokens of a query in text order, 70 per cent of which must occur, be it inside words."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.tokens(F.col("text")).alias("tokens"))
+    top = keyword.card_search(q, table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    return top.select(F.col("query_id").alias("item_id"), "doc_id", "hits", F.round("score", 6).alias("score"))
 
 
 @query("""

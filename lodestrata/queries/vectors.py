@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import parent_score
-from ..operators import fuse, keyword, vector
+from ..operators import cells, fuse, keyword, vector
+from ..storage import shared_folder
 from .registry import Registry, table
 
 query = Registry()
 DIMENSION = 64
 STEPS = (0.40, 0.32, 0.25)
+#: Cells of the index, and those that a query looks at.
+CELLS, CELLS_PROBED = 16, 12
 
 SIMILARITIES = """
     q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
@@ -37,6 +42,15 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vector.knn(*both(spark, sf_dir), k=20))
 
 
+@query()
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of coarse cells, of which a query looks at CELLS_PROBED of CELLS."""
+    queries, corpus = both(spark, sf_dir)
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    cells.build(corpus, path, CELLS)
+    return rounded(cells.search(queries, path, 20, CELLS_PROBED))
+
+
 @query(f"""
     WITH {SIMILARITIES},
     o AS (SELECT * FROM s WHERE vec_id <> query_id),

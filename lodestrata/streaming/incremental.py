@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..storage import shared_folder as shared_folder
+
 
 def landing(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
@@ -30,14 +30,6 @@ def latest(batch: DataFrame, keys: list[str], time_col: str, tie: str) -> DataFr
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(time_col, tie)).alias("_row")).select("_row.*")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, read from the session; only a local session without one gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return found or tempfile.mkdtemp(prefix="lodestrata-")
-
-
 def change_log(spark: SparkSession, path: str, schema: StructType, keys: list[str], time_col: str, tie: str) -> Callable[[DataFrame, int], None]:
     """A merge for ``upsert_stream``: a micro-batch leaves its last row of each key under its own number, so a repeated
     epoch writes the same again and a restart needs nothing from the driver. No batch rewrites what others left. The

@@ -45,12 +45,6 @@ def test_issue_coverage(spark):
     assert seen("the claims lapse") and seen("it is due") and not seen("no, never of") and not seen(None)
 
 
-def test_cascade_fills_and_counts_a_row_once(spark):
-    df = lambda *ids: spark.createDataFrame([("a", i) for i in ids], "key string, id int")
-    out = fuse.cascade([df(7), df(7, 3), df(1, 2, 9)], ["key"], "id", 3).orderBy("rank").collect()
-    assert [(r.id, r.stage) for r in out] == [(7, 0), (3, 1), (1, 2)]
-
-
 def test_fallback_only_for_keys_without_rows(spark):
     df = lambda *rows: spark.createDataFrame(rows, "key string, id int")
     out = fuse.with_fallback(df(("a", 1)), df(("a", 2), ("b", 3)), ["key"])
