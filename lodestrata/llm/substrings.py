@@ -113,15 +113,19 @@ def _bounds(buckets: int, bits: int) -> np.ndarray:
 
 
 def _sent(unit: int, columns: list[np.ndarray], key: np.ndarray, bounds: np.ndarray) -> tuple[list, list, list]:
-    edges = np.r_[np.searchsorted(key, bounds), len(key)]
+    edges = _edges(key, bounds)
     full = np.flatnonzero(np.diff(edges))
     return full.tolist(), [unit] * len(full), [pack(*(c[edges[b] : edges[b + 1]] for c in columns)) for b in full]
 
 
-def _answers(replies: pa.Table, key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _edges(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the sorted keys of each bucket begin, and where the last one's end."""
+    return np.r_[np.searchsorted(key, bounds), len(key)]
+
+
+def _answers(replies: pa.Table, edges: np.ndarray) -> np.ndarray:
     """The bits that buckets sent back, one for each of the sorted keys."""
-    edges = np.r_[np.searchsorted(key, bounds), len(key)]
-    out = np.zeros(len(key), bool)
+    out = np.zeros(int(edges[-1]), bool)
     for bucket, data in zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True):
         if bucket >= 0:
             a, b = edges[bucket], edges[bucket + 1]
@@ -214,7 +218,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unit, own = Unit(table), key[0].as_py()
         marked, at, first = unit.hashes(block, window, bits)
         hit = np.zeros(len(unit.words) + 1, np.int64)
-        hit[at] = np.repeat(_answers(replies, marked >> np.uint64(2), bounds), np.diff(np.r_[first, len(at)]))
+        hit[at] = np.repeat(_answers(replies, _edges(marked >> np.uint64(2), bounds)), np.diff(np.r_[first, len(at)]))
         before = np.r_[0, np.cumsum(hit)]
         owner = unit.owners()
         start = np.arange(max(0, len(owner) - window + 1))
@@ -234,7 +238,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         which[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(start)]))
         sent = _sent(own, [h[first], lo[first], least], h[first], digest_bounds)
         note = pack(start, which, (ids > least[which]).astype(np.int64))
-        return _table([*sent[0], -1 - own], [*sent[1], own], [*sent[2], len(note).to_bytes(8, "little") + note + pack(h[first])])
+        return _table([*sent[0], -1 - own], [*sent[1], own], [*sent[2], len(note).to_bytes(8, "little") + note + pack(_edges(h[first], digest_bounds))])
 
     def rebuild(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         unit = Unit(table)
@@ -243,8 +247,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if bucket < 0:
                 size = int.from_bytes(data[:8], "little")
                 start, which, local = (c.view(np.int64) for c in unpack(data[8 : 8 + size], 3))
-                high = unpack(data[8 + size :], 1)[0]
-                start = start[(local > 0) | _answers(replies, high, digest_bounds)[which]]
+                edges = unpack(data[8 + size :], 1)[0].view(np.int64)
+                start = start[(local > 0) | _answers(replies, edges)[which]]
                 np.add.at(gone, start, 1)
                 np.add.at(gone, start + window, -1)
         covered = np.cumsum(gone[:-1]) > 0
