@@ -358,11 +358,13 @@ def _bands(nodes: DataFrame, *more: str) -> DataFrame:
     return nodes.select(F.posexplode("keys").alias("block", "key"), "node", *more)
 
 
-def _band_pairs(nodes: DataFrame, words: list[str], crowded: int = CROWDED) -> DataFrame:
-    """(a, b): pairs of nodes that connect the shards of bands, see ``_shard_links``.
+def _band_pairs(nodes: DataFrame, words: list[str], crowded: int = CROWDED) -> tuple[DataFrame, DataFrame | None]:
+    """((a, b), crowded): pairs of nodes that connect the shards of bands, see ``_shard_links``; and the (block, key) of
+    crowded shards, if there are any.
 
     A shard of more than ``crowded`` nodes or so, as far as one node in ``LOOKED_AT`` tells, is dealt over parts by a
-    hash; the parts' middle nodes are paired with one of them. What that leaves apart is found with the rest.
+    hash; the parts' middle nodes are paired with one of them. The parts do not meet otherwise, so all nodes of crowded
+    shards must be looked up.
     """
     drawn = _bands(nodes.where(F.pmod(F.xxhash64("node"), F.lit(LOOKED_AT)) == 0)).groupBy("block", "key").agg(F.count("*").alias("n"))
     hot = cut(drawn.where(F.col("n") * LOOKED_AT > crowded).select("block", "key", F.ceil(F.col("n") * LOOKED_AT / crowded).alias("parts")), "crowded")
@@ -376,11 +378,11 @@ def _band_pairs(nodes: DataFrame, words: list[str], crowded: int = CROWDED) -> D
     shards = rows.select("block", "key", F.col("of").cast("long").alias("of"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
     told = shards.mapInArrow(lambda it: _shard_links(it, LADDER, hubs=True), "a long, b long, of long")
     if not any_hot:
-        return told.select("a", "b")
+        return told.select("a", "b"), None
     told = cut(told, "told")
     middles = told.where("of <> 0").select("of", "a")
     centre = middles.groupBy("of").agg(F.min("a").alias("b"))
-    return told.where("of = 0").select("a", "b").unionByName(middles.join(centre, "of").where("a <> b").select("a", "b"))
+    return told.where("of = 0").select("a", "b").unionByName(middles.join(centre, "of").where("a <> b").select("a", "b")), hot.select("block", "key")
 
 
 def _apart(labelled: DataFrame) -> DataFrame:
@@ -392,7 +394,7 @@ def _apart(labelled: DataFrame) -> DataFrame:
     return rows.join(most, ["block", "key"]).groupBy("node").agg(F.max((F.col("label") != F.col("most")).cast("int")).alias("rest"))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, component_id) of the documents that are linked, directly or over others, to one of smaller id: linked
     are texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. component_id
     is the smallest id reachable.
@@ -401,7 +403,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long fingerprints gives the pairs that connect it, nearest first; each is then checked on the full shingle sets, and
     only checked links unite. Where a shard is not one group after that, those of its documents that are not of its
     largest group are looked up among the shards' documents by their rarest shingles (``rare_shingle_pairs``), which
-    misses no pair of the similarity. Rows with a null id are left out, and so are ids that rows of different shingles
+    misses no pair of the similarity. Shards of more than ``crowded`` documents are connected in parts only, so all
+    their documents take part in that whatever the candidates of the parts were. Rows with a null id are left out, and so are ids that rows of different shingles
     share, as an id could not tell which of them is meant; rows that share an id and its shingles are one document.
     Wordless texts are similar to each other only.
     """
@@ -425,9 +428,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = cut(prints.groupBy("digest", *words).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "nodes")
     same = prints.select("doc_id", "digest", *words).join(named.select("node", "digest", *words), ["digest", *words]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     nodes = named.select("node", "keys", *words)
-    near = _band_pairs(nodes, words)
+    near, hot = _band_pairs(nodes, words, crowded)
     pairs = cut(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    if hot is not None:
+        ids = ids.unionByName(_bands(nodes).join(few(hot), ["block", "key"], "left_semi").select(F.col("node").alias("doc_id")))
+    ids = cut(ids.distinct(), "ids")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
@@ -444,7 +450,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     good = cut(checked(pairs), "good")
     links = good.unionByName(same)
     found = components(links)
-    if good.count() < pairs.count():
+    if hot is not None or good.count() < pairs.count():
         some = nodes.join(few(ids), F.col("node") == F.col("doc_id"), "left_semi").select("node", "keys")  # the others are near to none
         labelled = cut(some.join(found.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label"), "keys"), "labelled")
         mixed = cut(_apart(labelled), "mixed")

@@ -201,7 +201,6 @@ def test_crowded_bands_are_dealt_over_parts(spark, monkeypatch):
             at = set(rng.sample(range(150), rng.randint(1, 4)))
             texts[1000 * k + i] = " ".join(f"new{i}w{j}" if j in at else x for j, x in enumerate(w))
     monkeypatch.setattr(near_dedup, "LOOKED_AT", 2)
-    monkeypatch.setattr(near_dedup._band_pairs, "__defaults__", (200,))
     own, told = near_dedup.cut, []
 
     def watched(df, name="part"):
@@ -211,11 +210,32 @@ def test_crowded_bands_are_dealt_over_parts(spark, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "cut", watched)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs).collect()} == brute_groups(texts)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs, crowded=200).collect()} == brute_groups(texts)
     middles = told[0].where("of <> 0")
     assert middles.groupBy("of").count().where("count > 1").count() > 1
 
 
+@pytest.mark.parametrize("failing", [False, True])
+def test_crowded_bands_lose_no_pair_far_from_the_middle(spark, monkeypatch, failing):
+    """All documents in one band, dealt over parts: pairs whose ends fall into different parts, near to nothing else,
+    are found, whether or not a candidate of the parts failed its check."""
+    import random
+
+    rng, texts = random.Random(22), {}
+    for k in range(60):
+        w = prose(rng, 120).split()
+        texts[2 * k] = " ".join(w)
+        texts[2 * k + 1] = " ".join(f"new{k}" if j == 60 else x for j, x in enumerate(w))
+    if failing:
+        w = prose(rng, 200).split()
+        texts |= {500 + i: " ".join(f"n{i}w{j}" if j % 20 == i % 20 else x for j, x in enumerate(w)) for i in range(6)}
+    monkeypatch.setattr(near_dedup, "LOOKED_AT", 1)
+    monkeypatch.setattr(near_dedup, "band_keys", lambda hashes, chosen: np.zeros((len(hashes), len(chosen)), dtype=np.int64))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    expected = brute_groups(texts)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_groups(docs, crowded=20).collect()} == expected and len(expected) >= 60
+
+
 def test_rare_shingle_pairs_miss_none(spark):
     rng = np.random.default_rng(2)
     sets = {}
