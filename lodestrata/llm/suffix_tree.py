@@ -9,10 +9,11 @@ go all its suffixes. A state's distribution is discounted and
 interpolated with that of the next shorter suffix, down to equal chances, so it sums to one. A text is scored from
 the longest suffix state of each position.
 
-The tree is broadcast. A level has 1 / rare times the square root of all symbols contexts at most, which is more than
-memory allows for the largest corpora: beyond ``MOST`` transitions only the most frequent ones stay. The word model has no such bound:
-words of at least the share ``common`` (1 / common of them at most) are looked up in tasks, all others are joined with
-their counts.
+The tree is a table. While it has ``MOST`` transitions at most it is broadcast whole. A larger one is broadcast in slices, one
+after the other: the levels of up to one symbol of context, which are small, and of the longer contexts those whose
+last two symbols fall in the slice. A slice holds all states of the symbols that follow its pairs, so a pass over the
+texts with each slice scores every symbol just once, and no transition is left out. Of the word model, words of at
+least the share ``common`` (1 / common of them at most) are looked up in tasks, all others are joined with their counts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from .common import cut
 DEPTH = 5
 END = b"\n"
 DISCOUNT = 0.75
-#: Transitions of a tree at most, some 24 bytes each in every worker.
-MOST = 1 << 24
+#: Transitions that are broadcast at once, some 24 bytes each in every worker.
+MOST = 1 << 23
 #: Symbols counted or scored at once.
 CHUNK = 1 << 22
 #: Binary logarithm of the cells in which a task remembers grams.
@@ -119,18 +121,20 @@ def _mask(symbols: int) -> int:
     return (1 << (8 * symbols)) - 1
 
 
+def _slice(pair, slices: int):
+    """The slice of two symbols as one number; for columns and arrays alike."""
+    return (pair * 40503 % 65536) % slices
+
+
 def grow(counted: DataFrame, rare: float = 0.003, divergence: float = 1.0) -> dict:
-    """The tree from gram counts: per level sorted contexts with their back-off share, and sorted transitions with
-    their discounted probability."""
+    """The tree from gram counts: ``table`` (k, gram, n, total) with a row for each transition, ``slices`` in which it is
+    broadcast, and its ``levels`` (see ``_levels``) if it is one slice."""
     levels = F.array(*(F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit(_mask(k + 1)).cast("long")).alias("gram")) for k in range(DEPTH + 1)))
     moves = cut(counted.select(F.explode(levels).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("gram", 8)), "moves")
     total = moves.where("k = 0").agg(F.sum("n")).first()[0] or 0
     least = max(4.0, rare * total**0.5)
     states = cut(moves.groupBy("k", "context").agg(F.sum("n").alias("total")).where(F.col("total") >= least), "states")
     kept = cut(moves.join(states, ["k", "context"]).where(F.col("n") * 4 >= least), "kept")
-    if (number := kept.count()) > MOST:
-        often = kept.approxQuantile("n", [1 - MOST / number], 1e-4)[0]
-        kept = kept.where((F.col("n") > often) | (F.col("k") == 0))
     shorter = kept.select((F.col("k") + 1).alias("k"), F.col("gram").alias("suffix"), (F.col("n") / F.col("total")).alias("before"))
     suffix = F.col("gram")
     for k in range(1, DEPTH + 1):
@@ -140,8 +144,15 @@ def grow(counted: DataFrame, rare: float = 0.003, divergence: float = 1.0) -> di
     nodes = tested.where(F.col("gain") >= divergence * (F.col("followers") + 6 * F.sqrt("followers")))
     closure = F.array(*(F.when(F.col("k") >= j, F.struct(F.lit(j).alias("k"), F.col("context").bitwiseAND(F.lit(_mask(j)).cast("long")).alias("context"))) for j in range(1, DEPTH + 1)))
     nodes = nodes.select(F.explode(F.array_compact(closure)).alias("x")).select("x.*").distinct()
-    final = kept.where("k = 0").unionByName(kept.join(nodes, ["k", "context"], "left_semi").select(*kept.columns)).select("k", "gram", "n", "total").toArrow()  # bounded, see above
-    model = {"levels": [], "total": int(total)}
+    tree = cut(kept.where("k = 0").unionByName(kept.join(nodes, ["k", "context"], "left_semi").select(*kept.columns)).select("k", "gram", "n", "total"), "tree")
+    model = {"table": tree, "slices": max(1, -(-tree.count() // MOST)), "total": int(total)}
+    return model | _levels(tree) if model["slices"] == 1 else model
+
+
+def _levels(tree: DataFrame) -> dict:
+    """``levels``: per level the sorted contexts with their back-off share, and the sorted transitions with their
+    discounted probability. ``tree`` is a slice."""
+    final, levels = tree.toArrow(), []
     level, *columns = (final.column(c).to_numpy() for c in ("k", "gram", "n", "total"))
     for k in range(DEPTH + 1):
         at = np.flatnonzero(level == k)
@@ -150,8 +161,8 @@ def grow(counted: DataFrame, rare: float = 0.003, divergence: float = 1.0) -> di
         chance = np.maximum(n - DISCOUNT, 0) / np.maximum(of, 1)
         context, first = np.unique(gram >> 8, return_index=True)
         rest = 1 - np.add.reduceat(chance, first) if len(gram) else np.zeros(0)
-        model["levels"].append((context.astype(np.uint64), rest, gram.astype(np.uint64), chance))
-    return model
+        levels.append((context.astype(np.uint64), rest, gram.astype(np.uint64), chance))
+    return {"levels": levels}
 
 
 def log_chances(code: np.ndarray, model: dict) -> np.ndarray:
@@ -206,12 +217,12 @@ def train(docs: DataFrame, text_col: str = "text", rare: float = 0.003, common:
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, base_score (the word model's), score (the tree's), both
     log10. Words and the end are tokens; null texts are empty. Other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast((model["tree"], model["often"]))
+    slices = model["tree"].get("slices", 1)
     n, v = model["n"], model["v"]
     log_all = log10(n + v + 1)
     names = ["row", "doc_id", "word", "times", "n_tokens", "n_known", "base", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], own_slice: int, shared: Broadcast) -> Iterator[pa.RecordBatch]:
         tree, often = shared.value
         chances = Remembered(tree)
         logs = {w: log10(c + 1) - log_all for w, c in often.items()}
@@ -222,6 +233,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             for r, t in zip(row, batch.column(2).to_pylist(), strict=True):
                 words = words_of(t)
                 texts.append(b" ".join(words))
+                if own_slice:
+                    continue
                 found = [logs.get(w) for w in words]
                 rare = Counter(w for w, x in zip(words, found, strict=True) if x is None)
                 hits = [x for x in found if x is not None]
@@ -234,8 +247,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             scores, at = np.zeros(len(texts)), 0
             for block in _blocks(texts):
                 code, starts = grams(block)
-                scores[at : at + len(block)] = np.add.reduceat(chances(code), starts)
+                if slices == 1:
+                    found = chances(code)
+                else:
+                    found, mine = np.zeros(len(code)), np.flatnonzero(_slice((code >> np.uint64(8)).astype(np.int64) & 65535, slices) == own_slice)
+                    found[mine] = chances(code[mine])
+                scores[at : at + len(block)] = np.add.reduceat(found, starts)
                 at += len(block)
+            if own_slice:  # words were counted with the first slice
+                zeros = [pa.array(np.zeros(len(texts), np.int64)) for _ in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([END + str(r).encode() for r in row], pa.binary()), *zeros, pa.array(np.zeros(len(texts))), pa.array(scores)], names)
+                continue
             k, m = len(texts), len(own_rows)
             # a document's own row is joined by a key that is no word, so that such rows spread over all tasks
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([END + str(r).encode() for r in row], pa.binary()), pa.array(np.zeros(k, np.int64)), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)], names)
@@ -246,7 +268,17 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(own_rows[part], pa.int64()), pa.nulls(size, pa.int64()), pa.array(own_words[part], pa.binary()), pa.array(own_times[part], pa.int64()), zero, zero, none, none], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = rows.mapInArrow(run, "row long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, score double")
+    kind = "row long, doc_id long, word binary, times long, n_tokens long, n_known long, base double, score double"
+    rows = rows if slices == 1 else cut(rows, "rows")
+    parts: DataFrame | None = None
+    for k in range(slices):
+        tree = model["tree"] if slices == 1 else _levels(model["tree"]["table"].where((F.col("k") < 2) | (_slice(F.shiftright("gram", 8).bitwiseAND(65535), slices) == k)))
+        shared = docs.sparkSession.sparkContext.broadcast(({"levels": tree["levels"]}, model["often"]))
+        part = rows.mapInArrow(lambda it, k=k, shared=shared: run(it, k, shared), kind)
+        if slices > 1:
+            part = cut(part, "scored")
+            shared.destroy()
+        parts = part if parts is None else parts.unionByName(part)
     joined = parts.join(model["rare"], "word", "left").select(
         "row", "doc_id", "n_tokens", "score",
         (F.col("n_known") + F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_known"),
