@@ -42,16 +42,18 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         share = F.when(F.col("domain") == d, min(1.0, per_domain / n)).otherwise(share)
     sample = cut(rows.where(_unit("doc_id") < share), "sample")
     size = {r.domain: r.n for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    present = sample.select("domain", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("word <> ''")
-    by_domain = present.groupBy("word").pivot("domain", domains).count().na.fill(0)
-    ranked = by_domain.withColumn("all", sum((F.col(f"`{d}`") for d in domains), F.lit(0)))
-    best = ranked.orderBy(F.desc("all"), "word").limit(vocabulary).collect()
+    numbered = F.lit(-1)
+    for i, d in enumerate(domains):
+        numbered = F.when(F.col("domain") == d, i).otherwise(numbered)
+    present = sample.select(numbered.alias("d"), F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).where("word <> ''")
+    by_domain = present.groupBy("word").agg(F.count("*").alias("n"), F.array(*(F.count_if(F.col("d") == i) for i in range(len(domains)))).alias("by"))
+    best = by_domain.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     total = sum(counts.values())
     start, weights = [], {}
-    for d in domains:
-        start.append(log(counts[d] / total) + sum(log(1 - (r[d] + 0.5) / (size.get(d, 0) + 1)) for r in best))
+    for i, d in enumerate(domains):
+        start.append(log(counts[d] / total) + sum(log(1 - (r.by[i] + 0.5) / (size.get(d, 0) + 1)) for r in best))
     for r in best:
-        chance = [(r[d] + 0.5) / (size.get(d, 0) + 1) for d in domains]
+        chance = [(r.by[i] + 0.5) / (size.get(d, 0) + 1) for i, d in enumerate(domains)]
         weights[r.word] = [log(c / (1 - c)) for c in chance]
     return {"domains": domains, "rows": [counts[d] for d in domains], "words": [r.word for r in best], "start": start, "weights": weights}
 
@@ -78,7 +80,7 @@ def _adding(weights: Column):
     return lambda total, k: total + F.element_at(weights, k)
 
 
-def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, least: float = 1.0, steps: int = 50, tolerance: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
+def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, least: float = 1.0, steps: int = 12, tolerance: float = 1e-6) -> tuple[list[float], list[float], list[float]]:
     """Multipliers y such that the rates max(``least``, 1 + y . posterior) meet the targets in the least-squares sense;
     and the targets and totals reached.
 
@@ -88,44 +90,68 @@ def fit_rates(told: DataFrame, size: int, weights: list[float] | None = None, le
     the others follow from what it reaches; domains of weight zero get none either.
 
     Gradients are summed before they are projected onto rates of ``least`` or more, so a step is one aggregation and
-    keeps nothing per document; it is scaled by the inverse of the curvature without projection (from ``size`` squared
-    numbers). Steps end when the residual is small or has not fallen by a hundredth in five; the multipliers of the
-    step with the smallest residual are returned.
+    keeps nothing per document. It is scaled by the inverse of the curvature (``size`` squared numbers) over the rows
+    whose rate is above ``least``, as only these move; the same aggregation gives it for the next step. A step after
+    which the residual is larger is halved. Steps end when the residual is small, or when steps of the full and of
+    halved lengths do not lower it by a thousandth; the multipliers of the smallest residual are returned.
     """
     p = [F.col("posterior")[i] for i in range(size)]
     pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    first = told.agg(F.count("*").alias("rows"), *(F.coalesce(F.sum(F.col("n_tokens") * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(size)), *(F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in pairs)).first()
-    present = np.array([first[f"t{i}"] for i in range(size)])
+    n = F.col("n_tokens")
+
+    def totals(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The totals reached, and the curvature over the rows above the bound."""
+        r, free = _at_least(least, p, y.tolist()), _plain(p, y.tolist()) > least
+        free = free | F.lit(not y.any())  # at the start all rows may move
+        whole = [F.coalesce(F.sum(r * n * x), F.lit(0.0)) for x in p]
+        bent = [F.coalesce(F.sum(F.when(free, n * p[i] * p[j])), F.lit(0.0)) for i, j in pairs]
+        found = told.agg(F.array(*whole), F.array(*bent)).first()
+        gram = np.zeros((size, size))
+        for (i, j), v in zip(pairs, found[1], strict=True):
+            gram[i, j] = gram[j, i] = v
+        return np.array(found[0], dtype=float), gram
+
+    present, gram = totals(np.zeros(size))
     wanted = np.sqrt(present) if weights is None else np.array(weights, dtype=float)
     if not present.sum() or not wanted.sum():
         return [0.0] * size, present.tolist(), present.tolist()
-    gram = np.zeros((size, size))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = first[f"g{i}_{j}"]
     share, wanted = present / present.sum(), wanted / wanted.sum()
     if least >= 1:
         full = max((i for i in range(size) if wanted[i] > 0), key=lambda i: share[i] / wanted[i])
         free = [i for i in range(size) if wanted[i] > 0 and i != full]
-        inverse = np.linalg.pinv(gram[np.ix_(free, free)] - np.outer(wanted[free] / wanted[full], gram[full, free]))
     else:
-        full, free, inverse = None, list(range(size)), np.linalg.pinv(gram)
-    y, reached, found = np.zeros(size), present, []
-    for step in range(steps + 1):
+        full, free = None, list(range(size))
+
+    def apart(reached: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         target = wanted * (present.sum() if full is None else reached[full] / wanted[full])
-        apart = (reached - target)[free]
-        found.append((float(np.linalg.norm(apart) / target.max()), y, target, reached))
-        if found[-1][0] <= tolerance or step == steps or step >= 5 and found[-1][0] > 0.99 * found[-6][0]:
+        return float(np.linalg.norm((reached - target)[free]) / target.max()), (reached - target)[free], target
+
+    y, reached = np.zeros(size), present
+    (far, off, target), length, slow = apart(present), 1.0, 0
+    for _ in range(steps):
+        if far <= tolerance or slow >= 3 or not free:
             break
-        y = y.copy()
-        y[free] -= inverse @ apart
-        r = _at_least(least, p, y.tolist())
-        reached = np.array(list(told.agg(*(F.sum(r * F.col("n_tokens") * x) for x in p)).first()))
-    _, y, target, reached = min(found, key=lambda f: f[0])
+        bent = gram[np.ix_(free, free)]
+        if full is not None:
+            bent = bent - np.outer(wanted[free] / wanted[full], gram[full, free])
+        trial = y.copy()
+        trial[free] -= length * (np.linalg.pinv(bent, rcond=1e-12) @ off)
+        now, curved = totals(trial)
+        told_far, told_off, told_target = apart(now)
+        if told_far < far:
+            slow = slow + 1 if told_far > 0.999 * far else 0
+            y, reached, gram, far, off, target, length = trial, now, curved, told_far, told_off, told_target, min(1.0, 2 * length)
+        else:
+            length, slow = length / 4, slow + 1
     return y.tolist(), target.tolist(), reached.tolist()
 
 
+def _plain(p: list[Column], y: list[float]) -> Column:
+    return sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0))
+
+
 def _at_least(least: float, p: list[Column], y: list[float]) -> Column:
-    return F.greatest(F.lit(float(least)), sum((x * float(v) for x, v in zip(p, y, strict=True)), F.lit(1.0)))
+    return F.greatest(F.lit(float(least)), _plain(p, y))
 
 
 def rate(y: list[float], posterior: str = "posterior", least: float = 1.0) -> Column:

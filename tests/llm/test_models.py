@@ -124,6 +124,44 @@ def test_suffix_tree_score_matches_brute_force(spark):
         assert math.isclose(found[i], expected, rel_tol=1e-9)
 
 
+def test_suffix_tree_in_slices_scores_the_same(spark, monkeypatch):
+    """A tree of more transitions than are broadcast at once: no transition goes, and every score is the same."""
+    rng = random.Random(15)
+    rows = [(i % 100 if i < 110 else None, prose(rng, rng.randint(0, 80))) for i in range(120)] + [(500, None), (501, "é日本 the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    told = lambda model: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 7)) for r in suffix_tree.score(docs, model).collect())
+    whole = suffix_tree.train(docs, rare=0.05, common=0.01)
+    monkeypatch.setattr(suffix_tree, "MOST", 150)
+    sliced = suffix_tree.train(docs, rare=0.05, common=0.01)
+    assert whole["tree"]["slices"] == 1 and sliced["tree"]["slices"] > 4 and sliced["tree"]["table"].count() == whole["tree"]["table"].count()
+    assert told(sliced) == told(whole)
+
+
+def test_mixing_domains_may_have_any_name(spark):
+    rng = random.Random(16)
+    parts = {"word": "the an er ing".split(), "all": "der sch ung keit".split(), "a`b.c": "eau tre les que".split(), "n": "ado ez los".split()}
+    names = list(parts)
+    rows = [(i, prose(rng, 40, parts[names[i % 4]]), names[i % 4]) for i in range(400)]
+    model = mixing.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model["domains"] == sorted(names) and model["rows"] == [100] * 4
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert all(model["domains"][int(np.argmax(r.posterior))] == rows[r.doc_id][2] for r in out)
+
+
+def test_mixing_reaches_targets_in_a_few_steps(spark):
+    rng = random.Random(17)
+    parts = {"en": "the an er ing re on".split(), "de": "der an er keit re en".split(), "fr": "eau an les que on en".split()}
+    rows = [(i, prose(rng, rng.randint(1, 12), parts[lang]), lang) for i in range(2000) for lang in ["en" if i % 10 < 6 else "de" if i % 10 < 8 else "fr"]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = mixing.train(docs)
+    told = mixing.with_posteriors(docs.select("doc_id", "text"), model).drop("text").cache()
+    for weights, least in (([1, 2, 3], 1.0), (None, 1.0), ([3, 1, 2], 0.0), ([1, 6, 3], 0.0)):
+        y, target, reached = mixing.fit_rates(told, 3, weights, least, steps=10)
+        assert np.linalg.norm(np.array(target) - reached) <= 1e-6 * max(target)
+        again = told.select(F.explode(F.transform("posterior", lambda p: p * F.col("n_tokens") * mixing._at_least(least, [F.col("posterior")[i] for i in range(3)], y))).alias("x")).agg(F.sum("x")).first()[0]
+        assert math.isclose(again, sum(reached), rel_tol=1e-9)
+
+
 def test_remembered_chances_are_the_trees(spark):
     rng = np.random.default_rng(3)
     docs = spark.createDataFrame([(i, prose(random.Random(i), 80)) for i in range(60)], "doc_id long, text string")
