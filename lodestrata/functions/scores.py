@@ -21,6 +21,15 @@ def coverage(query: Column, target: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.array_intersect(query, target)) / F.size(query)).otherwise(0.0)
 
 
+def same_issue(expected: Column, candidate: Column, least: int = 4, share: float = 0.92) -> Column:
+    """Whether two texts, given by their words, are of one issue: the same words in the same order, or ``share`` of the
+    expected text's distinct words of four letters or more among the candidate's, of which both have ``least`` or more.
+    A text without words is of none."""
+    long = lambda w: F.array_distinct(F.filter(w, lambda x: F.length(x) >= 4))
+    e, c = long(expected), long(candidate)
+    return (F.size(expected) > 0) & (F.size(candidate) > 0) & ((expected == candidate) | ((F.size(e) >= least) & (F.size(c) >= least) & (coverage(e, c) >= share)))
+
+
 def card_score(query: Column, issue: Column, holding: Column, category: Column) -> Column:
     return F.greatest(coverage(query, issue), 0.75 * coverage(query, holding), 0.45 * coverage(query, category))
 

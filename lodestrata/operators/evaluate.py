@@ -31,6 +31,22 @@ def compare_runs(runs: DataFrame, which: Column, metrics: dict[str, Column]) ->
     return runs.agg(*(F.round(100 * (of(m, True) - of(m, False)), 2).alias(f"{name}_change") for name, m in metrics.items()))
 
 
+def by_longest_prefix(rows: DataFrame, rates: DataFrame, name: str, prefix: str, default: str | None = None) -> DataFrame:
+    """``rows`` with the columns of the entry of ``rates`` that is the longest beginning of ``name``; where none is, of
+    the entry named ``default``, or nulls without one. An empty prefix fits all names but null.
+
+    Names are joined by their own beginnings, an equi-join: only distinct names are expanded, by one row a character.
+    Entries are distinct.
+    """
+    if rates.columns.count(prefix) != 1 or set(rates.columns) & set(rows.columns):
+        raise ValueError("rates have columns of their own")
+    names = rows.select(name).distinct().withColumn("_own", F.explode(F.transform(F.sequence(F.lit(0), F.length(name)), lambda n: F.substring(name, 1, n))))
+    keys = rates.select(F.col(prefix).alias("_fit")).where(F.col("_fit") != default) if default is not None else rates.select(F.col(prefix).alias("_fit"))
+    best = names.join(keys, F.col("_own") == F.col("_fit")).groupBy(F.col(name).alias("_name")).agg(F.max_by("_fit", F.length("_fit")).alias("_fit"))
+    told = rows.join(best, F.col(name) == F.col("_name"), "left").withColumn("_fit", F.coalesce("_fit", F.lit(default)))
+    return told.join(rates, F.col("_fit") == F.col(prefix), "left").select(*rows.columns, *rates.columns)
+
+
 def stratified(rows: DataFrame, stratum: str, id_col: str, n: int) -> DataFrame:
     """``n`` rows of each stratum, taken by a hash of the id."""
     from .fuse import top_per

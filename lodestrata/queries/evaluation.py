@@ -21,10 +21,12 @@ HYBRID = f"""
     d AS (SELECT doc_id, unnest(t) AS token, len(t) AS doc_n FROM dt),
     p AS (SELECT query_id, doc_id, count(*) AS shared, max(query_n) AS query_n, max(doc_n) AS doc_n FROM q JOIN d USING (token) GROUP BY ALL),
     pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared / query_n DESC, doc_n, doc_id) AS place FROM p WHERE shared >= 0.3::DOUBLE * query_n) WHERE place <= 30),
-    x AS (SELECT query_id, doc_id, shared, query_text, text, qt, t, qt[1:35] AS q35 FROM pool JOIN b USING (query_id) JOIN dt USING (doc_id)),
+    x AS (SELECT query_id, doc_id, shared, query_text, text, qt, t, qt[1:35] AS q35, {words_sql("query_text")} AS qw, {words_sql("text")} AS dw FROM pool JOIN b USING (query_id) JOIN dt USING (doc_id)),
+    i AS (SELECT query_id, doc_id, list_distinct(list_filter(qw, lambda w: length(w) >= 4)) AS e, list_distinct(list_filter(dw, lambda w: length(w) >= 4)) AS c FROM x),
+    same AS (SELECT query_id, doc_id, len(e) >= 4 AND len(c) >= 4 AND len(list_filter(e, lambda v: list_contains(c, v))) / len(e) >= 0.92 AS covered FROM i),
     y AS (SELECT *, CAST(len(list_filter(q35, lambda v: list_contains(t, v))) AS DOUBLE) AS s FROM x),
     z AS (SELECT query_id, doc_id, shared, round(CASE WHEN s > 0 THEN least(1.0::DOUBLE, 0.55::DOUBLE * s / len(q35) + 0.35::DOUBLE * s / len(t) + 0.10::DOUBLE * s / (len(q35) + len(t) - s)) ELSE 0.0 END, 6) AS similarity,
-        CASE WHEN contains(text, query_text) THEN 'direct' WHEN shared / len(qt) >= 0.92 THEN 'equivalent' ELSE 'partial' END AS match FROM y),
+        CASE WHEN contains(text, query_text) THEN 'direct' WHEN len(qw) > 0 AND len(dw) > 0 AND (qw = dw OR covered) THEN 'equivalent' ELSE 'partial' END AS match FROM y JOIN same USING (query_id, doc_id)),
     top AS (SELECT query_id, doc_id, shared, CAST(similarity AS DOUBLE) AS similarity, match, CAST(row_number() OVER (PARTITION BY query_id ORDER BY (match = 'direct') DESC, similarity DESC, doc_id) AS INTEGER) AS rank FROM z)
 """
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import fuse, keyword, verify, windows
+from ..operators import evaluate, fuse, keyword, verify, windows
 from ..plans.retrieval import RetrievalPlan
 from .registry import Registry, table
 from .texts import tokens_sql
@@ -102,23 +102,46 @@ def outcome_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(scores.outcome(t).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-PRICES = [("Brand#1", 2.0, 1.0, 8.0), ("Brand#12", 3.0, 1.5, 12.0), ("Brand#2", 0.5, 0.25, 2.0), ("", 1.0, 0.5, 4.0)]
+#: Rates by the beginning of a model's name, per million tokens; those of the default for models that none fits.
+PRICES = [("Brand#1", 2.0, 1.0, 8.0), ("Brand#12", 3.0, 1.5, 12.0), ("Brand#2", 0.5, 0.25, 2.0), ("Brand#3", 1.2, 0.3, 6.0)]
+DEFAULT_PRICE = ("default", 1.0, 0.5, 4.0)
 _PRICES = "(VALUES " + ", ".join(f"('{k}', {a}, {b}, {c})" for k, a, b, c in PRICES) + ") AS p(prefix, p_in, p_cached, p_out)"
+_PRICED = f"""
+    b AS (SELECT DISTINCT p_brand FROM part),
+    m AS (SELECT p_brand, prefix, p_in, p_cached, p_out FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(prefix) DESC) AS n FROM b JOIN {_PRICES} ON starts_with(p_brand, prefix)) WHERE n = 1),
+    d AS (SELECT p_brand, coalesce(prefix, 'default') AS prefix, coalesce(p_in, 1.0) AS p_in, coalesce(p_cached, 0.5) AS p_cached, coalesce(p_out, 4.0) AS p_out FROM b LEFT JOIN m USING (p_brand)),
+    u AS (SELECT p_brand, count(*) AS calls, CAST(sum(l_quantity) AS BIGINT) AS tokens_in, CAST(sum(l_linenumber) AS BIGINT) AS cached, count(*) * 3 AS tokens_out FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand),
+    c AS (SELECT *, ((tokens_in - cached) * p_in + cached * p_cached + tokens_out * p_out) / 1e6 AS cost FROM u JOIN d USING (p_brand))
+"""
+
+
+def _used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_brand, calls, tokens_in, cached, tokens_out, prefix, cost): usage of each model at its price."""
+    rates = spark.createDataFrame([*PRICES, DEFAULT_PRICE], "prefix string, p_in double, p_cached double, p_out double")
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    used = rows.groupBy("p_brand").agg(F.count("*").alias("calls"), F.sum("l_quantity").cast("long").alias("tokens_in"), F.sum("l_linenumber").cast("long").alias("cached"), (F.count("*") * 3).alias("tokens_out"))
+    priced = evaluate.by_longest_prefix(used, rates, "p_brand", "prefix", default="default")
+    return priced.withColumn("cost", scores.token_cost(*(F.col(c) for c in ("tokens_in", "cached", "tokens_out", "p_in", "p_cached", "p_out"))))
+
+
+@query(f"WITH {_PRICED} SELECT p_brand, prefix, tokens_in, cached, tokens_out, round(cost, 8) AS cost FROM c")
+def usage_cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage by model, priced by the longest prefix of the model's name, or at the default."""
+    return _used(spark, sf_dir).select("p_brand", "prefix", "tokens_in", "cached", "tokens_out", F.round("cost", 8).alias("cost"))
 
 
 @query(f"""
-    WITH b AS (SELECT DISTINCT p_brand FROM part),
-    m AS (SELECT p_brand, prefix, p_in, p_cached, p_out FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY length(prefix) DESC) AS n FROM b JOIN {_PRICES} ON starts_with(p_brand, prefix)) WHERE n = 1),
-    u AS (SELECT p_brand, CAST(sum(l_quantity) AS BIGINT) AS tokens_in, CAST(sum(l_linenumber) AS BIGINT) AS cached, count(*) * 3 AS tokens_out FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand)
-    SELECT p_brand, prefix, tokens_in, cached, tokens_out, round(((tokens_in - cached) * p_in + cached * p_cached + tokens_out * p_out) / 1e6, 8) AS cost FROM u JOIN m USING (p_brand)
+    WITH {_PRICED}
+    SELECT coalesce(p_brand, 'total') AS model, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(cached) AS BIGINT) AS cached, CAST(sum(tokens_out) AS BIGINT) AS tokens_out,
+           CAST(sum(tokens_in) + sum(tokens_out) AS BIGINT) AS tokens, round(sum(cost), 6) AS cost_usd, round(sum(cost) * 100, 4) AS cost_cents
+    FROM c GROUP BY ROLLUP (p_brand)
 """)
-def usage_cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usage by model, priced by the longest prefix of the model's name; the table of prices is small."""
-    prices = spark.createDataFrame(PRICES, "prefix string, p_in double, p_cached double, p_out double")
-    used = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").groupBy("p_brand").agg(F.sum("l_quantity").cast("long").alias("tokens_in"), F.sum("l_linenumber").cast("long").alias("cached"), (F.count("*") * 3).alias("tokens_out"))
-    priced = fuse.first_by(used.join(F.broadcast(prices), F.col("p_brand").startswith(F.col("prefix"))), ["p_brand"], F.desc(F.length("prefix")))
-    cost = scores.token_cost(*(F.col(c) for c in ("tokens_in", "cached", "tokens_out", "p_in", "p_cached", "p_out")))
-    return priced.select("p_brand", "prefix", "tokens_in", "cached", "tokens_out", F.round(cost, 8).alias("cost"))
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage and cost of each model, and of all in a row of its own."""
+    sums = [F.sum(c).cast("long").alias(c) for c in ("calls", "tokens_in", "cached", "tokens_out")]
+    found = _used(spark, sf_dir).rollup("p_brand").agg(F.grouping("p_brand").alias("all"), *sums, F.sum("cost").alias("cost"))
+    model = F.when(F.col("all") == 1, "total").otherwise(F.col("p_brand"))
+    return found.select(model.alias("model"), "calls", "tokens_in", "cached", "tokens_out", (F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round("cost", 6).alias("cost_usd"), F.round(F.col("cost") * 100, 4).alias("cost_cents"))
 
 
 @query("""

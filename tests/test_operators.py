@@ -150,3 +150,21 @@ def test_readers(spark, tmp_path):
 def test_with_advocate_keeps_the_last_place(spark):
     rows = spark.createDataFrame([(1, i, 10 - i, i == 5) for i in range(6)], "g int, i int, s int, o boolean")
     assert sorted(r.i for r in fuse.with_advocate(rows, ["g"], 3, F.col("o"), F.desc("s")).collect()) == [0, 1, 5]
+
+
+def test_longest_prefix_wins(spark):
+    rows = spark.createDataFrame([("gpt-4o-mini", 1), ("gpt-4", 2), ("gpt-3", 3), ("o1", 4), ("", 5), (None, 6), ("gpt-4o-mini", 7)], "model string, n int")
+    rates = spark.createDataFrame([("gpt-4", 1.0), ("gpt-4o", 2.0), ("gpt", 3.0), ("default", 9.0)], "prefix string, rate double")
+    found = evaluate.by_longest_prefix(rows, rates, "model", "prefix", default="default")
+    assert {r.n: (r.prefix, r.rate) for r in found.collect()} == {1: ("gpt-4o", 2.0), 2: ("gpt-4", 1.0), 3: ("gpt", 3.0), 4: ("default", 9.0), 5: ("default", 9.0), 6: ("default", 9.0), 7: ("gpt-4o", 2.0)}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert {r.n: r.rate for r in evaluate.by_longest_prefix(rows, rates, "model", "prefix").collect()} == {1: 2.0, 2: 1.0, 3: 3.0, 4: None, 5: None, 6: None, 7: 2.0}
+
+
+def test_same_issue(spark):
+    from lodestrata.functions import scores, text
+
+    same = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(scores.same_issue(text.words(F.col("a")), text.words(F.col("b")))).first()[0]
+    assert same("Limitation  of claims!", "limitation of claims") and not same("limitation claims", "limitation of claims")
+    assert same("limitation claims damage contract", "contract damage about limitation claims") and not same("limitation claims damage the", "limitation claims damage the more")
+    assert not same("", "") and not same(None, "a") and not same("limitation claims damage contract", "limitation claims damage")
