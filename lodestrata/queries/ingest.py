@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import sinks
-from ..streaming import incremental
+from ..sources import backfill, readers, sinks, tables
+from ..storage import shared_folder
+from ..streaming import incremental, versions
 from .registry import Registry, table
 
 query = Registry()
@@ -100,4 +101,61 @@ def child_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.replace_children(children, fresh, parents, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(path if _is_folder(spark, path) else f"{sf_dir}/{name}*.parquet")
+
+
+@query("""
+    WITH t AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS half FROM events),
+    last AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id)
+    SELECT user_id, event_id, event_type, round(value, 6) AS value FROM last WHERE event_type <> 'error' OR user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING epoch_us(max(ts)) <= (SELECT half FROM t))
+""")
+def merge_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user as a table that changes in place: the first half of the time makes it, the second is
+    merged in; a user whose last event of the second half is an error goes."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    half = e.agg(F.expr("(min(unix_micros(timestamp(ts))) + max(unix_micros(timestamp(ts)))) div 2")).first()[0]
+    path = f"{shared_folder(spark)}/users-{uuid.uuid4().hex}"
+    first = e.where(at <= half)
+    tables.create(first, path, ["user_id"], 16, F.desc("ts"), F.desc("event_id"))
+    tables.merge(e.where(at > half), path, F.desc("ts"), F.desc("event_id"), deleted=F.col("event_type") == "error")
+    return tables.read(spark, path, first.schema.simpleString()[7:-1].replace(":", " ")).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("""
+    SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings
+""")
+def embedding_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value computed for every row in ranges of its key, with a ledger of the finished ones."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    norm = F.sqrt(F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda s, x: s + x))
+    return backfill.run(e, "vec_id", f"{shared_folder(spark)}/norms-{uuid.uuid4().hex}", 4, lambda rows: rows.select("vec_id", "label", F.round(norm, 6).alias("norm")))
+
+
+@query("""
+    SELECT o_custkey, o_orderkey, o_orderdate = max(o_orderdate) OVER w AND o_orderkey = max(o_orderkey) OVER w2 AS is_current
+    FROM orders WINDOW w AS (PARTITION BY o_custkey), w2 AS (PARTITION BY o_custkey, o_orderdate)
+""")
+def versions_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current version of each key, kept by a stream that demotes the one before."""
+    base = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    told = versions.changes(_stream(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    versions.keep(told, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return versions.current(spark, f"{base}/log").select(F.col("key").alias("o_custkey"), F.col("id").alias("o_orderkey"), "is_current")
+
+
+@query("""
+    SELECT doc_id AS id, lang, length(coalesce(text, '')) AS n_chars FROM documents WHERE lang IS NOT NULL AND n_chars % 7 <> 0
+""")
+def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result lines of a batch written and read back: the number of their id, the parsed body; failed lines go."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents")
+    body = F.when(F.col("lang").isNotNull(), F.to_json(F.struct("lang", F.length(F.coalesce("text", F.lit(""))).alias("n"))))
+    sinks.request_lines(d.select(F.concat(F.lit("case-"), F.col("doc_id")).alias("custom_id"), F.when(F.col("n_chars") % 7 == 0, "failed").alias("error"), body.alias("body")), path, "custom_id", "error", "body")
+    return readers.json_lines(spark, path, "lang string, n long").select("id", "lang", F.col("n").alias("n_chars"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

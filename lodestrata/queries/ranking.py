@@ -279,4 +279,34 @@ def pin_and_rerank_advocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reranked(spark, sf_dir, True)
 
 
+_COVERED = "CASE WHEN len(q) > 0 THEN len(list_filter(q, lambda v: list_contains({0}, v))) / len(q) ELSE 0.0 END"
+
+
+@query(f"""
+    WITH b AS (SELECT item_id, {tokens_sql("text")} AS q FROM benchmark),
+    s AS (SELECT source, doc_id, coalesce(text, '') AS text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents WHERE source IS NOT NULL),
+    c AS (SELECT source, doc_id, {tokens_sql("substring(text, 1, 400)")} AS issue, {tokens_sql("substring(text, 401, 2000)")} AS holding, {tokens_sql("substring(text, 2401)")} AS category FROM s WHERE k = 1),
+    p AS (SELECT item_id, source, doc_id, greatest({_COVERED.format("issue")}, 0.75 * {_COVERED.format("holding")}, 0.45 * {_COVERED.format("category")}) AS card, {_COVERED.format("issue")} AS hit, {_COVERED.format("holding")} AS most, {_COVERED.format("category")} AS mean FROM b, c)
+    SELECT item_id, source, doc_id, round(card, 6)::DOUBLE AS card,
+           round(greatest(0.7::DOUBLE * most + 0.3::DOUBLE * mean, CASE WHEN hit > 0 THEN least(1.0::DOUBLE, 1.15::DOUBLE * hit) END, CASE WHEN card > 0 THEN least(1.0::DOUBLE, 0.62::DOUBLE + 0.34::DOUBLE * card) END), 6) AS score
+    FROM p WHERE card > 0.2::DOUBLE
+""")
+def card_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items against each source's longest document as its card (issue, holding and category are its parts):
+    the card's score, and the parent's from all its branches. The cards are one a source, so they are broadcast."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", text.tokens(F.col("text")).alias("q"))
+    docs = table(spark, sf_dir, "documents").where("source is not null").select("source", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chars")
+    longest = docs.groupBy("source").agg(F.max_by(F.struct("doc_id", "text"), F.struct("n_chars", -F.col("doc_id"))).alias("c")).select("source", "c.*")
+    part = lambda a, n: text.tokens(F.substring("text", a, n))
+    cards = longest.select("source", "doc_id", part(1, 400).alias("issue"), part(401, 2000).alias("holding"), part(2401, 1 << 30).alias("category"))
+    asked = items.select("item_id", "q", F.explode("q").alias("token"))
+    every = cards.select("source", F.explode(F.array_union(F.array_union("issue", "holding"), "category")).alias("token"))
+    pairs = asked.join(every, "token").select("item_id", "source").distinct()  # a pair without a common token scores nothing
+    told = pairs.join(items, "item_id").join(keyword.small(cards), "source")
+    covered = lambda c: scores.coverage(F.col("q"), F.col(c))
+    told = told.withColumn("card", scores.card_score(*(F.col(c) for c in ("q", "issue", "holding", "category")))).where("card > 0.2")
+    score = scores.parent_score(covered("holding"), covered("category"), covered("issue"), F.col("card"))
+    return told.select("item_id", "source", "doc_id", F.round("card", 6).alias("card"), F.round(score, 6).alias("score"))
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
