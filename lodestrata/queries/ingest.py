@@ -119,8 +119,9 @@ def merge_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = e.agg(F.expr("(min(unix_micros(timestamp(ts))) + max(unix_micros(timestamp(ts)))) div 2")).first()[0]
     path = f"{shared_folder(spark)}/users-{uuid.uuid4().hex}"
     first = e.where(at <= half)
-    tables.create(first, path, ["user_id"], 16, F.desc("ts"), F.desc("event_id"))
-    tables.merge(e.where(at > half), path, F.desc("ts"), F.desc("event_id"), deleted=F.col("event_type") == "error")
+    last_first = (-at, -F.col("event_id"))
+    tables.create(first, path, ["user_id"], 16, *last_first)
+    tables.merge(e.where(at > half), path, *last_first, deleted=F.col("event_type") == "error")
     return tables.read(spark, path, first.schema.simpleString()[7:-1].replace(":", " ")).select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
