@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chunkers, text
 from ..operators import fuse, keyword, verify
-from ..sources import readers
+from ..sources import markup, readers
+from ..storage import cut
 from .registry import Registry, table
 
 query = Registry()
@@ -366,4 +367,34 @@ def rewrite_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(new).alias("text_md5"), F.array_join(names, ",").alias("rules"))
 
 
+#: The given pages' own layout: every paragraph of an article element.
+PAGE_LAYOUTS = (markup.Layout("each", "tag = 'p'", within="tag = 'article'"),)
+
+
+@query(r"""
+    WITH b AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*?)(</article>|<footer|$)', 1), '<p>')[2:] AS ps FROM pages),
+    p AS (SELECT page_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM b),
+    t AS (SELECT page_id, k, regexp_replace(regexp_replace(split_part(p, '</p>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM p),
+    d AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS content FROM t)
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS INTEGER) AS place, md5(content) AS content_md5, CAST(length(content) AS INTEGER) AS n_chars FROM d WHERE length(content) >= 20
+""")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of pages, whatever stands open in their markup: by elements and a layout rule."""
+    e = cut(markup.elements(markup.tokenized(table(spark, sf_dir, "pages"), "page_id", "html")), "elements")
+    return markup.articles(e, PAGE_LAYOUTS).select("page_id", "place", F.md5("content").alias("content_md5"), F.length("content").alias("n_chars"))
+
+
+@query(r"""
+    WITH t AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS h,
+        trim(regexp_replace(trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')), '\s*[|·—-].*$', '')) AS t FROM pages),
+    m AS (SELECT page_id, length(html) - length(replace(html, '<li>', '123')) AS n FROM pages)
+    SELECT page_id, md5(CASE WHEN length(h) > 5 THEN h WHEN length(t) > 5 THEN t ELSE '' END) AS title_md5, n AS n_items FROM t JOIN m USING (page_id)
+""")
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's title and the number of its list items, from its table of elements."""
+    e = cut(markup.elements(markup.tokenized(table(spark, sf_dir, "pages"), "page_id", "html")), "elements")
+    items = e.groupBy("page_id").agg(F.count_if(F.col("tag") == "li").alias("n_items"))
+    return markup.titles(e).join(items, "page_id").select("page_id", F.md5("title").alias("title_md5"), "n_items")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql
