@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is toxic if any of its sentences is.
 
-A sentence's chance is a logistic function of the words and word beginnings in it; a document's is the noisy-or of its
+A sentence's chance is a logistic function of the words and word beginnings (by themselves and with their words' length) in it; a document's is the noisy-or of its
 sentences. Weights are learned from document labels alone and then point at the offending sentences.
 
 Learning uses a bounded sample of labelled rows: ``max_rows`` of each class, taken by a hash of the id and weighted
@@ -28,7 +28,9 @@ REMEMBERED = 300_000
 
 
 def word_features(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}~" for n in BEGINNINGS if len(word) > n)]
+    """The word, its beginnings, and these with the number of characters that follow: endings vary, within a length."""
+    starts = [(word[:n], len(word) - n) for n in BEGINNINGS if len(word) > n]
+    return [word, *(f"{w}~" for w, _ in starts), *(f"{w}~{rest}" for w, rest in starts)]
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +78,20 @@ def _sparse(batches: Iterator[pa.RecordBatch], number: dict[str, int]) -> Iterat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[-1][0] for r in rows], pa.int32()), pa.array(features, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "n", "features"])
 
 
+def likelihood(p: np.ndarray, total: np.ndarray, toxic: np.ndarray, share: np.ndarray, owner: np.ndarray, lengths: np.ndarray, ids: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """The negative log-likelihood of the documents' labels, each with its share, under weights and bias ``p``; and its
+    gradient. The other arguments are those of ``fit``."""
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    empty = total - np.bincount(owner, minlength=len(total))
+    z = np.bincount(sentence, p[:-1][ids], minlength=len(lengths)) + p[-1]
+    s, plain = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-p[-1]))
+    clean = np.bincount(owner, np.logaddexp(0, z), minlength=len(total)) + empty * np.logaddexp(0, p[-1])  # -log of no sentence being toxic
+    value = (share * np.where(toxic, -np.log(np.maximum(-np.expm1(-clean), 1e-300)), clean)).sum() + decay / 2 * (p[:-1] ** 2).sum()
+    slope = share * np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(clean, 50)), 1e-6), 1.0)
+    to_z = slope[owner] * s
+    return value, np.r_[np.bincount(ids, to_z[sentence], minlength=len(p) - 1) + decay * p[:-1], to_z.sum() + (slope * empty * plain).sum()]
+
+
 def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, owner: np.ndarray, lengths: np.ndarray, ids: np.ndarray, start: np.ndarray, rounds: int = 400, decay: float = 2e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of the sentence model, by Adam on the noisy-or likelihood of the documents.
 
@@ -83,20 +99,11 @@ def fit(total: np.ndarray, toxic: np.ndarray, weight: np.ndarray, owner: np.ndar
     sentence that has any; ``ids``: these features, one sentence after the other. ``start``: the features' log odds, so that every word that only toxic documents have counts, not just those that
     suffice to explain the sample.
     """
-    size = len(start)
-    sentence = np.repeat(np.arange(len(lengths)), lengths)
-    empty = total - np.bincount(owner, minlength=len(total))
     p = np.r_[start, -7.0]
     m, v = np.zeros_like(p), np.zeros_like(p)
     share = weight / weight.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, p[:-1][ids], minlength=len(lengths)) + p[-1]
-        s = 1 / (1 + np.exp(-z))
-        plain = 1 / (1 + np.exp(-p[-1]))
-        loss = np.bincount(owner, np.logaddexp(0, z), minlength=len(total)) + empty * np.logaddexp(0, p[-1])
-        slope = share * np.where(toxic, -1 / np.maximum(np.expm1(np.minimum(loss, 50)), 1e-6), 1.0)
-        to_z = slope[owner] * s
-        g = np.r_[np.bincount(ids, to_z[sentence], minlength=size) + decay * p[:-1], to_z.sum() + (slope * empty * plain).sum()]
+        g = likelihood(p, total, toxic, share, owner, lengths, ids, decay)[1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         p[-1] = min(p[-1], -3.0)
@@ -126,7 +133,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = sample.mapInArrow(_class_counts, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     best = counted.where("clean + toxic >= 4").withColumn("strength", strength).where("strength >= 4").orderBy(F.desc("strength"), "feature").limit(max_features).collect()
     same = {(r.feature, r.toxic, r.clean) for r in best}
-    best = [r for r in best if not any((f"{r.feature.rstrip('~')[:k]}~", r.toxic, r.clean) in same for k in BEGINNINGS if k < len(r.feature.rstrip("~")))]
+    start = lambda r: r.feature.split("~")[0]
+    best = [r for r in best if not any((f"{start(r)[:k]}~", r.toxic, r.clean) in same for k in BEGINNINGS if k < len(start(r)) + ("~" in r.feature[:-1]))]
     number = {r.feature: i for i, r in enumerate(best)}
     start = np.array([0.8 * np.log((r.toxic + 0.5) / (a + 1) / ((r.clean + 0.5) / (b + 1))) for r in best])
     found = sample.mapInArrow(lambda it: _sparse(it, number), "doc_id long, toxic boolean, n int, features array<array<int>>").toArrow().sort_by("doc_id").combine_chunks()  # max_rows of each class

@@ -240,6 +240,44 @@ def test_toxicity_learns_sentences_from_documents(spark):
     assert toxicity.score(docs, toxicity.train(docs, marks.where("false"))).where("score > 0.01").count() == 0
 
 
+def test_toxicity_gradient_is_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(18)
+    total, toxic = np.array([3, 2, 5, 1, 4]), np.array([True, False, True, False, False])
+    owner, lengths = np.array([0, 0, 1, 2, 2, 2, 4]), np.array([2, 1, 3, 1, 2, 2, 1])
+    ids, share, p = rng.integers(0, 6, lengths.sum()), rng.dirichlet(np.ones(5)), np.r_[rng.normal(size=6), -1.5]
+    value, gradient = toxicity.likelihood(p, total, toxic, share, owner, lengths, ids, 0.01)
+    for k in range(len(p)):
+        up, down = p.copy(), p.copy()
+        up[k], down[k] = p[k] + 1e-6, p[k] - 1e-6
+        slope = (toxicity.likelihood(up, total, toxic, share, owner, lengths, ids, 0.01)[0] - toxicity.likelihood(down, total, toxic, share, owner, lengths, ids, 0.01)[0]) / 2e-6
+        assert math.isclose(gradient[k], slope, rel_tol=1e-5, abs_tol=1e-8)
+    plain = 0.0  # document by document, sentence by sentence
+    for d in range(5):
+        own = [ids[lengths[:i].sum() : lengths[: i + 1].sum()] for i in range(len(lengths)) if owner[i] == d]
+        z = [p[:-1][x].sum() + p[-1] for x in own] + [p[-1]] * (total[d] - len(own))
+        none = np.prod([1 - 1 / (1 + math.exp(-x)) for x in z])
+        plain -= share[d] * math.log(1 - none if toxic[d] else none)
+    assert math.isclose(value, plain + 0.005 * (p[:-1] ** 2).sum(), rel_tol=1e-9)
+
+
+def test_toxicity_score_against_a_plain_version(spark):
+    rng = random.Random(19)
+    model = {"number": {"bad": 0, "mean~": 1, "mean~3": 2, "wors~": 3}, "weights": np.array([6.0, 2.0, 3.0, 4.0]), "bias": -5.0}
+    words = ["bad", "mean", "meaning", "meanest", "worst", "worse", "good", "Bad", "MEANING", "plain"]
+    rows = [(i, " ".join(rng.choice(words) + rng.choice(["", "", ",", ".", "!", "?\n", "\n"]) for _ in range(rng.randint(0, 25)))) for i in range(60)] + [(100, None), (101, "... !!"), (102, "bad")]
+    found = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        z = []
+        for part in re.split(r"[.!?\n]+", (text or "").lower()):
+            own = set(re.findall(r"\w+", part))
+            if own:
+                names = {w for w in own if w == "bad"} | {"mean~" for w in own if w.startswith("mean") and len(w) > 4} | {"mean~3" for w in own if w.startswith("mean") and len(w) == 7} | {"wors~" for w in own if w.startswith("wors") and len(w) > 4}
+                z.append(-5.0 + sum(model["weights"][model["number"][n]] for n in names))
+        expected = 1 - math.prod(1 / (1 + math.exp(x)) for x in z)
+        r = found[i]
+        assert math.isclose(r.score, expected, rel_tol=1e-9, abs_tol=1e-12) and (r.n_sentences, r.offending) == (len(z), [k for k, x in enumerate(z) if x >= 0])
+
+
 def test_mixing_meets_targets_and_drops_nothing(spark):
     rng = random.Random(9)
     parts = {"en": "the an er ing".split(), "de": "der sch ung keit".split(), "fr": "eau tre les que".split()}
