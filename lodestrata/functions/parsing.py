@@ -16,21 +16,48 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, group), F.lit(""))
 
 
+# Parts that patterns of questions are put together from.
+GAP, SPACE, EDGE = "[ \t\n\r\f]*", "[ \t\n\r\f]+", r"\b"
+
+
+def digits(least: int, most: int | None = None) -> str:
+    return f"[0-9]{{{least},{'' if most is None else most}}}"
+
+
+def held(part: str) -> str:
+    return f"({part})"
+
+
+def optional(*parts: str) -> str:
+    return f"(?:{''.join(parts)})?"
+
+
+def alone(*parts: str) -> str:
+    """Parts with a word's edge on both sides."""
+    return EDGE + "".join(parts) + EDGE
+
+
+#: A year of the last century or this one.
+YEAR = f"(?:{'|'.join(('19', '20'))}){digits(2, 2)}"
+
+
 def case_number(text: Column) -> Column:
-    return F.btrim(found(text, r"[A-Z]{1,4}[-/][0-9]+(?:[ \t\n\r\f]*\([^)]+\))?"), F.lit(BLANK))
+    """Up to four capitals, a dash or slash and a number, with what stands in brackets behind it."""
+    register, serial, bracket = "[A-Z]{1,4}", "[-/]" + digits(1), r"\([^)]+\)"
+    return F.btrim(found(text, register + serial + optional(GAP, bracket)), F.lit(BLANK))
 
 
 def application_number(text: Column) -> Column:
-    return found(text, r"\b([0-9]{4,6}/[0-9]{2,4})\b", 1)
+    """A number, a slash and a year of two to four digits."""
+    return found(text, alone(held("/".join((digits(4, 6), digits(2, 4))))), 1)
 
 
 def year_range(text: Column, as_of: int, earliest: int = 1990) -> tuple[Column, Column]:
     """(from, to): of a range its ends, else the first year alone; years outside ``earliest`` to ``as_of`` are null."""
-    year = r"((?:19|20)[0-9]{2})"
-    range_ = rf"\b{year}[ \t\n\r\f]*[-–][ \t\n\r\f]*{year}\b"
+    dash = GAP + "[-–]" + GAP
+    both = alone(held(YEAR), dash, held(YEAR))
     valid = lambda y: F.when(y.cast("int").between(earliest, as_of), y.cast("int"))
-    first = F.when(found(text, range_).isNotNull(), found(text, range_, 1)).otherwise(found(text, rf"\b{year}\b", 1))
-    return valid(first), valid(found(text, range_, 2))
+    return valid(F.coalesce(found(text, both, 1), found(text, alone(held(YEAR)), 1))), valid(found(text, both, 2))
 
 
 def first_named(text: Column, signals: list[tuple[str, str]]) -> Column:
@@ -43,7 +70,8 @@ def first_named(text: Column, signals: list[tuple[str, str]]) -> Column:
 
 def judge(text: Column) -> Column:
     """The name behind the title, as far as letters and blanks go, of four to forty characters."""
-    name = F.btrim(found(text, r"\b[Jj]udge[ \t\n\r\f]+([A-Z][a-zA-Z \t\n\r\f]{2,30})", 1), F.lit(BLANK))
+    title, letters = "[Jj]udge", "[a-zA-Z \t\n\r\f]{2,30}"
+    name = F.btrim(found(text, EDGE + title + SPACE + held("[A-Z]" + letters), 1), F.lit(BLANK))
     return F.when(F.length(name).between(4, 40), name)
 
 
@@ -61,14 +89,16 @@ def law_name(text: Column, anchors: dict[str, str], skipped: tuple[str, ...] = (
 def article_number(text: Column, word: str = "article") -> Column:
     """The number behind the word, else the number before it."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.coalesce(found(low, rf"{word}[ \t\n\r\f]+([0-9]+)", 1), found(low, rf"([0-9]+)[–-]?(?:st|nd|rd|th)?[ \t\n\r\f]*{word}", 1))
+    number, ordinal = held(digits(1)), optional("|".join(("st", "nd", "rd", "th")))
+    return F.coalesce(found(low, word + SPACE + number, 1), found(low, number + optional("[–-]") + ordinal + GAP + word, 1))
 
 
 def convention_article(text: Column, signals: list[tuple[str, str]]) -> Column:
     """By a signal, else article 1 to 60 by number, else a protocol's article (P1-1)."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    protocol = r"\bp([0-9])-([0-9])\b"
-    return F.coalesce(first_named(text, signals), found(low, r"\barticle[ \t\n\r\f]+([0-9]{1,2})\b", 1), F.concat(F.lit("P"), found(low, protocol, 1), F.lit("-"), found(low, protocol, 2)))
+    one = held(digits(1, 1))
+    protocol, numbered = alone("p", one, "-", one), alone("article", SPACE, held(digits(1, 2)))
+    return F.coalesce(first_named(text, signals), found(low, numbered, 1), F.concat(F.lit("P"), found(low, protocol, 1), F.lit("-"), found(low, protocol, 2)))
 
 
 def hierarchy_level(category: Column, title: Column, levels: list[tuple[str, int]], default: int = 3) -> Column:

@@ -95,7 +95,27 @@ def tagged(text: Column, tags: list[tuple[str, list[str]]], every: tuple[str, ..
     return F.array_compact(F.array(*(F.when(holds(n, ws), F.lit(n)) for n, ws in tags)))
 
 
-NUMBER = re.compile(r"(?<![^\W_])((?:\d{1,3}(?:[\s\u00a0]\d{3})+|\d+)(?:[.,]\d+)?)(?![^\W_])")
+def numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, digits) of numbers that stand by themselves: a run of digits, or one of up to three and runs of just
+    three behind it with one blank between, and a fraction behind a point or comma. What touches a letter or a further
+    digit is no part of a number."""
+    runs = [m.span() for m in re.finditer("[0-9]+", text)]
+    free = lambda at: at < 0 or at >= len(text) or not text[at].isalnum()
+    i = 0
+    while i < len(runs):
+        start, end = runs[i]
+        i += 1
+        if not free(start - 1) or not free(end):
+            continue
+        group = end - start <= 3
+        while group and i < len(runs) and runs[i][0] == end + 1 and text[end].isspace() and runs[i][1] - runs[i][0] == 3 and free(runs[i][1]):
+            end = runs[i][1]
+            i += 1
+        whole = "".join(text[start:end].split())
+        if i < len(runs) and runs[i][0] == end + 1 and text[end] in ".," and free(runs[i][1]):
+            whole, end = f"{whole}.{text[runs[i][0] : runs[i][1]]}", runs[i][1]
+            i += 1
+        yield start, end, whole
 
 
 def claims(text: str, currency: tuple[str, ...], context: tuple[str, ...], kinds: list[tuple[str, tuple[str, ...]]], default: str) -> list[tuple[str, int, int]]:
@@ -103,9 +123,8 @@ def claims(text: str, currency: tuple[str, ...], context: tuple[str, ...], kinds
     and a word of ``context`` within 180 before or 140 behind it. The kind is that whose keyword stands nearest before,
     within 220 characters, the first of equals; ``default`` if none does."""
     out, low = [], text.lower()
-    for m in NUMBER.finditer(low):
-        at = m.start(1)
-        value = int(float(re.sub(r"[\s\u00a0]", "", m[1]).replace(",", ".")))
+    for at, _, written in numbers(low):
+        value = int(float(written))
         if value <= 0 or not any(c in low[at : at + 70] for c in currency) or not any(c in low[max(0, at - 180) : at + 140] for c in context):
             continue
         before = low[max(0, at - 220) : at]
@@ -115,6 +134,50 @@ def claims(text: str, currency: tuple[str, ...], context: tuple[str, ...], kinds
     return out
 
 
+def deadlines(text: str, units: dict[str, tuple[str, ...]], kinds: list[tuple[str, tuple[str, ...]]], default: str) -> list[tuple[str, int, str, int]]:
+    """(kind, value, unit, offset): whole numbers of up to four digits above zero with a unit's word behind them, blanks
+    or a dash between. The kind is the first with a keyword within 80 characters before or 100 behind the number."""
+    out, low = [], text.lower()
+    for at, end, written in numbers(low):
+        behind = low[end:].lstrip(" \t\n\r\xa0").removeprefix("-").removeprefix("–").lstrip(" \t\n\r")
+        word = re.match(r"\w*", behind)[0]
+        unit = next((u for u, names in units.items() if word in names), None)
+        if unit is None or not written.isdigit() or len(low[at:end]) > 4 or not int(written):
+            continue
+        around = low[max(0, at - 80) : at + 100]
+        out.append((next((k for k, words in kinds if any(w in around for w in words)), default), int(written), unit, at))
+    return out
+
+
+def extract_deadlines(docs: DataFrame, id_col: str, text_col: str, **rules) -> DataFrame:
+    """(id, kind, value, unit, offset) of every deadline in every text (see ``deadlines``)."""
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *d) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for d in deadlines(t or "", **rules)]
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(0).type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.int32())], [id_col, "kind", "value", "unit", "offset"])
+
+    return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"{id_col} {kind}, kind string, value long, unit string, offset int")
+
+
+def coverage_gaps(issues: DataFrame, found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(key, issue, law, missing): for each issue that a key raises and each law that the issue is expected to rest on,
+    the expected articles that were not found for the key, sorted; no row where none is missing. A law without expected
+    articles is missing as a whole (an empty list) if nothing of it was found.
+
+    ``issues``: (key, issue); ``found``: (key, law, article); ``expected``: (issue, law, article), a null article for a
+    law as a whole.
+    """
+    wanted = issues.select("key", "issue").distinct().join(expected.distinct(), "issue")
+    laws = found.select("key", "law").distinct().withColumn("_law", F.lit(True))
+    hits = found.select("key", "law", "article").distinct().withColumn("_hit", F.lit(True))
+    told = wanted.join(laws, ["key", "law"], "left").join(hits, ["key", "law", "article"], "left")
+    lacking = told.where(F.when(F.col("article").isNull(), F.col("_law").isNull()).otherwise(F.col("_hit").isNull()))
+    return lacking.groupBy("key", "issue", "law").agg(F.array_sort(F.collect_set("article")).alias("missing"))
+
+
 def extract_claims(docs: DataFrame, id_col: str, text_col: str, **rules) -> DataFrame:
     """(id, kind, value, offset) of every claim in every text (see ``claims``)."""
     kind = dict(docs.dtypes)[id_col]

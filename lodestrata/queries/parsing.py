@@ -262,4 +262,44 @@ def attributed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.extract_claims(table(spark, sf_dir, "documents"), "doc_id", "text", currency=("a", "e"), context=("the", "de", "que"), kinds=kinds, default="claim")
 
 
+#: What an issue (an order's priority) is expected to rest on: laws (return flags) and their articles (line numbers).
+EXPECTED = [("1-URGENT", "A", 1), ("1-URGENT", "A", 2), ("1-URGENT", "R", None), ("2-HIGH", "N", 1), ("2-HIGH", "N", 3), ("3-MEDIUM", "A", None), ("5-LOW", "R", 2), ("5-LOW", "R", 4), ("5-LOW", "R", 5)]
+_EXPECTED = "(VALUES " + ", ".join(f"('{i}', '{law}', {'NULL::INTEGER' if a is None else a})" for i, law, a in EXPECTED) + ") AS x(issue, law, article)"
+
+
+@query(f"""
+    WITH i AS (SELECT DISTINCT o_orderkey AS key, o_orderpriority AS issue FROM orders),
+    f AS (SELECT DISTINCT l_orderkey AS key, l_returnflag AS law, l_linenumber AS article FROM lineitem),
+    w AS (SELECT key, i.issue, law, article FROM i JOIN {_EXPECTED} ON x.issue = i.issue),
+    m AS (SELECT w.*, EXISTS (SELECT 1 FROM f WHERE f.key = w.key AND f.law = w.law) AS any_, EXISTS (SELECT 1 FROM f WHERE f.key = w.key AND f.law = w.law AND f.article = w.article) AS hit FROM w)
+    SELECT key, issue, law, coalesce(string_agg(article, ',' ORDER BY article) FILTER (WHERE article IS NOT NULL), '') AS missing FROM m WHERE CASE WHEN article IS NULL THEN NOT any_ ELSE NOT hit END GROUP BY key, issue, law
+""")
+def source_coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was expected by issue and not found: articles of a law, or a law as a whole."""
+    issues = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("issue"))
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("law"), F.col("l_linenumber").alias("article"))
+    gaps = rules.coverage_gaps(issues, found, spark.createDataFrame(EXPECTED, "issue string, law string, article int"))
+    return gaps.select("key", "issue", "law", F.array_join(F.transform("missing", lambda a: a.cast("string")), ",").alias("missing"))
+
+
+UNITS = {"day": ("day", "days"), "month": ("month", "months"), "week": ("week", "weeks")}
+DEADLINES = [("appeal", ("appeal", "review")), ("limitation", ("lapse", "limitation")), ("response", ("answer", "defence"))]
+
+
+@query("""
+    WITH t AS (SELECT o_orderkey, (ARRAY['An appeal lies within ', 'Claims lapse after ', 'The defence is due in ', 'Goods are shipped in '])[o_custkey % 4 + 1] AS a, ' of delivery. ' || repeat('Further terms are in the annex. ', 4) || 'The price is ' || CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) || ' and delivery takes ' AS b, 2 + o_custkey % 90 AS n, 1 + o_orderkey % 40 AS m FROM orders),
+    u AS (SELECT *, length(a || n || ' days' || b) AS second FROM t)
+    SELECT o_orderkey, CASE WHEN starts_with(a, 'An') THEN 'appeal' WHEN starts_with(a, 'Cl') THEN 'limitation' WHEN starts_with(a, 'The') THEN 'response' ELSE 'procedural' END AS kind, CAST(n AS BIGINT) AS value, 'day' AS unit, CAST(length(a) AS INTEGER) AS "offset" FROM u
+    UNION ALL SELECT o_orderkey, 'procedural', CAST(m AS BIGINT), 'week', CAST(second AS INTEGER) FROM u
+""")
+def deadline_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines in the orders' terms and what they are for, by the words around them."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey") % 4
+    first = F.when(k == 0, "An appeal lies within ").when(k == 1, "Claims lapse after ").when(k == 2, "The defence is due in ").otherwise("Goods are shipped in ")
+    between = F.concat(F.lit(" of delivery. " + "Further terms are in the annex. " * 4 + "The price is "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit(" and delivery takes "))
+    terms = F.concat(first, (2 + F.col("o_custkey") % 90).cast("string"), F.lit(" days"), between, (1 + F.col("o_orderkey") % 40).cast("string"), F.lit("-weeks."))
+    return rules.extract_deadlines(o.select("o_orderkey", terms.alias("terms")), "o_orderkey", "terms", units=UNITS, kinds=DEADLINES, default="procedural")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -85,3 +85,32 @@ def test_tags_and_claims(spark):
     t = "The main claim is 1 500 GEL, the counter claim 200.75 gel; 300 apples; 0 gel" + " " * 300 + "of 40 gel here"
     assert rules.claims(t, **told) == [("main", 1500, 18), ("counter", 200, 47), ("counter", 300, 59)]  # the currency behind 0 counts for 300 too
     assert rules.claims("claim of 70 gel", **told) == [("claim", 70, 9)] and rules.claims("70 gel", **told) == [] == rules.claims("", **told)
+
+
+def test_numbers_stand_by_themselves():
+    found = lambda t: [(s, w) for s, _, w in rules.numbers(t)]
+    assert found("1 500 and 20 30, 1234 567 x") == [(0, "1500"), (10, "20"), (13, "30"), (17, "1234"), (22, "567")]
+    assert found("3,50 4.5a 7b c8 12 345abc 1.2.3 9") == [(0, "3.50"), (5, "4"), (16, "12"), (26, "1.2"), (30, "3"), (32, "9")]
+    assert found("1\u00a0000\u00a0000.25") == [(0, "1000000.25")] and found("") == [] and found("5") == [(0, "5")]
+    pattern = re.compile(r"(?<![^\W_])((?:\d{1,3}(?:\s\d{3})+|\d+)(?:[.,]\d+)?)(?![^\W_])")  # the rule as one pattern
+    import random
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        t = "".join(rng.choice("0123456789  .,ab-") for _ in range(rng.randint(0, 24)))
+        assert [(m.start(), re.sub(r"\s", "", m[1]).replace(",", ".")) for m in pattern.finditer(t)] == found(t), t
+
+
+def test_deadlines(spark):
+    told = {"units": {"day": ("day", "days"), "month": ("month", "months")}, "kinds": [("appeal", ("appeal",)), ("limitation", ("lapse",))], "default": "procedural"}
+    assert rules.deadlines("An appeal within 14 days." + " " * 120 + "claims lapse after 36-months; 0 days, 12345 days, 1.5 days, 3 dayss", **told) == [("appeal", 14, "day", 17), ("limitation", 36, "month", 164)]
+    assert rules.deadlines("7 – day", **told) == [("procedural", 7, "day", 0)] and rules.deadlines("", **told) == []
+
+
+def test_coverage_gaps(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    issues = df([(1, "tax"), (1, "tax"), (2, "tax"), (2, "harm"), (3, "none")], "key int, issue string")
+    found = df([(1, "A", "1"), (1, "A", "1"), (2, "A", "1"), (2, "A", "2"), (2, "B", "9"), (3, "A", "1")], "key int, law string, article string")
+    expected = df([("tax", "A", "1"), ("tax", "A", "2"), ("tax", "A", "3"), ("tax", "B", None), ("harm", "C", "5")], "issue string, law string, article string")
+    out = sorted((r.key, r.issue, r.law, r.missing) for r in rules.coverage_gaps(issues, found, expected).collect())
+    assert out == [(1, "tax", "A", ["2", "3"]), (1, "tax", "B", []), (2, "harm", "C", ["5"]), (2, "tax", "A", ["3"])]
