@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +55,18 @@ BROADCAST_ROWS = 200_000
 def few(keys: DataFrame) -> DataFrame:
     """``keys``, to be broadcast if their number, which is counted, allows it."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a Python worker that hands freed memory back to the system once its task ends: workers are kept for
+    later tasks, and what they hold meanwhile counts against the executor."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
+
+    return wrapped

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, few
+from .common import WHITE, cut, few, giving_back
 
 #: A filter is made of segments of so many bits; a digest has all its bits in one segment.
 SEGMENT_BITS = 1 << 17
@@ -84,8 +84,8 @@ def may_repeat(digests: DataFrame, bits_per_row: int = 16, max_filter_bytes: int
         return F.pmod(F.xxhash64(digest, F.lit(0)), F.lit(segments)).cast("int"), bits
 
     segment, bits = places(F.col(digests.columns[0]))
-    filled = digests.select(segment.alias("segment"), bits.alias("bits")).coalesce(tasks).mapInArrow(_fill, "segment int, once binary, twice binary")
-    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_join_filters, "segment int, twice array<long>")
+    filled = digests.select(segment.alias("segment"), bits.alias("bits")).coalesce(tasks).mapInArrow(giving_back(_fill), "segment int, once binary, twice binary")
+    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(giving_back(_join_filters), "segment int, twice array<long>")
     held = cut(merged, "filter")
 
     def mark(rows: DataFrame, digest: str, into: str) -> DataFrame:

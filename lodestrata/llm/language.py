@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, giving_back
 
 #: Families of ISO 639-1 codes. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -112,7 +112,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sides = [(name, lang, family(lang) == a if name.startswith("family:") else lang == a) for name, a, b in wanted for lang in langs if name.startswith("family:") or lang in (a, b)]
     of = labelled.sparkSession.createDataFrame(sides, "model string, lang string, positive boolean")
     dealt = cut(sample, "sample").join(F.broadcast(of), "lang").repartition("model").sortWithinPartitions("model", "doc_id", "text")
-    fitted = dealt.select("model", "positive", "text").mapInArrow(_fit, "model string, weights binary")
+    fitted = dealt.select("model", "positive", "text").mapInArrow(giving_back(_fit), "model string, weights binary")
     return {"langs": langs, "weights": {r.model: np.frombuffer(bytes(r.weights), np.float32) for r in fitted.collect()}}  # a row for each model
 
 
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
                 lang, score = run(batch.column(1).slice(at, 128).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 128), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(scored), "doc_id long, lang_pred string, score double")
 
 
 def _predictor(docs: DataFrame, model: dict):
@@ -180,4 +180,4 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text", least: float
             lang, score = run(batch.column(at).to_pylist())
             yield batch.filter(pa.array([v != UNDETERMINED and s >= least for v, s in zip(lang, score, strict=True)]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, few
+from .common import cut, few, giving_back
 from .components import components
 from .simhash import majority, shingle_hashes
 
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = majority([shingle_hashes(t or "", width) for t in part])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 class _Links:
@@ -250,7 +250,7 @@ def near_links(nodes: DataFrame, radius: int = 4, crowded: int = CROWDED) -> Dat
     keyed = nodes.select("fp", "node", F.explode(block_keys(F.col("fp"), *blocks_for(nodes.count(), radius))).alias("at")).select("at.block", "at.key", "node", "fp")
     split, links = rings(keyed, radius, crowded)
     shards = split.select("block", "key", F.lit(0).cast("long").alias("of"), "node", "fp").repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    out = shards.mapInArrow(lambda it: _shard_links(it, (radius,)), "a long, b long, of long").select("a", "b")
+    out = shards.mapInArrow(giving_back(lambda it: _shard_links(it, (radius,))), "a long, b long, of long").select("a", "b")
     for more in links:
         out = out.unionByName(more)
     return out
@@ -376,7 +376,7 @@ def _band_pairs(nodes: DataFrame, words: list[str], crowded: int = CROWDED) -> t
     else:
         rows = rows.withColumn("of", F.lit(0))
     shards = rows.select("block", "key", F.col("of").cast("long").alias("of"), "node", *words).repartition("block", "key").sortWithinPartitions("block", "key", "node")
-    told = shards.mapInArrow(lambda it: _shard_links(it, LADDER, hubs=True), "a long, b long, of long")
+    told = shards.mapInArrow(giving_back(lambda it: _shard_links(it, LADDER, hubs=True)), "a long, b long, of long")
     if not any_hot:
         return told.select("a", "b"), None
     told = cut(told, "told")
@@ -421,7 +421,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), keys, *(pa.array(fp[:, i].view(np.int64)) for i in range(WORDS))], ["doc_id", "digest", "keys", *words])
 
     kind = ", ".join(f"{w} long" for w in words)
-    prints = cut(rows.mapInArrow(run, f"doc_id long, digest binary, keys array<long>, {kind}"), "long")
+    prints = cut(rows.mapInArrow(giving_back(run), f"doc_id long, digest binary, keys array<long>, {kind}"), "long")
     unclear = cut(prints.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("unclear")).where("unclear").select("doc_id"), "unclear")
     if unclear.head(1):
         prints = prints.join(few(unclear), "doc_id", "left_anti")
@@ -440,7 +440,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [sorted({x - (1 << 64) if x >> 63 else x for x in shingle_hashes(t or "", width)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    held = cut(rows.join(few(ids), "doc_id").mapInArrow(sets, "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    held = cut(rows.join(few(ids), "doc_id").mapInArrow(giving_back(sets), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t")), "b")

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands between units in the index; it must not occur in a piece of two characters or more.
@@ -288,7 +290,7 @@ def encode(docs: DataFrame, model_file: str = MODEL, text_col: str = "text", int
 
     rows = docs.select(*(F.col(f"`{c}`") for c in (rest if text_col in rest else [*rest, text_col])))
     kinds = [T.StructField(into, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_into, T.StringType())] if decoded_into else [])
-    return rows.mapInArrow(run, T.StructType([*(docs.schema[c] for c in rest), *kinds]))
+    return rows.mapInArrow(giving_back(run), T.StructType([*(docs.schema[c] for c in rest), *kinds]))
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -315,7 +317,7 @@ def encode_checked(docs: DataFrame, model_file: str = MODEL, id_col: str = "doc_
         encoder.rest()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return rows.mapInArrow(giving_back(run), "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -331,4 +333,4 @@ def decode(encoded: DataFrame, model_file: str = MODEL, ids_col: str = "ids", in
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*rest, into])
 
     rows = encoded.select(*(F.col(f"`{c}`") for c in rest))
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
+    return rows.mapInArrow(giving_back(run), T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
