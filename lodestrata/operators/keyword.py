@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -79,40 +80,47 @@ def needles(text: Column, pattern: str = r"(?:№\s*)?[0-9]{1,4}/[0-9]{4,}(?:[-/
     return F.array_distinct(F.slice(F.concat(numbers, lines), 1, most))
 
 
-#: Texts, in expectation, from which the frequency of query tokens is taken, and queries that are broadcast at once.
-SAMPLED, ASKED = 1000, 20_000
+#: Queries that are broadcast at once.
+ASKED = 20_000
 
 
 def token_overlap(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, least_share: float) -> DataFrame:
-    """(query_id, id, shared, query_n, doc_n) of pairs in which the text has ``least_share`` of the query's tokens or more.
-
-    ``queries``: (query_id, tokens), the tokens distinct; a stated set, in blocks against all texts. A text that has the
-    needed share has at least one of any so many tokens as may not all be missed; so texts are looked at only where they
-    have one of the query's rarest tokens, and a frequent token makes no pairs. A text's tokens are made once, compared
-    in the task, and only pairs of the share are shuffled. Frequency is taken from a sample of the texts; it decides how
-    many pairs are looked at, not which are found. Below a share of a half most tokens would have to be looked up so,
-    and it is cheaper to count the shared tokens of all pairs that have any, summed in tasks before the shuffle. Ids are
-    unique.
+    """(query_id, id, shared, query_n, doc_n) of pairs in which the text has ``least_share`` of the query's tokens or more,
+    and one at least.
+
+    ``queries``: (query_id, tokens), the tokens distinct; a stated set, in blocks against all texts. A text's tokens are
+    made once; its task looks them up in the block's inverted index and counts them for all queries together, so
+    whatever the share and however frequent a token, only pairs of the share leave the task and none is shuffled here.
     """
     held = docs.select(id_col, tokens(F.col(text_col)).alias("_t"))
-    # outer, or the optimizer would filter on the list's size and so make every list twice
-    found = held.select(id_col, "_t", F.explode_outer("_t").alias("token"))
-    drawn = docs.where(F.pmod(F.xxhash64(id_col), F.lit(max(1, docs.count() // SAMPLED))) == 0).select(F.explode_outer(tokens(F.col(text_col))).alias("token"))
-
-    def of_block(told: DataFrame) -> DataFrame:
-        told = told.select("query_id", "tokens", F.size("tokens").alias("query_n")).where("query_n > 0")
-        asked = told.select("query_id", "query_n", F.explode("tokens").alias("token"))
-        if least_share < 0.5:
-            pairs = found.select(id_col, F.size("_t").alias("doc_n"), "token").join(F.broadcast(asked), "token")
-            counted = pairs.groupBy("query_id", id_col).agg(F.count("*").alias("shared"), F.max("query_n").alias("query_n"), F.max("doc_n").alias("doc_n"))
-            return counted.where(F.col("shared") >= least_share * F.col("query_n"))
-        often = drawn.join(F.broadcast(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
-        order = Window.partitionBy("query_id").orderBy(F.coalesce("often", F.lit(0)), "token")
-        rarest = asked.join(often, "token", "left").withColumn("_k", F.row_number().over(order))
-        rarest = rarest.where(F.col("_k") <= F.col("query_n") - F.ceil(least_share * F.col("query_n") - 1e-9) + 1).select("query_id", "token").join(told, "query_id")
-        pairs = found.join(F.broadcast(rarest), "token")
-        counted = pairs.select("query_id", id_col, F.size(F.array_intersect("tokens", "_t")).cast("long").alias("shared"), "query_n", F.size("_t").alias("doc_n"))
-        return counted.where((F.col("shared") >= least_share * F.col("query_n")) & (F.col("shared") > 0)).distinct()
+
+    def of_block(block: DataFrame) -> DataFrame:
+        rows = [(r["query_id"], r["tokens"]) for r in block.select("query_id", "tokens").where(F.size("tokens") > 0).collect()]  # one block
+        lists: dict[str, list[int]] = {}
+        for i, (_, own) in enumerate(rows):
+            for t in own:
+                lists.setdefault(t, []).append(i)
+        ids, sizes = np.array([q for q, _ in rows], dtype=np.int64), np.array([len(t) for _, t in rows], dtype=np.int64)
+        shared = docs.sparkSession.sparkContext.broadcast(({t: np.array(x, dtype=np.int32) for t, x in lists.items()}, ids, sizes))
+
+        @F.arrow_udf("array<struct<query_id: long, shared: long, query_n: int>>")
+        def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            by_token, ids, sizes = shared.value
+            least = np.maximum(1, least_share * sizes)
+            for batch in batches:
+                found, ends = [], [0]
+                for own in batch.to_pylist():
+                    hits = [by_token[t] for t in own if t in by_token]
+                    n = np.bincount(np.concatenate(hits), minlength=len(ids)) if hits else np.zeros(0, np.int64)
+                    at = np.flatnonzero(n >= least) if hits else n
+                    found.append((at, n[at]))
+                    ends.append(ends[-1] + len(at))
+                at, n = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1)) if found else (np.zeros(0, np.int64),) * 2
+                pairs = pa.StructArray.from_arrays([pa.array(ids[at]), pa.array(n), pa.array(sizes[at].astype(np.int32))], ["query_id", "shared", "query_n"])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+        told = held.select(id_col, F.size("_t").alias("doc_n"), F.inline(counted("_t")))
+        return told.select("query_id", id_col, "shared", "query_n", "doc_n")
 
     return over_blocks(queries, "query_id", ASKED, of_block)
 
