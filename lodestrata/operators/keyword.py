@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.parsing import digits, optional
 from ..functions.text import meaningful, runs, tokens, words
 from ..storage import over_blocks
 
@@ -69,7 +70,11 @@ def token_windows(found: Column, size: int = 7, least: int = 5, enough: int = 6)
     return F.when(F.size(found) >= enough, joined).otherwise(F.array().cast("array<string>"))
 
 
-def needles(text: Column, pattern: str = r"(?:№\s*)?[0-9]{1,4}/[0-9]{4,}(?:[-/][0-9]+)?", most: int = 8) -> Column:
+#: A document's number: up to four digits, a slash, four digits or more and perhaps a part; perhaps with its sign.
+DOCUMENT_NUMBER = optional("№", r"\s*") + "/".join((digits(1, 4), digits(4))) + optional("[-/]", digits(1))
+
+
+def needles(text: Column, pattern: str = DOCUMENT_NUMBER, most: int = 8) -> Column:
     """Document numbers that match a pattern, with and without their number sign, then lines of 35 to 170 characters with
     four meaningful tokens; the first ``most``, each once."""
     plain = F.btrim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
