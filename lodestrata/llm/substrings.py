@@ -33,6 +33,8 @@ UNIT, BUCKET = 3 << 20, 1 << 20
 SURE = 8
 MOST_BUCKETS = 50_000
 LAST = (1 << 63) - 1
+#: An odd multiplier for hashes of runs.
+STEP = 0x9E3779B97F4A7C15
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -56,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     """A 64-bit hash of each run of ``width`` words, put together from runs of powers of two."""
-    step = np.uint64(0x9E3779B97F4A7C15)
+    step = np.uint64(STEP)
     runs, size, out, done = _mixed(np.fromiter(map(crc32, words), np.uint64, len(words)) + step), 1, None, 0
     total = len(words) - width + 1
     while size <= width:
@@ -66,7 +68,7 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
             done += size
         size *= 2
         if size <= width:
-            runs = runs[: len(runs) - size // 2] * (step * np.uint64(size + 1)) + runs[size // 2 :]
+            runs = runs[: len(runs) - size // 2] * np.uint64(STEP * (size + 1) % (1 << 64)) + runs[size // 2 :]
     return _mixed(out)
 
 
