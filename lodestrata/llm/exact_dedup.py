@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering.
 
 Texts are equal when they are identical after white space (space, tab to return) is deleted; a null text counts as
-empty. Pass one streams over the digests and fills a Bloom filter whose cells count to two; merged over all tasks it
-knows every digest that can occur twice. Pass two tests each row: rows that occur once for certain pass straight
+empty. Pass one streams over the digests, sends each one's hash (eight bytes, once a task) to its part of a Bloom filter
+and sets cells that count to two; the filter knows every digest that can occur twice. Pass two tests each row: rows that occur once for certain pass straight
 through, only the possibly repeated ones are shuffled and compared by their full SHA-256.
 
 The filter is a table of segments. A digest has all its bits in one segment, so pass two is a join with the segments,
@@ -13,6 +13,7 @@ which are broadcast once an executor, and a look at the bits. The filter's size
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,53 +24,76 @@ from .common import WHITE, cut, few, giving_back
 
 #: A filter is made of segments of so many bits; a digest has all its bits in one segment.
 SEGMENT_BITS = 1 << 17
-PROBES = 4
+#: A digest's cells are four runs of 17 bits of one hash, which begin so many bits apart (the last two of a run are the
+#: first two of the next).
+PROBES, STEP = 4, 15
 
 
 def digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, ""), 256)
 
 
+def _unique(segments: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each (segment, hash) once, in order, with the sum of its times."""
+    order = np.lexsort((hashes, segments))
+    segments, hashes = segments[order], hashes[order]
+    first = np.append(True, (segments[1:] != segments[:-1]) | (hashes[1:] != hashes[:-1]))
+    return segments[first], hashes[first], np.add.reduceat(times[order], np.flatnonzero(first))
+
+
 def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (segment, bits). For each segment that this task touches: the bits set once at least, and those set twice at
-    least."""
-    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        places = np.column_stack([batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, PROBES)])
-        keys, times = np.unique(places, axis=0, return_counts=True)  # sorted by segment
-        for rows in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(keys[:, 0])) + 1):
-            once, twice = (np.zeros(SEGMENT_BITS, dtype=bool) for _ in range(2))
-            once[keys[rows, 1:]] = True
-            twice[keys[rows[times[rows] > 1], 1:]] = True
-            _merge(seen, int(keys[rows[0], 0]), np.packbits(once, bitorder="little"), np.packbits(twice, bitorder="little"))
-    for k, (once, twice) in seen.items():
-        yield pa.RecordBatch.from_pydict({"segment": pa.array([k], pa.int32()), "once": [once.tobytes()], "twice": [twice.tobytes()]})
-
-
-def _merge(seen: dict[int, tuple[np.ndarray, np.ndarray]], k: int, once: np.ndarray, twice: np.ndarray) -> None:
-    if k in seen:
-        a, b = seen[k]
-        once, twice = a | once, b | twice | (a & once)
-    seen[k] = once, twice
+    """Rows (segment, once, twice): for each segment that this task touches, the hashes met once and those met again, as
+    64-bit numbers. A hash met thousands of times is sent once, so a large group of copies is one number a task."""
+    kept = [_unique(b.column(0).to_numpy(), b.column(1).to_numpy(), np.ones(b.num_rows, np.int32)) for b in batches if b.num_rows]
+    if not kept:
+        return
+    segments, hashes, times = _unique(*map(np.concatenate, zip(*kept, strict=True)))
+    kept.clear()
+    bounds = np.append(np.flatnonzero(np.diff(segments, prepend=-1)), len(segments))
+    for at in range(0, len(bounds) - 1, 1024):
+        parts = [slice(i, j) for i, j in pairwise(bounds[at : at + 1025])]
+        once, twice = ([hashes[p][kind[p]].tobytes() for p in parts] for kind in (times == 1, times > 1))
+        yield pa.RecordBatch.from_pydict({"segment": segments[bounds[at : at + len(parts)]], "once": once, "twice": twice})
+
+
+def _cells(hashes: bytes) -> np.ndarray:
+    """The cells of hashes; ``may_repeat`` finds them alike."""
+    h = np.frombuffer(hashes, np.uint64)
+    return np.concatenate([(h >> np.uint64(STEP * i)) & np.uint64(SEGMENT_BITS - 1) for i in range(PROBES)]).astype(np.int64)
 
 
 def _join_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge rows that arrive sorted by segment; one segment is held at a time."""
-    seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    """Set the cells of rows that arrive sorted by segment; one segment is held at a time."""
+    at, once, twice = None, np.zeros(SEGMENT_BITS, dtype=bool), np.zeros(SEGMENT_BITS, dtype=bool)
     for batch in batches:
-        for k, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if k not in seen and seen:
-                yield _twice(seen)
-                seen.clear()
-            _merge(seen, k, np.frombuffer(once, np.uint8), np.frombuffer(twice, np.uint8))
-    if seen:
-        yield _twice(seen)
+        for k, one, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if k != at:
+                if at is not None:
+                    yield _twice(at, twice)
+                at = k
+                once[:], twice[:] = False, False
+            again, new = _cells(more), _cells(one)
+            twice[again] = True
+            twice[new[once[new]]] = True  # set by another task before
+            once[again], once[new] = True, True
+    if at is not None:
+        yield _twice(at, twice)
+
+
+def _twice(segment: int, cells: np.ndarray) -> pa.RecordBatch:
+    words = np.packbits(cells, bitorder="little").view(np.int64)
+    return pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "twice": pa.array([words], pa.list_(pa.int64()))})
 
 
-def _twice(seen: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"segment": pa.array(list(seen), pa.int32()), "twice": pa.array([b.view(np.int64) for _, b in seen.values()], pa.list_(pa.int64()))})
+def _place(digest: Column, segments: int) -> tuple[Column, Column]:
+    """A digest's segment, and the hash that its cells are bits of."""
+    return F.pmod(F.xxhash64(digest, F.lit(0)), F.lit(segments)).cast("int"), F.xxhash64(digest, F.lit(1))
+
+
+def filled(digests: DataFrame, segments: int) -> DataFrame:
+    """(segment, once, twice): what the tasks send to the segments, eight bytes for each different digest of a task."""
+    segment, hashed = _place(F.col(digests.columns[0]), segments)
+    return digests.select(segment.alias("segment"), hashed.alias("hash")).mapInArrow(giving_back(_fill), "segment int, once binary, twice binary")
 
 
 def may_repeat(digests: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 1 << 28) -> Callable[[DataFrame, str, str], DataFrame]:
@@ -77,25 +101,17 @@ def may_repeat(digests: DataFrame, bits_per_row: int = 16, max_filter_bytes: int
     occurs twice or more (true for few others too). Pass one of the method."""
     n = digests.count()
     segments = max(1, min(max_filter_bytes * 8, n * bits_per_row) // SEGMENT_BITS)
-    tasks = max(8, n // 2_000_000)
-
-    def places(digest: Column) -> tuple[Column, Column]:
-        bits = F.array(*(F.pmod(F.xxhash64(digest, F.lit(i + 1)), F.lit(SEGMENT_BITS)).cast("int") for i in range(PROBES)))
-        return F.pmod(F.xxhash64(digest, F.lit(0)), F.lit(segments)).cast("int"), bits
-
-    segment, bits = places(F.col(digests.columns[0]))
-    filled = digests.select(segment.alias("segment"), bits.alias("bits")).coalesce(tasks).mapInArrow(giving_back(_fill), "segment int, once binary, twice binary")
-    merged = filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(giving_back(_join_filters), "segment int, twice array<long>")
+    merged = filled(digests, segments).repartition("segment").sortWithinPartitions("segment").mapInArrow(giving_back(_join_filters), "segment int, twice array<long>")
     held = cut(merged, "filter")
 
     def mark(rows: DataFrame, digest: str, into: str) -> DataFrame:
-        segment, bits = places(F.col(digest))
+        segment, hashed = _place(F.col(digest), segments)
         own, twice = f"{into}_segment", f"{into}_twice"
         shared = F.broadcast(held.select(F.col("segment").alias(own), F.col("twice").alias(twice)))
         joined = rows.join(shared, segment == F.col(own), "left")
         found = F.lit(True)
         for i in range(PROBES):
-            at = F.get(bits, i)
+            at = F.shiftrightunsigned(hashed, STEP * i).bitwiseAND(SEGMENT_BITS - 1)
             found = found & (F.getbit(F.get(F.col(twice), F.floor(at / 64).cast("int")), at % 64) == 1)
         return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce(found, F.lit(False)).alias(into))
 

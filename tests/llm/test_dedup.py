@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import near_dedup
 from lodestrata.llm.components import components
-from lodestrata.llm.exact_dedup import exact_dedup, keep_one
+from lodestrata.llm.exact_dedup import exact_dedup, filled, keep_one, may_repeat
 from lodestrata.llm.simhash import shingle_hashes
 
 from .common import CLASH, empty_documents, odd_documents, prose
@@ -75,6 +75,18 @@ def test_keep_one_of_an_id_with_two_spellings(spark):
     assert [tuple(r) for r in keep_one(docs).collect()] == [(5, "a b", 1)]
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_filter_finds_every_repeat_and_few_others(spark, parts):
+    rows = [(f"{i % 3000 if i < 3300 else i:064x}",) for i in range(20000)] + [("f" * 64,)] * 5000
+    digests = spark.createDataFrame(rows, "d string").repartition(parts).sortWithinPartitions("d")
+    found = {r.d: r.again for r in may_repeat(digests)(digests, "d", "again").collect()}
+    repeats = {f"{i:064x}" for i in range(300)} | {"f" * 64}
+    assert len(found) == 19701 and all(found[d] for d in repeats)
+    assert sum(found.values()) - len(repeats) < 0.02 * len(found)
+    sent = filled(digests, 2).select(F.sum(F.length("once") + F.length("twice")).alias("n")).first().n
+    assert sent <= 8 * (len(found) + parts * len(repeats))  # a repeated digest comes from a few tasks, the others from one
+
+
 def test_near_dedup_against_brute_force(spark):
     docs = odd_documents(spark)
     rows = [r for r in docs.collect() if r.doc_id is not None]
