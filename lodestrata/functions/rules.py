@@ -118,13 +118,17 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
         yield start, end, whole
 
 
+#: Digits of a sum; what is longer is an identifier, and no 64-bit number holds it.
+LONGEST = 15
+
+
 def claims(text: str, currency: tuple[str, ...], context: tuple[str, ...], kinds: list[tuple[str, tuple[str, ...]]], default: str) -> list[tuple[str, int, int]]:
-    """(kind, value, offset) of sums: whole numbers above zero with a currency within 70 characters behind their start
+    """(kind, value, offset) of sums: numbers above zero, of ``LONGEST`` digits at most, without their fraction, with a currency within 70 characters behind their start
     and a word of ``context`` within 180 before or 140 behind it. The kind is that whose keyword stands nearest before,
     within 220 characters, the first of equals; ``default`` if none does."""
     out, low = [], text.lower()
     for at, _, written in numbers(low):
-        value = int(float(written))
+        value = int(float(written)) if len(written.partition(".")[0]) <= LONGEST else 0
         if value <= 0 or not any(c in low[at : at + 70] for c in currency) or not any(c in low[max(0, at - 180) : at + 140] for c in context):
             continue
         before = low[max(0, at - 220) : at]

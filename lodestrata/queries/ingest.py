@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import backfill, readers, sinks, tables
+from ..sources import backfill, landed, readers, sinks, tables
 from ..storage import shared_folder
 from ..streaming import incremental, versions
 from .registry import Registry, table
@@ -159,4 +159,34 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.json_lines(spark, path, "lang string, n long").select("id", "lang", F.col("n").alias("n_chars"))
 
 
+@query("""
+    WITH p AS (SELECT DISTINCT event_id // 100 AS page FROM events WHERE event_id >= 0), r AS (SELECT page, row_number() OVER (ORDER BY page) - 1 AS place FROM p)
+    SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY event_id) - 1 AS INTEGER) AS place, event_id, user_id, event_type FROM events JOIN r ON page = event_id // 100 WHERE r.page = r.place AND event_id >= 0
+""")
+def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the pages of a paged service, a hundred each, landed as files and delivered along their cursors, as far
+    as no page is missing."""
+    base, item = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}", "event_id long, user_id long, event_type string"
+    own = F.struct("event_id", "user_id", "event_type")
+    pages = table(spark, sf_dir, "events").where("event_id >= 0").groupBy(F.expr("event_id div 100").alias("page")).agg(F.array_sort(F.collect_list(own)).alias("items"))
+    page = F.struct(F.concat(F.lit("c"), "page").alias("cursor"), F.concat(F.lit("c"), F.col("page") + 1).alias("next"), "items")
+    files = pages.groupBy(F.expr("page div 100").alias("file")).agg(F.to_json(F.collect_list(page)).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(f"{base}/in")
+    landed.take(spark, f"{base}/in", f"{base}/pages", item, f"{base}/checkpoint").awaitTermination()
+    return landed.delivered(landed.pages(spark, f"{base}/pages", item), "c0")
+
+
+@query("""
+    SELECT doc_id, lang, CAST(generate_subscripts(s, 1) - 1 AS INTEGER) AS place, md5(unnest(s)) AS line_md5 FROM (SELECT doc_id, lang, string_split(text, '. ') AS s FROM documents WHERE text IS NOT NULL)
+""")
+def nested_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents exported as JSON files of parents with an array of lines, read back as a row per line with its place."""
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    lines = F.transform(F.split("text", "[.] ", -1), lambda line: F.struct(F.md5(line).alias("line_md5")))
+    parents = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.struct("doc_id", "lang", lines.alias("lines")).alias("parent"))
+    files = parents.groupBy(F.expr("doc_id div 500")).agg(F.to_json(F.collect_list("parent")).alias("value"))
+    files.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.nested_json(spark, path, "doc_id long, lang string, lines array<struct<line_md5 string>>", "lines")
+
+
 QUERIES, ORACLE_SQL = query.queries, query.sql

@@ -153,8 +153,7 @@ def due_for_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users without a good event within the last day before the stream's end."""
     e = table(spark, sf_dir, "events")
     last = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("ts"))
-    now = e.agg(F.max("ts")).first()[0]
-    return last.where(parsing.due(F.col("ts"), F.lit(now), 1)).select("user_id")
+    return last.where(parsing.due(F.col("ts"), e.agg(F.max("ts")).scalar(), 1)).select("user_id")
 
 
 @query("""
@@ -168,15 +167,26 @@ def review_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy(F.array_join(faults, ",").alias("faults")).agg(F.count("*").alias("n"))
 
 
-RULES = [("overclaim", "high", "the", "always|never|all", 40, ""), ("unsourced", "medium", "token|password", "[0-9]{3}", 60, "copyright|licen[sc]e"), ("vague", "low", "de|und", "que|oder", 20, "")]
+#: (flag, severity, anchor, phrase, within, excuse)
+RULES = [
+    ("overclaim", "high", "the", "always|never|all", 40, ""),
+    ("unsourced", "medium", "token|password", "[0-9]{3}", 60, "copyright|licen[sc]e"),
+    ("vague", "low", "de|und", "que|oder", 20, ""),
+    ("stale", "medium", "licen[sc]e", "(?:19|20)[0-9]{2}", 80, ""),
+    ("contact", "high", "@", "[0-9]{3}-[0-9]{4}", 200, "rights reserved"),
+    ("leak", "high", "secret|api_?key", "[a-z0-9]{16}", 30, ""),
+    ("address", "low", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", "[(][0-9]{3}[)]", 400, "token"),
+    ("denial", "medium", "der|die", "nicht|kein", 40, ""),
+    ("hedge", "low", "el|los", "no|nunca", 25, "licen[sc]e"),
+]
 
 
-@query("""
-    WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
-    SELECT doc_id, 'overclaim' AS flag, 'high' AS severity FROM t WHERE regexp_matches(t, '(?s)(?:the).{0,40}(?:always|never|all)|(?:always|never|all).{0,40}(?:the)')
-    UNION ALL SELECT doc_id, 'unsourced', 'medium' FROM t WHERE regexp_matches(t, '(?s)(?:token|password).{0,60}(?:[0-9]{3})|(?:[0-9]{3}).{0,60}(?:token|password)') AND NOT regexp_matches(t, 'copyright|licen[sc]e')
-    UNION ALL SELECT doc_id, 'vague', 'low' FROM t WHERE regexp_matches(t, '(?s)(?:de|und).{0,20}(?:que|oder)|(?:que|oder).{0,20}(?:de|und)')
-""")
+def _flag_sql(flag: str, severity: str, anchor: str, phrase: str, within: int, excuse: str) -> str:
+    near = f"regexp_matches(t, '(?s)(?:{anchor}).{{0,{within}}}(?:{phrase})|(?:{phrase}).{{0,{within}}}(?:{anchor})')"
+    return f"SELECT doc_id, '{flag}' AS flag, '{severity}' AS severity FROM t WHERE {near}" + (f" AND NOT regexp_matches(t, '{excuse}')" if excuse else "")
+
+
+@query(f"WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) {' UNION ALL '.join(_flag_sql(*r) for r in RULES)}")
 def phrase_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags by phrases near each other, from a table of rules."""
     return verify.phrase_flags(table(spark, sf_dir, "documents"), "doc_id", "text", RULES)

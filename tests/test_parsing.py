@@ -85,6 +85,7 @@ def test_tags_and_claims(spark):
     t = "The main claim is 1 500 GEL, the counter claim 200.75 gel; 300 apples; 0 gel" + " " * 300 + "of 40 gel here"
     assert rules.claims(t, **told) == [("main", 1500, 18), ("counter", 200, 47), ("counter", 300, 59)]  # the currency behind 0 counts for 300 too
     assert rules.claims("claim of 70 gel", **told) == [("claim", 70, 9)] and rules.claims("70 gel", **told) == [] == rules.claims("", **told)
+    assert [c[1] for c in rules.claims(f"{'7' * 400} gel: claim of {'7' * 19} gel and 12.75 gel", **told)] == [12] and len(rules.claims(f"claim of {'7' * 19} gel, {'7' * 15} gel", **told)) == 1
 
 
 def test_numbers_stand_by_themselves():
