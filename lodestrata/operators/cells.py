@@ -24,6 +24,7 @@ from . import vector
 SAMPLED = 256
 #: Rows of a cell that go to one file; larger cells are dealt over several writers.
 FILE_ROWS = 1 << 20
+FOUND = "query_id long, vec_id long, parent long, similarity double"
 
 
 def _unit_column(name: str):
@@ -93,20 +94,22 @@ def search(queries: DataFrame, path: str, k: int, probes: int = 8, least: float
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, m, by_cell = shared.value
+            best = vector.Best(m, k)
             for batch in batches:
-                cell = batch.column(3).to_numpy()
-                vec, parent, unit = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), vector._unit(batch.column(2))
+                cell, vec, parent = batch.column(3).to_numpy(), batch.column(0).to_numpy(), vector._parents(batch.column(1))
+                unit = vector._unit(batch.column(2))
                 for c in np.unique(cell).tolist():
-                    at, rows = np.flatnonzero(cell == c), by_cell[c]
-                    sims = m[rows] @ unit[at].T
-                    order = np.lexsort((np.broadcast_to(vec[at], sims.shape), -sims), axis=1)[:, :k]
-                    who = np.repeat(rows, order.shape[1])
-                    sim = np.take_along_axis(sims, order, axis=1).ravel()
-                    good, order = sim >= least, order.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(own[who[good]]), pa.array(vec[at][order[good]]), pa.array(parent[at][order[good]], pa.int64(), from_pandas=True), pa.array(sim[good])], ["query_id", "vec_id", "parent", "similarity"])
+                    rows, every = by_cell[c], np.flatnonzero(cell == c)
+                    step = max(1, vector.HELD // len(rows))
+                    for at in (every[i : i + step] for i in range(0, len(every), step)):
+                        best.add(rows, vec[at], parent[at], unit[at], m[rows] @ unit[at].T)
+            best.settle()
+            who, vec, parent, sims = best.kept
+            good = sims >= least
+            yield from vector._table(FOUND, [own[who[good]], vec[good], parent[good], sims[good]])
 
         kept = lists(spark, path).where(F.col("cell").isin(sorted(asked)))
-        return kept.mapInArrow(run, "query_id long, vec_id long, parent long, similarity double")
+        return kept.mapInArrow(run, FOUND)
 
     near = over_blocks(queries, "query_id", vector.BLOCK, of_block)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")

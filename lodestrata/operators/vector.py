@@ -1,14 +1,14 @@
 """Vector search: cosine similarity of a stated query set against a whole corpus, in blocks of queries.
 
-A block is a bounded matrix that is broadcast; each task multiplies it with its Arrow batches and keeps only partial
-results (best k per query, or sums per query and parent), so nothing of the size of queries x corpus is made. Of many
-blocks each one's result is written before the next is taken. ``operators/cells.py`` has the index that spares most of
+A block is a bounded matrix that is broadcast; each task multiplies it with a few rows at a time and keeps only partial
+results over all its rows (best k per query, or sums per query and parent), so nothing of the size of queries x corpus
+is made, in a task no more than HELD similarities at once. Of many blocks each one's result is written before the next is taken. ``operators/cells.py`` has the index that spares most of
 the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,12 @@ from ..storage import over_blocks
 
 #: Queries in a block.
 BLOCK = 4096
+#: Similarities that a task has at once; results that it keeps before it hands them on, by rows of OUT; pairs compared at once.
+HELD, KEPT, OUT, PAIRS = 1 << 20, 1 << 21, 1 << 16, 1 << 13
+#: By how much the product of two matrices may differ from a sum of products.
+SLACK = 1e-12
+#: Stands for a null parent.
+NO_PARENT = np.iinfo(np.int64).min
 
 
 def of_dimension(vectors: DataFrame, vector_col: str, dimension: int) -> DataFrame:
@@ -32,24 +38,151 @@ def _unit(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _scan(queries: DataFrame, corpus: DataFrame, partial: Callable, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Apply ``partial(query ids, corpus ids, parents, similarities)`` to every block and batch; it gives columns.
+def _parents(column: pa.Array) -> np.ndarray:
+    return column.fill_null(NO_PARENT).to_numpy()
+
+
+def _table(schema: str, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in schema.split(", ")]
+    for at in range(0, len(cols[0]), OUT):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + OUT], mask=c[at : at + OUT] == NO_PARENT if name == "parent" else None) for name, c in zip(names, cols)], names)
+
+
+class Best:
+    """The ``k`` most similar rows of each of the queries ``m`` (unit vectors) among those added so far; ties by id.
+
+    A similarity beyond a query's k-th so far makes a row a candidate; candidates are compared by the sum of products of
+    the two vectors alone, so equal vectors are equally similar wherever they stand.
+    """
+
+    def __init__(self, m: np.ndarray, k: int) -> None:
+        self.m, self.k, self.bar = m, k, np.full(len(m), -np.inf)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.fresh: list[tuple] = []
+        self.size = 0
+
+    def add(self, who: np.ndarray, ids: np.ndarray, parents: np.ndarray, unit: np.ndarray, sims: np.ndarray) -> None:
+        """``sims``: of the queries numbered ``who`` and the rows ``ids``, whose vectors are ``unit``."""
+        fits = ~(sims < (self.bar[who] - SLACK)[:, None])
+        if sims.shape[1] > self.k and np.count_nonzero(fits) > len(who) * self.k:
+            kth = -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1]
+            fits &= ~(sims < (kth - SLACK)[:, None])
+        rows, at = np.nonzero(fits)
+        if len(rows):
+            own = who[rows]
+            exact = np.concatenate([np.einsum("ij,ij->i", self.m[own[i : i + PAIRS]], unit[at[i : i + PAIRS]]) for i in range(0, len(own), PAIRS)])
+            self.fresh.append((own, ids[at], parents[at], exact))
+            self.size += len(own)
+            if self.size - len(self.kept[0]) > len(self.m) * self.k:
+                self.settle()
+
+    def settle(self) -> None:
+        if self.fresh:
+            own, ids, parents, sims = (np.concatenate(c) for c in zip(self.kept, *self.fresh))
+            order = np.lexsort((ids, -sims, own))
+            place = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+            last = order[place == self.k - 1]
+            self.bar[own[last]] = sims[last]
+            order = order[place < self.k]
+            self.kept, self.fresh, self.size = (own[order], ids[order], parents[order], sims[order]), [], len(order)
+
+
+class _Nearest:
+    """``Best`` over all rows, or with ``apart`` over those of each parent."""
+
+    schema = "query_id long, vec_id long, parent long, similarity double"
+
+    def __init__(self, own: np.ndarray, m: np.ndarray, k: int, least: float, apart: bool) -> None:
+        self.own, self.m, self.k, self.least, self.apart = own, m, k, least, apart
+        self.all, self.best = np.arange(len(own)), {}
+
+    def add(self, ids: np.ndarray, parents: np.ndarray, unit: np.ndarray, sims: np.ndarray) -> None:
+        for p in np.unique(parents).tolist() if self.apart else [None]:
+            at = np.flatnonzero(parents == p) if self.apart else slice(None)
+            self.best.setdefault(p, Best(self.m, self.k)).add(self.all, ids[at], parents[at], unit[at], sims[:, at])
+
+    def full(self) -> bool:
+        most = max(KEPT, 4 * len(self.own) * self.k)
+        if sum(b.size for b in self.best.values()) + len(self.best) * len(self.own) <= most:
+            return False
+        for b in self.best.values():
+            b.settle()
+        return sum(b.size for b in self.best.values()) + len(self.best) * len(self.own) > most // 2
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for b in self.best.values():
+            b.settle()
+            own, ids, parents, sims = b.kept
+            good = ~(sims < self.least) if self.apart else sims >= self.least
+            yield from _table(self.schema, [self.own[own[good]], ids[good], parents[good], sims[good]])
+
+
+class _Statistics:
+    schema = "query_id long, parent long, total double, most double, n long, vec_id long"
+
+    def __init__(self, own: np.ndarray, m: np.ndarray) -> None:
+        self.own, self.m, self.all, self.found = own, m, np.arange(len(own)), {}
+
+    def add(self, ids: np.ndarray, parents: np.ndarray, unit: np.ndarray, sims: np.ndarray) -> None:
+        for p in np.unique(parents).tolist():
+            at = np.flatnonzero(parents == p)
+            best, total, n = self.found.get(p) or (Best(self.m, 1), 0.0, 0)
+            best.add(self.all, ids[at], parents[at], unit[at], sims[:, at])
+            self.found[p] = best, total + sims[:, at].sum(axis=1), n + len(at)
+
+    def full(self) -> bool:
+        return 4 * len(self.found) * len(self.own) > KEPT
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        for best, total, n in self.found.values():
+            best.settle()
+            _, ids, parents, most = best.kept  # one row for each query
+            yield from _table(self.schema, [self.own, parents, total, np.where(np.isnan(total), np.nan, most), np.full(len(self.own), n), ids])
+
+
+class _Above:
+    schema = "query_id long, item_id long, above long"
+
+    def __init__(self, own: np.ndarray, m: np.ndarray, item_id: np.ndarray, similarity: np.ndarray) -> None:
+        self.own, self.item_id, self.bar = own, item_id, similarity + 1e-12
+        self.above = np.zeros(len(own), np.int64)
+
+    def add(self, ids: np.ndarray, parents: np.ndarray, unit: np.ndarray, sims: np.ndarray) -> None:
+        self.above += ((sims > self.bar[:, None]) & (ids[None, :] != self.item_id[:, None])).sum(axis=1)
+
+    def full(self) -> bool:
+        return False
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        yield from _table(self.schema, [self.own, self.item_id, self.above])
+
+
+def _scan(queries: DataFrame, corpus: DataFrame, partial: type, extra: tuple[str, ...] = (), **options) -> DataFrame:
+    """What ``partial(query ids, unit vectors)`` comes to for every block and task. It is given rows with their
+    similarities, HELD of these at once; when it is full, what it has is handed on and another one begins.
     ``extra`` columns of the queries are handed on as arrays by name."""
 
     def against(block: DataFrame) -> DataFrame:
         found = block.toArrow()  # one block
         m = _unit(found.column("vector").combine_chunks())
         ids, more = found.column("query_id").to_numpy(), {c: found.column(c).to_numpy() for c in extra}
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, m, more))
+        shared = corpus.sparkSession.sparkContext.broadcast((ids, m, more | options))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, m, more = shared.value
+            if not len(own):
+                return
+            state, step = partial(own, m, **more), max(1, HELD // len(own))
             for batch in batches:
-                if batch.num_rows and len(own):
-                    cols = partial(own, batch.column(0).to_numpy(), batch.column(1).to_numpy(), m @ _unit(batch.column(2)).T, **more)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols.values()], list(cols))
+                for piece in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
+                    unit = _unit(piece.column(2))
+                    state.add(piece.column(0).to_numpy(), _parents(piece.column(1)), unit, m @ unit.T)
+                    if state.full():
+                        yield from state.out()
+                        state = partial(own, m, **more)
+            yield from state.out()
 
-        return corpus.select(F.col("vec_id").cast("long"), F.col("parent").cast("long"), "vector").mapInArrow(run, schema)
+        return corpus.select(F.col("vec_id").cast("long"), F.col("parent").cast("long"), "vector").mapInArrow(run, partial.schema)
 
     return over_blocks(queries, "query_id", BLOCK, against)
 
@@ -59,53 +192,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, least: float = -1.0) -> D
 
     ``queries``: (query_id, vector); ``corpus``: (vec_id, parent, vector).
     """
-
-    def partial(own, ids, parents, sims):
-        order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(own)), order.shape[1])
-        at = order.ravel()
-        good = sims[rows, at] >= least
-        rows, at = rows[good], at[good]
-        return {"query_id": own[rows], "vec_id": ids[at], "parent": parents[at], "similarity": sims[rows, at]}
-
-    best = _scan(queries, corpus, partial, "query_id long, vec_id long, parent long, similarity double")
+    best = _scan(queries, corpus, _Nearest, k=k, least=least, apart=False)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_by_parent(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar rows of each query within each parent, with their rank there."""
-
-    def partial(own, ids, parents, sims):
-        out = {"query_id": [], "vec_id": [], "parent": [], "similarity": []}
-        for p in np.unique(parents):
-            at = np.flatnonzero(parents == p)
-            order = at[np.lexsort((np.broadcast_to(ids[at], (len(own), len(at))), -sims[:, at]), axis=1)[:, :k]]
-            out["query_id"].append(np.repeat(own, order.shape[1]))
-            out["vec_id"].append(ids[order].ravel())
-            out["parent"].append(np.full(order.size, p))
-            out["similarity"].append(np.take_along_axis(sims, order, axis=1).ravel())
-        return {c: np.concatenate(v) for c, v in out.items()}
-
-    best = _scan(queries, corpus, partial, "query_id long, vec_id long, parent long, similarity double")
+    best = _scan(queries, corpus, _Nearest, k=k, least=-np.inf, apart=True)
     w = Window.partitionBy("query_id", "parent").orderBy(F.desc("similarity"), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def parent_statistics(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, parent, most, mean, n, nearest): over all rows of each parent."""
-
-    def partial(own, ids, parents, sims):
-        found, at = np.unique(parents, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        first = np.searchsorted(at[order], np.arange(len(found)))
-        total = np.add.reduceat(sims[:, order], first, axis=1)
-        most = np.maximum.reduceat(sims[:, order], first, axis=1)
-        nearest = np.stack([np.where(sims[:, at == k] == most[:, [k]], ids[at == k][None, :], np.iinfo(np.int64).max).min(axis=1) for k in range(len(found))], axis=1)
-        n = np.broadcast_to(np.bincount(at), total.shape)
-        return {"query_id": np.repeat(own, len(found)), "parent": np.tile(found, len(own)), "total": total.ravel(), "most": most.ravel(), "n": np.ascontiguousarray(n).ravel(), "vec_id": nearest.ravel()}
-
-    parts = _scan(queries, corpus, partial, "query_id long, parent long, total double, most double, n long, vec_id long")
+    parts = _scan(queries, corpus, _Statistics)
     best = F.max(F.struct("most", F.bitwise_not("vec_id").alias("least"), "vec_id"))
     return parts.groupBy("query_id", "parent").agg(F.max("most").alias("most"), (F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"), best.alias("best")).withColumn("nearest", F.col("best.vec_id")).drop("best")
 
@@ -114,12 +215,7 @@ def rank_of(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFram
     """(query_id, item_id, similarity, rank) of stated pairs (query_id, item_id): how many rows are more similar, plus one."""
     own = pairs.join(queries, "query_id").join(corpus.select(F.col("vec_id").alias("item_id"), F.col("vector").alias("item")), "item_id")
     known = own.select("query_id", "item_id", "vector", cosine("vector", "item").alias("similarity"))
-
-    def partial(own_ids, ids, parents, sims, item_id, similarity):
-        above = ((sims > similarity[:, None] + 1e-12) & (ids[None, :] != item_id[:, None])).sum(axis=1)
-        return {"query_id": own_ids, "item_id": item_id, "above": above.astype(np.int64)}
-
-    counted = _scan(known, corpus, partial, "query_id long, item_id long, above long", ("item_id", "similarity")).groupBy("query_id", "item_id").agg(F.sum("above").alias("above"))
+    counted = _scan(known, corpus, _Above, ("item_id", "similarity")).groupBy("query_id", "item_id").agg(F.sum("above").alias("above"))
     return known.join(counted, ["query_id", "item_id"]).select("query_id", "item_id", "similarity", (F.col("above") + 1).alias("rank"))
 
 

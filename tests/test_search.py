@@ -156,3 +156,60 @@ def test_cells_read_the_asked_partitions_and_fall_back(spark, tmp_path):
     assert few and all(r.similarity >= 0.9 for r in few)
     cells.build(corpus.where("false"), str(tmp_path / "none"), 4)
     assert cells.search(queries, str(tmp_path / "none"), 3, 2).count() == 0
+
+
+def test_a_task_hands_on_its_best_once(spark, monkeypatch):
+    """However many batches a task reads, in pieces of few similarities, it hands on k rows of a query; copies of a vector
+    are equally similar and count by id; results that are handed on early are the same in the end."""
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(400, 7))
+    m[100:160] = m[5]
+    corpus = spark.createDataFrame([(i * 37 % 400, None if i % 5 == 4 else i % 5, v.tolist()) for i, v in enumerate(m)], "vec_id long, parent long, vector array<double>").coalesce(1).cache()
+    queries = corpus.where("vec_id % 20 = 5").select(F.col("vec_id").alias("query_id"), "vector")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    ids, parents = np.array([i * 37 % 400 for i in range(400)]), np.array([-1 if i % 5 == 4 else i % 5 for i in range(400)])
+    sims = {int(q): np.array([float(np.dot(u[i], u[k])) for k in range(400)]).round(12) for i, q in enumerate(ids) if q % 20 == 5}
+    nearest = lambda q, of: [int(ids[x]) for x in sorted(of, key=lambda x: (-sims[q][x], ids[x]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for held in (vector.HELD, 60):
+            monkeypatch.setattr(vector, "HELD", held)
+            handed = vector._scan(queries, corpus, vector._Nearest, k=4, least=-1.0, apart=False)
+            assert handed.count() == 20 * 4
+            found = vector.knn(queries, corpus, 4).orderBy("query_id", "rank").collect()
+            assert [r.vec_id for r in found] == [x for q in sorted(sims) for x in nearest(q, range(400))[:4]]
+            apart = vector.knn_by_parent(queries, corpus, 3).orderBy("query_id", F.coalesce("parent", F.lit(-1)), "rank").collect()
+            assert [r.vec_id for r in apart] == [x for q in sorted(sims) for p in (-1, 0, 1, 2, 3) for x in nearest(q, np.flatnonzero(parents == p))[:3]]
+            stats = {(r.query_id, -1 if r.parent is None else r.parent): (r.n, r.nearest) for r in vector.parent_statistics(queries, corpus).collect()}
+            assert stats == {(q, p): (80, nearest(q, np.flatnonzero(parents == p))[0]) for q in sims for p in (-1, 0, 1, 2, 3)}
+            ranks = {r.query_id: r["rank"] for r in vector.rank_of(queries.select("query_id", (F.col("query_id") + 1).alias("item_id")), queries, corpus).collect()}
+            assert ranks == {q: 1 + int((sims[q] > sims[q][ids == q + 1] + 1e-12).sum()) for q in sims}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    """Of more parents than may be kept, what is found is handed on in between; nothing is lost."""
+    monkeypatch.setattr(vector, "KEPT", 100)
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(500, 5))
+    u, ids, parents, own = m / np.linalg.norm(m, axis=1, keepdims=True), np.arange(500), np.arange(500) % 97, np.arange(6) + 1000
+    for made in (lambda: vector._Nearest(own, u[:6], 2, -np.inf, True), lambda: vector._Statistics(own, u[:6])):
+        state, out = made(), []
+        for at in range(0, 500, 20):
+            state.add(ids[at : at + 20], parents[at : at + 20], u[at : at + 20], u[:6] @ u[at : at + 20].T)
+            assert sum(len(x) if isinstance(x, np.ndarray) else 1 for b in getattr(state, "best", {}).values() for x in b.kept[:1]) <= 600
+            if state.full():
+                out.append([r for b in state.out() for r in b.to_pylist()])
+                state = made()
+        out.append([r for b in state.out() for r in b.to_pylist()])
+        assert len(out) > 2
+        every = [r for part in out for r in part]
+        for q in range(6):
+            for p in range(97):
+                rows = [r for r in every if (r["query_id"], r["parent"]) == (1000 + q, p)]
+                best = sorted((i for i in range(500) if i % 97 == p), key=lambda i: -(u[i] @ u[q]))
+                if "n" in rows[0]:
+                    assert sum(r["n"] for r in rows) == len(best) and max(rows, key=lambda r: r["most"])["vec_id"] == best[0]
+                else:
+                    assert [r["vec_id"] for r in sorted(rows, key=lambda r: -r["similarity"])][:2] == best[:2]
