@@ -122,3 +122,24 @@ def test_versions_as_they_arrive(spark, tmp_path, cuts):
         versions.keep(versions.changes(stream, "law", "dated", "version"), f"{tmp_path}/log", f"{tmp_path}/checkpoint").awaitTermination()
     whole = windows.current_version(spark.createDataFrame(sorted(set(rows)), schema), "law", "dated", "version")
     assert rows_of(versions.current(spark, f"{tmp_path}/log").select("key", "id", "at", "is_current")) == rows_of(whole.select("law", "version", "dated", "is_current"))
+
+
+def test_versions_of_many_keys_are_compared_by_buckets(spark, tmp_path):
+    """State and calls are those of buckets, not of keys; negative keys, repeats and hours that a clock shows twice count."""
+    night = [dt.datetime(2024, 10, 27, 0, 30), dt.datetime(2024, 10, 27, 1, 30)]
+    first = [(k, 10 * k + v, night[v]) for k in range(-1500, 1500) for v in range(2)] + [(None, 1, night[0]), (3, None, night[0]), (3, 2, None)]
+    later = [(k, 10 * k + 1, night[1]) for k in range(0, 1500, 3)] + [(k, 10 * k + 2, night[1]) for k in range(-9, 9)] + [(k, 10 * k + 3, night[0]) for k in range(20)] + [(9000, 1, night[0])]
+    schema = "law long, version long, dated timestamp"
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        for rows in (first, later):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+            run = versions.keep(versions.changes(stream, "law", "dated", "version"), f"{tmp_path}/log", f"{tmp_path}/checkpoint")
+            run.awaitTermination()
+            assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= versions.BUCKETS
+        whole = windows.current_version(spark.read.parquet(f"{tmp_path}/in").dropna().distinct(), "law", "dated", "version")
+        found = versions.current(spark, f"{tmp_path}/log").select("key", "id", "at", "is_current")
+        assert rows_of(found) == rows_of(whole.select("law", "version", "dated", "is_current")) and found.count() == 6000 + 18 + 20 + 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
