@@ -271,35 +271,42 @@ def windows_in(windows: DataFrame, texts: DataFrame, text_col: str) -> DataFrame
     """``texts`` with ``win`` and ``density``: each window (win: its tokens, joined by a space) all of whose tokens a text
     has, with its cover density there.
 
-    Windows are a stated set, in blocks. A window is looked for in texts that have its rarest token, in tasks that hold
-    the block; how often tokens occur is counted over all texts.
+    Windows are a stated set, in blocks. One walk of an automaton over a text tells which windows' longest tokens it
+    contains, be it inside words; only texts that contain all tokens of a window are cut into tokens and compared, with
+    the windows that they may hold.
     """
-    told = texts.withColumn("_runs", runs(F.col(text_col)))
+    told = texts.withColumn("_plain", F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u00a0"), F.lit(" "))))
 
     def of_block(block: DataFrame) -> DataFrame:
-        asked = block.select("win", F.array_distinct(F.split("win", " ")).alias("terms"))
-        single = asked.select(F.explode("terms").alias("token")).distinct()
-        often = told.select(F.explode(F.array_distinct("_runs")).alias("token")).join(F.broadcast(single), "token", "left_semi").groupBy("token").agg(F.count("*").alias("often"))
-        counts = {r["token"]: r["often"] for r in often.collect()}  # the block's tokens
-        keyed: dict[str, list[tuple[str, frozenset[str]]]] = {}
-        for r in asked.collect():  # one block
-            if all(t in counts for t in r["terms"]):
-                keyed.setdefault(min(r["terms"], key=lambda t: (counts[t], t)), []).append((r["win"], frozenset(r["terms"])))
-        shared = texts.sparkSession.sparkContext.broadcast(keyed)
+        asked = [(r["win"], frozenset(r["win"].split(" "))) for r in block.where("win is not null").collect()]  # one block
+        shared = texts.sparkSession.sparkContext.broadcast(asked)
+
+        @F.arrow_udf("array<int>")
+        def likely(plain: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            keyed: dict[str, list[int]] = {}
+            for i, (_, terms) in enumerate(shared.value):
+                keyed.setdefault(max(terms, key=lambda t: (len(t), t)), []).append(i)
+            automaton = ahocorasick.Automaton()
+            for t in filter(None, keyed):
+                automaton.add_word(t, t)
+            automaton.make_automaton()
+            walk = automaton.iter if len(automaton) else lambda text: ()
+            for batch in plain:
+                rows = [[i for key in {t for _, t in walk(text)} for i in keyed[key] if all(t in text for t in shared.value[i][1])] for text in batch.to_pylist()]
+                yield pa.array(rows, pa.list_(pa.int32()))
 
         @F.arrow_udf("array<struct<win: string, density: double>>")
-        def held(tokens_: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            by_token = shared.value
-            kind = pa.list_(pa.struct([("win", pa.string()), ("density", pa.float64())]))
-            for batch in tokens_:
-                rows = []
-                for found in batch.to_pylist():
-                    own = set(found)
-                    fitting = [x for t in by_token.keys() & own for x in by_token[t] if x[1] <= own]
-                    rows.append([{"win": w, "density": cover_density(found, terms)} for w, terms in fitting])
-                yield pa.array(rows, kind)
-
-        return told.select("*", F.inline(held("_runs"))).drop("_runs")
+        def held(tokens_: pa.Array, asked_: pa.Array) -> pa.Array:
+            rows = []
+            for found, at in zip(tokens_.to_pylist(), asked_.to_pylist()):
+                own = set(found)
+                fitting = [shared.value[i] for i in at if shared.value[i][1] <= own]
+                rows.append([{"win": w, "density": cover_density(found, terms)} for w, terms in fitting])
+            return pa.array(rows, pa.list_(pa.struct([("win", pa.string()), ("density", pa.float64())])))
+
+        # not to be run once for the condition and once for the column
+        some = told.withColumn("_likely", likely.asNondeterministic()("_plain")).where(F.size("_likely") > 0)
+        return some.select(*texts.columns, F.inline(held(runs(F.col(text_col)), F.col("_likely"))))
 
     return over_blocks(windows.select("win").distinct(), "win", ENTRIES, of_block)
 

@@ -213,3 +213,24 @@ def test_what_is_kept_is_bounded(monkeypatch):
                     assert sum(r["n"] for r in rows) == len(best) and max(rows, key=lambda r: r["most"])["vec_id"] == best[0]
                 else:
                     assert [r["vec_id"] for r in sorted(rows, key=lambda r: -r["similarity"])][:2] == best[:2]
+
+
+def test_windows_are_compared_in_texts_that_may_hold_them_only(spark):
+    """Tokens inside words, in another case or missing; null texts; a text is tokenised once and not counted before."""
+    texts = spark.createDataFrame([(0, "Alpha beta, GAMMA. delta!"), (1, "alphabet betas gammas deltas"), (2, "delta x gamma beta alpha alpha"), (3, None), (4, "alpha beta gamma"), (5, ""), (6, "one a/b-c.")], "id int, t string")
+    windows = spark.createDataFrame([("alpha beta gamma delta",), ("delta beta",), ("a/b-c one",), ("",), (None,), ("no such",)], "win string")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(t):
+        seen.add(1)
+        return t
+
+    out = keyword.windows_in(windows, texts.withColumn("t", counted("t")), "t")
+    assert seen.value == 0  # texts are not read to count tokens first
+    out = keyword.windows_in(windows, texts, "t")
+    scanned = out._jdf.queryExecution().optimizedPlan().toString().count("likely(")
+    found = {(r.id, r.win): r.density for r in out.collect()}
+    plain = {0: "alpha beta gamma delta", 1: "alphabet betas gammas deltas", 2: "delta x gamma beta alpha alpha", 4: "alpha beta gamma", 6: "one a/b-c"}
+    expected = {(i, w): keyword.cover_density(t.split(), frozenset(w.split())) for i, t in plain.items() for w in ("alpha beta gamma delta", "delta beta", "a/b-c one", "no such") if set(w.split()) <= set(t.split())}
+    assert found == expected and len(found) == 5 and scanned == 1
